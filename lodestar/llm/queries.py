@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .mixing import op5_mixing
+from .ngram_join import op10_ngram_join
 from .sharding import op1_sharding
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_mixing": op5_mixing}
+QUERIES = {"op1_sharding": op1_sharding, "op5_mixing": op5_mixing, "op10_ngram_join": op10_ngram_join}
 
 ORACLE_SQL: dict[str, str] = {}
