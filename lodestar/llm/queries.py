@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from .language_id import op4_language_id
 from .mixing import op5_mixing
 from .ngram_join import op10_ngram_join
+from .packing import op7_packing
 from .sharding import op1_sharding
+from .token_counts import op6_token_counts
+from .token_files import op3_token_files
+from .topk import OP8_SQL, op8_topk
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_mixing": op5_mixing, "op10_ngram_join": op10_ngram_join}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
+    "op8_topk": op8_topk,
+    "op10_ngram_join": op10_ngram_join,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL}
