@@ -6,6 +6,8 @@ from .language_id import op4_language_id
 from .mixing import op5_mixing
 from .ngram_join import op10_ngram_join
 from .packing import op7_packing
+from .pii import op2_pii
+from .quality import op9_quality
 from .sharding import op1_sharding
 from .token_counts import op6_token_counts
 from .token_files import op3_token_files
@@ -13,12 +15,14 @@ from .topk import OP8_SQL, op8_topk
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_pii": op2_pii,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_topk": op8_topk,
+    "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
 }
 

@@ -124,11 +124,11 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
   from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(cast(x as double)))) = 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0
 ), p as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
   from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
 ), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 5
