@@ -1,4 +1,11 @@
 """All registered queries and their SQL."""
 
+from __future__ import annotations
+
+from . import screening_queries
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _m in (screening_queries,):
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.SQL
