@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import screening as S
-from ..sources.views import view, with_views
+from ..sources.views import view
+from .registry import Registry
 
 YEAR = 2025
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *views: str):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return keep
+query = Registry()
 
 
 def _flat(df: DataFrame, *cols: str) -> DataFrame:
