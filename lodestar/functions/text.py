@@ -40,12 +40,13 @@ def publication_month_ordinal(date: Column | str, year: Column | str) -> Column:
 
 
 def bibtex_key(x: Column | str) -> Column:
-    """Characters that may stand in a citation key."""
-    return F.regexp_replace(_c(x).cast("string"), r"[^A-Za-z0-9_:-]", "")
+    """Letters and digits only, as a citation key must be."""
+    return F.regexp_replace(_c(x).cast("string"), r"[^a-zA-Z0-9]", "")
 
 
 def bibtex_escape(x: Column | str) -> Column:
-    return F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"[{}]", "")
+    """Braces behind a backslash, so that they do not end a field."""
+    return F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"([{}])", r"\\$1")
 
 
 def safe_filename(x: Column | str) -> Column:
@@ -128,15 +129,26 @@ def translate_query(x: Column | str) -> Column:
     return F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" "))
 
 
-def pdf_url_from_html(html: Column | str) -> Column:
-    """The citation_pdf_url of a page's head, else the first link that ends in .pdf; null if none."""
+def join_url(base: Column | str, url: Column | str) -> Column:
+    """url made absolute below base, which counts as a folder."""
+    base, url = _c(base), _c(url)
+    scheme = F.regexp_extract(base, r"\A([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+    host = F.regexp_extract(base, r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.concat(F.regexp_replace(base, r"[?#].*\z|/\z", ""), F.lit("/"))
+    return F.when(url.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(scheme, url)).when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat(folder, url))
+
+
+def pdf_url_from_html(html: Column | str, base: Column | str | None = None) -> Column:
+    """The citation_pdf_url of a page, else its first link to a .pdf, made absolute below base; null if none."""
     html = _c(html)
-    meta = F.regexp_extract(html, r"(?is)<meta[^>]+name=[\"']citation_pdf_url[\"'][^>]+content=[\"']([^\"']+)[\"']", 1)
-    link = F.regexp_extract(html, r"(?is)<a[^>]+href=[\"']([^\"']+\.pdf)[\"']", 1)
-    return F.coalesce(F.nullif(meta, F.lit("")), F.nullif(link, F.lit("")))
+    meta = F.regexp_extract(html, r"(?i)<meta\s+[^>]*name=[\"']citation_pdf_url[\"'][^>]*content=[\"']([^\"']+)[\"']", 1)
+    link = F.regexp_extract(html, r"(?i)href=[\"']([^\"'>]+\.pdf[^\"'>]*)[\"']", 1)
+    found = F.coalesce(F.nullif(meta, F.lit("")), F.nullif(link, F.lit("")))
+    return found if base is None else F.when(found.isNotNull(), join_url(base, found))
 
 
 def content_status(body: Column | str, cap: int) -> Column:
-    """too_large beyond the cap, not_pdf for a web page or anything without a PDF's mark, else ok."""
+    """too_large beyond the cap, not_pdf for a web page or anything without a PDF's mark at its head, else ok."""
     body = _c(body)
-    return F.when(F.octet_length(body) > cap, "too_large").when(F.left(body, F.lit(4)) == "%PDF", "ok").otherwise("not_pdf")
+    head = F.lower(F.ltrim(F.left(body, F.lit(32))))
+    return F.when(F.octet_length(body) > cap, "too_large").when(head.startswith("%pdf") & F.ltrim(F.left(body, F.lit(32))).startswith("%PDF"), "ok").otherwise("not_pdf")

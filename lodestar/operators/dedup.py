@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import external_key, is_preprint_venue, normalize_title
 from ..functions.vectors import cosine
@@ -17,7 +18,7 @@ UNKNOWN_AUTHOR_BLOCK = 500
 
 
 def jaro(a: str, b: str) -> float:
-    """Share of matching characters within half the longer length, less half the swapped ones."""
+    """Share of matching characters within half the longer length, less half the swapped ones (rounded down)."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -34,7 +35,7 @@ def jaro(a: str, b: str) -> float:
     if not ours:
         return 0.0
     theirs = [c for c, f in zip(b, free) if not f]
-    swapped = sum(x != y for x, y in zip(ours, theirs)) / 2
+    swapped = sum(x != y for x, y in zip(ours, theirs)) // 2
     m = len(ours)
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
@@ -50,7 +51,6 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return j + common * PREFIX_WEIGHT * (1 - j)
 
 
-@F.pandas_udf("double")
 def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
     memo: dict[tuple[str, str], float] = {}
     out = []
@@ -62,7 +62,7 @@ def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def jaro_winkler(a: str | Column, b: str | Column) -> Column:
-    return _jw(a, b)
+    return F.pandas_udf(_jw, T.DoubleType())(a, b)
 
 
 def external_keys(papers: DataFrame) -> DataFrame:
