@@ -9,7 +9,7 @@ meet. Candidates are then bounded by the bit counts of hashed bitmap signatures,
 settled by intersecting sorted arrays. No link between different sets can be lost.
 
 A key that many documents share is never expanded into all its pairs: each document is first compared
-with the smallest one of its key; only keys whose documents are then not all in one component are
+with the most central one of its keys; only keys whose documents are then not all in one component are
 compared in blocks, by bitmap, across components.
 """
 
@@ -30,7 +30,7 @@ BAND = 1.5
 #: Parts of a tile for each of the largest number of differing elements.
 SPARE = 1.15
 #: Keys that one task holds before it passes them on.
-HELD_KEYS = 1_500_000
+HELD_KEYS = 1_000_000
 #: Documents of a key that are compared in one block.
 BLOCK = 1024
 
@@ -71,8 +71,8 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bitmap of a power of two of bits: 512 at least, and twice the size up to 16,384."""
-    bits = min(16_384, max(512, 1 << int(2 * len(s) - 1).bit_length())) if len(s) else 512
+    """Hashed bitmap of a power of two of bits: 512 at least, and four times the size up to 16,384."""
+    bits = min(16_384, max(512, 1 << int(4 * len(s) - 1).bit_length())) if len(s) else 512
     bm = np.zeros(bits, dtype=np.uint8)
     bm[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(bm, bitorder="little").tobytes()
@@ -226,26 +226,22 @@ def _keys(rule: Rule):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """The rows of keys that more than one document has, with the smallest document that met as pivot."""
+    """(key, node) of the keys that more than one document has."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     t = pa.Table.from_batches(got)
     k, v, p = (t.column(c).to_numpy() for c in ("key", "node", "pivot"))
-    local = v != p  # these have their pivot already
+    local = v != p  # these have met already, in the task that they come from
     kk, vv = k[~local], v[~local]
-    order = np.lexsort((vv, kk))
+    order = np.argsort(kk, kind="stable")
     kk, vv = kk[order], vv[order]
-    if len(kk):
-        first = np.concatenate(([True], kk[1:] != kk[:-1]))
-        group = np.cumsum(first) - 1
-        many = np.bincount(group)[group] > 1
-        pivot = vv[np.flatnonzero(first)][group]
-        rows = [np.concatenate((kk[many], k[local])), np.concatenate((vv[many], v[local])), np.concatenate((pivot[many], p[local]))]
-    else:
-        rows = [k[local], v[local], p[local]]
-    for i in range(0, len(rows[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in rows], names=["key", "node", "pivot"])
+    many = np.zeros(len(kk), dtype=bool)
+    many[1:] = kk[1:] == kk[:-1]
+    many[:-1] |= many[1:]
+    keys, nodes = np.concatenate((kk[many], k[local], k[local])), np.concatenate((vv[many], v[local], p[local]))
+    for i in range(0, len(keys), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(nodes[i : i + 100_000])], names=["key", "node"])
 
 
 def _bound(rule: Rule):
@@ -340,13 +336,15 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
 
     usable = docs.where("doc_id is not null and text is not null")
     keys = map_arrow(usable, _keys(rule), "at long, key long, node long, pivot long")
-    met = keys.repartition("at").mapInArrow(_meet, "key long, node long, pivot long")
-    met = saved(met)
+    met = saved(keys.repartition("at").mapInArrow(_meet, "key long, node long"))
     reps = classes.select(F.col("doc_id").alias("node"), "rep")
-    met = met.join(reps, "node").select("key", "pivot", F.col("rep").alias("node")).join(reps.select(F.col("node").alias("pivot"), F.col("rep").alias("pivot_rep")), "pivot")
-    met = saved(met.select("key", "node", F.col("pivot_rep").alias("pivot")).distinct())
+    members = saved(met.join(reps, "node").select("key", F.col("rep").alias("node")).distinct())
 
-    best = met.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("pivot", F.struct("c", F.negative("pivot"))).alias("pivot"))
+    # The most central document of a key, the one whose keys many share, is the one to compare the others with first.
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    central = members.join(size, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    pivots = members.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", F.negative("node"))).alias("pivot"))
+    best = members.join(pivots, "key").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("pivot", F.struct("c", F.negative("pivot"))).alias("pivot"))
     tried = saved(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     links = saved(_verified(tried, described, docs, rule))
 
@@ -354,7 +352,6 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     shared = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
     links = links.union(shared.join(classes, "doc_id").select("a", F.col("rep").alias("b")))
     first = components(links)
-    members = met.select("key", "node").union(met.select("key", "pivot")).distinct()
     placed = saved(members.join(first, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     left = placed.join(open_keys, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
