@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lodestar-")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; only where that is unset a local folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new path below spark.checkpoint.dir; only where that is unset below a local folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
     return f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
 
 
