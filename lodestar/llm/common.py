@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch; texts average a few KB, and one batch is held whole.
 TEXT_BATCH_ROWS = 1024
+#: Rows of a batch whose texts are encoded: the more, the fewer distinct parts come up anew.
+ENCODE_BATCH_ROWS = 4096
 #: Pieces that one worker remembers before it starts anew (about 150 bytes each).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 
 #: The white space of the word definitions, \x20 and \x09 to \x0D.
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
@@ -28,12 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lodestar-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder below spark.checkpoint.dir; only where that is unset (tests) below a local one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
     return f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
 
 
@@ -51,7 +58,12 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
     small_batches(df.sparkSession, rows)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def utf8_len(c: Column) -> Column:
@@ -68,6 +80,15 @@ def block_rows(rows: int) -> int:
     return max(256, math.isqrt(rows))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live long and share an executor with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 # -- tokenizers ---------------------------------------------------------------------------------
 
 def tokenizer_path(name: str) -> str:
@@ -81,74 +102,156 @@ def tokenizer_path(name: str) -> str:
 
 #: Fixed value: the characters of Unicode's White_Space.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: For each kind of vocabulary, the cut of a text into parts that the library encodes independently of each other.
-_CUTS = {
-    # words with their leading blank, and white space as the byte-level pre-tokenizer groups it
-    "bytes": re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
-    # the word-end vocabulary drops white space
-    "words": re.compile("[^ \\n]+"),
-}
+_WS_RE2 = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_LATIN_RE2 = "A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}"
+#: A word of Latin letters, with its leading blank and one final mark: the pre-tokenizers cut before the mark.
+_PLAIN = f"^(?P<stem> ?[{_LATIN_RE2}]+)(?P<mark>[.,]?)\\z"
+_STEM = f"^ ?[{_LATIN_RE2}]+\\z"
+#: White space as the byte-level pre-tokenizer groups it, with the words behind it.
+_whole_cut = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
+#: A blank or line end inside or at the end of longer white space, where a cut before it would change the grouping.
+_UNSAFE = f"[{_WS_RE2}][ \\n](?:[{_WS_RE2}]|\\z)|\\x00"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: each byte of a character's UTF-8 as the letter that stands for it."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in shown}
+    for k, b in enumerate(b for b in range(256) if b not in letter):
+        letter[b] = chr(256 + k)
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
 class PieceEncoder:
     """Encodes whole texts exactly as the tokenizers library does, asking it once for each distinct part.
 
-    A text that holds a special token's string goes to the library whole, as such strings change how
-    the white space next to them is grouped.
+    A text is cut where the vocabulary's pre-tokenizer is sure to cut, whatever stands around: before
+    white space that follows a word. The parts of a batch are dictionary-encoded by Arrow, so that
+    Python sees each distinct one once; the ids of all of them are then gathered. Texts with a special
+    token's string, or with white space that a cut would regroup, are cut on their own or not at all.
     """
 
-    def __init__(self, name: str, value: Callable[[list[int]], object]):
+    def __init__(self, name: str, pieces: int = CACHE_PIECES):
+        self.pieces = pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.lib = Tokenizer.from_file(tokenizer_path(name))
-        self.value = value
-        kind = type(self.lib.pre_tokenizer).__name__
-        self.cut = _CUTS["bytes" if kind == "ByteLevel" else "words"].findall
+        self.bytewise = type(self.lib.pre_tokenizer).__name__ == "ByteLevel"
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache: dict[str, object] = {}
-
-    def _library(self, texts: list[str]) -> list[object]:
-        return [self.value(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        # the same merges over words that stand already in the byte-level alphabet, with blanks between them
+        self.bare = Tokenizer.from_file(tokenizer_path(name))
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.lib.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.letters = _byte_letters()
+        if self.bytewise:
+            self.last[vocab["\u010a"]] = True
+        else:
+            for w, i in vocab.items():
+                self.last[i] = w.endswith("</w>")
+        self.cache: dict[str, bytes] = {}
+
+    def _library(self, parts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u2").tobytes() for e in self.lib.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _words(self, stems: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, many in one call; the ends of words are seen from the ids."""
+        out: list[bytes] = []
+        for i in range(0, len(stems), 2000):
+            part = stems[i : i + 2000]
+            text = "\n".join(part)
+            plain = text.isascii()
+            text = text.replace(" ", "\u0120").replace("\n", " \u010a ") if self.bytewise else text.replace("\n", " ")
+            ids = np.asarray(self.bare.encode_batch_fast([text if plain else text.translate(self.letters)], add_special_tokens=False)[0].ids, dtype="<u2")
+            ends = np.flatnonzero(self.last[ids])
+            if self.bytewise:
+                starts, ends = np.concatenate(([0], ends + 1)), np.append(ends, len(ids))
+            else:
+                starts, ends = np.concatenate(([0], ends[:-1] + 1)), ends + 1
+            if len(starts) != len(part):
+                out += self._library(part)
+                continue
+            flat = ids.tobytes()
+            out += [flat[a:b] for a, b in zip((2 * starts).tolist(), (2 * ends).tolist())]
+        return out
 
-    def __call__(self, texts: list[str | None], join: Callable[[Iterable], object]) -> list[object]:
-        if len(self.cache) > CACHE_PIECES:
+    def _known(self, keys: pa.Array) -> pa.Array:
+        """Ids of each of some distinct stems and odd parts, remembered."""
+        names = keys.to_pylist()
+        out = list(map(self.cache.get, names))
+        new = [k for k, x in enumerate(out) if x is None]
+        if new:
+            stem = pc.match_substring_regex(keys.take(pa.array(new)), _STEM).to_pylist()
+            words = [k for k, s in zip(new, stem) if s]
+            groups = ([k for k in words if names[k].isascii()], [k for k in words if not names[k].isascii()], [k for k, s in zip(new, stem) if not s])
+            for group, encode in zip(groups, (self._words, self._words, self._library)):
+                for i in range(0, len(group), 20_000):
+                    some = group[i : i + 20_000]
+                    for k, x in zip(some, encode([names[k] for k in some])):
+                        out[k] = self.cache[names[k]] = x
+        return pa.array(out, pa.large_binary())
+
+    def parts(self, parts: pa.Array) -> pa.Array:
+        """Ids of each part on its own: those of its word and of the mark behind it."""
+        if len(self.cache) > self.pieces:
             self.cache = {}
-        cache, out, cut = self.cache, [], self.cut
-        parts: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            parts.append(None if any(s in t for s in self.special) else cut(t))
-        unknown = list({p for ps in parts if ps for p in ps if p not in cache})
-        for i in range(0, len(unknown), 20_000):
-            part = unknown[i : i + 20_000]
-            cache.update(zip(part, self._library(part)))
-        for t, ps in zip(texts, parts):
-            out.append(self._library([t])[0] if ps is None else join(map(cache.__getitem__, ps)))
+        cut = pc.extract_regex(parts, _PLAIN)
+        stem, mark = pc.struct_field(cut, "stem"), pc.fill_null(pc.struct_field(cut, "mark"), "")
+        stem = pc.coalesce(stem if self.bytewise else pc.utf8_lower(stem), parts)
+        each = []
+        for x in (stem, mark):
+            coded = x.dictionary_encode()
+            each.append(self._known(coded.dictionary).take(coded.indices))
+        return pc.binary_join_element_wise(*each, pa.scalar(b"", pa.large_binary()))
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        if self.bytewise:
+            return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n"), "\x00")
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+    def _gather(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """(ids of all texts, byte offsets of each text's)."""
+        lists = self._cut(texts)
+        coded = lists.flatten().dictionary_encode()
+        each = self.parts(coded.dictionary).take(coded.indices)
+        _, offsets, data = each.buffers()
+        ends = np.frombuffer(offsets, np.int64)[each.offset : each.offset + len(each) + 1]
+        at = lists.offsets.to_numpy()
+        return memoryview(data) if data is not None else memoryview(b""), ends[at - at[0]].tolist()
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty), little-endian, 16 bits each."""
+        texts = pc.fill_null(texts, "")
+        own = np.zeros(len(texts), dtype=bool)
+        for x in self.special:
+            own |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        grouped = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False) & ~own if self.bytewise else np.zeros(len(texts), dtype=bool)
+        out: list[bytes] = [b""] * len(texts)
+        plain = np.flatnonzero(~own & ~grouped)
+        if len(plain):
+            data, at = self._gather(texts if len(plain) == len(texts) else texts.take(pa.array(plain)))
+            for k, a, b in zip(plain.tolist(), at, at[1:]):
+                out[k] = bytes(data[a:b])
+        for k in np.flatnonzero(grouped).tolist():
+            out[k] = b"".join(self.parts(pa.array(_whole_cut(texts[k].as_py()), pa.string())).to_pylist())
+        if own.any():
+            some = np.flatnonzero(own).tolist()
+            for k, x in zip(some, self._library([texts[k].as_py() for k in some])):
+                out[k] = x
         return out
 
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
-
-
-def _as_u16(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u2").tobytes()
-
-
-def encoder(name: str, what: str) -> PieceEncoder:
-    """This worker's encoder. what: `ids16` (little-endian 16-bit ids; vocabularies below 65,536) or `count`."""
-    key = (name, what)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(name, _as_u16 if what == "ids16" else len)
-    return _encoders[key]
-
-
-def encode_ids16(name: str, texts: list[str | None]) -> list[bytes]:
-    return encoder(name, "ids16")(texts, b"".join)
+_encoders: dict[str, PieceEncoder] = {}
 
 
-def count_tokens(name: str, texts: list[str | None]) -> list[int]:
-    return encoder(name, "count")(texts, sum)
+def encode_ids16(name: str, texts: pa.Array, pieces: int = CACHE_PIECES) -> list[bytes]:
+    """Ids of each text by this worker's encoder, 16 bits each (vocabularies below 65,536)."""
+    if name not in _encoders:
+        _encoders[name] = PieceEncoder(name)
+    _encoders[name].pieces = pieces
+    return _encoders[name](texts)
 
 
 # -- sorted partitions --------------------------------------------------------------------------

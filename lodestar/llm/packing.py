@@ -12,6 +12,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,30 +34,23 @@ def differencing(sizes: list[int], m: int) -> tuple[list[int], list[list[int]]]:
     """Sums and members of m windows: the two partial partitions of the largest spread are merged, opposed, until one is left."""
     if m == 1 or not sizes:
         return [sum(sizes)] + [0] * (m - 1), [list(range(len(sizes)))] + [[] for _ in range(m - 1)]
-    # A partition: its windows in descending order as far as they hold anything, and what was taken off all.
-    heap: list[tuple[int, int, list[int], list]] = []
-    for i, s in enumerate(sizes):
-        heap.append((-s, i, [s], [(i, None, None)]))
+    # A partition: (sum, members) of the windows that hold anything, in descending order.
+    heap = [(-n, i, [(n, (i, None, None))]) for i, n in enumerate(sizes)]
     heapq.heapify(heap)
-    tick = len(sizes)
-    while len(heap) > 1:
-        _, _, a, ta = heapq.heappop(heap)
-        _, _, b, tb = heapq.heappop(heap)
-        if len(a) + len(b) <= m:  # each window of one meets an empty one of the other
-            sums, members = a + b, ta + tb
-        else:
-            # a descending from the front, b ascending to the end
-            overlap = len(a) + len(b) - m
+    first = itemgetter(0)
+    for tick in range(len(sizes), 2 * len(sizes) - 1):
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        overlap = len(a) + len(b) - m
+        if overlap <= 0:  # each window of one meets an empty one of the other
+            merged = a + b
+        else:  # a descending from the front, b ascending to the end
             free = len(a) - overlap
-            sums = a[:free] + [x + y for x, y in zip(a[free:], reversed(b[len(b) - overlap :]))] + b[: len(b) - overlap]
-            members = ta[:free] + [(None, x, y) for x, y in zip(ta[free:], reversed(tb[len(b) - overlap :]))] + tb[: len(b) - overlap]
-        order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
-        sums = [sums[k] for k in order]
-        members = [members[k] for k in order]
-        spread = sums[0] - (sums[-1] if len(sums) == m else 0)
-        tick += 1
-        heapq.heappush(heap, (-spread, tick, sums, members))
-    _, _, sums, trees = heap[0]
+            merged = a[:free] + [(x + y, (None, t, u)) for (x, t), (y, u) in zip(a[free:], reversed(b[len(b) - overlap :]))] + b[: len(b) - overlap]
+        merged.sort(key=first, reverse=True)
+        spread = merged[0][0] - (merged[-1][0] if len(merged) == m else 0)
+        heapq.heappush(heap, (-spread, tick, merged))
+    sums, trees = [x for x, _ in heap[0][2]], [t for _, t in heap[0][2]]
     groups = []
     for t in trees:
         got, stack = [], [t]
@@ -99,16 +93,14 @@ def _cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def _pack(tokenizer: str, end_id: int, capacity: int):
+def _pack(tokenizer: str, end_id: int, capacity: int, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u2").tobytes()
-        for g in sorted_groups(batches, ["block"]):
+        encoded = (pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("block"), pa.array([x + end for x in encode_ids16(tokenizer, b.column("text"), cached)], pa.large_binary())], names=["doc_id", "block", "ids"]) for b in batches)
+        for g in sorted_groups(encoded, ["block"]):
             block = g.column("block")[0].as_py()
             docs = g.column("doc_id").to_pylist()
-            texts = g.column("text").to_pylist()
-            ids: list[bytes] = []
-            for i in range(0, len(texts), 256):
-                ids += [x + end for x in encode_ids16(tokenizer, texts[i : i + 256])]
+            ids = g.column("ids").to_pylist()
             whole, rest = [], []  # (document, start, length)
             for k, x in enumerate(ids):
                 for s, n in _cuts(len(x) // 2, capacity):
@@ -139,19 +131,21 @@ def _pack(tokenizer: str, end_id: int, capacity: int):
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 6144, cached: int = 1_000_000) -> DataFrame:
     """One row per piece, with its ids (little-endian 32 bits), sequence and offset there.
 
     A document is its whole text's ids and end_id; null and empty texts are end_id alone. A sequence
     holds capacity ids at most. sequence_id is the block in the upper and a number in the lower 32
     bits, so it does not depend on how Spark deals the blocks out. Repeated rows and rows without id
     are packed like others. Only id_col and text_col are read. No rows: no piece.
+
+    batch_rows and cached (pieces that a worker remembers) trade memory for time and change no result.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = max(1, math.ceil(d.count() / BLOCK_DOCS))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)))
     d = d.repartition("block").sortWithinPartitions("block", "doc_id", "text")
-    return map_arrow(d, _pack(tokenizer, end_id, capacity), PIECES)
+    return map_arrow(d, _pack(tokenizer, end_id, capacity, cached), PIECES, batch_rows)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_tokens, digest, map_arrow, shared_dir, table, tokenizer_path, utf8_len
+from .common import ENCODE_BATCH_ROWS, digest, encode_ids16, map_arrow, saved, shared_dir, table, tokenizer_path, utf8_len
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -29,7 +29,7 @@ def tokenizer_version(tokenizer: str) -> str:
 def _count(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(count_tokens(tokenizer, b.column("text").to_pylist()), pa.int64())], names=["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(x) // 2 for x in encode_ids16(tokenizer, b.column("text"))], pa.int64())], names=["digest", "n_tokens"])
 
     return run
 
@@ -56,9 +56,9 @@ def token_counts(docs: DataFrame, cache_dir: str | None = None, tokenizer: str =
         misses = misses.join(spark.read.schema(CACHE_SCHEMA).parquet(path), "digest", "left_anti")
     texts = d.withColumn("rep", F.coalesce("doc_id", F.lit(-(2**63) + 1))).join(misses.withColumnRenamed("digest", "wanted"), "rep")
     texts = texts.withColumn("digest", digest(F.col("text"))).where("digest = wanted").select("digest", "text")
-    map_arrow(texts, _count(tokenizer), CACHE_SCHEMA).write.mode("append").parquet(path)
+    map_arrow(texts, _count(tokenizer), CACHE_SCHEMA, ENCODE_BATCH_ROWS).write.mode("append").parquet(path)
     # a repeated row, or a job that ran twice, may have stored a digest more than once
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = saved(spark.read.schema(CACHE_SCHEMA).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))  # written, so that Spark can split a hot digest in the join
     return keys.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 

@@ -23,6 +23,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Tokens of a shard, at most but for a longer single document.
 SHARD_TOKENS = 1 << 20
+#: Rows of a batch that is encoded, and pieces that a worker remembers (memory for time; no result depends on them).
+BATCH_ROWS, CACHED = 6144, 1_200_000
 #: Bits between two stored ranks.
 RANK_BITS = 512
 
@@ -39,12 +41,13 @@ class WaveletMatrix:
         n = len(x)
         planes, zeros = [], []
         for level in range(bits):
-            bit = ((x >> (bits - 1 - level)) & 1).astype(bool)
+            bit = (x & x.dtype.type(1 << (bits - 1 - level))) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             zero = x[~bit]
             zeros.append(len(zero))
             x = np.concatenate((zero, x[bit]))
-        return cls(n, bits, np.stack(planes), cls._ranks(np.stack(planes), n), np.array(zeros, dtype=np.int64))
+        stacked = np.stack(planes)
+        return cls(n, bits, stacked, cls._ranks(stacked, n), np.array(zeros, dtype=np.int64))
 
     @staticmethod
     def _ranks(planes: np.ndarray, n: int) -> np.ndarray:
@@ -144,11 +147,13 @@ class WaveletMatrix:
         """All ids, by undoing the planes from the last to the first."""
         x = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
         for level in reversed(range(self.bits)):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(np.bool_)
             z = int(self.zeros[level])
+            x[z:] |= x.dtype.type(1 << (self.bits - 1 - level))
             back = np.empty_like(x)
-            back[~bit] = x[:z]
-            back[bit] = x[z:] | x.dtype.type(1 << (self.bits - 1 - level))
+            back[bit] = x[z:]
+            np.logical_not(bit, out=bit)
+            back[bit] = x[:z]
             x = back
         return x
 
@@ -172,7 +177,7 @@ def _encode(tokenizer: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["part", "shard", "doc_ids", "id_nulls", "lengths", "n_tokens", "wavelet"])
 
         for b in batches:
-            for d, x in zip(b.column("doc_id").to_pylist(), encode_ids16(tokenizer, b.column("text").to_pylist())):
+            for d, x in zip(b.column("doc_id").to_pylist(), encode_ids16(tokenizer, b.column("text"), CACHED)):
                 x += end
                 if held and held + len(x) // 2 > shard_tokens:
                     yield out()
@@ -207,7 +212,7 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, tokenizer: st
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return saved(map_arrow(d, _encode(tokenizer, end_id, shard_tokens), FILE_SCHEMA), out_dir, compression="zstd")
+    return saved(map_arrow(d, _encode(tokenizer, end_id, shard_tokens), FILE_SCHEMA, BATCH_ROWS), out_dir, compression="snappy")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
