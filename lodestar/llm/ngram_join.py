@@ -30,7 +30,9 @@ BAND = 1.5
 #: Parts of a tile for each of the largest number of differing elements.
 SPARE = 1.15
 #: Keys that one task holds before it passes them on.
-HELD_KEYS = 1_000_000
+HELD_KEYS = 400_000
+#: Times the session's shuffle partitions over which the keys are dealt; a task holds its part whole.
+PARTS = 3
 #: Documents of a key that are compared in one block.
 BLOCK = 1024
 
@@ -46,7 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -327,16 +329,18 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     one document that links as each of its rows does; a row without doc_id keeps a null component_id.
     Only id_col and text_col are read. No rows: an empty result.
     """
+    spark = docs.sparkSession
     rule = Rule(n, num, den)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     described = saved(map_arrow(docs, _describe(n), "doc_id long, n long, dig binary, bm binary"))
     known = described.where("doc_id is not null and n > 0")
-    lowest = known.groupBy("dig").agg(F.min("doc_id").alias("rep"))
+    lowest = saved(known.groupBy("dig").agg(F.min("doc_id").alias("rep")))  # written, so that Spark can split a hot digest in the join
     classes = saved(known.join(lowest, "dig").select("doc_id", "rep").distinct())
 
     usable = docs.where("doc_id is not null and text is not null")
     keys = map_arrow(usable, _keys(rule), "at long, key long, node long, pivot long")
-    met = saved(keys.repartition("at").mapInArrow(_meet, "key long, node long"))
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = saved(map_arrow(keys.repartition(parts, "at").select("key", "node", "pivot"), _meet, "key long, node long", 16_384))
     reps = classes.select(F.col("doc_id").alias("node"), "rep")
     members = saved(met.join(reps, "node").select("key", F.col("rep").alias("node")).distinct())
 
