@@ -9,11 +9,12 @@ documents.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -98,59 +99,90 @@ def estimate(counts: Counter, pieces: list[str], rounds: int = ROUNDS) -> dict[s
 class Model:
     """Scores words under all languages at once; remembers each word's scores."""
 
-    ROWS = 300_000
+    ROWS = 500_000
 
     def __init__(self, langs: list[str], pieces: dict[str, tuple[float, ...]]):
         self.langs, self.pieces = langs, pieces
-        self.longest = max(map(len, pieces), default=1)
-        self.rest = (UNKNOWN,) * len(langs)
+        if not pieces:
+            return
+        self.finder = ahocorasick.Automaton()
+        for k, p in enumerate(pieces):
+            self.finder.add_word(p, k)
+        self.finder.make_automaton()
+        self.length = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.single = np.array([ord(p) for p in pieces if len(p) == 1], dtype=np.uint32)
+        #: One row a piece; the last is that of a letter that is none.
+        self.prob = np.array([*pieces.values(), (UNKNOWN,) * len(langs)]).reshape(len(pieces) + 1, len(langs))
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)))
 
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log of the summed probability of all segmentations, a row a word.
+
+        An automaton finds all pieces in all words; the forward algorithm then goes from each pair of
+        positions to the next, over all words that have a piece there.
+        """
+        if not words:
+            return np.zeros((0, len(self.langs)))
+        text = "\n".join(MARK + w for w in words)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+        word_at = np.repeat(np.arange(len(words)), size + 1)
+        found = np.fromiter(chain.from_iterable(self.finder.iter(text)), dtype=np.int64).reshape(-1, 2)
+        end, piece = found[:, 0] + 1, found[:, 1]
+        begin = end - self.length[piece]
+        # a letter that is no piece is a step of its own
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        bare = np.flatnonzero(~np.isin(code, self.single) & (code != 10))
+        begin, end, piece = np.concatenate((begin, bare)), np.concatenate((end, bare + 1)), np.concatenate((piece, np.full(len(bare), len(self.pieces))))
+        word = word_at[begin]
+        i, j = begin - start[word], end - start[word]
+        step = (j << 8) + i
+        order = np.argsort(step, kind="stable")
+        word, piece, step = word[order], piece[order], step[order]
+        cuts = np.concatenate(([0], np.flatnonzero(step[1:] != step[:-1]) + 1, [len(step)]))
+        fore = np.zeros((int(size.max()) + 1, len(words), len(self.langs)))
+        fore[0] = 1.0
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            to, at = int(step[a]) >> 8, int(step[a]) & 255
+            some = word[a:b]
+            fore[to, some] += fore[at, some] * self.prob[piece[a:b]]
+        return np.log(np.maximum(fore[size, np.arange(len(words))], 1e-300))
+
     def word(self, word: str) -> list[float]:
-        """Log of the summed probability of all segmentations, for each language."""
-        w = MARK + word
-        n, get, k = len(w), self.pieces.get, range(len(self.langs))
-        fore: list[list[float] | None] = [[1.0] * len(self.langs)] + [None] * n
-        for i in range(n):
-            at = fore[i]
-            if at is None:
-                continue
-            if w[i] not in self.pieces:
-                steps = [(i + 1, self.rest)]
-            else:
-                steps = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = get(w[i:j])
-                if p is not None:
-                    steps.append((j, p))
-            for j, p in steps:
-                to = fore[j]
-                fore[j] = [at[x] * p[x] for x in k] if to is None else [to[x] + at[x] * p[x] for x in k]
-        return [math.log(max(x, 1e-300)) for x in fore[n]]
+        return self.score([word])[0].tolist()
 
-    def text(self, text: str | None) -> tuple[str, float]:
-        """(language, posterior); ties go to the smaller name."""
-        words = words_of(text)
-        if not self.langs or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior) of each; ties go to the smaller name."""
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
         if len(self.index) > self.ROWS:
             self._clear()
         index = self.index
-        for w in set(words):
-            if w not in index:
-                at = len(index)
-                if at >= len(self.rows):
-                    self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-                self.rows[at] = self.word(w)
-                index[w] = at
-        at = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
-        total = self.rows[at].sum(axis=0)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        cut = [words_of(t) for t in texts]
+        new = list(set().union(*cut) - index.keys())
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            at = len(index)
+            while at + len(part) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[at : at + len(part)] = self.score(part)
+            index.update(zip(part, range(at, at + len(part))))
+        out = []
+        for words in cut:
+            if not any(c.isalpha() for w in words for c in w):
+                out.append(("und", 0.0))
+                continue
+            total = self.rows[np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+            best = int(np.argmax(total))
+            out.append((self.langs[best], float(1.0 / np.exp(total - total[best]).sum())))
+        return out
+
+    def text(self, text: str | None) -> tuple[str, float]:
+        return self.texts([text])[0]
 
 
 def held_out(id_col: Column) -> Column:
@@ -196,11 +228,11 @@ def learn(docs: DataFrame, vocab: str = VOCABULARY, sample_docs: int = SAMPLE_DO
     return Model(langs, {p: tuple(by_piece.get(p, {}).get(k, rest[k]) for k in langs) for p in vocabulary(vocab)})
 
 
-def _predict(langs: list[str], pieces: dict[str, tuple[float, ...]]):
+def _predict(langs: list[str], pieces: dict[str, tuple[float, ...]], at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         model = Model(langs, pieces)
         for b in batches:
-            got = [model.text(t) for t in b.column("text").to_pylist()]
+            got = model.texts(b.column(at).to_pylist())
             rest = [b.column(i) for i in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([x for x, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
@@ -213,7 +245,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     A text that is null or has no letter, and any text if nothing was learned, gets `und` with score 0.
     """
     schema = docs.select(*docs.columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return map_arrow(docs, _predict(model.langs, model.pieces), schema)
+    return map_arrow(docs, _predict(model.langs, model.pieces, docs.columns.index(text_col)), schema, 512)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
