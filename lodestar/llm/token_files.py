@@ -212,7 +212,7 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, tokenizer: st
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return saved(map_arrow(d, _encode(tokenizer, end_id, shard_tokens), FILE_SCHEMA, BATCH_ROWS), out_dir, compression="snappy")
+    return saved(map_arrow(d, _encode(tokenizer, end_id, shard_tokens), FILE_SCHEMA, BATCH_ROWS), out_dir, compression="zstd")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
