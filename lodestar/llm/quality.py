@@ -2,7 +2,8 @@
 
 For each language and source a minimum-covariance-determinant estimate of the transformed statistics
 of its documents is found by concentration steps; documents are rejected by their Mahalanobis distance
-from it. Quantiles inside a group come from histograms and moments from sums, both aggregated before
+from it. Groups too small for an estimate take that of their language, else of their source, else of all
+documents. Quantiles inside a group come from histograms and moments from sums, both aggregated before
 the shuffle, so a hot source never meets in one task.
 """
 
@@ -25,7 +26,7 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 HALF = 0.75
 STEPS = 4
 TAIL = 1e-9
-#: Groups of fewer rows that passed the base rules get no verdict: the estimate would mean nothing.
+#: Groups of fewer rows that passed the base rules are judged by a wider estimate: their own would mean nothing.
 LEAST_ROWS = 50
 #: Least standard deviation of each transformed statistic, so that a statistic that is constant in a group does not reject by itself.
 FLOORS = (0.5, 0.15, 0.3, 0.3, 0.3)
@@ -193,12 +194,46 @@ def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
     return saved(_factor(m).select(*_G, "rows", *(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i in range(D) for j in range(i + 1))))
 
 
+def _estimated(rows: DataFrame, steps: int) -> DataFrame:
+    """The estimate of each group of rows."""
+    model = saved(_start(rows))
+    for _ in range(steps):
+        model = _step(rows, model)
+    return model
+
+
+def _estimates(rows: DataFrame, steps: int) -> DataFrame:
+    """For each group of rows its own estimate, or if it is small the first of these that rests on LEAST_ROWS: its language's, its source's, that of all rows (whatever its size)."""
+    own = _estimated(rows, steps)
+    parts = [own.where(F.col("rows") >= LEAST_ROWS)]
+    small = own.where(F.col("rows") < LEAST_ROWS).select(*_G)
+    for keys in (_G[:1], _G[1:], []):
+        if small.isEmpty():
+            break
+        same = F.lit(True)
+        for g in keys:
+            same = same & F.col(g).eqNullSafe(F.col("p_" + g))
+        # only what some small group needs is pooled
+        wanted = small.select(*(F.col(g).alias("p_" + g) for g in keys)).distinct() if keys else None
+        pool = rows.join(wanted, same, "left_semi") if keys else rows
+        pool = pool.select(*((F.col(g) if g in keys else F.lit(None).cast("string")).alias(g) for g in _G), *_X)
+        wide = _estimated(pool, steps)
+        wide = wide.where(F.col("rows") >= LEAST_ROWS) if keys else wide
+        wide = wide.select(*(F.col(g).alias("p_" + g) for g in _G), *(c for c in wide.columns if c not in _G))
+        parts.append(small.join(wide, same).drop(*("p_" + g for g in _G)))
+        small = saved(small.join(wide, same, "left_anti"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return saved(out)
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", steps: int = STEPS, tail: float = TAIL) -> DataFrame:
     """(doc_id, the statistics, base_failed, kept) for each row of docs.
 
     kept is false if a base rule failed, else the verdict of the group's estimate, which rests on the
-    group's rows that passed the base rules; groups below LEAST_ROWS of them keep all. Null languages
-    and sources are groups like others; repeated rows count each. Only the four columns are read. No
+    group's rows that passed the base rules; groups below LEAST_ROWS of them are judged by their
+    language's, source's or the whole estimate. Null languages and sources are groups like others; repeated rows count each. Only the four columns are read. No
     rows: an empty result.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"), F.col(text_col).alias("_text"))
@@ -206,10 +241,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     s = s.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     s = saved(s.select("*", *(x.alias(n) for x, n in zip(_transformed(), _X))))
     passed = s.where(~F.col("base_failed")).select(*_G, *_X)
-    model = saved(_start(passed))
-    for _ in range(steps):
-        model = _step(passed, model)
-    model = model.where(F.col("rows") >= LEAST_ROWS)
+    model = _estimates(passed, steps)
     b = model.select(*(F.col(g).alias("b_" + g) for g in _G), *(c for c in model.columns if c not in _G))
     all_rows = s.join(b, F.col("g_lang").eqNullSafe(F.col("b_g_lang")) & F.col("g_source").eqNullSafe(F.col("b_g_source")), "left")
     fits = F.coalesce(_distance() <= chi2_quantile(1 - tail, D), F.lit(True))

@@ -395,6 +395,22 @@ def test_outliers(spark, none):
     assert quality.judged(none).count() == 0
 
 
+def test_outliers_of_small_groups(spark):
+    """A document gets the same verdict in a large group, in a small one of its language or source, and in one of neither."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoin") for _ in range(rng.randrange(3, 8)))
+    clean = lambda: " ".join(word() for _ in range(rng.randrange(60, 200)))
+    odd = " ".join(word() * 40 + "#$%" for _ in range(100))
+    rows = [(i, clean(), "en", "s") for i in range(200)]
+    places = [("en", "s"), ("en", "tail"), ("xx", "s"), ("xx", "tail"), (None, "s"), ("en", None), (None, None)]
+    for k, g in enumerate(places):
+        rows += [(1000 + 10 * k, odd, *g), *((1001 + 10 * k + i, clean(), *g) for i in range(3))]
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows)
+    assert not any(got[1000 + 10 * k] for k in range(len(places)))
+    assert all(got[1001 + 10 * k + i] for k in range(len(places)) for i in range(3))
+
+
 def test_determinant_estimate(spark):
     """The factors are those of a plain concentration in numpy."""
     rng = np.random.default_rng(5)
