@@ -21,9 +21,11 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text or no letter) go. The others stay as they are."""
+    """Documents with null text or without a letter go. The others stay, also if nothing could be learned; a null lang becomes the predicted one."""
     docs = _documents(docs)
-    return language_id.predict(docs, language_id.learn(docs)).where("lang_pred <> 'und'").select(*COLUMNS)
+    found = language_id.predict(docs, language_id.learn(docs))
+    kept = found.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}"))
+    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,16 @@ def test_stages(spark, folder):
     assert got == tokens
 
 
+def test_language_stage_without_labels(spark):
+    """Nothing to learn: texts with a letter stay. Something to learn: a null lang is filled, a given one stays."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stage = lambda rows: {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), "").collect()}
+    rows = [(1, "the house", None, "s", 9), (2, "вода", None, "s", 4), (3, "12 34", None, "s", 5), (4, None, None, "s", None)]
+    assert stage(rows) == {1: None, 2: None}
+    known = [(i, "the house and the water" if i % 2 else "der fluss und das haus", "en" if i % 2 else "de", "s", 23) for i in range(100, 140)]
+    assert stage([*rows, (5, "der fluss", "en", "s", 9), (6, "und das haus", None, "s", 12), *known]) == {1: "en", 2: stage([*rows, *known])[2], 5: "en", 6: "de"} | {r[0]: r[2] for r in known}
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
