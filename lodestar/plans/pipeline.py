@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from dataclasses import dataclass, field
 
@@ -15,13 +16,17 @@ from ..operators.graph import citation_edges, pagerank
 from .config import ConfigError, Settings, build_block, walk
 
 
+#: Rejected papers that a semantic expansion takes as negatives at most.
+NEGATIVES = 50
+
+
 class OutageError(BaseException):
     """A service stays away: not an Exception, so that no step's handler takes it for a failed item."""
 
 
 @dataclass
 class Corpus:
-    """What expansion draws from: papers, edges (citing_id, cited_id), and if there vectors and authorship."""
+    """What expansion draws from: papers (with external_ids if known), edges (citing_id, cited_id), and if there vectors and authorship."""
 
     papers: DataFrame
     edges: DataFrame
@@ -110,7 +115,7 @@ class Run:
 
     # -- steps ----------------------------------------------------------------------------------
 
-    def load_seeds(self, signal: DataFrame, **_: object) -> StepResult:
+    def load_seeds(self, signal: DataFrame) -> StepResult:
         ids = [(p.paper_id,) for p in self.settings.seed_papers if p.paper_id is not None]
         s = self.spark.createDataFrame(ids, f"paper_id {self.id_type}")
         titles = [(p.title,) for p in self.settings.seed_papers if p.paper_id is None and p.title]
@@ -129,7 +134,7 @@ class Run:
         c = claimed.join(depth, "source", "left").withColumn("supporting_papers", F.array("source")).withColumnRenamed("cand", "paper_id").drop("source", "source_ord")
         return self.admit(self.screen(self.known(c), screener), source)
 
-    def expand_forward(self, signal: DataFrame, max_citations: int = 100, screener: str | dict | None = None, **_: object) -> StepResult:
+    def expand_forward(self, signal: DataFrame, max_citations: int = 100, screener: str | dict | None = None) -> StepResult:
         new = self._unexpanded(signal, "forward")
         top = expand.top_citers(new, self.corpus.edges, self.corpus.papers, max_citations)
         claimed = expand.with_source_sets(expand.claim(top, self.seen), top, self.corpus.edges)
@@ -137,7 +142,7 @@ class Run:
         citers = self.corpus.edges.groupBy(F.col("cited_id").alias("cand")).agg(F.collect_set("citing_id").alias("citers"))
         return self._claimed(claimed.join(refs, "cand", "left").join(citers, "cand", "left"), "forward", screener)
 
-    def expand_backward(self, signal: DataFrame, screener: str | dict | None = None, **_: object) -> StepResult:
+    def expand_backward(self, signal: DataFrame, screener: str | dict | None = None) -> StepResult:
         c = expand.expand_backward(self._unexpanded(signal, "backward"), self.corpus.edges, self.seen)
         none = F.lit(None).cast(f"array<{self.id_type}>")
         return self._claimed(c.withColumn("source_refs", none).withColumn("source_citers", none).withColumn("references", none).withColumn("citers", none), "backward", screener)
@@ -158,23 +163,25 @@ class Run:
         got = self.admit(self.screen(c, screener), source)
         return StepResult(self.signal(signal.select("paper_id").union(got.signal.select("paper_id")).distinct()), got.stats)
 
-    def expand_by_search(self, signal: DataFrame, query: str = "", screener: str | dict | None = None, limit: int = 1000, **how: object) -> StepResult:
+    def expand_by_search(self, signal: DataFrame, query: str = "", screener: str | dict | None = None, limit: int = 1000, year_min: int | None = None, year_max: int | None = None, min_citations: int | None = None, venue_regex: str | None = None, title_regex: str | None = None, abstract_regex: str | None = None) -> StepResult:
         p = self.corpus.papers.where(screening.search_predicate(query, F.concat_ws(" ", "title", "abstract") if "abstract" in self.corpus.papers.columns else F.col("title")))
-        p = screening.local_query(p, **{k: v for k, v in how.items() if k in ("year_min", "year_max", "min_citations", "venue_regex", "title_regex", "abstract_regex")})
+        p = screening.local_query(p, **{k: v for k, v in {"year_min": year_min, "year_max": year_max, "min_citations": min_citations, "venue_regex": venue_regex, "title_regex": title_regex, "abstract_regex": abstract_regex}.items() if v is not None})
         return self._sourceless(p.orderBy(F.desc(F.coalesce("citation_count", F.lit(0))), "paper_id").limit(limit).select("paper_id"), "search", screener, signal)
 
-    def expand_by_semantics(self, signal: DataFrame, mode: str = "multi_anchor", max_anchor_papers: int = 10, limit: int = 100, screener: str | dict | None = None, **_: object) -> StepResult:
+    def expand_by_semantics(self, signal: DataFrame, mode: str = "multi_anchor", max_anchor_papers: int = 10, limit: int = 100, screener: str | dict | None = None, use_rejected_as_negatives: bool = False) -> StepResult:
         v = self.corpus.vectors
         a = v.join(signal.orderBy("ord").limit(max_anchor_papers).select("paper_id"), "paper_id", "left_semi")
-        got = expand.recommend(a, None, v, limit) if mode == "multi_anchor" else expand.nearest(a, v, limit)
+        # rejected papers steer away, the first NEGATIVES of them
+        away = v.join(self.rejected.groupBy("paper_id").agg(F.min("seq").alias("seq")).orderBy("seq", "paper_id").limit(NEGATIVES).select("paper_id"), "paper_id", "left_semi") if use_rejected_as_negatives else None
+        got = expand.recommend(a, away, v, limit) if mode == "multi_anchor" else expand.nearest(a, v, limit)
         return self._sourceless(got.select("paper_id"), "semantic", screener, signal)
 
-    def expand_by_author(self, signal: DataFrame, top_k_authors: int = 10, papers_per_author: int = 100, screener: str | dict | None = None, **_: object) -> StepResult:
+    def expand_by_author(self, signal: DataFrame, top_k_authors: int = 10, papers_per_author: int = 100, screener: str | dict | None = None) -> StepResult:
         a = self.corpus.authorship
         metric = a.join(self.corpus.papers, "paper_id").groupBy("author_id").agg(F.sum(F.coalesce("citation_count", F.lit(0))).alias("score"))
         return self._sourceless(expand.expand_by_author(signal, a, metric, self.seen, top_k_authors, papers_per_author), "author", screener, signal)
 
-    def rescreen(self, signal: DataFrame, screener: str | dict | None = None, **_: object) -> StepResult:
+    def rescreen(self, signal: DataFrame, screener: str | dict | None = None) -> StepResult:
         none = F.lit(None).cast(f"array<{self.id_type}>")
         c = self.known(self.collection.where("source <> 'seed'").select("paper_id"))
         for n in ("source_refs", "source_citers", "references", "citers"):
@@ -185,7 +192,7 @@ class Run:
         self.collection = materialised(kept)
         return StepResult(signal.join(out, "paper_id", "left_anti"), {"removed": out.count()})
 
-    def rerank(self, signal: DataFrame, metric: str = "citation", k: int = 100, diversity: str | dict | None = None, **_: object) -> StepResult:
+    def rerank(self, signal: DataFrame, metric: str = "citation", k: int = 100, diversity: str | dict | None = None) -> StepResult:
         if metric == "citation":
             scores = self.corpus.papers.select("paper_id", F.coalesce("citation_count", F.lit(0)).alias("score"))
         elif metric == "pagerank":
@@ -199,29 +206,68 @@ class Run:
         s = signal.join(scores, "paper_id", "left").join(labels, "paper_id", "left").withColumn("cid", F.coalesce("cid", F.lit(-1)))
         return StepResult(self.signal(ranking.diverse_top_k(s, k).select("paper_id")))
 
-    def cluster(self, signal: DataFrame, store_as: str = "clusters", algorithm: str | dict = "louvain", drop_noise: bool = False, **_: object) -> StepResult:
+    def cluster(self, signal: DataFrame, store_as: str = "clusters", algorithm: str | dict = "louvain", drop_noise: bool = False) -> StepResult:
         labels = communities.cluster(algorithm, self.edges(), self.corpus.vectors)
         labels = materialised(signal.select("paper_id").join(labels, "paper_id", "left").select("paper_id", F.coalesce("cid", F.lit(-1)).alias("cid")))
         self.clusters[store_as] = labels
         out = signal.join(labels.where("cid = -1"), "paper_id", "left_anti") if drop_noise else signal
         return StepResult(out, {"clusters": labels.where("cid <> -1").select("cid").distinct().count()})
 
-    def merge_duplicates(self, signal: DataFrame, title_threshold: float = 0.95, semantic_threshold: float = 0.98, year_window: int = 1, **_: object) -> StepResult:
+    def merge_duplicates(self, signal: DataFrame, title_threshold: float = 0.95, semantic_threshold: float = 0.98, year_window: int = 1) -> StepResult:
+        """Duplicates become one paper: in the collection, the signal, and the run's papers and edges."""
         p = dedup.with_normal_titles(self.known(self.collection.select("paper_id")))
         author = self.corpus.authorship.groupBy("paper_id").agg(F.min("author_id").cast("string").alias("author")) if self.corpus.authorship is not None else p.select("paper_id", F.lit(None).cast("string").alias("author"))
         vec = self.corpus.vectors if self.corpus.vectors is not None else p.select("paper_id", F.lit(None).cast("array<float>").alias("embedding"))
-        p = materialised(p.select("paper_id", "norm_title", "year", "venue", "citation_count", *(["abstract"] if "abstract" in p.columns else [])).join(author, "paper_id", "left").join(vec.select("paper_id", "embedding"), "paper_id", "left"))
+        p = materialised(p.select("paper_id", "norm_title", *(c for c in ("year", "venue", "citation_count", "abstract", "external_ids") if c in p.columns)).join(author, "paper_id", "left").join(vec.select("paper_id", "embedding"), "paper_id", "left"))
         if "abstract" not in p.columns:
             p = p.withColumn("abstract", F.lit(None).cast("string"))
-        pairs = dedup.duplicate_pairs(dedup.candidate_pairs(p), p, title_threshold, semantic_threshold, year_window)
-        best = dedup.pick_canonical(dedup.duplicate_clusters(pairs).join(p, "paper_id"))
+        keys = dedup.external_keys(p) if "external_ids" in p.columns else None
+        pairs = dedup.duplicate_pairs(dedup.candidate_pairs(p, keys), p, title_threshold, semantic_threshold, year_window)
+        best = materialised(dedup.pick_canonical(dedup.duplicate_clusters(pairs).join(p, "paper_id")))
         alias = materialised(best.where("paper_id <> canonical").select(F.col("paper_id").alias("alias"), "canonical"))
-        self.alias = alias
-        gone = alias.select(F.col("alias").alias("paper_id"))
-        self.collection = materialised(self.collection.join(gone, "paper_id", "left_anti"))
-        return StepResult(dedup.rewrite_signal(signal, alias), {"merged": alias.count()})
-
-    def parallel(self, signal: DataFrame, branches: list[list[dict]] | None = None, **_: object) -> StepResult:
+        n = alias.count()
+        if not n:
+            return StepResult(signal, {"merged": 0})
+        self.alias = alias if self.alias is None else materialised(self._renamed(self.alias, "canonical", alias).union(alias))
+        self._merge_corpus(best, alias)
+        w = W.partitionBy("canonical")
+        held = self.collection.join(alias.withColumnRenamed("alias", "paper_id"), "paper_id", "left")
+        # the canonical paper stays as it came, but as a seed if any of its records was one; its supporters are those of all
+        by = self._renamed(held.select("paper_id", F.coalesce("canonical", "paper_id").alias("of"), F.explode("supporting_papers").alias("sp")), "sp", alias)
+        by = by.where("sp <> of").groupBy(F.col("of").alias("paper_id")).agg(F.array_sort(F.collect_set("sp")).alias("supporting_papers"))
+        held = held.withColumn("canonical", F.coalesce("canonical", "paper_id")).withColumn("depth", F.min("depth").over(w)).withColumn("seed", F.max(F.col("source") == "seed").over(w))
+        held = held.where("paper_id = canonical").select("paper_id", "depth", F.when(F.col("seed"), "seed").otherwise(F.col("source")).alias("source"))
+        none = F.array().cast(f"array<{self.id_type}>")
+        self.collection = materialised(held.join(by, "paper_id", "left").select("paper_id", "depth", "source", F.coalesce("supporting_papers", none).alias("supporting_papers")))
+        return StepResult(dedup.rewrite_signal(signal, alias), {"merged": n})
+
+    @staticmethod
+    def _renamed(df: DataFrame, column: str, alias: DataFrame) -> DataFrame:
+        """df with the ids of column replaced by their canonical ones."""
+        a = alias.select(F.col("alias").alias(column), F.col("canonical").alias("_to"))
+        return df.join(a, column, "left").withColumn(column, F.coalesce("_to", column)).select(df.columns)
+
+    def _merge_corpus(self, best: DataFrame, alias: DataFrame) -> None:
+        """The run's own corpus with merged records: canonical papers take what the others know, edges and authors the canonical ids."""
+        c = self.corpus
+        merged = dedup.merge_clusters(best.withColumn("references", F.array().cast(f"array<{self.id_type}>"))).drop("cluster", "references", "aliases")
+        filled = [x for x in merged.columns if x != "paper_id" and x in c.papers.columns]
+        m = merged.select("paper_id", *(F.col(x).alias(f"_{x}") for x in filled))
+        p = c.papers.join(alias.select(F.col("alias").alias("paper_id")), "paper_id", "left_anti").join(m, "paper_id", "left")
+        # the largest count and, of other values, the first that is not blank in canonical order
+        p = p.select(*(F.coalesce(f"_{x}", x).alias(x) if x in filled else F.col(x) for x in c.papers.columns))
+        refs = dedup.rewrite_references(c.edges.select(F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("ord"), F.col("cited_id").alias("ref")), alias)
+        vectors = authorship = None
+        if c.vectors is not None:
+            # the canonical paper's own vector before those of its aliases
+            v = self._renamed(c.vectors.withColumn("_of", F.col("paper_id")), "paper_id", alias)
+            first = F.struct(F.col("embedding").isNull(), F.col("_of") != F.col("paper_id"), "_of")
+            vectors = materialised(v.withColumn("_n", F.row_number().over(W.partitionBy("paper_id").orderBy(first))).where("_n = 1").select(c.vectors.columns))
+        if c.authorship is not None:
+            authorship = materialised(self._renamed(c.authorship, "paper_id", alias).distinct())
+        self.corpus = Corpus(materialised(p), materialised(refs.select(F.col("paper_id").alias("citing_id"), F.col("ref").alias("cited_id"))), vectors, authorship)
+
+    def parallel(self, signal: DataFrame, branches: list[list[dict]] | None = None) -> StepResult:
         out = []
         for b in branches or []:
             s = signal
@@ -238,7 +284,7 @@ class Run:
         c = self.collection.join(refs, "paper_id", "left")
         return materialised(citation_edges(c))
 
-    def finalize(self, signal: DataFrame, **_: object) -> StepResult:
+    def finalize(self, signal: DataFrame) -> StepResult:
         base = self.settings.data_dir
         papers = self.collection.join(self.corpus.papers, "paper_id", "left")
         output.write_collection(papers, base)
@@ -260,8 +306,7 @@ class Run:
     def step(self, spec: dict, signal: DataFrame) -> StepResult:
         spec = dict(spec)
         name = spec.pop("step", None)
-        if name not in self.STEPS:
-            raise ConfigError(f"unknown step {name!r}")
+        check_step({"step": name, **spec})
         before, n_in = self.collection.count(), signal.count()
         self.emit("step_start", name=name)
         r = self.STEPS[name](self, signal, **spec)
@@ -271,6 +316,19 @@ class Run:
         return r
 
 
+def check_step(spec: dict) -> None:
+    """Refuses unknown steps and options that a step does not have."""
+    name = spec.get("step")
+    if name not in Run.STEPS:
+        raise ConfigError(f"unknown step {name!r}")
+    has = set(inspect.signature(Run.STEPS[name]).parameters) - {"self", "signal"}
+    if odd := sorted(set(spec) - has - {"step"}):
+        raise ConfigError(f"step {name} has no option {', '.join(odd)}")
+    for branch in spec.get("branches") or []:
+        for s in branch:
+            check_step(s)
+
+
 def rewritten(steps: list[dict]) -> list[dict]:
     """Seeds are loaded first and duplicates merged before the end, whether or not the configuration says so."""
     steps = list(steps)
@@ -286,9 +344,11 @@ def rewritten(steps: list[dict]) -> list[dict]:
 
 def run_pipeline(spark: SparkSession, settings: Settings, corpus: Corpus) -> Run:
     """All steps in turn. Beyond max_papers, or if a step fails or an outage ends it, what there is gets finalised."""
+    steps = rewritten(settings.pipeline)
+    for s in steps:
+        check_step(s)
     run = Run(spark, settings, corpus)
     signal = run._empty(f"paper_id {run.id_type}, ord int")
-    steps = rewritten(settings.pipeline)
     try:
         for spec in steps[:-1]:
             r = run.step(spec, signal)

@@ -89,3 +89,25 @@ def test_output(spark):
     meta = spark.createDataFrame([(9, 2, 1, ["x"], ["y"], True), (1, 2, 0, ["z"], [], False)], "cited_id int, citing_id int, ord int, contexts array<string>, intents array<string>, is_influential boolean")
     alias = spark.createDataFrame([(9, 1)], "alias int, canonical int")
     assert output.attach_edge_metadata(e, meta, alias).first()["contexts"] == ["z"]
+
+
+def test_merge_duplicates_keeps_values_and_citations(spark, tmp_path):
+    """P (preprint) and Q share a DOI only: Q stays with P's abstract, citations, supporters and seed."""
+    p = spark.createDataFrame(
+        [("P", "An early draft", "What it says.", 2019, "arXiv", 90, {"DOI": "https://doi.org/10.1/X"}), ("Q", "The final work", None, 2021, "Nature", 40, {"DOI": "10.1/x"}), ("R", "Third", "c", 2022, "Nature", 5, None), ("T", "Fourth", "d", 2015, "Nature", 7, None)],
+        "paper_id string, title string, abstract string, year int, venue string, citation_count long, external_ids map<string,string>",
+    )
+    e = spark.createDataFrame([("R", "P"), ("P", "T"), ("Q", "P")], "citing_id string, cited_id string")
+    s = config.load_settings({"data_dir": str(tmp_path), "seed_papers": ["P", "Q", "R", "T"], "blocks": BLOCKS, "pipeline": []})
+    run = run_pipeline(spark, s, Corpus(p, e))
+    assert {(r["alias"], r["canonical"]) for r in run.alias.collect()} == {("P", "Q")}
+    assert {(r["paper_id"], r["source"]) for r in run.collection.collect()} == {("Q", "seed"), ("R", "seed"), ("T", "seed")}
+    assert {(r["src"], r["dst"]) for r in run.edges().collect()} == {("Q", "R"), ("T", "Q")}
+    q = run.corpus.papers.where("paper_id = 'Q'").first()
+    assert (q["title"], q["abstract"], q["venue"], q["year"], q["citation_count"]) == ("The final work", "What it says.", "Nature", 2021, 90)
+
+
+@pytest.mark.parametrize("step", [{"step": "Cluster", "naming": {"mode": "tfidf"}}, {"step": "ResolveSeeds", "include_siblings": True}, {"step": "ExpandByPDF"}, {"step": "Parallel", "branches": [[{"step": "HumanInTheLoop"}]]}])
+def test_refused_options(spark, corpus, tmp_path, step):
+    with pytest.raises(config.ConfigError):
+        run_pipeline(spark, settings(tmp_path, [step]), corpus)
