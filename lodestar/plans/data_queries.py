@@ -71,11 +71,11 @@ def dup_clusters(spark, d):
     return D.duplicate_clusters(_dup_pairs(spark, d))
 
 
-def _members(spark, d) -> DataFrame:
+def _members(spark, d, pairs: DataFrame | None = None) -> DataFrame:
     a = view(spark, d, "lit_abstracts").select("paper_id", "abstract")
     p = view(spark, d, "lit_papers").join(a, "paper_id", "left")
     p = p.withColumn("venue", F.when(F.col("paper_id") % 5 == 0, F.concat(F.lit("arXiv "), "venue")).otherwise(F.col("venue")))
-    return D.pick_canonical(D.duplicate_clusters(_dup_pairs(spark, d)).join(p, "paper_id"))
+    return D.pick_canonical(D.duplicate_clusters(pairs if pairs is not None else _dup_pairs(spark, d)).join(p, "paper_id"))
 
 
 @query("canonical_pick", _CC_SQL + "select cl.paper_id, first_value(cl.paper_id) over (partition by cluster order by cl.paper_id % 5 = 0, coalesce(citation_count, 0) desc, length(coalesce(abstract, '')) desc, cl.paper_id) as canonical from cl join lit_papers p using (paper_id) left join lit_abstracts a using (paper_id)", "lit_papers", "lit_abstracts")
@@ -100,6 +100,41 @@ def alias_rewrite(spark, d):
     return D.rewrite_references(r, a).select("paper_id", "ref")
 
 
+def _dup_pairs_whole(spark, d) -> DataFrame:
+    """By all signals at the operator's thresholds; the author of a paper is the one of the smallest id."""
+    author = view(spark, d, "lit_authorship").groupBy("paper_id").agg(F.min("author_id").cast("string").alias("author"))
+    p = D.with_normal_titles(_with_ids(spark, d)).join(author, "paper_id", "left").join(view(spark, d, "lit_vectors").select("paper_id", "embedding"), "paper_id", "left")
+    return D.duplicate_pairs(D.candidate_pairs(p, D.external_keys(p)), p)
+
+
+@query("dup_pairs_whole")
+def dup_pairs_whole(spark, d):
+    return _dup_pairs_whole(spark, d)
+
+
+@query("dup_clusters_whole")
+def dup_clusters_whole(spark, d):
+    return D.duplicate_clusters(_dup_pairs_whole(spark, d))
+
+
+@query("canonical_pick_whole")
+def canonical_pick_whole(spark, d):
+    return _members(spark, d, _dup_pairs_whole(spark, d)).select("paper_id", "canonical")
+
+
+@query("merge_clusters_whole")
+def merge_clusters_whole(spark, d):
+    m = _members(spark, d, _dup_pairs_whole(spark, d)).withColumn("references", F.array().cast("array<bigint>"))
+    return D.merge_clusters(m).select("paper_id", "citation_count", F.size("aliases").alias("n_aliases"))
+
+
+@query("alias_rewrite_whole")
+def alias_rewrite_whole(spark, d):
+    a = D.duplicate_clusters(_dup_pairs_whole(spark, d)).where("paper_id <> cluster").select(F.col("paper_id").alias("alias"), F.col("cluster").alias("canonical"))
+    r = view(spark, d, "lit_refs").select(F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("ord"), F.col("cited_id").alias("ref"))
+    return D.rewrite_references(r, a).select("paper_id", "ref")
+
+
 @query("jaro_winkler", "with p as (select a.paper_id as a, b.paper_id as b, a.title as x, b.title as y from lit_papers a join lit_papers b on b.paper_id = a.paper_id + 1) select a, b, round(j + (1 - j) * 0.1 * least(4, case when left(x, 4) = left(y, 4) then 4 when left(x, 3) = left(y, 3) then 3 when left(x, 2) = left(y, 2) then 2 when left(x, 1) = left(y, 1) then 1 else 0 end), 6) as score from (select *, jaro_similarity(x, y) as j from p) t", "lit_papers")
 def jaro_winkler(spark, d):
     p = view(spark, d, "lit_papers")
