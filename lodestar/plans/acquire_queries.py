@@ -81,6 +81,12 @@ def title_search(spark, d):
     return records.match_titles(p, p.select(F.col("paper_id").alias("found_id"), "title"))
 
 
+@query("title_search_whole")
+def title_search_whole(spark, d):
+    p = view(spark, d, "lit_papers")
+    return records.match_titles(p, p.select(F.col("paper_id").alias("found_id"), "title"))
+
+
 @query("checkpoint_roundtrip", "select cast(paper_id as varchar) as paper_id, title, year from lit_papers", "lit_papers")
 def checkpoint_roundtrip(spark, d):
     """The collection written as one document and read back as a checkpoint."""

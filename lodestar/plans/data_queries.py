@@ -180,6 +180,12 @@ def ctfidf_keywords(spark, d):
     return K.ctfidf(m, 10, noise="").select("cid", "term", "score")
 
 
+@query("ctfidf_keywords_whole")
+def ctfidf_keywords_whole(spark, d):
+    m = view(spark, d, "lit_abstracts").select(F.col("lang").alias("cid"), F.col("abstract").alias("text"))
+    return K.ctfidf(m, 10, noise="").select("cid", "term", "score")
+
+
 @query("topic_labels", None)
 def topic_labels(spark, d):
     m = view(spark, d, "lit_abstracts").select(F.col("lang").alias("cid"), F.col("abstract").alias("text"))

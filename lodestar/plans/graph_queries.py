@@ -258,6 +258,61 @@ def expand_by_author(spark, d):
     return X.expand_by_author(sig, a, metric, sig, 5, 40)
 
 
+# The same from all papers of a year, without SQL.
+SEED_YEAR = 2000
+
+
+def _year_signal(spark, d) -> DataFrame:
+    return view(spark, d, "lit_papers").where(F.col("year") == SEED_YEAR).select("paper_id", F.col("paper_id").alias("ord"))
+
+
+@query("top_k_citers_whole")
+def top_k_citers_whole(spark, d):
+    return X.top_citers(_year_signal(spark, d), view(spark, d, "lit_refs"), view(spark, d, "lit_papers"), 10).select("source", "cand")
+
+
+@query("expand_forward_whole")
+def expand_forward_whole(spark, d):
+    from ..operators.screening import YearFilter
+
+    papers, sig = view(spark, d, "lit_papers"), _year_signal(spark, d)
+    claimed = X.expand_forward(sig, view(spark, d, "lit_refs"), papers, sig, 10)
+    known = claimed.join(papers.withColumnRenamed("paper_id", "cand"), "cand", "left")
+    return known.select("source", "cand", YearFilter(1990, 2020).passes().alias("passed"))
+
+
+@query("expand_backward_whole")
+def expand_backward_whole(spark, d):
+    sig = _year_signal(spark, d)
+    return X.expand_backward(sig, view(spark, d, "lit_refs"), sig).select("source", "cand")
+
+
+@query("expand_by_author_whole")
+def expand_by_author_whole(spark, d):
+    a, p, sig = view(spark, d, "lit_authorship"), view(spark, d, "lit_papers"), _year_signal(spark, d)
+    metric = a.join(p, "paper_id").groupBy("author_id").agg(F.sum(F.coalesce("citation_count", F.lit(0))).alias("score"))
+    return X.expand_by_author(sig, a, metric, sig, 5, 40)
+
+
+@query("expand_stats_whole")
+def expand_stats_whole(spark, d):
+    from ..operators.screening import YearFilter, screen
+
+    p, sig = view(spark, d, "lit_papers"), _year_signal(spark, d)
+    raw = view(spark, d, "lit_refs").join(sig.select(F.col("paper_id").alias("cited_id")), "cited_id", "left_semi").select(F.col("citing_id").alias("paper_id"))
+    hydrated = raw.distinct().join(p, "paper_id")
+    novel = hydrated.join(sig, "paper_id", "left_anti")
+    return X.expand_stats(raw, hydrated, novel, screen(novel, YearFilter(1990, 2020)))
+
+
+@query("step_fingerprint_whole")
+def step_fingerprint_whole(spark, d):
+    from ..functions.text import fingerprint
+
+    ids = _year_signal(spark, d).agg(F.collect_list(F.col("paper_id").cast("string")).alias("ids"))
+    return ids.select(fingerprint("ids", F.lit("max_citations=10")).alias("fingerprint"))
+
+
 @query("parallel_union", "select paper_id, cast(min(branch) as int) as branch from (select paper_id, 0 as branch from lit_papers where year >= 2010 union all select paper_id, 1 from lit_papers where coalesce(citation_count, 0) >= 30 union all select paper_id, 2 from lit_papers where contains(title, 'red')) t group by paper_id", "lit_papers")
 def parallel_union(spark, d):
     p = view(spark, d, "lit_papers").withColumn("ord", F.col("paper_id"))
@@ -356,3 +411,8 @@ def author_stats(spark, d):
 def author_degree(spark, d):
     a = _authorship(spark, d).where("paper_id % 10 = 0")
     return G.degrees(G.collaboration(a))
+
+
+@query("author_degree_whole")
+def author_degree_whole(spark, d):
+    return G.degrees(G.collaboration(_authorship(spark, d)))

@@ -1,6 +1,8 @@
 """Queries without SQL that run over whole tables, against brute force on small tables."""
 
+import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -66,3 +68,66 @@ def test_duplicates(spark, folder):
     assert sorted(r[0] for r in merged) == sorted(set(picked.values())) and sum(r[2] for r in merged) == len(picked) - len(merged)
     of = lambda i: want.get(i, i)
     assert rows(spark, folder, "alias_rewrite_whole") == sorted({(of(o), of(p)) for o, p, _ in folder[1]["lines"] if of(o) != of(p)})
+
+
+def test_keywords(spark, folder):
+    tf = {"en": Counter(), "de": Counter()}
+    for _, text, lang, *_ in folder[1]["texts"]:
+        w = text.split()
+        for n in (1, 2, 3):
+            tf[lang].update(" ".join(w[i : i + n]) for i in range(len(w) - n + 1))
+    size = {k: sum(c.values()) for k, c in tf.items()}
+    mean = sum(size.values()) / 2
+    score = {k: {t: round(n / size[k] * math.log(1 + mean / sum(c[t] for c in tf.values())), 9) for t, n in c.items()} for k, c in tf.items()}
+    want = sorted((k, t, x) for k, s in score.items() for t, x in sorted(s.items(), key=lambda e: (-e[1], e[0]))[:10])
+    got = rows(spark, folder, "ctfidf_keywords_whole")
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+
+def test_author_degree(spark, folder):
+    of = {}
+    for _, p, a in folder[1]["lines"]:
+        of.setdefault(p, set()).add(a)
+    mates = {}
+    for s in of.values():
+        for a in s:
+            mates.setdefault(a, set()).update(s - {a})
+    assert rows(spark, folder, "author_degree_whole") == sorted((a, len(m)) for a, m in mates.items() if m)
+
+
+def test_titles(spark, folder):
+    t = folder[1]["titles"]
+    got = rows(spark, folder, "title_search_whole")
+    assert got == sorted((a, b) for a in t for b in t if t[a].startswith(t[b]) or t[b].startswith(t[a])) and (701, 701) in got and (11, 12) in got
+
+
+def test_expansion(spark, folder):
+    t = folder[1]
+    seeds = {i for i, y in t["year"].items() if y == 2000}
+    refs = {(o, p) for o, p, _ in t["lines"]}
+    count = {i: None if i % 17 == 0 else sum(p == i for _, p in refs) for i in t["titles"]}
+    top = {(s, c) for s in seeds for c in sorted((o for o, p in refs if p == s), key=lambda o: (-(count.get(o) or 0), o))[:10]}
+    assert rows(spark, folder, "top_k_citers_whole") == sorted(top)
+    first = {}
+    for s, c in sorted(top):
+        first.setdefault(c, s)
+    ok = lambda c: 1990 <= t["year"].get(c, 0) <= 2020
+    assert rows(spark, folder, "expand_forward_whole") == sorted((s, c, ok(c)) for c, s in first.items() if c not in seeds)
+    back = {}
+    for o, p in sorted(refs):
+        if o in seeds and p not in seeds:
+            back.setdefault(p, o)
+    assert back and rows(spark, folder, "expand_backward_whole") == sorted((o, p) for p, o in back.items())
+    raw = [o for o, p in refs if p in seeds]
+    hydrated = set(raw) & set(t["titles"])
+    novel = hydrated - seeds
+    good = sum(map(ok, novel))
+    assert rows(spark, folder, "expand_stats_whole") == [(len(raw), len(hydrated), len(novel), good, len(novel) - good)]
+    wrote = {(p, a) for _, p, a in t["lines"]}
+    score = Counter()
+    for p, a in wrote:
+        score[a] += count[p] or 0
+    best = sorted({a for p, a in wrote if p in seeds}, key=lambda a: (-score[a], a))[:5]
+    want = {p for a in best for p in sorted(q for q, b in wrote if b == a)[:40]} - seeds
+    assert rows(spark, folder, "expand_by_author_whole") == sorted((p,) for p in want)
+    assert len(rows(spark, folder, "step_fingerprint_whole")) == 1
