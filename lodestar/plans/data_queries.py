@@ -197,6 +197,11 @@ def louvain(spark, d):
     return C.cluster("louvain", edges=view(spark, d, "lit_dag"))
 
 
+@query("louvain_whole")
+def louvain_whole(spark, d):
+    return C.cluster("louvain", edges=view(spark, d, "lit_dag_whole"))
+
+
 @query("walktrap")
 def walktrap(spark, d):
     return C.cluster({"type": "walktrap", "n_communities": 5}, edges=view(spark, d, "lit_dag"))

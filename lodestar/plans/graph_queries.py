@@ -191,6 +191,42 @@ def mp_levels(spark, d):
     return M.levels(dag(spark, d))
 
 
+# -- the same over all lines, without SQL ---------------------------------------------------------
+
+def _whole(spark, d) -> DataFrame:
+    return view(spark, d, "lit_dag_whole")
+
+
+def _whole_cyc(spark, d) -> DataFrame:
+    return view(spark, d, "lit_cyc_whole")
+
+
+#: Rounds that PageRank may take to its tolerance; at a damping of 0.85 it needs some 130 at most.
+RANK_ROUNDS, RANK_TOLERANCE = 1000, 1e-9
+
+_WHOLE = {
+    "undirected_edges": lambda s, d: G.undirected(_whole_cyc(s, d)),
+    "edge_similarities": lambda s, d: G.edge_similarities(_whole(s, d)),
+    "edge_weights": lambda s, d: G.edge_weights(G.edge_similarities(_whole(s, d))).select("src", "dst", "weight"),
+    "pagerank": lambda s, d: G.pagerank(_whole(s, d), RANK_ROUNDS, tolerance=RANK_TOLERANCE),
+    "connected_components": lambda s, d: G.components(_whole_cyc(s, d)),
+    "strong_components": lambda s, d: G.strong_components(_whole_cyc(s, d)),
+    "scc_shrink": lambda s, d: M.shrink(_whole_cyc(s, d), view(s, d, "lit_papers"))[0],
+    "preprint_transform": lambda s, d: M.preprint_transform(_whole_cyc(s, d)),
+    # path counts stay decimals: they may not fit a long
+    **{f"mp_{k}": lambda s, d, k=k: M.arc_weights(_whole(s, d), k) for k in _KINDS},
+    "mp_local_forward": lambda s, d: M.local_forward(M.arc_weights(_whole(s, d))),
+    "mp_local_backward": lambda s, d: M.local_backward(M.arc_weights(_whole(s, d))),
+    "mp_multi_local": lambda s, d: M.multi_local(M.arc_weights(_whole(s, d)), 0.25),
+    "mp_key_route": lambda s, d: M.key_route(M.arc_weights(_whole(s, d)), 3),
+    "mp_global": lambda s, d: M.global_path(M.arc_weights(_whole(s, d))),
+    "mp_roles": lambda s, d: M.main_path(_whole_cyc(s, d), view(s, d, "lit_papers"), "spc", "key-route", "shrink", k=2)[1],
+    "mp_levels": lambda s, d: M.levels(_whole(s, d)),
+}
+for _name, _run in _WHOLE.items():
+    query(f"{_name}_whole")(_run)
+
+
 # -- expansion -----------------------------------------------------------------------------------
 
 def _signal(spark, d) -> DataFrame:

@@ -131,3 +131,30 @@ def test_expansion(spark, folder):
     want = {p for a in best for p in sorted(q for q, b in wrote if b == a)[:40]} - seeds
     assert rows(spark, folder, "expand_by_author_whole") == sorted((p,) for p in want)
     assert len(rows(spark, folder, "step_fingerprint_whole")) == 1
+
+
+def test_graph_of_all_lines(spark, folder):
+    arcs = {(p, a * 37 + o) for o, p, a in folder[1]["lines"]}
+    dag = {(min(e), max(e)) for e in arcs if e[0] != e[1]}
+    assert {tuple(r)[:2] for r in rows(spark, folder, "mp_spc_whole")} == dag
+    assert set(rows(spark, folder, "undirected_edges_whole")) == dag
+    comp = {v: v for e in dag for v in e}
+    for a, b in dag:
+        low, high = sorted((comp[a], comp[b]))
+        comp = {v: low if c == high else c for v, c in comp.items()}
+    assert dict(rows(spark, folder, "connected_components_whole")) == comp
+    level = dict.fromkeys(comp, 0)
+    for a, b in sorted(dag):
+        level[b] = max(level[b], level[a] + 1)
+    assert dict(rows(spark, folder, "mp_levels_whole")) == level
+    out = Counter(a for a, _ in dag)
+    score = dict.fromkeys(comp, 1 / len(comp))
+    for _ in range(300):
+        loose = sum(x for v, x in score.items() if not out[v])
+        nxt = dict.fromkeys(comp, (0.15 + 0.85 * loose) / len(comp))
+        for a, b in dag:
+            nxt[b] += 0.85 * score[a] / out[a]
+        score = nxt
+    got = dict(rows(spark, folder, "pagerank_whole"))
+    assert got.keys() == score.keys() and all(abs(got[v] - x) < 1e-8 for v, x in score.items())
+    assert {r[0] for r in rows(spark, folder, "louvain_whole")} == comp.keys()
