@@ -7,7 +7,7 @@ from itertools import combinations
 
 import pytest
 
-from lodestar.operators import dedup
+from lodestar.operators import communities, dedup
 from lodestar.plans.catalog import QUERIES
 
 
@@ -158,3 +158,19 @@ def test_graph_of_all_lines(spark, folder):
     got = dict(rows(spark, folder, "pagerank_whole"))
     assert got.keys() == score.keys() and all(abs(got[v] - x) < 1e-8 for v, x in score.items())
     assert {r[0] for r in rows(spark, folder, "louvain_whole")} == comp.keys()
+
+
+def test_label_propagation_ends(spark):
+    """No vertex is left with a label that is rarer among its neighbours than another; a star never settles if all move at once."""
+    star = [(100, i) for i in range(101, 106)]
+    chain = [(i, i + 1) for i in range(40)]
+    clique = list(combinations(range(200, 206), 2)) + list(combinations(range(206, 212), 2)) + [(205, 206)]
+    edges = star + chain + clique
+    label = {r["paper_id"]: r["cid"] for r in communities.label_propagation(spark.createDataFrame(edges, "a long, b long")).collect()}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(label[b])
+        near.setdefault(b, []).append(label[a])
+    assert label.keys() == near.keys()
+    assert all(x.count(label[v]) == max(map(x.count, x)) for v, x in near.items())
+    assert len({label[v] for v in range(100, 106)}) == 1
