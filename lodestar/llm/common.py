@@ -24,6 +24,9 @@ ENCODE_BATCH_ROWS = 4096
 #: Pieces that one worker remembers before it starts anew (about 150 bytes each).
 CACHE_PIECES = 800_000
 
+#: Bytes of text that one task of a shuffle takes, about.
+PART_BYTES = 16 << 20
+
 #: The white space of the word definitions, \x20 and \x09 to \x0D.
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -39,9 +42,21 @@ def _local_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) below a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
-    return f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
+    """A new folder of this application below spark.checkpoint.dir.
+
+    Where that is unset a session in local mode takes a folder of its one machine; on a cluster it is an error.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dir()
+    return f"{base.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def parts_for(spark: SparkSession, size: int, each: int = PART_BYTES) -> int:
+    """Partitions of about `each` bytes (or rows) for `size`; not fewer than the cores at hand."""
+    return max(math.ceil(size / each), spark.sparkContext.defaultParallelism)
 
 
 def saved(df: DataFrame, where: str | None = None, **options: str) -> DataFrame:
