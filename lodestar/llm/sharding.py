@@ -15,10 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import block_rows, saved, shared_dir, table, utf8_len
-
-#: Old shards that the flow problem tells apart; more files than that share by hash.
-MAX_OLD = 256
+from .common import block_rows, parts_for, saved, shared_dir, table, utf8_len
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> dict[tuple[int, int], int]:
@@ -89,7 +86,11 @@ def even_capacities(total: int, shards: int) -> list[int]:
 
 
 def plan_transfers(old_sizes: dict[int, int], capacities: list[int]) -> list[tuple[int, int, int, int]]:
-    """(old, from byte, to byte, new): byte ranges of the old shards; staying in the shard of the same number is free."""
+    """(old, from byte, to byte, new): byte ranges of the old shards; staying in the shard of the same number is free.
+
+    Old shards whose number no new one has cost the same everywhere, so they may come as one, numbered
+    len(capacities): the problem has at most one node more than there are new shards.
+    """
     olds = sorted(old_sizes)
     cost = [[0 if o == j else 1 for j in range(len(capacities))] for o in olds]
     flow = min_cost_flow([old_sizes[o] for o in olds], capacities, cost)
@@ -106,40 +107,46 @@ def plan_transfers(old_sizes: dict[int, int], capacities: list[int]) -> list[tup
 def reshard(docs: DataFrame, old_shard: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", out_dir: str | None = None) -> DataFrame:
     """Moves the rows of docs from the shards numbered in old_shard into `shards` new ones of near-equal bytes.
 
-    Writes the rows of every affected new shard below out_dir (partitioned by `shard`) and returns
+    The bytes that leave the shard of their number are the fewest for which the new shards' sizes are
+    equal. Old shards whose number is null, negative or no new shard's are one sequence in the flow
+    problem, in the order of their numbers. Writes the rows of every affected new shard below out_dir (partitioned by `shard`) and returns
     (doc_id, text, size, shard, slot) read back from those files, with the rows of shards that keep
     exactly their old content taken from docs. `slot` counts from 0 without gaps inside a shard. A
     row's size is its text's UTF-8 bytes plus 1 (null text: 1). Rows are placed one by one: repeated
-    rows and null ids are placed like any other; other columns of docs are not read. A row that
-    straddles a cut goes where its middle lies, so a new shard differs from its capacity by half a
-    row a cut. No rows: an empty result.
+    rows and null ids are placed like any other, and as only equal rows tie, reruns agree; other
+    columns of docs are not read. A row that straddles a cut goes where its middle lies, so a new shard
+    differs from its capacity by half a row a cut. No rows: an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.coalesce(F.col(old_shard), F.lit(0)).cast("long"), F.lit(MAX_OLD)).cast("int").alias("old")).withColumn("size", utf8_len(F.col("text")) + 1)
+    number = F.col(old_shard).cast("long")
+    home = F.when(number.between(0, shards - 1), number).otherwise(shards).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), home.alias("old"), F.coalesce(number, F.lit(-1)).alias("number"), F.xxhash64(text_col).alias("mark")).withColumn("size", utf8_len(F.col("text")) + 1)
     slim = saved(rows.drop("text"))
-    old = slim.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # MAX_OLD rows at most
+    old = slim.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # shards + 1 rows at most
     most = max((r["n"] for r in old), default=1)
     n_blocks = max(1, math.ceil(most / block_rows(most)))
     sizes = {r["old"]: r["bytes"] for r in old}
     moves = plan_transfers(sizes, even_capacities(sum(sizes.values()), shards))
-    cuts = F.broadcast(spark.createDataFrame(moves or [(0, 0, 0, 0)], "old int, lo long, hi long, shard int"))  # MAX_OLD + shards rows at most
+    cuts = F.broadcast(spark.createDataFrame(moves or [(0, 0, 0, 0)], "old int, lo long, hi long, shard int"))  # 2 * shards + 1 rows, about
     whole = [j for j in range(shards) if [(o, k) for o, _, _, k in moves if j in (o, k)] == [(j, j)]]
+    parts = parts_for(spark, sum(sizes.values()))
 
-    block = F.pmod(F.xxhash64("doc_id", "size"), F.lit(n_blocks))
-    in_block = W.partitionBy("old", "block").orderBy("doc_id", "size")
+    block = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n_blocks))
+    group = ["old", "number", "block"]
+    in_block = W.partitionBy(*group).orderBy("doc_id", "size", "mark")
 
     def placed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
         """A row goes where the middle of its bytes lies."""
-        at = rows.withColumn("block", block).join(blocks, ["old", "block"]).withColumn("mid2", 2 * (F.col("before") + F.sum("size").over(in_block.rowsBetween(W.unboundedPreceding, 0))) - F.col("size"))
+        at = rows.withColumn("block", block).repartition(parts, *group).join(blocks, group).withColumn("mid2", 2 * (F.col("before") + F.sum("size").over(in_block.rowsBetween(W.unboundedPreceding, 0))) - F.col("size"))
         return at.join(cuts, "old").where((F.col("mid2") > 2 * F.col("lo")) & (F.col("mid2") <= 2 * F.col("hi")))
 
-    sums = slim.withColumn("block", block).groupBy("old", "block").agg(F.sum("size").alias("bytes"))
-    before = sums.select("old", "block", (F.sum("bytes").over(W.partitionBy("old").orderBy("block")) - F.col("bytes")).alias("before"))
-    runs = saved(placed(slim, before).groupBy("old", "block", "before", "shard").agg(F.count(F.lit(1)).alias("n")))
-    first = runs.withColumn("first", F.sum("n").over(W.partitionBy("shard").orderBy("old", "block")) - F.col("n"))
+    sums = slim.withColumn("block", block).groupBy(*group).agg(F.sum("size").alias("bytes"))
+    before = sums.select(*group, (F.sum("bytes").over(W.partitionBy("old").orderBy("number", "block")) - F.col("bytes")).alias("before"))
+    runs = saved(placed(slim, before).groupBy(*group, "before", "shard").agg(F.count(F.lit(1)).alias("n")))
+    first = runs.withColumn("first", F.sum("n").over(W.partitionBy("shard").orderBy("old", "number", "block")) - F.col("n"))
     # a block's rows go to `shards` shards at most
-    blocks = first.groupBy("old", "block", "before").agg(F.map_from_entries(F.collect_list(F.struct("shard", "first"))).alias("firsts"))
-    slot = F.try_element_at("firsts", F.col("shard")) + F.row_number().over(W.partitionBy("old", "block", "shard").orderBy("doc_id", "size")) - 1
+    blocks = first.groupBy(*group, "before").agg(F.map_from_entries(F.collect_list(F.struct("shard", "first"))).alias("firsts"))
+    slot = F.try_element_at("firsts", F.col("shard")) + F.row_number().over(W.partitionBy(*group, "shard").orderBy("doc_id", "size", "mark")) - 1
     out = placed(rows, blocks).withColumn("slot", slot).select("doc_id", "text", "size", "slot", "shard")
     out_dir = out_dir or shared_dir(spark)
     (out.where(~F.col("shard").isin(whole)) if whole else out).write.partitionBy("shard").parquet(out_dir)
@@ -147,9 +154,15 @@ def reshard(docs: DataFrame, old_shard: str, shards: int = 16, id_col: str = "do
     return files.union(out.where(F.col("shard").isin(whole))) if whole else files
 
 
+def with_file_numbers(docs: DataFrame, file_col: str, shards: int) -> DataFrame:
+    """docs with old_shard: the rank of the file's name if it is one of the first `shards`, else a number of its own beyond them."""
+    names = [r[0] for r in docs.select(file_col).distinct().orderBy(file_col).limit(shards).collect()]
+    rank = F.coalesce(*(F.when(F.col(file_col) == n, k) for k, n in enumerate(names)), F.lit(None).cast("int")) if names else F.lit(None)
+    return docs.withColumn("old_shard", F.coalesce(rank.cast("long"), shards + F.pmod(F.xxhash64(file_col), F.lit(1 << 40))))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, from the files they lie in (numbered by a hash of the file's name) into 16 shards."""
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", "text", F.pmod(F.crc32(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).cast("binary")), F.lit(MAX_OLD)).alias("old_shard"))
-    out = reshard(docs, "old_shard", 16)
+    """All documents, from the files they lie in into 16 shards; the first 16 files by name are the old shards of those numbers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+    out = reshard(with_file_numbers(docs, "file", 16), "old_shard", 16)
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
