@@ -7,6 +7,7 @@ spans, which are fixed patterns and always stay.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -26,7 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 _email_at = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_ip = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_dotted = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # four groups of such a run at a time are what the address pattern matches
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -58,9 +59,16 @@ def base_spans(text: str) -> list[Span]:
         if s < m.start():
             out.append((0, s, m.end()))
             end = m.end()
-    for m in _ip.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-            out.append((1, m.start(), m.end()))
+    for m in _dotted.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            size = sum(map(len, four)) + 3
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in four)):
+                out.append((1, at, at + size))
+            at += size + 1
     for m in _card.finditer(text):
         if m.end() - m.start() >= 16:
             d = _digits(m.group())
@@ -74,18 +82,22 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Generators of further candidates: written-out or masked addresses, masked or spaced address numbers,
-# digit runs with any separators. They overlap each other and the base spans.
+# digit runs with any separators. They overlap each other and the base spans. An address is found from its
+# mark outwards and the numbers have bounded lengths, so that each is linear in the text.
+_mask = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}|<at>|@) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\.) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
 _GENERATORS = (
-    (0, re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}|@) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+", re.IGNORECASE), ("@", "(at)", "[at]", "{at}")),
-    (1, re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| ?\. ?)[0-9]{1,3}){3}"), (".",)),
-    (2, re.compile(r"[0-9](?:[\x20./_-]?[0-9]){12,18}"), ()),
-    (3, re.compile(r"(?:\(?[0-9]{2,4}\)?[\x20./-]{1,2}){1,4}[0-9]{3,5}"), ()),
+    (1, re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| ?\. ?| dot )[0-9]{1,3}){3}", re.IGNORECASE)),
+    (2, re.compile(r"[0-9](?:[\x20./_-]?[0-9]){12,18}")),
+    (3, re.compile(r"(?:\(?[0-9]{2,4}\)?[\x20./-]{1,2}){1,4}[0-9]{3,5}")),
 )
+_MASKS = ("@", "(at)", "[at]", "{at}", "<at>")
+_IP_MASKS = ("[.]", "(.)", "[dot]", "(dot)", " dot ")
 _has_digits = re.compile(r"[0-9][^a-zA-Z\n]{0,3}[0-9][^a-zA-Z\n]{0,3}[0-9]").search
 
 #: Words that stand before personal data, and before numbers that are none.
 _CUES = (("mail", "contact", "write", "reach"), ("ip", "host", "server", "address", "client"), ("card", "visa", "mastercard", "amex", "credit", "payment"), ("tel", "phone", "call", "fax", "mobile", "cell"), ("version", "release", "isbn", "order", "invoice", "ref", "section", "date", "page", "id", "no", "vol", "figure", "between", "from"))
 _last_word = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,4}\Z")
+_last_part = re.compile(r"[A-Za-z0-9]*\Z")
 _date = re.compile(r"(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4})")
 
 
@@ -103,7 +115,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         max((len(g) for g in groups), default=0), min((len(g) for g in groups), default=0), len(seps), float("(" in s), float("-" in s), float("." in s), float(" " in s), float("/" in s),
         float(len(d) >= 12 and luhn(d)), float(s[:1] == "0"), float(d[:1] in ("4", "5", "3")), float(bool(_date.fullmatch(s))), float(all(int(g) <= 255 for g in groups if len(g) < 10)) if groups else 0.0,
         *(float(cue in words) for words in _CUES), float(before[-1:].isalnum()), float(before[-1:] in ("#", "$", "/", "=", ".", "-", ":")), float(nxt.isalnum()), float(nxt in ("%", "/", "-")), float("@" in s), float("at" in s.lower()[:-3]), float("dot" in s.lower()),
-        len(s.rsplit(".", 1)[-1]), float(s.rsplit(".", 1)[-1].isalpha()),
+        len(_last_part.search(s).group()), len(s.rsplit(".", 1)[-1]), float(s.rsplit(".", 1)[-1].isalpha()),
     ]
 
 
@@ -197,10 +209,13 @@ def labelled_cases(n: int = 6000, seed: int = 7) -> list[tuple[str, int, int, in
     def positive() -> tuple[int, str]:
         k = rng.randrange(4)
         if k == 0:
-            at, dot = rng.choice([(" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" @ ", "."), ("{at}", "{dot}")])
+            at, dot = rng.choice([(" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" @ ", "."), ("{at}", "{dot}"), ("<at>", "<dot>")])
             return 0, f"{name()}{rng.choice(['', '.' + name(), num(2)])}{at}{name()}{dot}{rng.choice(['com', 'org', 'net', 'example', 'de', 'fr'])}"
         if k == 1:
-            return 1, rng.choice(["[.]", "(.)"]).join(octet() for _ in range(4))
+            return 1, rng.choice(["[.]", "(.)", "[dot]", " dot "]).join(octet() for _ in range(4))
+        if k == 2 and rng.random() < 0.2:
+            d, sep = with_luhn(15, True), rng.choice([" ", "-"])
+            return 2, f"{d[:4]}{sep}{d[4:10]}{sep}{d[10:]}"
         if k == 2:
             sep = rng.choice(["", ".", "/", "_"])
             size = rng.choice([13, 15]) if sep == "" else 16
@@ -208,7 +223,9 @@ def labelled_cases(n: int = 6000, seed: int = 7) -> list[tuple[str, int, int, in
         return 3, rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(2)} {num(2)} {num(3)}", f"({num(4)}) {num(3)} {num(3)}"])
 
     def negative() -> tuple[int, str]:
-        k = rng.randrange(9)
+        k = rng.randrange(10)
+        if k == 9:  # a piece of longer digits or of a digest, or two numbers side by side, whatever the check digit says
+            return 2, rng.choice([with_luhn(rng.choice([13, 15, 16, 17, 19]), True) + "|" + num(rng.randrange(1, 9)), with_luhn(rng.choice([13, 16]), True) + "|" + rng.choice("abcdef") + num(3), f"{num(rng.randrange(5, 13))} {with_luhn(13, True)[:rng.randrange(4, 13)]}"])
         if k == 0:
             return 0, rng.choice([f"{name()} @ {num(2)}.{num(2)}", f"{name()}@{num(1)}.{num(1)}", f"look (at) {name()} . {name()}", f"{name()} @ {name()}. {name().title()}"])
         if k == 1:
@@ -236,13 +253,14 @@ def labelled_cases(n: int = 6000, seed: int = 7) -> list[tuple[str, int, int, in
         lead = f"{name()} {word}{rng.choice([' ', ': ', ' ', ' no. ' if not label else ' '])}"
         if not label and rng.random() < 0.2:
             lead += rng.choice(["#", "$", "v", "="])
-        out.append((lead + s + rng.choice([" ", ".", ", ", "\n", "" if label else "%"]) + name(), kind, len(lead), len(lead) + len(s), label))
+        s, _, behind = s.partition("|")  # what follows the span at once
+        out.append((lead + s + behind + rng.choice([" ", ".", ", ", "\n", "" if label else "%"]) + name(), kind, len(lead), len(lead) + len(s), label))
     return out
 
 
 @lru_cache(maxsize=1)
 def trained() -> tuple[Boosted, tuple[float, ...]]:
-    """The trees, and for each kind the lowest margin from which on at least 199 of 200 held-out candidates are personal data."""
+    """The trees, and for each kind the lowest margin from which on at least 998 of 1,000 held-out candidates are personal data."""
     cases = labelled_cases()
     x = np.array([features(t, k, s, e) for t, k, s, e, _ in cases])
     y = np.array([float(c[4]) for c in cases])
@@ -255,7 +273,7 @@ def trained() -> tuple[Boosted, tuple[float, ...]]:
         m, label = margin[kind[~fit] == k], y[~fit][kind[~fit] == k]
         order = np.argsort(-m)
         right = np.cumsum(label[order]) / np.arange(1, len(m) + 1)
-        good = np.flatnonzero(right >= 0.995)
+        good = np.flatnonzero(right >= 0.998)
         cuts.append(float(m[order[good[-1]]]) if len(good) else float("inf"))
     return model, tuple(cuts)
 
@@ -264,32 +282,61 @@ def candidates(text: str) -> list[Span]:
     """Spans that any generator proposes."""
     digits = _has_digits(text) is not None
     out = []
-    lower = None
-    for kind, pattern, needs in _GENERATORS:
-        if kind == 0:
-            if "@" not in text:
-                lower = text.lower() if lower is None else lower
-                if not any(x in lower for x in needs):
-                    continue
-        elif not digits and not (kind == 1 and any(c in text for c in ("[.]", "(.)"))):
-            continue
-        out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
+    lower = text.lower()
+    if any(x in lower for x in _MASKS):
+        end = 0
+        for m in _mask.finditer(text):
+            s = m.start()
+            while s > end and text[s - 1] in _LOCAL:
+                s -= 1
+            if s < m.start():
+                out.append((0, s, m.end()))
+            end = m.end()
+    masked = any(x in lower for x in _IP_MASKS)
+    for kind, pattern in _GENERATORS:
+        if digits or (kind == 1 and masked):
+            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
     return out
 
 
+class _Taken:
+    """Spans that are taken, as disjoint ranges in order."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, c: Span) -> bool:
+        k = bisect.bisect_right(self.ends, c[1])
+        return k < len(self.starts) and self.starts[k] < c[2]
+
+    def add(self, c: Span) -> None:
+        k = bisect.bisect_left(self.starts, c[1])
+        self.starts.insert(k, c[1])
+        self.ends.insert(k, c[2])
+
+
 def find(text: str | None, model: Boosted, cuts: tuple[float, ...]) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), by kind and start; what is added overlaps nothing else."""
     text = text or ""
     base = base_spans(text)
-    more = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
+    taken = _Taken(base)
+    more = [c for c in candidates(text) if not taken.meets(c)]
     if not more:
         return base, base
     margin = model.margin(np.array([features(text, *c) for c in more]))
-    taken: list[Span] = []
+    found = list(base)
     for m, c in sorted(zip(margin.tolist(), more), key=lambda x: (-x[0], x[1])):
-        if m >= cuts[c[0]] and not any(c[1] < e and s < c[2] for _, s, e in taken):
-            taken.append(c)
-    return base, sorted(base + taken)
+        if m >= cuts[c[0]] and not taken.meets(c):
+            taken.add(c)
+            found.append(c)
+    return base, sorted(found)
 
 
 def _text(spans: list[Span]) -> str:
