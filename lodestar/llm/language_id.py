@@ -18,6 +18,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +28,21 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents of a language that the estimation takes, in expectation; those of the lowest hashes of doc_id.
 SAMPLE_DOCS = 400
 ROUNDS = 3
-#: Letters of a word that are scored together; longer runs of letters are cut.
+#: Letters of a word that are scored together with others; longer runs of letters are scored one by one, in steps. Learning counts them in parts of this length.
 WORD_LETTERS = 24
 #: Pseudo-count of every piece, and the probability of a letter that no piece covers.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 MARK = "▁"
 
-_letters = re.compile(r"[^\W\d_]{1,%d}" % WORD_LETTERS).findall
+_letters = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+_ascii_letters = re.compile(r"[a-z]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    return _letters(text.lower()) if text else []
+    """The runs of letters, with the marks that belong to them."""
+    if not text:
+        return []
+    return _ascii_letters(text.lower()) if text.isascii() else _letters(text.lower())
 
 
 def vocabulary(name: str = VOCABULARY) -> list[str]:
@@ -46,7 +51,7 @@ def vocabulary(name: str = VOCABULARY) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size())}
-    return sorted(p for p in {x.lower() for x in pieces} if p.strip(MARK).isalpha() or p == MARK)
+    return sorted(p for p in {x.lower() for x in pieces} if p == MARK or words_of(p.removeprefix(MARK)) == [p.removeprefix(MARK)])
 
 
 def arcs(word: str, known: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
@@ -120,9 +125,42 @@ class Model:
         self.rows = np.zeros((1024, len(self.langs)))
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Log of the summed probability of all segmentations, a row a word.
+        """Log of the summed probability of all segmentations, a row a word."""
+        out = np.zeros((len(words), len(self.langs)))
+        short = [k for k, w in enumerate(words) if len(w) <= WORD_LETTERS]
+        out[short] = self._short([words[k] for k in short])
+        for k, w in enumerate(words):
+            if len(w) > WORD_LETTERS:
+                out[k] = self._long(w)
+        return out
 
-        An automaton finds all pieces in all words; the forward algorithm then goes from each pair of
+    def _long(self, word: str) -> np.ndarray:
+        """The same of one word of any length: the sums of the last positions only are held, and scaled at each step."""
+        text = MARK + word
+        reach = max(int(self.length.max()), 1)
+        fore = np.zeros((reach + 1, len(self.langs)))  # fore[k]: the sum k letters back, once begun
+        fore[0] = 1.0
+        log = np.zeros(len(self.langs))
+        found = self.finder.iter(text)
+        end, piece = next(found, (-1, 0))
+        single = set(self.single.tolist())
+        for at, letter in enumerate(text):
+            now = np.zeros(len(self.langs))
+            while end == at:
+                now += fore[self.length[piece] - 1] * self.prob[piece]
+                end, piece = next(found, (-1, 0))
+            if ord(letter) not in single:
+                now += fore[0] * UNKNOWN
+            now = np.maximum(now, 1e-300)
+            fore[1:] = fore[:-1]
+            fore[0] = now
+            scale = fore.max(axis=0)
+            fore /= scale
+            log += np.log(scale)
+        return log + np.log(fore[0])
+
+    def _short(self, words: list[str]) -> np.ndarray:
+        """An automaton finds all pieces in all words; the forward algorithm then goes from each pair of
         positions to the next, over all words that have a piece there.
         """
         if not words:
@@ -173,7 +211,7 @@ class Model:
             index.update(zip(part, range(at, at + len(part))))
         out = []
         for words in cut:
-            if not any(c.isalpha() for w in words for c in w):
+            if not words:
                 out.append(("und", 0.0))
                 continue
             total = self.rows[np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
@@ -186,15 +224,15 @@ class Model:
 
 
 def held_out(id_col: Column) -> Column:
-    """Those whose crc32 of the id as text is divisible by 5 are never learned from."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
+    """Those whose crc32 of the id as text is divisible by 5 are never learned from; false for a null id."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _estimate_group(vocab: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         counts: Counter = Counter()
         for t in pdf["text"]:
-            counts.update(words_of(t))
+            counts.update(w[i : i + WORD_LETTERS] for w in words_of(t) for i in range(0, len(w), WORD_LETTERS))
         if not counts:
             return pd.DataFrame({"lang": [], "piece": [], "p": []})
         got = estimate(counts, vocabulary(vocab))

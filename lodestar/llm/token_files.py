@@ -208,10 +208,11 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, tokenizer: st
     """Encodes whole texts, ends each with end_id and writes wavelet shards in ascending id order; returns the files' rows.
 
     Null and empty texts become end_id alone. Rows without id come first; repeated ids keep all their
-    rows. Ids must stay below 65,536. Only id_col and text_col are read. No rows: no shard.
+    rows, in the order of a hash of their texts, so that only equal rows tie. Ids must stay below 65,536. Only id_col and text_col are read. No rows: no shard.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    d = d.repartitionByRange(*order).sortWithinPartitions(*order)
     return saved(map_arrow(d, _encode(tokenizer, end_id, shard_tokens), FILE_SCHEMA, BATCH_ROWS), out_dir, compression="zstd")
 
 
