@@ -9,7 +9,7 @@ from .packing import op7_packing
 from .pii import op2_pii
 from .quality import op9_quality
 from .sharding import op1_sharding
-from .token_counts import op6_token_counts
+from .token_counts import op6_token_counts, token_counts_warm
 from .token_files import op3_token_files
 from .topk import OP8_SQL, op8_topk
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
+    "token_counts_warm": token_counts_warm,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL}
