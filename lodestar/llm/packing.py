@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encode_ids16, map_arrow, sorted_groups, table
+from .common import encode_ids16, map_arrow, parts_for, sorted_groups, table, utf8_len
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -137,14 +137,25 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capa
     A document is its whole text's ids and end_id; null and empty texts are end_id alone. A sequence
     holds capacity ids at most. sequence_id is the block in the upper and a number in the lower 32
     bits, so it does not depend on how Spark deals the blocks out. Repeated rows and rows without id
-    are packed like others. Only id_col and text_col are read. No rows: no piece.
+    are packed like others; equal rows that would overfill a block are counted first and dealt by their
+    number. Only id_col and text_col are read. No rows: no piece.
 
     batch_rows and cached (pieces that a worker remembers) trade memory for time and change no result.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = max(1, math.ceil(d.count() / BLOCK_DOCS))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)))
-    d = d.repartition("block").sortWithinPartitions("block", "doc_id", "text")
+    d = d.withColumn("mark", F.xxhash64("doc_id", "text"))
+    same = d.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.sum(utf8_len(F.col("text"))).alias("size"))
+    rows, size, hot = same.agg(F.sum("n"), F.sum("size"), F.count_if(F.col("n") > BLOCK_DOCS)).first()
+    blocks = max(1, math.ceil((rows or 0) / BLOCK_DOCS))
+    d = d.withColumn("copy", F.lit(0).cast("long"))
+    if hot:
+        many = same.where(F.col("n") > BLOCK_DOCS).select("mark")
+        # equal rows meet as their count only, and part again by number
+        counted = d.join(many, "mark", "left_semi").groupBy("doc_id", "text", "mark").agg(F.count(F.lit(1)).alias("n"))
+        dealt = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        d = d.join(many, "mark", "left_anti").select("doc_id", "text", "mark", "copy").union(dealt.select("doc_id", "text", "mark", "copy"))
+    d = d.select("doc_id", "text", F.pmod(F.xxhash64("mark", "copy"), F.lit(blocks)).alias("block"))
+    d = d.repartition(min(blocks, parts_for(docs.sparkSession, size or 0)), "block").sortWithinPartitions("block", "doc_id", "text")
     return map_arrow(d, _pack(tokenizer, end_id, capacity, cached), PIECES, batch_rows)
 
 
