@@ -1,10 +1,11 @@
 """Quality rules: fixed base rules and robust multivariate outliers; DataFrame functions only.
 
-For each language and source a minimum-covariance-determinant estimate of the transformed statistics
-of its documents is found by concentration steps; documents are rejected by their Mahalanobis distance
-from it. Groups too small for an estimate take that of their language, else of their source, else of all
-documents. Quantiles inside a group come from histograms and moments from sums, both aggregated before
-the shuffle, so a hot source never meets in one task.
+For each language and source the minimum-covariance-determinant estimate of the transformed statistics
+of its documents is sought: from several deterministic starts concentration steps go on until the
+determinant falls no more, and the estimate of the least determinant stays. Documents are rejected by
+their Mahalanobis distance from it. Groups too small for an estimate take that of their language, else
+of their source, else of all documents. Quantiles inside a group come from histograms and moments from
+sums, both aggregated before the shuffle, so a hot source never meets in one task.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 
-#: Share of a group's rows that the estimate rests on, concentration steps, and the tail of the chi-square law that is cut off.
+#: Share of a group's rows that the estimate rests on, and the tail of the chi-square law that is cut off.
 HALF = 0.75
-STEPS = 4
 TAIL = 1e-9
+#: Concentration steps of every start, and the most that the best start then takes.
+FIRST_STEPS, MOST_STEPS = 2, 40
 #: Groups of fewer rows that passed the base rules are judged by a wider estimate: their own would mean nothing.
 LEAST_ROWS = 50
 #: Least standard deviation of each transformed statistic, so that a statistic that is constant in a group does not reject by itself.
@@ -118,133 +120,155 @@ def _transformed() -> list[Column]:
 
 
 _X = [f"x{i}" for i in range(D)]
-_G = ["g_lang", "g_source"]
+_LOW = [(i, j) for i in range(D) for j in range(i + 1)]
+_PART = ["g_lang", "g_source"]
 
 
-def _same_group(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a with the row of its group in b."""
-    b = b.select(*(F.col(g).alias("b_" + g) for g in _G), *(c for c in b.columns if c not in _G))
-    return a.join(b, F.col("g_lang").eqNullSafe(F.col("b_g_lang")) & F.col("g_source").eqNullSafe(F.col("b_g_source"))).drop("b_g_lang", "b_g_source")
+def _distance() -> Column:
+    """Squared Mahalanobis distance: the squared length of the inverse Cholesky factor times (x - mean)."""
+    return F.expr(" + ".join(f"power({' + '.join(f'v{i}{j} * (x{j} - m{j})' for j in range(i + 1))}, 2)" for i in range(D)))
 
 
-def _distance(means: str = "m", inverse: str = "v") -> Column:
-    """Squared Mahalanobis distance: the squared length of the inverse Cholesky factor times (x - mean)."""
-    total = F.lit(0.0)
+def _factor(c: DataFrame) -> DataFrame:
+    """From the columns c_ij of covariances the inverse v_ij of their Cholesky factors, element by element, and the log of their determinant.
+
+    Variances below a floor are the floor; what the earlier statistics leave of one stays above a quarter of it.
+    """
+    new = []
+    for j in range(D):
+        for i in range(j, D):
+            rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            if i == j:
+                new.append(f"sqrt(greatest(greatest(c{i}{i}, {FLOORS[i] ** 2}D){rest}, {FLOORS[i] ** 2 / 4}D)) as l{i}{i}")
+            else:
+                new.append(f"(c{i}{j}{rest}) / l{j}{j} as l{i}{j}")
     for i in range(D):
-        y = F.lit(0.0)
-        for j in range(i + 1):
-            y = y + F.col(f"{inverse}{i}{j}") * (F.col(_X[j]) - F.col(f"{means}{j}"))
-        total = total + y * y
-    return total
+        new.append(f"1D / l{i}{i} as v{i}{i}")
+        for j in range(i):
+            new.append(f"(0D{''.join(f' - l{i}{k} * v{k}{j}' for k in range(j, i))}) / l{i}{i} as v{i}{j}")
+    new.append(f"round(2 * ({' + '.join(f'ln(l{i}{i})' for i in range(D))}), 9) as log_det")
+    return c.selectExpr(*c.columns, *new)
 
 
-def _bin(x: Column) -> Column:
-    return F.floor(F.log2(x + 1e-9) * 32)
+_MODEL = [*(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i, j in _LOW)]
+
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """(model, start, _MODEL): three deterministic first guesses about the medians of each model's rows.
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges of each group, as means and the diagonal of an inverse factor."""
-    long = rows.select(*_G, F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor(F.col(x) * 100).alias("b")) for i, x in enumerate(_X)))).alias("e"))
-    h = long.groupBy(*_G, "e.k", "e.b").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*_G, "k")
+    The scatter is that of the quartile ranges alone, of the hyperbolic tangents of the scaled rows, or of
+    their directions. Quartiles come from histograms.
+    """
+    long = rows.select("model", F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor(F.col(x) * 100).alias("b")) for i, x in enumerate(_X)))).alias("e"))
+    h = long.groupBy("model", "e.k", "e.b").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("model", "k")
     h = h.withColumn("cum", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("cum") >= q * F.col("all"), F.col("b"))) / 100.0
-    q = h.groupBy(*_G, "k").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
-    out = q.groupBy(*_G).agg(
+    q = h.groupBy("model", "k").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
+    spread = saved(q.groupBy("model").agg(
         *(F.max(F.when(F.col("k") == i, F.col("mid"))).alias(f"m{i}") for i in range(D)),
-        *(F.max(F.when(F.col("k") == i, 1.0 / F.greatest((F.col("hi") - F.col("lo")) / 1.349, F.lit(FLOORS[i])))).alias(f"v{i}{i}") for i in range(D)),
-    )
-    return out.select(*_G, *(f"m{i}" for i in range(D)), *((F.col(f"v{i}{j}") if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i in range(D) for j in range(i + 1)))
+        *(F.max(F.when(F.col("k") == i, F.greatest((F.col("hi") - F.col("lo")) / 1.349, F.lit(FLOORS[i])))).alias(f"s{i}") for i in range(D)),
+    ))
+    z = rows.join(spread, "model").selectExpr("model", *(f"(x{i} - m{i}) / s{i} as z{i}" for i in range(D)), *(f"tanh(z{i}) as t{i}" for i in range(D)), f"greatest({' + '.join(f'z{i} * z{i}' for i in range(D))}, 1e-9D) as length")
+    r = z.groupBy("model").agg(*(F.expr(f"covar_pop(t{i}, t{j}) as t{i}{j}") for i, j in _LOW), *(F.expr(f"avg(z{i} * z{j} / length) as d{i}{j}") for i, j in _LOW))
+    forms = (lambda i, j: f"{float(i == j)}D", "t{}{}".format, "d{}{}".format)
+    guesses = ", ".join(f"named_struct('start', {k}, {', '.join(f'{chr(39)}c{i}{j}{chr(39)}, {form(i, j)} * s{i} * s{j}' for i, j in _LOW)})" for k, form in enumerate(forms))
+    c = spread.join(r, "model").selectExpr("model", *(f"m{i}" for i in range(D)), f"inline(array({guesses}))")
+    return saved(_factor(c).select("model", "start", *_MODEL))
 
 
-def _factor(c: DataFrame) -> DataFrame:
-    """From the columns c_ij of covariances the inverse v_ij of their Cholesky factors, element by element."""
-    for j in range(D):
-        for i in range(j, D):
-            s = F.col(f"c{i}{j}")
-            for k in range(j):
-                s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            c = c.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOORS[j] ** 2 / 4))) if i == j else s / F.col(f"l{j}{j}"))
-    for i in range(D):
-        c = c.withColumn(f"v{i}{i}", 1.0 / F.col(f"l{i}{i}"))
-        for j in range(i):
-            s = F.lit(0.0)
-            for k in range(j, i):
-                s = s - F.col(f"l{i}{k}") * F.col(f"v{k}{j}")
-            c = c.withColumn(f"v{i}{j}", s / F.col(f"l{i}{i}"))
-    return c
+def _bin(x: Column) -> Column:
+    return F.floor(F.log2(x + 1e-9) * 32)
 
 
 def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the HALF of each group that is nearest to the last ones."""
-    near = _same_group(rows, model).select(*_G, *_X, _bin(_distance()).alias("b"))
-    h = near.groupBy(*_G, "b").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*_G)
+    """One concentration step of each model and start: mean and covariance of the HALF of its rows that is nearest to the last ones.
+
+    Distances are ordered in classes of two percent, and the last class is taken whole.
+    """
+    near = rows.join(model, "model").select("model", "start", *_X, _bin(_distance()).alias("b"))
+    h = near.groupBy("model", "start", "b").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("model", "start")
     h = h.withColumn("cum", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
-    cut = saved(h.groupBy(*_G).agg(F.min(F.when(F.col("cum") >= HALF * F.col("all"), F.col("b"))).alias("cut"), F.max("all").alias("rows")))
-    half = _same_group(near, cut).where("b <= cut")
+    cut = h.groupBy("model", "start").agg(F.min(F.when(F.col("cum") >= HALF * F.col("all"), F.col("b"))).alias("cut"))
+    half = near.join(cut, ["model", "start"]).where("b <= cut")
     # moments about the coordinates as they are: logarithms and roots of ratios, all of one magnitude
-    m = half.groupBy(*_G).agg(F.max("rows").alias("rows"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)), *(F.avg(F.col(_X[i]) * F.col(_X[j])).alias(f"s{i}{j}") for i in range(D) for j in range(i + 1)))
+    m = half.groupBy("model", "start").agg(*(F.expr(f"round(avg(x{i}), 9) as m{i}") for i in range(D)), *(F.expr(f"avg(x{i} * x{j}) as s{i}{j}") for i, j in _LOW))
     # the nearest rows spread less than all: the factor makes the estimate right for a normal law
     wider = HALF / chi2_cdf(chi2_quantile(HALF, D), D + 2)
-    for i in range(D):
-        for j in range(i + 1):
-            c = (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * wider
-            m = m.withColumn(f"c{i}{j}", c + FLOORS[i] ** 2 if i == j else c)
-    return saved(_factor(m).select(*_G, "rows", *(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i in range(D) for j in range(i + 1))))
-
-
-def _estimated(rows: DataFrame, steps: int) -> DataFrame:
-    """The estimate of each group of rows."""
-    model = saved(_start(rows))
-    for _ in range(steps):
-        model = _step(rows, model)
-    return model
-
-
-def _estimates(rows: DataFrame, steps: int) -> DataFrame:
-    """For each group of rows its own estimate, or if it is small the first of these that rests on LEAST_ROWS: its language's, its source's, that of all rows (whatever its size)."""
-    own = _estimated(rows, steps)
-    parts = [own.where(F.col("rows") >= LEAST_ROWS)]
-    small = own.where(F.col("rows") < LEAST_ROWS).select(*_G)
-    for keys in (_G[:1], _G[1:], []):
-        if small.isEmpty():
+    m = m.selectExpr("model", "start", *(f"m{i}" for i in range(D)), *(f"round((s{i}{j} - m{i} * m{j}) * {wider!r}D, 9) as c{i}{j}" for i, j in _LOW))
+    return _factor(m).select("model", "start", "log_det", *_MODEL)
+
+
+def least_determinant(rows: DataFrame, first_steps: int = FIRST_STEPS, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(model, log_det, _MODEL) for each `model` of rows (model, x0..): the estimate of the least determinant.
+
+    All starts take first_steps; the one of the least determinant then concentrates until its
+    determinant falls no more (by a thousandth, at most most_steps times), and of its last two estimates
+    the one with the smaller determinant stays.
+    """
+    now = _starts(rows)
+    for _ in range(first_steps):
+        now = saved(_step(rows, now))
+    best = F.row_number().over(W.partitionBy("model").orderBy("log_det", "start"))
+    now = now.withColumn("_n", best).where("_n = 1").drop("_n")
+    done: DataFrame | None = None
+    for _ in range(most_steps):
+        nxt = _step(rows, now)
+        old = now.select("model", *(F.col(c).alias("o_" + c) for c in ["start", "log_det", *_MODEL]))
+        both = nxt.join(old, "model").withColumn("fell", F.col("o_log_det") - F.col("log_det"))
+        pick = lambda c: F.when(F.col("fell") > 0, F.col(c)).otherwise(F.col("o_" + c)).alias(c)
+        both = saved(both.select("model", "fell", *(pick(c) for c in ["start", "log_det", *_MODEL])))
+        settled = both.where("fell <= 0.001").drop("fell")
+        done = settled if done is None else done.union(settled)
+        now = both.where("fell > 0.001").drop("fell")
+        if now.isEmpty():
             break
-        same = F.lit(True)
-        for g in keys:
-            same = same & F.col(g).eqNullSafe(F.col("p_" + g))
-        # only what some small group needs is pooled
-        wanted = small.select(*(F.col(g).alias("p_" + g) for g in keys)).distinct() if keys else None
-        pool = rows.join(wanted, same, "left_semi") if keys else rows
-        pool = pool.select(*((F.col(g) if g in keys else F.lit(None).cast("string")).alias(g) for g in _G), *_X)
-        wide = _estimated(pool, steps)
-        wide = wide.where(F.col("rows") >= LEAST_ROWS) if keys else wide
-        wide = wide.select(*(F.col(g).alias("p_" + g) for g in _G), *(c for c in wide.columns if c not in _G))
-        parts.append(small.join(wide, same).drop(*("p_" + g for g in _G)))
-        small = saved(small.join(wide, same, "left_anti"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return saved(out)
-
-
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", steps: int = STEPS, tail: float = TAIL) -> DataFrame:
+    out = now if done is None else done.union(now)
+    return saved(out.select("model", "log_det", *_MODEL))
+
+
+def _name(lang: Column, source: Column) -> Column:
+    """The name of the model of a language and a source, encoded as below; a star for all."""
+    return F.to_json(F.array(lang, source))
+
+
+def _judges(passed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g_lang, g_source, model) of the model that judges each group, and of all the models that each group's rows belong to.
+
+    A group's own model, or if fewer than LEAST_ROWS rows passed the base rules there its language's,
+    its source's, or that of all rows (whatever their number). One row a group.
+    """
+    star = F.lit("*")
+    n = saved(passed.groupBy(*_PART).agg(F.count(F.lit(1)).alias("own")))
+    by_lang, by_source = (n.groupBy(g).agg(F.sum("own").alias(k)) for g, k in zip(_PART, ("of_lang", "of_source")))
+    names = [_name(F.col("g_lang"), F.col("g_source")), _name(F.col("g_lang"), star), _name(star, F.col("g_source")), _name(star, star)]
+    enough = lambda c: F.col(c) >= LEAST_ROWS
+    judge = F.when(enough("own"), names[0]).when(enough("of_lang"), names[1]).when(enough("of_source"), names[2]).otherwise(names[3])
+    judges = saved(n.join(by_lang, "g_lang").join(by_source, "g_source").select(*_PART, judge.alias("model")))
+    parts = n.select(*_PART, F.explode(F.array(*names)).alias("model")).join(judges.select("model").distinct(), "model", "left_semi")
+    return judges, saved(parts.select(*_PART, "model"))
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:
     """(doc_id, the statistics, base_failed, kept) for each row of docs.
 
-    kept is false if a base rule failed, else the verdict of the group's estimate, which rests on the
-    group's rows that passed the base rules; groups below LEAST_ROWS of them are judged by their
-    language's, source's or the whole estimate. Null languages and sources are groups like others; repeated rows count each. Only the four columns are read. No
+    kept is false if a base rule failed, else the verdict of the estimate that judges the row's group,
+    which rests on rows that passed the base rules. Every row gets a verdict: groups with fewer than
+    LEAST_ROWS such rows are judged by their language's, source's or the whole estimate. Null languages
+    and sources are groups like others; repeated rows count each. Only the four columns are read. No
     rows: an empty result.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"), F.col(text_col).alias("_text"))
-    s = statistics(d, "_text", ["doc_id", *_G])
+    coded = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    d = docs.select(F.col(id_col).alias("doc_id"), coded(lang_col).alias("g_lang"), coded(source_col).alias("g_source"), F.col(text_col).alias("_text"))
+    s = statistics(d, "_text", ["doc_id", *_PART])
     s = s.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     s = saved(s.select("*", *(x.alias(n) for x, n in zip(_transformed(), _X))))
-    passed = s.where(~F.col("base_failed")).select(*_G, *_X)
-    model = _estimates(passed, steps)
-    b = model.select(*(F.col(g).alias("b_" + g) for g in _G), *(c for c in model.columns if c not in _G))
-    all_rows = s.join(b, F.col("g_lang").eqNullSafe(F.col("b_g_lang")) & F.col("g_source").eqNullSafe(F.col("b_g_source")), "left")
-    fits = F.coalesce(_distance() <= chi2_quantile(1 - tail, D), F.lit(True))
+    judges, parts = _judges(s.where(~F.col("base_failed")).select(*_PART))
+    rows = saved(s.where(~F.col("base_failed")).select(*_PART, *_X).join(parts, _PART).select("model", *_X))
+    models = judges.join(least_determinant(rows), "model").select(*_PART, *_MODEL)
+    all_rows = s.join(models, _PART, "left")
+    fits = F.coalesce(_distance() <= chi2_quantile(1 - tail, D), F.lit(True))  # only groups whose rows all failed a base rule have no model
     return all_rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"))
 
 
