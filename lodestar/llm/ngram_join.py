@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, saved, sorted_groups, table
+from .common import components, map_arrow, parts_for, saved, sorted_groups, table
 
 #: Ratio of a band's upper to its lower size.
 BAND = 1.5
@@ -31,8 +31,8 @@ BAND = 1.5
 SPARE = 1.15
 #: Keys that one task holds before it passes them on.
 HELD_KEYS = 400_000
-#: Times the session's shuffle partitions over which the keys are dealt; a task holds its part whole.
-PARTS = 3
+#: Keys of a task where they meet, about; a task holds its part whole.
+MET_KEYS = 300_000
 #: Documents of a key that are compared in one block.
 BLOCK = 1024
 
@@ -339,7 +339,9 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
 
     usable = docs.where("doc_id is not null and text is not null")
     keys = map_arrow(usable, _keys(rule), "at long, key long, node long, pivot long")
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a set of n has at most as many keys as elements in which a partner of the largest size can differ, and one, in each of two tiles
+    most = F.floor(F.col("n") * (1 + den / num) * (den - num) / (den + num)) + 1
+    parts = parts_for(spark, 2 * int(known.agg(F.sum(most)).first()[0] or 0), MET_KEYS)
     met = saved(map_arrow(keys.repartition(parts, "at").select("key", "node", "pivot"), _meet, "key long, node long", 16_384))
     reps = classes.select(F.col("doc_id").alias("node"), "rep")
     members = saved(met.join(reps, "node").select("key", F.col("rep").alias("node")).distinct())
