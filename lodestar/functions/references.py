@@ -2,37 +2,74 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Headings, numbered entries, and where a reference list may begin.
-HEADING = re.compile(r"^[^\S\n]*(?:references?(?:\s+(?:and\s+notes|cited))?|bibliography|works\s+cited|literature\s+cited)[^\S\n]*$", re.IGNORECASE | re.MULTILINE)
-ENTRY = re.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]\s+[A-Z]|\[\d{1,3}\]\s+[A-Z])")
-AUTHOR_ENTRY = re.compile(r"(?:^|\n)\s*[A-Z][a-zA-Z\-']+,\s+[A-Z]\.?")
+#: The lines that head a reference list, whatever their case and spacing.
+HEADINGS = frozenset({"reference", "references", "references and notes", "reference and notes", "references cited", "reference cited", "bibliography", "works cited", "literature cited"})
+#: Shares of the text from which on a heading counts by itself, or with enough entries behind it; how many are enough, and within how many characters.
 LATE, EARLY, ENTRIES, SAMPLE = 0.40, 0.15, 5, 3000
 
+HEAD, NUMBER, AUTHOR, OTHER = "head", "number", "author", ""
 
-def is_bibliography(text: str) -> bool:
-    head = text[:SAMPLE]
-    return any(len(p.findall(head)) >= ENTRIES for p in (ENTRY, AUTHOR_ENTRY))
+
+def _capital(word: str) -> bool:
+    return "A" <= word[:1] <= "Z"
+
+
+def line_kind(line: str) -> str:
+    """What a line opens: a reference list, an entry by its number ([3] or 3. or 3), an entry by its author (Name, N.), or neither."""
+    words = line.split(None, 3)
+    if not words:
+        return OTHER
+    if len(line) < 80 and " ".join(line.split()).lower() in HEADINGS:
+        return HEAD
+    if len(words) < 2 or not _capital(words[1]):
+        return OTHER
+    first = words[0]
+    number = first[1:-1] if first[0] == "[" and first[-1] == "]" else first[:-1] if first[-1] in ".)" else ""
+    if 1 <= len(number) <= 3 and number.isdecimal():
+        return NUMBER
+    name = first[:-1].replace("-", "").replace("'", "")
+    if first[-1] == "," and len(first) > 2 and _capital(first) and name.isascii() and name.isalpha():
+        return AUTHOR
+    return OTHER
+
+
+def _lines(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, str]]:
+    """(position, kind) of each line that lies in text[start:end], which may cut the last one short."""
+    end = len(text) if end is None else min(end, len(text))
+    while start < end:
+        stop = text.find("\n", start, end)
+        stop = end if stop < 0 else stop
+        yield start, line_kind(text[start:stop])
+        start = stop + 1
+
+
+def is_bibliography(text: str, start: int = 0) -> bool:
+    """Whether enough entries of one kind open near the start."""
+    kinds = [k for _, k in _lines(text, start, start + SAMPLE)]
+    return max(kinds.count(NUMBER), kinds.count(AUTHOR)) >= ENTRIES
 
 
 def reference_start(text: str) -> int | None:
-    """Where the reference list begins: the last heading past LATE of the text, else past EARLY if a bibliography follows it, else the first of enough numbered entries past LATE."""
-    marks = [m for m in HEADING.finditer(text)]
-    late = [m.start() for m in marks if m.start() >= LATE * len(text)]
-    if late:
-        return late[-1]
-    early = [m.start() for m in marks if m.start() >= EARLY * len(text) and is_bibliography(text[m.end() :])]
-    if early:
-        return early[-1]
-    tail = int(LATE * len(text))
-    hits = [m.start() for m in ENTRY.finditer(text[tail:])]
-    return tail + hits[0] if len(hits) >= ENTRIES else None
+    """Where the reference list begins.
+
+    Each heading is weighed: one late in the text counts fully, one earlier less and only before enough
+    entries; of the weightiest the last one wins. Without any, the first of enough numbered entries in
+    the late part.
+    """
+    found = list(_lines(text))
+    late = LATE * len(text)
+    weighed = [(2 if at >= late else 1, at) for at, kind in found if kind == HEAD and (at >= late or at >= EARLY * len(text) and is_bibliography(text, text.find("\n", at) + 1 or len(text)))]
+    if weighed:
+        return max(weighed)[1]
+    numbered = [at for at, kind in found if kind == NUMBER and at >= int(late)]
+    return numbered[0] if len(numbered) >= ENTRIES else None
 
 
 def _split(texts: pd.Series) -> pd.DataFrame:

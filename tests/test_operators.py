@@ -196,3 +196,33 @@ def test_communities(spark):
     assert got[500] == -1 and len({got[i] for i in range(120)} - {-1}) == 3
     with pytest.raises(ValueError):
         C.cluster("nothing")
+
+
+def test_reference_lists():
+    from lodestar.functions import references as R
+
+    body = "intro text here\n" * 40
+    listed = "\n".join(f"{i}. Smith, A. Title of paper {i}. 20{i:02}" for i in range(1, 9))
+    assert R.reference_start(body + "References\n" + listed) == len(body)
+    assert R.reference_start(body + " LITERATURE  CITED \n" + listed) == len(body)
+    assert R.reference_start(body + listed) == len(body)  # no heading: enough numbered entries
+    assert R.reference_start(body + listed[:60]) is None and R.reference_start(body) is None and R.reference_start("") is None
+    assert R.reference_start("References\n" + body) is None  # too early
+    authors = "\n".join(f"Doe, J. work {i}" for i in range(9))
+    early = body[:200] + "\nBibliography\n"
+    assert R.reference_start(early + authors + "\n" + body) == 201 and R.reference_start(early + body * 2) is None
+    two = body + "References\n" + body + "References\n" + listed
+    assert R.reference_start(two) == two.rindex("References")
+    kinds = {"[12] Foo bar": R.NUMBER, "3) Bar x": R.NUMBER, "12. lower": R.OTHER, "O'Neil-Smith, J. x": R.AUTHOR, "Smith, jr": R.OTHER, "1234. Foo": R.OTHER, "[3]": R.OTHER, "References:": R.OTHER, "": R.OTHER}
+    assert {k: R.line_kind(k) for k in kinds} == kinds
+
+
+def test_page_links(spark):
+    from lodestar.functions.text import pdf_url_from_html
+
+    pages = {
+        '<meta name="citation_pdf_url" content="/a.pdf">': "https://x.org/a.pdf", "<META content='b.pdf'  NAME='citation_pdf_url'/>": "https://x.org/p/b.pdf", "<meta content=c.pdf name=citation_pdf_url>": "https://x.org/p/c.pdf",
+        '<a class="x" href="https://y.org/d.PDF?q=1">d</a>': "https://y.org/d.PDF?q=1", '<meta name="title" content="z.pdf"><a href="//h.org/e.pdf">': "https://h.org/e.pdf", "<p>no f.pdf here</p>": None, "": None, None: None,
+    }
+    d = spark.createDataFrame([(k, v) for k, v in pages.items()], "html string, want string")
+    assert all(r["got"] == r["want"] for r in d.select("want", pdf_url_from_html("html", F.lit("https://x.org/p")).alias("got")).collect())
