@@ -1,19 +1,55 @@
 """Main-path analysis of an acyclic edge table (src, dst): path counts, arc weights and searches.
 
-All loops go level by level or frontier by frontier over DataFrames; counts are DECIMAL(38,0), whose
-overflow fails instead of wrapping.
+Path counts are exact whatever their size: whole numbers of LIMB digits each in an array, summed limb by
+limb with the sums combined before the shuffle. Counting goes level by level over the arcs that leave the
+level, so each arc is joined once; searches go frontier by frontier. Weights `w` are arrays of one length,
+most significant limb first, so Spark orders them like the numbers; `digits` writes them out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .fixpoint import fixpoint, materialised
+from .fixpoint import fixpoint, materialised, scratch
 from .graph import strong_components, vertices
 
-COUNT = "decimal(38,0)"
+#: Decimal digits of a limb: products of two and sums of millions of them fit 64 bits.
+LIMB = 6
+BASE = 10**LIMB
+#: Limbs that a number has free before it takes part in a sum.
+SPARE = 2
+
+
+def digits(w: Column | str) -> Column:
+    """The number as a string of decimal digits."""
+    w = F.col(w) if isinstance(w, str) else w
+    return F.regexp_replace(F.array_join(F.transform(w, lambda x: F.lpad(x.cast("string"), LIMB, "0")), ""), "^0+(?!$)", "")
+
+
+def _carried(x: Column) -> Column:
+    """Limbs, least significant first, with what exceeds a limb carried on; the last ones must have been free."""
+    start = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<long>").alias("o"))
+
+    def add(s: Column, d: Column) -> Column:
+        t = s["c"] + d
+        return F.struct(F.call_function("div", t, F.lit(BASE)).alias("c"), F.concat(s["o"], F.array(t % BASE)).alias("o"))
+
+    return F.aggregate(x, start, add, lambda s: F.when(s["c"] == 0, s["o"]).otherwise(F.raise_error(F.lit("a path count outgrew its limbs")).cast("array<long>")))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Sum of two numbers of one length, most significant limb first."""
+    return F.reverse(_carried(F.zip_with(F.reverse(a), F.reverse(b), lambda x, y: x + y)))
+
+
+def _times(a: Column, c: int) -> Column:
+    """A number, most significant limb first, times a whole number below BASE."""
+    return F.reverse(_carried(F.transform(F.reverse(a), lambda x: x * c)))
 
 
 def _reversed(e: DataFrame) -> DataFrame:
@@ -26,41 +62,82 @@ def starts(e: DataFrame) -> DataFrame:
 
 
 def levels(e: DataFrame) -> DataFrame:
-    """(id, level): the longest path that ends at each vertex, by peeling off vertices without open in-arcs. A cycle is an error."""
-    left = materialised(e)
-    rest = materialised(vertices(e))
-    out: DataFrame | None = None
+    """(id, level): the longest path that ends at each vertex, by counting down the open in-arcs. A cycle is an error."""
+    e = materialised(e)
+    into = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("left"))
+    state = materialised(vertices(e).join(into, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left")))
+    out = state.where("left = 0").select("id", F.lit(0).alias("level"))
     level = 0
-    while not rest.isEmpty():
-        free = materialised(rest.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-        if free.isEmpty():
+    while True:
+        free, rest = state.agg(F.count_if(F.col("left") == 0), F.count_if(F.col("left") > 0)).first()
+        if not rest:
+            return out
+        if not free:
             raise ValueError("the graph has a cycle")
-        found = free.withColumn("level", F.lit(level))
-        out = found if out is None else out.union(found)
-        left = materialised(left.join(free.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst"))
-        rest = materialised(rest.join(free, "id", "left_anti"))
+        came = e.join(state.where("left = 0").select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("came"))
+        state = materialised(state.where("left > 0").join(came, "id", "left").select("id", (F.col("left") - F.coalesce("came", F.lit(0))).alias("left")))
         level += 1
-    return out if out is not None else rest.withColumn("level", F.lit(0))
+        out = out.union(state.where("left = 0").select("id", F.lit(level).alias("level")))
+
+
+def _leveled(e: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(vertices with level, arcs with the levels of both ends, the last level)."""
+    v = materialised(levels(e))
+    at = lambda end: v.select(F.col("id").alias(end), F.col("level").alias(f"{end}_level"))
+    return v, materialised(e.join(at("src"), "src").join(at("dst"), "dst")), v.agg(F.max("level")).first()[0] or 0
+
+
+def _counts(v: DataFrame, arcs: DataFrame, order: list[int], begin: Column) -> tuple[DataFrame, int]:
+    """((id, n), limbs of n): the paths that end at each vertex, over the levels in order.
+
+    v is (id, level, begin): whether a path may begin there. What a level hands on is summed for each
+    target and kept below the target's level until that is reached; each arc is joined once.
+    """
+    spark = v.sparkSession
+    by_level, handed, counted = scratch(spark), scratch(spark), scratch(spark)
+    arcs.write.partitionBy("src_level").parquet(by_level)
+    arcs = spark.read.schema(arcs.schema).parquet(by_level)
+    id_type = dict(v.dtypes)["id"]
+    at_schema, n_schema = f"id {id_type}, limbs array<long>, level int", f"id {id_type}, limbs array<long>"
+    # no count is more than the largest one before it times the most in-arcs of a vertex, and one
+    step = math.log10(2 + (arcs.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0))
+    size, grown = SPARE + 1, 0.0
+    fitted = lambda x, n: F.concat(x, F.array_repeat(F.lit(0).cast("long"), F.lit(n) - F.size(x)))
+    summed = lambda n: F.array(*(F.sum(F.get("limbs", F.lit(i))) for i in range(n)))
+    for k, level in enumerate(order):
+        own = v.where(F.col("level") == level).select("id", F.when(begin, fitted(F.array(F.lit(1).cast("long")), size)).otherwise(fitted(F.array(F.lit(0).cast("long")), size)).alias("limbs"))
+        if k:
+            came = spark.read.schema(at_schema).parquet(handed).where(F.col("level") == level).select("id", fitted(F.col("limbs"), size).alias("limbs"))
+            own = own.union(came)
+        own.groupBy("id").agg(_carried(summed(size)).alias("limbs")).write.parquet(f"{counted}/at={k}")
+        now = spark.read.schema(n_schema).parquet(f"{counted}/at={k}")
+        grown += step
+        if grown + step > LIMB * (SPARE - 1):  # what was free may be used up: measure
+            limbs = spark.read.schema(n_schema).parquet(counted)
+            used = limbs.agg(F.max(F.size("limbs") - F.coalesce(F.array_position(F.transform(F.reverse("limbs"), lambda x: x > 0), True), F.size("limbs")) + 1)).first()[0] or 1
+            size, grown = max(size, used + SPARE), 0.0
+        if k + 1 < len(order):
+            on = arcs.where(F.col("src_level") == level).join(now.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), fitted(F.col("limbs"), size).alias("limbs"), F.col("dst_level").alias("level"))
+            on = on.groupBy("id", "level").agg(_carried(summed(size)).alias("limbs")).select("id", "limbs", "level")
+            on.write.mode("append").partitionBy("level").parquet(handed)
+    return spark.read.schema(n_schema).parquet(counted).select("id", fitted(F.col("limbs"), size).alias("n")), size
+
+
+def _both_counts(e: DataFrame, begin: bool, end: bool) -> tuple[tuple[DataFrame, int], tuple[DataFrame, int]]:
+    """Paths that end at each vertex, and paths that leave it, over one ordering of the vertices."""
+    v, arcs, last = _leveled(e)
+    sinks = v.join(e.select(F.col("src").alias("id")).distinct().withColumn("goes", F.lit(True)), "id", "left").select("id", "level", F.col("goes").isNull().alias("sink"))
+    back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_level").alias("src_level"), F.col("src_level").alias("dst_level"))
+    up = _counts(v, arcs.select("src", "dst", "src_level", "dst_level"), list(range(last + 1)), F.lit(True) if begin else F.col("level") == 0)
+    down = _counts(materialised(sinks), back, list(range(last, -1, -1)), F.lit(True) if end else F.col("sink"))
+    return up, down
 
 
 def path_counts(e: DataFrame, every: bool = False) -> DataFrame:
-    """(id, n): paths that end at each vertex and begin at a source (or at every vertex, itself included)."""
-    e = materialised(e)
-    v = vertices(e)
-    base = v.select("id", F.lit(1).cast(COUNT).alias("n")) if every else starts(e).select("id", F.lit(1).cast(COUNT).alias("n"))
-    wave = materialised(base)
-    waves = [wave]
-    while True:  # paths of one arc more
-        wave = materialised(e.join(wave.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("n").cast(COUNT).alias("n")))
-        if wave.isEmpty():
-            break
-        if len(waves) > 100_000:
-            raise ValueError("the graph has a cycle")
-        waves.append(wave)
-    all_ = waves[0]
-    for w in waves[1:]:
-        all_ = all_.union(w)
-    return materialised(all_.groupBy("id").agg(F.sum("n").cast(COUNT).alias("n")))
+    """(id, n): paths that end at each vertex and begin at a source (or at every vertex, itself included), as digits."""
+    v, arcs, last = _leveled(e)
+    n, _ = _counts(v, arcs.select("src", "dst", "src_level", "dst_level"), list(range(last + 1)), F.lit(True) if every else F.col("level") == 0)
+    return materialised(n.select("id", digits(F.reverse("n")).alias("n")))
 
 
 #: Whether paths begin at every vertex, and whether they end at every vertex.
@@ -71,17 +148,25 @@ def arc_weights(e: DataFrame, kind: str = "spc") -> DataFrame:
     """(src, dst, w): paths through each arc: those into its source times those out of its target."""
     if kind not in WEIGHTS:
         raise ValueError(f"unknown weight {kind!r}")
-    begin, end = WEIGHTS[kind]
-    n_in = path_counts(e, begin).select(F.col("id").alias("src"), F.col("n").alias("a"))
-    n_out = path_counts(_reversed(e), end).select(F.col("id").alias("dst"), F.col("n").alias("b"))
-    return materialised(e.join(n_in, "src").join(n_out, "dst").select("src", "dst", (F.col("a") * F.col("b")).cast(COUNT).alias("w")))
+    e = materialised(e.select("src", "dst"))
+    if e.isEmpty():
+        return e.withColumn("w", F.array(F.lit(0).cast("long")))
+    (n_in, a), (n_out, b) = _both_counts(e, *WEIGHTS[kind])
+    both = e.join(n_in.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(n_out.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
+    product = F.expr(f"transform(sequence(0, {a + b - 2}), k -> aggregate(sequence(greatest(0, k - {b - 1}), least(k, {a - 1})), 0L, (s, i) -> s + a[i] * b[k - i]))")
+    return materialised(both.select("src", "dst", F.reverse(_carried(product)).alias("w")))
+
+
+def _positive(w: str = "w") -> Column:
+    return F.exists(w, lambda x: x > 0)
 
 
 def _greedy(arcs: DataFrame, start: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Arcs that a walk from start takes which follows, at each vertex, all arcs of (1 - tolerance) of its best or more."""
     top = F.max("w").over(W.partitionBy("src"))
-    good = arcs.withColumn("top", top).where("top > 0").where(F.col("w") >= F.col("top") * (1 - tolerance) if tolerance else F.col("w") == F.col("top")).select("src", "dst", "w")
-    good = materialised(good)
+    share = 1 - Fraction(str(tolerance)).limit_denominator(BASE // 10)
+    near = _times(F.col("w"), share.denominator) >= _times(F.col("top"), share.numerator) if tolerance else F.col("w") == F.col("top")
+    good = materialised(arcs.withColumn("top", top).where(_positive("top")).where(near).select("src", "dst", "w"))
 
     def step(now: DataFrame) -> DataFrame:
         return now.union(good.join(now.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).distinct()
@@ -109,10 +194,12 @@ def multi_local(arcs: DataFrame, tolerance: float = 0.0, **_: object) -> DataFra
 def global_path(arcs: DataFrame, **_: object) -> DataFrame:
     """The arcs of one path of the largest sum from a source to a sink; ties go to the smaller vertices."""
     arcs = materialised(arcs)
-    best = materialised(starts(arcs).select("id", F.lit(0).cast(COUNT).alias("best"), F.lit(None).cast(arcs.schema["src"].dataType).alias("pred")))
+    size = arcs.agg(F.max(F.size("w"))).first()[0] or 1
+    nothing = F.array_repeat(F.lit(0).cast("long"), size)
+    best = materialised(starts(arcs).select("id", nothing.alias("best"), F.lit(None).cast(arcs.schema["src"].dataType).alias("pred")))
     wave = best.select("id", "best")
     while True:  # values that grew go on
-        came = arcs.join(wave.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("best") + F.col("w")).cast(COUNT).alias("cand"), "src")
+        came = arcs.join(wave.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), _plus(F.col("best"), F.col("w")).alias("cand"), "src")
         came = came.groupBy("id").agg(F.max(F.struct("cand", (-F.col("src")).alias("neg"))).alias("m")).select("id", F.col("m.cand").alias("cand"), (-F.col("m.neg")).alias("via"))
         old = best.join(came, "id", "full_outer")
         grew = F.col("best").isNull() | (F.col("cand") > F.col("best")) | ((F.col("cand") == F.col("best")) & (F.col("via") < F.col("pred")))
@@ -134,7 +221,7 @@ def global_path(arcs: DataFrame, **_: object) -> DataFrame:
 
 def key_route(arcs: DataFrame, k: int = 1, **_: object) -> DataFrame:
     """The k heaviest arcs (ties by vertices), what follows forward from their targets and backward from their sources."""
-    seeds = arcs.where("w > 0").orderBy(F.desc("w"), "src", "dst").limit(max(0, k))
+    seeds = arcs.where(_positive()).orderBy(F.desc("w"), "src", "dst").limit(max(0, k))
     seeds = materialised(seeds)
     on = _greedy(arcs, seeds.select(F.col("dst").alias("id")))
     back = _back(_greedy(_back(arcs), seeds.select(F.col("src").alias("id"))))
@@ -178,7 +265,7 @@ def preprint_transform(e: DataFrame) -> DataFrame:
 
 
 def main_path(e: DataFrame, papers: DataFrame | None = None, weight: str = "spc", search: str = "key-route", cycles: str = "shrink", **options: object) -> tuple[DataFrame, DataFrame]:
-    """(arcs, vertices) of the main path: arcs (src, dst, w), vertices (id, role, level) by their degrees inside it."""
+    """(arcs, vertices) of the main path: arcs (src, dst, w as digits), vertices (id, role, level) by their degrees inside it."""
     if search not in SEARCHES:
         raise ValueError(f"unknown search {search!r}")
     e = e.where("src <> dst").distinct()
@@ -198,4 +285,4 @@ def main_path(e: DataFrame, papers: DataFrame | None = None, weight: str = "spc"
     ins, outs = arcs.select(F.col("dst").alias("id"), F.lit(1).alias("i")).distinct(), arcs.select(F.col("src").alias("id"), F.lit(1).alias("o")).distinct()
     role = F.when(F.col("i").isNull(), "source").when(F.col("o").isNull(), "sink").otherwise("intermediate")
     v = levels(arcs.select("src", "dst")).join(ins, "id", "left").join(outs, "id", "left").select("id", role.alias("role"), "level")
-    return arcs, v
+    return arcs.withColumn("w", digits("w")), v

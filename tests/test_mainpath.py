@@ -22,13 +22,13 @@ def arcs(df):
 
 @pytest.mark.parametrize("kind", sorted(WEIGHTS))
 def test_weights(graph, kind):
-    got = {(r["src"], r["dst"]): int(r["w"]) for r in M.arc_weights(graph, kind).collect()}
+    got = {(r["src"], r["dst"]): int(r["w"]) for r in M.arc_weights(graph, kind).withColumn("w", M.digits("w")).collect()}
     assert got == dict(zip(ARCS, WEIGHTS[kind]))
 
 
 def test_flow_law(graph):
     """What SPC brings into an inner vertex leaves it."""
-    w = M.arc_weights(graph, "spc")
+    w = M.arc_weights(graph, "spc").withColumn("w", M.digits("w").cast("long"))
     into = {r[0]: r[1] for r in w.groupBy("dst").agg(F.sum("w")).collect()}
     out = {r[0]: r[1] for r in w.groupBy("src").agg(F.sum("w")).collect()}
     assert all(into[v] == out[v] for v in into if v in out)
@@ -69,3 +69,40 @@ def test_roles(spark, graph):
     assert {r["id"]: r["role"] for r in v.collect()} == {3: "source", 5: "intermediate", 12: "intermediate", 20: "intermediate", 21: "intermediate", 22: "sink"}
     with pytest.raises(ValueError):
         M.main_path(graph, papers, search="nothing")
+
+
+def plain_weights(arcs, kind):
+    """Weights of arcs between ascending ids, with Python's whole numbers."""
+    begin, end = M.WEIGHTS[kind]
+    ids = sorted({v for a in arcs for v in a})
+    heads, tails = {d for _, d in arcs}, {s for s, _ in arcs}
+    n_in = {v: int(begin or v not in heads) for v in ids}
+    n_out = {v: int(end or v not in tails) for v in ids}
+    for s, d in sorted(arcs):
+        n_in[d] += n_in[s]
+    for s, d in sorted(arcs, key=lambda a: (-a[1], -a[0])):
+        n_out[s] += n_out[d]
+    return {(s, d): n_in[s] * n_out[d] for s, d in arcs}
+
+
+def test_weights_of_any_size(spark):
+    """Full layers of 70: counts of more than 38 digits, exact, and searches over them."""
+    width, depth = 90, 22
+    arcs_ = [(width * k + i, width * (k + 1) + j) for k in range(depth - 1) for i in range(width) for j in range(width)]
+    arcs_ += [(width * k + 3, width * (k + 2) + 5) for k in range(depth - 2)]  # arcs that skip layers make the weights of the others differ
+    want = plain_weights(arcs_, "spc")
+    assert len(str(max(want.values()))) > 38
+    w = M.arc_weights(spark.createDataFrame(arcs_, "src long, dst long"), "spc")
+    assert {(r["src"], r["dst"]): int(r["w"]) for r in w.withColumn("w", M.digits("w")).collect()} == want
+    heaviest = [(r["src"], r["dst"]) for r in w.orderBy(F.desc("w"), "src", "dst").limit(5).collect()]
+    assert heaviest == sorted(want, key=lambda a: (-want[a], a))[:5]
+
+
+@pytest.mark.parametrize("kind", sorted(M.WEIGHTS))
+def test_weights_of_random_graphs(spark, kind):
+    import random
+
+    rng = random.Random(17)
+    some = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(40)})
+    got = M.arc_weights(spark.createDataFrame(some, "src long, dst long"), kind).withColumn("w", M.digits("w"))
+    assert {(r["src"], r["dst"]): int(r["w"]) for r in got.collect()} == plain_weights(some, kind)
