@@ -75,14 +75,8 @@ def open_works(spark, d):
     return records.works_from_json(view(spark, d, "lit_papers").select(js.alias("json"))).select("doi", "title")
 
 
-@query("title_search", "with n as (select paper_id, regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') as t from lit_papers where paper_id <= 200) select a.paper_id, b.paper_id as found_id from n a join n b on starts_with(a.t, b.t) or starts_with(b.t, a.t) where length(a.t) >= 10 and length(b.t) >= 10", "lit_papers")
+@query("title_search", "with n as (select paper_id, regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') as t from lit_papers) select a.paper_id, b.paper_id as found_id from n a join n b on starts_with(a.t, b.t) or starts_with(b.t, a.t) where length(a.t) >= 10 and length(b.t) >= 10", "lit_papers")
 def title_search(spark, d):
-    p = view(spark, d, "lit_papers").where("paper_id <= 200")
-    return records.match_titles(p, p.select(F.col("paper_id").alias("found_id"), "title"))
-
-
-@query("title_search_whole")
-def title_search_whole(spark, d):
     p = view(spark, d, "lit_papers")
     return records.match_titles(p, p.select(F.col("paper_id").alias("found_id"), "title"))
 

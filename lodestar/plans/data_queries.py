@@ -167,7 +167,7 @@ def representative_papers(spark, d):
 
 
 _STOPS = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
-_CTFIDF = f"""with w as (select lang as cid, list_filter(regexp_extract_all(lower(coalesce(abstract, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x not in ({_STOPS})) as w from lit_abstracts where paper_id % 10 = 0),
+_CTFIDF = f"""with w as (select lang as cid, list_filter(regexp_extract_all(lower(coalesce(abstract, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x not in ({_STOPS})) as w from lit_abstracts),
 t as (select cid, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as term from w),
 tf as (select cid, term, count(*) as tf from t group by 1, 2), c as (select cid, sum(tf) as n from tf group by 1), e as (select term, sum(tf) as f from tf group by 1),
 s as (select tf.cid, tf.term, round(tf.tf / cast(c.n as double) * ln(1 + (select avg(n) from c) / cast(e.f as double)), 9) as score from tf join c using (cid) join e using (term)), r as (select *, row_number() over (partition by cid order by score desc, term) as rn from s)
@@ -176,12 +176,6 @@ select cid, term, score from r where rn <= 10"""
 
 @query("ctfidf_keywords", _CTFIDF, "lit_abstracts")
 def ctfidf_keywords(spark, d):
-    m = view(spark, d, "lit_abstracts").where("paper_id % 10 = 0").select(F.col("lang").alias("cid"), F.col("abstract").alias("text"))
-    return K.ctfidf(m, 10, noise="").select("cid", "term", "score")
-
-
-@query("ctfidf_keywords_whole")
-def ctfidf_keywords_whole(spark, d):
     m = view(spark, d, "lit_abstracts").select(F.col("lang").alias("cid"), F.col("abstract").alias("text"))
     return K.ctfidf(m, 10, noise="").select("cid", "term", "score")
 
@@ -197,14 +191,9 @@ def louvain(spark, d):
     return C.cluster("louvain", edges=view(spark, d, "lit_dag"))
 
 
-@query("louvain_whole")
-def louvain_whole(spark, d):
-    return C.cluster("louvain", edges=view(spark, d, "lit_dag_whole"))
-
-
 @query("walktrap")
 def walktrap(spark, d):
-    return C.cluster({"type": "walktrap", "n_communities": 5}, edges=view(spark, d, "lit_dag"))
+    return C.cluster({"type": "walktrap", "n_communities": 5}, edges=view(spark, d, "lit_dag_folded"))
 
 
 @query("topic_model")

@@ -37,8 +37,11 @@ def undirected_edges(spark, d):
 
 
 _SIMS = """with refs as (select dst as id, src as item from lit_dag), cits as (select src as id, dst as item from lit_dag),
-r as (select e.src, e.dst, (select count(*) from refs a join refs b on a.item = b.item where a.id = e.src and b.id = e.dst) as i, (select count(distinct item) from refs where id in (e.src, e.dst)) as u,
-  (select count(*) from cits a join cits b on a.item = b.item where a.id = e.src and b.id = e.dst) as ci, (select count(distinct item) from cits where id in (e.src, e.dst)) as cu from lit_dag e),
+rn as (select id, count(*) as n from refs group by id), cn as (select id, count(*) as n from cits group by id),
+rb as (select e.src, e.dst, count(*) as i from lit_dag e join refs a on a.id = e.src join refs b on b.id = e.dst and b.item = a.item group by 1, 2),
+cb as (select e.src, e.dst, count(*) as i from lit_dag e join cits a on a.id = e.src join cits b on b.id = e.dst and b.item = a.item group by 1, 2),
+r as (select e.src, e.dst, coalesce(rb.i, 0) as i, coalesce(r1.n, 0) + coalesce(r2.n, 0) - coalesce(rb.i, 0) as u, coalesce(cb.i, 0) as ci, coalesce(c1.n, 0) + coalesce(c2.n, 0) - coalesce(cb.i, 0) as cu
+  from lit_dag e left join rb using (src, dst) left join cb using (src, dst) left join rn r1 on r1.id = e.src left join rn r2 on r2.id = e.dst left join cn c1 on c1.id = e.src left join cn c2 on c2.id = e.dst),
 sims as (select src, dst, coalesce(i / nullif(cast(u as double), 0), 0) as ref_sim, coalesce(ci / nullif(cast(cu as double), 0), 0) as cit_sim from r)
 """
 
@@ -63,28 +66,34 @@ def saturation(spark, d):
 
 # -- PageRank and components ---------------------------------------------------------------------
 
-_RANK = """with recursive v as (select src as id from lit_dag union select dst from lit_dag),
+#: Rounds of the SQL, whose scores stay before that; the operator's run to a tolerance, and the rounds that it may take.
+SQL_ROUNDS, RANK_ROUNDS, RANK_TOLERANCE = 60, 1000, 1e-14
+
+_RANK = f"""with recursive v as (select src as id from lit_dag union select dst from lit_dag),
 od as (select src, count(*) as d from lit_dag group by src), nn as (select count(*) as n from v),
 r as (select 0 as it, id, cast(1.0 as double) / (select n from nn) as s from v
   union all
-  select it + 1, id, any_value(0.15 / nn.n + 0.85 * (coalesce(inc, 0) + dang / nn.n)) from (
-    select x.it, v.id, (select sum(r2.s / od.d) from r r2 join lit_dag e on e.src = r2.id join od on od.src = r2.id where e.dst = v.id) as inc,
-      (select coalesce(sum(r3.s), 0) from r r3 where r3.id not in (select src from od)) as dang
-    from v, (select distinct it from r) x where x.it < 20) t, nn group by it + 1, id)
-select id, round(s, 9) as score from r where it = 20"""
+  select x.it + 1, v.id, 0.15 / nn.n + 0.85 * (coalesce(c.came, 0) + x.dang / nn.n)
+  from v cross join nn cross join (select r.it, sum(case when od.d is null then r.s else 0 end) as dang from r left join od on od.src = r.id group by r.it) x
+  left join (select e.dst, sum(r.s / od.d) as came from r join od on od.src = r.id join lit_dag e on e.src = r.id group by e.dst) c on c.dst = v.id
+  where x.it < {SQL_ROUNDS})
+select id, round(s, 10) as score from r where it = {SQL_ROUNDS}"""
 
 
 @query("pagerank", _RANK, "lit_dag")
 def pagerank(spark, d):
-    return G.pagerank(dag(spark, d), 20).select("id", F.round("score", 9).alias("score"))
+    return G.pagerank(dag(spark, d), RANK_ROUNDS, tolerance=RANK_TOLERANCE).select("id", F.round("score", 10).alias("score"))
 
 
+#: Steps of the SQL, more than any shortest path here is long.
 _COMP = """with recursive u as (select src as a, dst as b from lit_cyc where src <> dst union select dst, src from lit_cyc where src <> dst),
-w as (select a as id, a as to_ from u union select w.id, u.b from w join u on u.a = w.to_)
+r as (select 0 as it, a as id, min(a) as comp from u group by a
+  union all
+  select it + 1, id, min(comp) from (select it, id, comp from r union all select r.it, u.b, r.comp from r join u on u.a = r.id) t where it < 40 group by it + 1, id)
 """
 
 
-@query("connected_components", _COMP + "select id, min(to_) as comp from w group by id", "lit_cyc")
+@query("connected_components", _COMP + "select id, comp from r where it = 40", "lit_cyc")
 def connected_components(spark, d):
     return G.components(view(spark, d, "lit_cyc")).select("id", "comp")
 
@@ -123,7 +132,7 @@ _COUNTS = """with recursive
 bi as (select src as v from lit_dag except select dst from lit_dag), bo as (select dst as v from lit_dag except select src from lit_dag), al as (select src as v from lit_dag union select dst from lit_dag),
 ri as (select 0 as it, v, cast(1 as hugeint) as n from {bi} union all select it + 1, dst, cast(sum(n) as hugeint) from ri join lit_dag e on e.src = ri.v group by it + 1, dst),
 ro as (select 0 as it, v, cast(1 as hugeint) as n from {bo} union all select it + 1, src, cast(sum(n) as hugeint) from ro join lit_dag e on e.dst = ro.v group by it + 1, src),
-arcs as (select e.src, e.dst, cast(a.n * b.n as bigint) as w from lit_dag e join (select v, sum(n) as n from ri group by v) a on a.v = e.src join (select v, sum(n) as n from ro group by v) b on b.v = e.dst)
+arcs as (select e.src, e.dst, a.n * b.n as w from lit_dag e join (select v, sum(n) as n from ri group by v) a on a.v = e.src join (select v, sum(n) as n from ro group by v) b on b.v = e.dst)
 """
 _KINDS = {"spc": ("bi", "bo"), "splc": ("al", "bo"), "spnp": ("al", "al")}
 
@@ -132,15 +141,15 @@ def _arcs_sql(kind: str) -> str:
     return _COUNTS.format(bi=_KINDS[kind][0], bo=_KINDS[kind][1])
 
 
-def _long(df: DataFrame) -> DataFrame:
-    return df.select("src", "dst", F.col("w").cast("long").alias("w"))
+def _written(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", M.digits("w").alias("w"))
 
 
 for _kind in _KINDS:
 
-    @query(f"mp_{_kind}", _arcs_sql(_kind) + "select src, dst, w from arcs", "lit_dag")
+    @query(f"mp_{_kind}", _arcs_sql(_kind) + "select src, dst, cast(w as varchar) as w from arcs", "lit_dag")
     def _weights(spark, d, kind=_kind):
-        return _long(M.arc_weights(dag(spark, d), kind))
+        return _written(M.arc_weights(dag(spark, d), kind))
 
 
 _GREEDY = """, {n}_best as (select a.{f} as v, a.{t} as nxt, a.src, a.dst, a.w from arcs a where a.w > 0 and a.w >= {tol} * (select max(b.w) from arcs b where b.{f} = a.{f})),
@@ -151,33 +160,33 @@ _F = dict(f="src", t="dst", tol="1")
 _B = dict(f="dst", t="src", tol="1")
 
 
-@query("mp_local_forward", _arcs_sql("spc") + _GREEDY.format(n="f", start="bi", **_F) + "select src, dst, w from f_on", "lit_dag")
+@query("mp_local_forward", _arcs_sql("spc") + _GREEDY.format(n="f", start="bi", **_F) + "select src, dst, cast(w as varchar) as w from f_on", "lit_dag")
 def mp_local_forward(spark, d):
-    return _long(M.local_forward(M.arc_weights(dag(spark, d))))
+    return _written(M.local_forward(M.arc_weights(dag(spark, d))))
 
 
-@query("mp_local_backward", _arcs_sql("spc") + _GREEDY.format(n="f", start="bo", **_B) + "select src, dst, w from f_on", "lit_dag")
+@query("mp_local_backward", _arcs_sql("spc") + _GREEDY.format(n="f", start="bo", **_B) + "select src, dst, cast(w as varchar) as w from f_on", "lit_dag")
 def mp_local_backward(spark, d):
-    return _long(M.local_backward(M.arc_weights(dag(spark, d))))
+    return _written(M.local_backward(M.arc_weights(dag(spark, d))))
 
 
-@query("mp_multi_local", _arcs_sql("spc") + _GREEDY.format(n="f", start="bi", f="src", t="dst", tol="0.75") + "select src, dst, w from f_on", "lit_dag")
+@query("mp_multi_local", _arcs_sql("spc") + _GREEDY.format(n="f", start="bi", f="src", t="dst", tol="0.75") + "select src, dst, cast(w as varchar) as w from f_on", "lit_dag")
 def mp_multi_local(spark, d):
-    return _long(M.multi_local(M.arc_weights(dag(spark, d)), 0.25))
+    return _written(M.multi_local(M.arc_weights(dag(spark, d)), 0.25))
 
 
-@query("mp_key_route", _arcs_sql("spc") + ", seeds as (select * from arcs where w > 0 order by w desc, src, dst limit 3), sf as (select dst as v from seeds), sb as (select src as v from seeds)" + _GREEDY.format(n="f", start="sf", **_F) + _GREEDY.format(n="g", start="sb", **_B) + "select src, dst, w from seeds union select src, dst, w from f_on union select src, dst, w from g_on", "lit_dag")
+@query("mp_key_route", _arcs_sql("spc") + ", seeds as (select * from arcs where w > 0 order by w desc, src, dst limit 3), sf as (select dst as v from seeds), sb as (select src as v from seeds)" + _GREEDY.format(n="f", start="sf", **_F) + _GREEDY.format(n="g", start="sb", **_B) + "select src, dst, cast(w as varchar) as w from (select src, dst, w from seeds union select src, dst, w from f_on union select src, dst, w from g_on) t", "lit_dag")
 def mp_key_route(spark, d):
-    return _long(M.key_route(M.arc_weights(dag(spark, d)), 3))
+    return _written(M.key_route(M.arc_weights(dag(spark, d)), 3))
 
 
-@query("mp_global", _arcs_sql("spc") + """, sums as (select v, cast(0 as bigint) as s from bi union select a.dst, cast(s + a.w as bigint) from sums join arcs a on a.src = sums.v),
+@query("mp_global", _arcs_sql("spc") + """, sums as (select v, cast(0 as hugeint) as s from bi union select a.dst, cast(s + a.w as hugeint) from sums join arcs a on a.src = sums.v),
 best as (select v, max(s) as best from sums group by v),
 pred as (select a.dst as v, min(a.src) as p from arcs a join best x on x.v = a.src join best y on y.v = a.dst where x.best + a.w = y.best group by a.dst),
 walk as (select v from (select b.v from best b join bo using (v) order by best desc, b.v limit 1) t union select p.p from walk k join pred p on p.v = k.v)
-select a.src, a.dst, a.w from walk k join pred p on p.v = k.v join arcs a on a.src = p.p and a.dst = p.v""", "lit_dag")
+select a.src, a.dst, cast(a.w as varchar) as w from walk k join pred p on p.v = k.v join arcs a on a.src = p.p and a.dst = p.v""", "lit_dag")
 def mp_global(spark, d):
-    return _long(M.global_path(M.arc_weights(dag(spark, d))))
+    return _written(M.global_path(M.arc_weights(dag(spark, d))))
 
 
 @query("mp_roles", None)
@@ -191,49 +200,17 @@ def mp_levels(spark, d):
     return M.levels(dag(spark, d))
 
 
-# -- the same over all lines, without SQL ---------------------------------------------------------
-
-def _whole(spark, d) -> DataFrame:
-    return view(spark, d, "lit_dag_whole")
-
-
-def _whole_cyc(spark, d) -> DataFrame:
-    return view(spark, d, "lit_cyc_whole")
-
-
-#: Rounds that PageRank may take to its tolerance; at a damping of 0.85 it needs some 130 at most.
-RANK_ROUNDS, RANK_TOLERANCE = 1000, 1e-9
-
-_WHOLE = {
-    "undirected_edges": lambda s, d: G.undirected(_whole_cyc(s, d)),
-    "edge_similarities": lambda s, d: G.edge_similarities(_whole(s, d)),
-    "edge_weights": lambda s, d: G.edge_weights(G.edge_similarities(_whole(s, d))).select("src", "dst", "weight"),
-    "pagerank": lambda s, d: G.pagerank(_whole(s, d), RANK_ROUNDS, tolerance=RANK_TOLERANCE),
-    "connected_components": lambda s, d: G.components(_whole_cyc(s, d)),
-    "strong_components": lambda s, d: G.strong_components(_whole_cyc(s, d)),
-    "scc_shrink": lambda s, d: M.shrink(_whole_cyc(s, d), view(s, d, "lit_papers"))[0],
-    "preprint_transform": lambda s, d: M.preprint_transform(_whole_cyc(s, d)),
-    # path counts stay decimals: they may not fit a long
-    **{f"mp_{k}": lambda s, d, k=k: M.arc_weights(_whole(s, d), k) for k in _KINDS},
-    "mp_local_forward": lambda s, d: M.local_forward(M.arc_weights(_whole(s, d))),
-    "mp_local_backward": lambda s, d: M.local_backward(M.arc_weights(_whole(s, d))),
-    "mp_multi_local": lambda s, d: M.multi_local(M.arc_weights(_whole(s, d)), 0.25),
-    "mp_key_route": lambda s, d: M.key_route(M.arc_weights(_whole(s, d)), 3),
-    "mp_global": lambda s, d: M.global_path(M.arc_weights(_whole(s, d))),
-    "mp_roles": lambda s, d: M.main_path(_whole_cyc(s, d), view(s, d, "lit_papers"), "spc", "key-route", "shrink", k=2)[1],
-    "mp_levels": lambda s, d: M.levels(_whole(s, d)),
-}
-for _name, _run in _WHOLE.items():
-    query(f"{_name}_whole")(_run)
+# -- expansion -----------------------------------------------------------------------------------
 
+#: Expansion starts from all papers of this year.
+SEED_YEAR = 2000
 
-# -- expansion -----------------------------------------------------------------------------------
 
 def _signal(spark, d) -> DataFrame:
-    return view(spark, d, "lit_papers").where("paper_id % 20 = 0").select("paper_id", F.col("paper_id").alias("ord"))
+    return view(spark, d, "lit_papers").where(F.col("year") == SEED_YEAR).select("paper_id", F.col("paper_id").alias("ord"))
 
 
-_SOURCES = "src as (select paper_id, paper_id as ord from lit_papers where paper_id % 20 = 0)"
+_SOURCES = f"src as (select paper_id, paper_id as ord from lit_papers where year = {SEED_YEAR})"
 
 
 @query("top_k_citers", f"with {_SOURCES} select source, cand from (select s.paper_id as source, r.citing_id as cand, row_number() over (partition by s.paper_id order by coalesce(p.citation_count, 0) desc, r.citing_id) as rn from src s join lit_refs r on r.cited_id = s.paper_id left join lit_papers p on p.paper_id = r.citing_id) t where rn <= 10", "lit_papers", "lit_refs")
@@ -253,11 +230,10 @@ def expand_forward(spark, d):
     return known.select("source", "cand", YearFilter(1990, 2020).passes().alias("passed"))
 
 
-@query("expand_backward", "with src as (select distinct citing_id as paper_id from lit_refs where citing_id % 50 = 0), claimed as (select cited_id as cand, min(citing_id) as source from lit_refs where citing_id in (select paper_id from src) and cited_id not in (select paper_id from src) group by cited_id) select source, cand from claimed", "lit_refs")
+@query("expand_backward", f"with {_SOURCES}, claimed as (select cited_id as cand, min(citing_id) as source from lit_refs where citing_id in (select paper_id from src) and cited_id not in (select paper_id from src) group by cited_id) select source, cand from claimed", "lit_papers", "lit_refs")
 def expand_backward(spark, d):
-    refs = view(spark, d, "lit_refs")
-    sig = refs.where("citing_id % 50 = 0").select(F.col("citing_id").alias("paper_id"), F.col("citing_id").alias("ord")).distinct()
-    return X.expand_backward(sig, refs, sig).select("source", "cand")
+    sig = _signal(spark, d)
+    return X.expand_backward(sig, view(spark, d, "lit_refs"), sig).select("source", "cand")
 
 
 _CANDS = "coalesce(dotp / nullif(na * nb, 0), 0)"
@@ -283,95 +259,39 @@ def expand_semantics_multi_anchor(spark, d):
     return X.recommend(v.where(F.col("paper_id").isin(0, 7, 14)), v.where(F.col("paper_id").isin(3, 5)), v, 20).select("paper_id", F.round("score", 6).alias("score"))
 
 
-@query("expand_by_author", """with mine as (select distinct author_id from lit_authorship where paper_id % 200 = 0), m as (select author_id, sum(coalesce(citation_count, 0)) as score from lit_authorship join lit_papers using (paper_id) group by author_id),
+@query("expand_by_author", f"""with {_SOURCES}, mine as (select distinct author_id from lit_authorship where paper_id in (select paper_id from src)), m as (select author_id, sum(coalesce(citation_count, 0)) as score from lit_authorship join lit_papers using (paper_id) group by author_id),
 best as (select author_id from mine left join m using (author_id) order by coalesce(score, 0) desc, author_id limit 5),
 p as (select a.author_id, a.paper_id, row_number() over (partition by a.author_id order by a.paper_id) as rn from lit_authorship a join best using (author_id))
-select distinct paper_id from p where rn <= 40 and paper_id % 200 <> 0""", "lit_papers", "lit_authorship")
+select distinct paper_id from p where rn <= 40 and paper_id not in (select paper_id from src)""", "lit_papers", "lit_authorship")
 def expand_by_author(spark, d):
-    a, p = view(spark, d, "lit_authorship"), view(spark, d, "lit_papers")
+    a, p, sig = view(spark, d, "lit_authorship"), view(spark, d, "lit_papers"), _signal(spark, d)
     metric = a.join(p, "paper_id").groupBy("author_id").agg(F.sum(F.coalesce("citation_count", F.lit(0))).alias("score"))
-    sig = p.where("paper_id % 200 = 0")
     return X.expand_by_author(sig, a, metric, sig, 5, 40)
 
 
-# The same from all papers of a year, without SQL.
-SEED_YEAR = 2000
-
-
-def _year_signal(spark, d) -> DataFrame:
-    return view(spark, d, "lit_papers").where(F.col("year") == SEED_YEAR).select("paper_id", F.col("paper_id").alias("ord"))
-
-
-@query("top_k_citers_whole")
-def top_k_citers_whole(spark, d):
-    return X.top_citers(_year_signal(spark, d), view(spark, d, "lit_refs"), view(spark, d, "lit_papers"), 10).select("source", "cand")
-
-
-@query("expand_forward_whole")
-def expand_forward_whole(spark, d):
-    from ..operators.screening import YearFilter
-
-    papers, sig = view(spark, d, "lit_papers"), _year_signal(spark, d)
-    claimed = X.expand_forward(sig, view(spark, d, "lit_refs"), papers, sig, 10)
-    known = claimed.join(papers.withColumnRenamed("paper_id", "cand"), "cand", "left")
-    return known.select("source", "cand", YearFilter(1990, 2020).passes().alias("passed"))
-
-
-@query("expand_backward_whole")
-def expand_backward_whole(spark, d):
-    sig = _year_signal(spark, d)
-    return X.expand_backward(sig, view(spark, d, "lit_refs"), sig).select("source", "cand")
-
-
-@query("expand_by_author_whole")
-def expand_by_author_whole(spark, d):
-    a, p, sig = view(spark, d, "lit_authorship"), view(spark, d, "lit_papers"), _year_signal(spark, d)
-    metric = a.join(p, "paper_id").groupBy("author_id").agg(F.sum(F.coalesce("citation_count", F.lit(0))).alias("score"))
-    return X.expand_by_author(sig, a, metric, sig, 5, 40)
-
-
-@query("expand_stats_whole")
-def expand_stats_whole(spark, d):
-    from ..operators.screening import YearFilter, screen
-
-    p, sig = view(spark, d, "lit_papers"), _year_signal(spark, d)
-    raw = view(spark, d, "lit_refs").join(sig.select(F.col("paper_id").alias("cited_id")), "cited_id", "left_semi").select(F.col("citing_id").alias("paper_id"))
-    hydrated = raw.distinct().join(p, "paper_id")
-    novel = hydrated.join(sig, "paper_id", "left_anti")
-    return X.expand_stats(raw, hydrated, novel, screen(novel, YearFilter(1990, 2020)))
-
-
-@query("step_fingerprint_whole")
-def step_fingerprint_whole(spark, d):
-    from ..functions.text import fingerprint
-
-    ids = _year_signal(spark, d).agg(F.collect_list(F.col("paper_id").cast("string")).alias("ids"))
-    return ids.select(fingerprint("ids", F.lit("max_citations=10")).alias("fingerprint"))
-
-
 @query("parallel_union", "select paper_id, cast(min(branch) as int) as branch from (select paper_id, 0 as branch from lit_papers where year >= 2010 union all select paper_id, 1 from lit_papers where coalesce(citation_count, 0) >= 30 union all select paper_id, 2 from lit_papers where contains(title, 'red')) t group by paper_id", "lit_papers")
 def parallel_union(spark, d):
     p = view(spark, d, "lit_papers").withColumn("ord", F.col("paper_id"))
     return X.parallel_union([p.where("year >= 2010"), p.where("coalesce(citation_count, 0) >= 30"), p.where(F.col("title").contains("red"))]).select("paper_id", "branch")
 
 
-@query("expand_stats", "with raw as (select citing_id from lit_refs where cited_id % 20 = 0), h as (select distinct citing_id from raw), p as (select h.citing_id, q.year from h join lit_papers q on q.paper_id = h.citing_id), n as (select * from p where citing_id % 20 <> 0) select (select count(*) from raw) as raw_hits, (select count(*) from p) as hydrated, (select count(*) from n) as novel, (select count(*) from n where year between 1990 and 2020) as accepted, (select count(*) from n where not coalesce(year between 1990 and 2020, false)) as rejected", "lit_papers", "lit_refs")
+@query("expand_stats", f"with {_SOURCES}, raw as (select citing_id from lit_refs where cited_id in (select paper_id from src)), h as (select distinct citing_id from raw), p as (select h.citing_id, q.year from h join lit_papers q on q.paper_id = h.citing_id), n as (select * from p where citing_id not in (select paper_id from src)) select (select count(*) from raw) as raw_hits, (select count(*) from p) as hydrated, (select count(*) from n) as novel, (select count(*) from n where year between 1990 and 2020) as accepted, (select count(*) from n where not coalesce(year between 1990 and 2020, false)) as rejected", "lit_papers", "lit_refs")
 def expand_stats(spark, d):
     from ..operators.screening import YearFilter, screen
 
-    p = view(spark, d, "lit_papers")
-    raw = view(spark, d, "lit_refs").where("cited_id % 20 = 0").select(F.col("citing_id").alias("paper_id"))
+    p, sig = view(spark, d, "lit_papers"), _signal(spark, d)
+    raw = view(spark, d, "lit_refs").join(sig.select(F.col("paper_id").alias("cited_id")), "cited_id", "left_semi").select(F.col("citing_id").alias("paper_id"))
     hydrated = raw.distinct().join(p, "paper_id")
-    novel = hydrated.where("paper_id % 20 <> 0")
+    novel = hydrated.join(sig, "paper_id", "left_anti")
     return X.expand_stats(raw, hydrated, novel, screen(novel, YearFilter(1990, 2020)))
 
 
-@query("rescreen", "select paper_id from lit_papers where paper_id % 20 = 0 or coalesce(year between 1990 and 2020, false)", "lit_papers")
+@query("rescreen", f"select paper_id from lit_papers where year = {SEED_YEAR} or coalesce(year between 1990 and 2020 and citation_count >= 25, false)", "lit_papers")
 def rescreen(spark, d):
     from ..operators.screening import YearFilter
 
     p = view(spark, d, "lit_papers")
-    kept, _ = X.rescreen(p, p.where("paper_id % 20 = 0"), p.where(YearFilter(1990, 2020).passes()))
+    kept, _ = X.rescreen(p, _signal(spark, d), p.where(YearFilter(1990, 2020).passes() & (F.coalesce("citation_count", F.lit(0)) >= 25)))
     return kept.select("paper_id")
 
 
@@ -397,9 +317,9 @@ def rerank_citation(spark, d):
     return R.rerank(p.select("paper_id", F.col("paper_id").alias("ord")), p.select("paper_id", F.col("citation_count").alias("score")), 100).select("paper_id", "score")
 
 
-@query("rerank_pagerank", _RANK.replace("select id, round(s, 9) as score from r where it = 20", "select id as paper_id from r where it = 20 order by round(s, 9) desc, id limit 25"), "lit_dag")
+@query("rerank_pagerank", _RANK.replace("select id, round(s, 10) as score from r", "select id as paper_id from r") + " order by round(s, 10) desc, id limit 25", "lit_dag")
 def rerank_pagerank(spark, d):
-    s = G.pagerank(dag(spark, d), 20).select(F.col("id").alias("paper_id"), F.round("score", 9).alias("score"))
+    s = G.pagerank(dag(spark, d), RANK_ROUNDS, tolerance=RANK_TOLERANCE).select(F.col("id").alias("paper_id"), F.round("score", 10).alias("score"))
     return R.rerank(s.select("paper_id", F.col("paper_id").alias("ord")), s, 25).select("paper_id")
 
 
@@ -443,12 +363,6 @@ def author_stats(spark, d):
     return G.author_stats(_authorship(spark, d))
 
 
-@query("author_degree", "with e as (select distinct a.author_id as a, b.author_id as b from lit_authorship a join lit_authorship b on a.paper_id = b.paper_id and a.author_id < b.author_id where a.paper_id % 10 = 0) select id, count(*) as degree from (select a as id from e union all select b from e) t group by id", "lit_authorship")
+@query("author_degree", "with e as (select distinct a.author_id as a, b.author_id as b from lit_authorship a join lit_authorship b on a.paper_id = b.paper_id and a.author_id < b.author_id) select id, count(*) as degree from (select a as id from e union all select b from e) t group by id", "lit_authorship")
 def author_degree(spark, d):
-    a = _authorship(spark, d).where("paper_id % 10 = 0")
-    return G.degrees(G.collaboration(a))
-
-
-@query("author_degree_whole")
-def author_degree_whole(spark, d):
     return G.degrees(G.collaboration(_authorship(spark, d)))

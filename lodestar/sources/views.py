@@ -10,13 +10,11 @@ SQL = {
        case when p.p_partkey % 17 = 0 then null else coalesce(c.n, 0) end as citation_count
 from part p left join (select l_partkey, count(distinct l_orderkey) as n from lineitem group by l_partkey) c on c.l_partkey = p.p_partkey""",
     "lit_refs": "select distinct l_orderkey as citing_id, l_partkey as cited_id from lineitem",
-    "lit_dag": """select distinct least(a, b) as src, greatest(a, b) as dst from (
+    "lit_dag": "select distinct least(a, b) as src, greatest(a, b) as dst from (select l_partkey as a, l_suppkey * 37 + l_orderkey as b from lineitem) t where a <> b",
+    "lit_cyc": "select distinct l_partkey as src, l_suppkey * 37 + l_orderkey as dst from lineitem",
+    # some lines only, for what needs a matrix of all vertices
+    "lit_dag_folded": """select distinct least(a, b) as src, greatest(a, b) as dst from (
   select l_partkey % 300 as a, (l_suppkey * 37 + l_orderkey) % 300 as b from lineitem where l_linenumber = 1 and l_orderkey % 10 = 0) t where a <> b""",
-    "lit_cyc": """select distinct a as src, b as dst from (
-  select l_partkey % 300 as a, (l_suppkey * 37 + l_orderkey) % 300 as b from lineitem where l_linenumber = 1 and l_orderkey % 40 = 0) t""",
-    # all lines, with the ids as they are
-    "lit_dag_whole": "select distinct least(a, b) as src, greatest(a, b) as dst from (select l_partkey as a, l_suppkey * 37 + l_orderkey as b from lineitem) t where a <> b",
-    "lit_cyc_whole": "select distinct l_partkey as src, l_suppkey * 37 + l_orderkey as dst from lineitem",
     "lit_authorship": "select distinct l_partkey as paper_id, l_suppkey as author_id from lineitem",
     "lit_abstracts": "select doc_id as paper_id, split_part(text, '\n', 1) as title, text as abstract, lang, source as venue from documents",
     "lit_vectors": "select vec_id as paper_id, embedding, label from embeddings",

@@ -80,7 +80,7 @@ def test_keywords(spark, folder):
     mean = sum(size.values()) / 2
     score = {k: {t: round(n / size[k] * math.log(1 + mean / sum(c[t] for c in tf.values())), 9) for t, n in c.items()} for k, c in tf.items()}
     want = sorted((k, t, x) for k, s in score.items() for t, x in sorted(s.items(), key=lambda e: (-e[1], e[0]))[:10])
-    got = rows(spark, folder, "ctfidf_keywords_whole")
+    got = rows(spark, folder, "ctfidf_keywords")
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
 
 
@@ -92,12 +92,12 @@ def test_author_degree(spark, folder):
     for s in of.values():
         for a in s:
             mates.setdefault(a, set()).update(s - {a})
-    assert rows(spark, folder, "author_degree_whole") == sorted((a, len(m)) for a, m in mates.items() if m)
+    assert rows(spark, folder, "author_degree") == sorted((a, len(m)) for a, m in mates.items() if m)
 
 
 def test_titles(spark, folder):
     t = folder[1]["titles"]
-    got = rows(spark, folder, "title_search_whole")
+    got = rows(spark, folder, "title_search")
     assert got == sorted((a, b) for a in t for b in t if t[a].startswith(t[b]) or t[b].startswith(t[a])) and (701, 701) in got and (11, 12) in got
 
 
@@ -107,46 +107,46 @@ def test_expansion(spark, folder):
     refs = {(o, p) for o, p, _ in t["lines"]}
     count = {i: None if i % 17 == 0 else sum(p == i for _, p in refs) for i in t["titles"]}
     top = {(s, c) for s in seeds for c in sorted((o for o, p in refs if p == s), key=lambda o: (-(count.get(o) or 0), o))[:10]}
-    assert rows(spark, folder, "top_k_citers_whole") == sorted(top)
+    assert rows(spark, folder, "top_k_citers") == sorted(top)
     first = {}
     for s, c in sorted(top):
         first.setdefault(c, s)
     ok = lambda c: 1990 <= t["year"].get(c, 0) <= 2020
-    assert rows(spark, folder, "expand_forward_whole") == sorted((s, c, ok(c)) for c, s in first.items() if c not in seeds)
+    assert rows(spark, folder, "expand_forward") == sorted((s, c, ok(c)) for c, s in first.items() if c not in seeds)
     back = {}
     for o, p in sorted(refs):
         if o in seeds and p not in seeds:
             back.setdefault(p, o)
-    assert back and rows(spark, folder, "expand_backward_whole") == sorted((o, p) for p, o in back.items())
+    assert back and rows(spark, folder, "expand_backward") == sorted((o, p) for p, o in back.items())
     raw = [o for o, p in refs if p in seeds]
     hydrated = set(raw) & set(t["titles"])
     novel = hydrated - seeds
     good = sum(map(ok, novel))
-    assert rows(spark, folder, "expand_stats_whole") == [(len(raw), len(hydrated), len(novel), good, len(novel) - good)]
+    assert rows(spark, folder, "expand_stats") == [(len(raw), len(hydrated), len(novel), good, len(novel) - good)]
     wrote = {(p, a) for _, p, a in t["lines"]}
     score = Counter()
     for p, a in wrote:
         score[a] += count[p] or 0
     best = sorted({a for p, a in wrote if p in seeds}, key=lambda a: (-score[a], a))[:5]
     want = {p for a in best for p in sorted(q for q, b in wrote if b == a)[:40]} - seeds
-    assert rows(spark, folder, "expand_by_author_whole") == sorted((p,) for p in want)
-    assert len(rows(spark, folder, "step_fingerprint_whole")) == 1
+    assert rows(spark, folder, "expand_by_author") == sorted((p,) for p in want)
+    assert len(rows(spark, folder, "step_fingerprint")) == 1
 
 
 def test_graph_of_all_lines(spark, folder):
     arcs = {(p, a * 37 + o) for o, p, a in folder[1]["lines"]}
     dag = {(min(e), max(e)) for e in arcs if e[0] != e[1]}
-    assert {tuple(r)[:2] for r in rows(spark, folder, "mp_spc_whole")} == dag
-    assert set(rows(spark, folder, "undirected_edges_whole")) == dag
+    assert {tuple(r)[:2] for r in rows(spark, folder, "mp_spc")} == dag
+    assert set(rows(spark, folder, "undirected_edges")) == dag
     comp = {v: v for e in dag for v in e}
     for a, b in dag:
         low, high = sorted((comp[a], comp[b]))
         comp = {v: low if c == high else c for v, c in comp.items()}
-    assert dict(rows(spark, folder, "connected_components_whole")) == comp
+    assert dict(rows(spark, folder, "connected_components")) == comp
     level = dict.fromkeys(comp, 0)
     for a, b in sorted(dag):
         level[b] = max(level[b], level[a] + 1)
-    assert dict(rows(spark, folder, "mp_levels_whole")) == level
+    assert dict(rows(spark, folder, "mp_levels")) == level
     out = Counter(a for a, _ in dag)
     score = dict.fromkeys(comp, 1 / len(comp))
     for _ in range(300):
@@ -155,9 +155,9 @@ def test_graph_of_all_lines(spark, folder):
         for a, b in dag:
             nxt[b] += 0.85 * score[a] / out[a]
         score = nxt
-    got = dict(rows(spark, folder, "pagerank_whole"))
+    got = dict(rows(spark, folder, "pagerank"))
     assert got.keys() == score.keys() and all(abs(got[v] - x) < 1e-8 for v, x in score.items())
-    assert {r[0] for r in rows(spark, folder, "louvain_whole")} == comp.keys()
+    assert {r[0] for r in rows(spark, folder, "louvain")} == comp.keys()
 
 
 def test_label_propagation_ends(spark):
