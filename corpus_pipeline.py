@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, in sequences of 1,024 tokens at most."""
-    return packing.pack(_documents(docs), batch_rows=1024, cached=200_000)  # the executors still hold what earlier stages grew
+    return packing.pack(_documents(docs), batch_rows=256, cached=60_000)  # the executors still hold what earlier stages grew
 
 
 STAGES = [
