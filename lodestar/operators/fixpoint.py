@@ -17,8 +17,12 @@ def _local_dir() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; only where that is unset below a local folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
+    """A new path below spark.checkpoint.dir; where that is unset a session in local mode takes a folder of its one machine, and a cluster is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
 
 
