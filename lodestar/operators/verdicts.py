@@ -106,14 +106,31 @@ def _ask(model: str, criterion: str, votes: int, batch: int):
     return run
 
 
+def _items(papers: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """(papers with content and key, the distinct contents that are asked about)."""
+    p = papers.withColumn("content", content(scope)).select("paper_id", "content").withColumn("key", F.sha2(F.col("content").cast("binary"), 256))
+    return p, p.where("trim(content) <> ''").select("key", "content").dropDuplicates(["key"])
+
+
+def tokens_of(papers: DataFrame, criteria: list[str], scope: str = "title_abstract", votes: int = 1, batch: int = 20) -> int:
+    """Tokens, about, that verdicts on these criteria send: models here report none, so four characters count as one.
+
+    Contents once per criterion and vote, and instructions once per prompt; a partition's last prompt may
+    be shorter than batch, so this is a lower estimate. One row of sums reaches the driver.
+    """
+    _, items = _items(papers, scope)
+    n, size = items.agg(F.count(F.lit(1)), F.sum(F.ceil(F.length("content") / 4))).first()
+    prompts = -(-n // (1 if scope == "full_text" else batch))
+    return sum(max(1, votes) * ((size or 0) + prompts * -(-len(SYSTEM + c) // 4)) for c in criteria)
+
+
 def verdicts(papers: DataFrame, criterion: str, scope: str = "title_abstract", votes: int = 1, min_accepts: int = 1, model: str = "stub", batch: int = 20) -> DataFrame:
     """(paper_id, accepts, verdict): accepted with min_accepts of the votes or more.
 
     Equal contents are asked about once (venues above all); empty contents are rejected without asking.
     Full texts go one by one. Papers go through Arrow batches, so no prompt is built on the driver.
     """
-    p = papers.withColumn("content", content(scope)).select("paper_id", "content").withColumn("key", F.sha2(F.col("content").cast("binary"), 256))
-    items = p.where("trim(content) <> ''").select("key", "content").dropDuplicates(["key"])
+    p, items = _items(papers, scope)
     replies = items.mapInPandas(_ask(model, criterion, max(1, votes), 1 if scope == "full_text" else batch), "key string, vote int, match boolean")
     tally = replies.groupBy("key").agg(F.sum(F.col("match").cast("int")).alias("accepts"))
     n = F.coalesce("accepts", F.lit(0)).cast("long")

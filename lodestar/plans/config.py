@@ -79,6 +79,8 @@ def load_settings(source: str | dict, overrides: dict | None = None) -> Settings
 
 _ATOMS = {"YearFilter": S.YearFilter, "CitationFilter": S.CitationFilter, "VenueIn": S.VenueIn, "VenuePreset": S.VenuePreset, "CitAtLeast": S.CitAtLeast, "YearAtLeast": S.YearAtLeast}
 _KEYWORDS = {"TitleKeywordFilter": "title", "AbstractKeywordFilter": "abstract", "VenueKeywordFilter": "venue"}
+#: Fixed value: the embedder that stands for the vectors stored with the papers.
+STORED = "s2"
 _MEASURES = {"RefSim": S.RefSim, "CitSim": S.CitSim, "SemanticSim": S.SemanticSim}
 
 
@@ -122,7 +124,10 @@ def build_block(spec: str | dict, named: dict[str, dict], above: tuple[str, ...]
             measures = []
             for m in spec.get("measures", []):
                 m = {"type": m} if isinstance(m, str) else dict(m)
-                measures.append(_MEASURES[m.pop("type")](**{k: v for k, v in m.items() if k != "embedder"}))
+                embedder = m.pop("embedder", STORED)
+                if embedder != STORED:
+                    raise ConfigError(f"embedder {embedder!r}: only the corpus's own vectors ({STORED!r}) are known")
+                measures.append(_MEASURES[m.pop("type")](**m))
             return S.SimilarityFilter(measures, spec.get("threshold", 0.10), spec.get("on_no_data", "pass"), spec.get("name", "similarity"))
     except (TypeError, KeyError) as e:
         raise ConfigError(f"bad block {kind}: {e}") from e

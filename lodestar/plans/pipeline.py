@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import communities, dedup, expand, output, ranking, screening, verdicts
 from ..operators.fixpoint import materialised
+from ..operators.formula import Formula
 from ..operators.graph import citation_edges, pagerank
 from .config import ConfigError, Settings, build_block, walk
 
@@ -24,6 +25,10 @@ class OutageError(BaseException):
     """A service stays away: not an Exception, so that no step's handler takes it for a failed item."""
 
 
+class BudgetSpent(Exception):
+    """No tokens are left for a model: the step that asks ends, and the run goes to its last step."""
+
+
 @dataclass
 class Corpus:
     """What expansion draws from: papers (with external_ids if known), edges (citing_id, cited_id), and if there vectors and authorship."""
@@ -55,6 +60,7 @@ class Run:
         self.shape: list[dict] = []
         self.events: list[dict] = []
         self.done: set[tuple] = set()
+        self.tokens = 0
 
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
@@ -70,11 +76,27 @@ class Run:
     def screen(self, cands: DataFrame, screener: str | dict) -> DataFrame:
         """cands with outcome; model verdicts are asked only of what the blocks before them let pass."""
         block = build_block(screener, self.settings.blocks)
-        for s in walk(screener, self.settings.blocks):
+        specs = list(walk(screener, self.settings.blocks))
+        if any((m if isinstance(m, str) else m.get("type")) == "SemanticSim" for s in specs for m in s.get("measures", [])):
+            cands = self._with_vectors(cands)
+        for s in specs:
             if s.get("type") == "LLMFilter":
                 cands = self._verdict(cands, s, screener)
         return screening.screen(cands, block)
 
+    def _with_vectors(self, cands: DataFrame) -> DataFrame:
+        """cands with embedding and source_embedding; null for papers without vector and candidates without source."""
+        cands = cands.drop("embedding", "source_embedding")
+        v = self.corpus.vectors
+        if v is None:
+            return cands.withColumns({n: F.lit(None).cast("array<double>") for n in ("embedding", "source_embedding")})
+        v = v.groupBy("paper_id").agg(F.first("embedding", ignorenulls=True).alias("embedding"))
+        cands = cands.join(v, "paper_id", "left")
+        if "supporting_papers" not in cands.columns:
+            return cands.withColumn("source_embedding", F.lit(None).cast(cands.schema["embedding"].dataType))
+        of = v.select(F.col("paper_id").alias("_source"), F.col("embedding").alias("source_embedding"))
+        return cands.withColumn("_source", F.try_element_at("supporting_papers", F.lit(1))).join(of, "_source", "left").drop("_source")
+
     def _verdict(self, cands: DataFrame, spec: dict, screener: str | dict) -> DataFrame:
         name = spec.get("name") or next((n for n, b in self.settings.blocks.items() if b is spec or b == spec), "llm")
         how = {k: spec[k] for k in ("scope", "votes", "min_accepts", "model") if k in spec} | {"batch": self.settings.llm_batch_size}
@@ -88,7 +110,11 @@ class Run:
         for c in ("full_text", "abstract", "title", "venue"):
             if c not in cands.columns:
                 cands = cands.withColumn(c, F.lit(None).cast("string"))
+        if self.spent():
+            raise BudgetSpent(f"{self.tokens} of {self.settings.max_tokens} tokens are used")
         asked = materialised(cands.where(screening.Sequential(ahead).passes()))
+        criteria = [spec["queries"][n] for n in Formula(spec["formula"]).names()] if spec.get("formula") else [spec.get("prompt", "")]
+        self.tokens += verdicts.tokens_of(asked, criteria, **{k: how[k] for k in ("scope", "votes", "batch") if k in how})
         if spec.get("formula"):
             got = verdicts.formula_verdicts(asked, spec["formula"], spec["queries"], **how)
         else:
@@ -96,6 +122,10 @@ class Run:
         got = materialised(got.select("paper_id", F.col("verdict").alias(f"verdict_{name}")))
         return cands.join(got, "paper_id", "left")
 
+    def spent(self) -> bool:
+        """Whether models were asked for all tokens that the settings allow; the last question may go beyond."""
+        return self.tokens >= self.settings.max_tokens
+
     def admit(self, screened: DataFrame, source: str) -> StepResult:
         """Passed candidates join the collection, the others the ledger; all were seen."""
         screened = materialised(screened)
@@ -294,7 +324,7 @@ class Run:
             attrs = [c for c in ("title", "year", "venue", "citation_count", "depth", "source") if c in papers.columns]
             output.write_graphml(papers.select(F.col("paper_id").alias("id"), *attrs), e, f"{base}/citation_network.graphml")
         self.rejected.write.mode("overwrite").parquet(f"{base}/rejections")
-        state = output.run_state(1, [str(p.paper_id) for p in self.settings.seed_papers], None, {"max_tokens": self.settings.max_tokens})
+        state = output.run_state(1, [str(p.paper_id) for p in self.settings.seed_papers], None, {"max_tokens": self.settings.max_tokens, "used_tokens": self.tokens})
         self.spark.createDataFrame([(state,), (json.dumps(self.shape),)], "line string").write.mode("overwrite").text(f"{base}/run_state")
         return StepResult(self.signal(self._empty(f"paper_id {self.id_type}")), stop=True)
 
@@ -343,7 +373,10 @@ def rewritten(steps: list[dict]) -> list[dict]:
 
 
 def run_pipeline(spark: SparkSession, settings: Settings, corpus: Corpus) -> Run:
-    """All steps in turn. Beyond max_papers, or if a step fails or an outage ends it, what there is gets finalised."""
+    """All steps in turn. Beyond max_papers or max_tokens, or if a step fails or an outage ends it, what there is gets finalised.
+
+    Tokens are counted as verdicts.tokens_of estimates them, before a model is asked.
+    """
     steps = rewritten(settings.pipeline)
     for s in steps:
         check_step(s)
@@ -351,9 +384,13 @@ def run_pipeline(spark: SparkSession, settings: Settings, corpus: Corpus) -> Run
     signal = run._empty(f"paper_id {run.id_type}, ord int")
     try:
         for spec in steps[:-1]:
-            r = run.step(spec, signal)
+            try:
+                r = run.step(spec, signal)
+            except BudgetSpent as e:
+                run.emit("budget_spent", reason=str(e))
+                break
             signal = r.signal
-            if r.stop or run.collection.count() >= settings.max_papers:
+            if r.stop or run.spent() or run.collection.count() >= settings.max_papers:
                 break
     finally:
         run.step(steps[-1], signal)

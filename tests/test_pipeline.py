@@ -4,7 +4,7 @@ import glob
 
 import pytest
 
-from lodestar.operators import output
+from lodestar.operators import output, verdicts
 from lodestar.plans import config
 from lodestar.plans.pipeline import Corpus, rewritten, run_pipeline, shape_table
 from lodestar.sources import records
@@ -111,3 +111,37 @@ def test_merge_duplicates_keeps_values_and_citations(spark, tmp_path):
 def test_refused_options(spark, corpus, tmp_path, step):
     with pytest.raises(config.ConfigError):
         run_pipeline(spark, settings(tmp_path, [step]), corpus)
+
+
+def test_token_budget_ends_the_run(spark, corpus, tmp_path):
+    """The first question spends the budget: the step ends, later ones do not run, the output is written."""
+    steps = [{"step": "ExpandForward", "screener": "all"}, {"step": "ExpandBackward", "screener": "all"}]
+    run = run_pipeline(spark, settings(tmp_path, steps, max_tokens=1), corpus)
+    assert [s["step"] for s in run.shape] == ["LoadSeeds", "ExpandForward", "Finalize"]
+    # CITER1 and CITER2 in one prompt, two votes, four characters a token
+    texts = [f"Title: Title of {i}\nAbstract: Abstract of {i}." for i in ("CITER1", "CITER2")]
+    assert run.tokens == 2 * (sum(-(-len(t) // 4) for t in texts) + -(-len(verdicts.SYSTEM + "on topic") // 4))
+    assert {r["paper_id"] for r in run.collection.collect()} == {"SEED", "CITER1", "CITER2"}
+
+
+def test_token_budget_inside_branches(spark, corpus, tmp_path):
+    """In a branch nothing is asked once the budget is spent; what the branch before it found stays."""
+    branch = [{"step": "ExpandForward", "screener": "all"}]
+    back = [{"step": "ExpandBackward", "screener": "all"}]
+    run = run_pipeline(spark, settings(tmp_path, [{"step": "Parallel", "branches": [branch, back]}], max_tokens=1), corpus)
+    assert [e["kind"] for e in run.events].count("budget_spent") == 1 and run.shape[-1]["step"] == "Finalize"
+    assert {r["paper_id"] for r in run.collection.collect()} == {"SEED", "CITER1", "CITER2"}
+
+
+def test_semantic_similarity_to_the_source(spark, corpus, tmp_path):
+    """CITER1 is within 0.95 of its source SEED, CITER2 is not; WEAK's source has no vector, so on_no_data decides."""
+    near = {"type": "SimilarityFilter", "measures": [{"type": "SemanticSim"}], "threshold": 0.95, "on_no_data": "reject"}
+    run = run_pipeline(spark, settings(tmp_path, [{"step": "ExpandForward", "screener": near}, APART]), corpus)
+    assert {r["paper_id"] for r in run.collection.collect()} == {"SEED", "CITER1"}
+    assert {(r["paper_id"], r["category"]) for r in run.rejected.collect()} == {("CITER2", "similarity")}
+    run = run_pipeline(spark, settings(tmp_path, [{"step": "ExpandForward", "screener": near}, APART], seed_papers=["REF1"]), corpus)
+    assert {r["category"] for r in run.rejected.where("paper_id = 'WEAK'").collect()} == {"similarity_no_data"}
+    run = run_pipeline(spark, settings(tmp_path, [{"step": "ExpandForward", "screener": near}, APART]), Corpus(corpus.papers, corpus.edges))
+    assert {r["category"] for r in run.rejected.collect()} == {"similarity_no_data"}
+    with pytest.raises(config.ConfigError):
+        config.build_block({"type": "SimilarityFilter", "measures": [{"type": "SemanticSim", "embedder": "other"}]}, {})
