@@ -12,9 +12,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fixpoint import materialised
 from .formula import Formula
 
 #: What a model is told and the form of its reply.
@@ -26,10 +28,17 @@ _models: dict[str, Callable[[], Model]] = {}
 
 
 def register_model(name: str, make: Callable[[], Model]) -> None:
-    """make is called in the Python worker; it returns reply = model(system, user, vote)."""
+    """make travels to the Python workers and is called there; it returns reply = model(system, user, vote)."""
     _models[name] = make
 
 
+def maker(name: str) -> Callable[[], Model]:
+    """What makes the model: looked up on the driver, as workers know no registrations."""
+    if name not in _models:
+        raise ValueError(f"no model {name!r} is registered")
+    return _models[name]
+
+
 def _stub() -> Model:
     return lambda system, user, vote: json.dumps({"results": [{"index": int(i), "match": True} for i in re.findall(r"(?m)^\[(\d+)\]", user)]})
 
@@ -88,8 +97,10 @@ def cache_key(model: str, system: str, user: str) -> str:
 
 
 def _ask(model: str, criterion: str, votes: int, batch: int):
+    make = maker(model)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = _models[model]()
+        call = make()
         for f in frames:
             rows = []
             for i in range(0, len(f), batch):
@@ -98,10 +109,10 @@ def _ask(model: str, criterion: str, votes: int, batch: int):
                 for v in range(votes):
                     try:
                         got = parse_matches(call(SYSTEM, user, v), len(part))
-                    except Exception:  # a failed call is a vote against
+                    except Exception:  # a failed call is a vote against, and not remembered
                         got = None
-                    rows += [(key, v, bool(m)) for key, m in zip(part["key"], got or [False] * len(part))]
-            yield pd.DataFrame(rows, columns=["key", "vote", "match"])
+                    rows += [(key, v, m) for key, m in zip(part["key"], got or [None] * len(part))]
+            yield pd.DataFrame(rows, columns=["key", "vote", "match"], dtype=object)
 
     return run
 
@@ -112,26 +123,57 @@ def _items(papers: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
     return p, p.where("trim(content) <> ''").select("key", "content").dropDuplicates(["key"])
 
 
-def tokens_of(papers: DataFrame, criteria: list[str], scope: str = "title_abstract", votes: int = 1, batch: int = 20) -> int:
+def tokens_of(papers: DataFrame, criteria: list[str], scope: str = "title_abstract", votes: int = 1, batch: int = 20, memo: str | None = None, model: str = "stub") -> int:
     """Tokens, about, that verdicts on these criteria send: models here report none, so four characters count as one.
 
     Contents once per criterion and vote, and instructions once per prompt; a partition's last prompt may
-    be shorter than batch, so this is a lower estimate. One row of sums reaches the driver.
+    be shorter than batch, so this is a lower estimate. What the memo answers is not sent. One row of sums
+    reaches the driver.
     """
     _, items = _items(papers, scope)
-    n, size = items.agg(F.count(F.lit(1)), F.sum(F.ceil(F.length("content") / 4))).first()
-    prompts = -(-n // (1 if scope == "full_text" else batch))
-    return sum(max(1, votes) * ((size or 0) + prompts * -(-len(SYSTEM + c) // 4)) for c in criteria)
+    total = 0
+    for c in criteria:
+        asked = items if memo is None else _recalled(items, memo, cache_key(model, SYSTEM, c), max(1, votes))[1]
+        n, size = asked.agg(F.count(F.lit(1)), F.sum(F.ceil(F.length("content") / 4))).first()
+        prompts = -(-n // (1 if scope == "full_text" else batch))
+        total += max(1, votes) * ((size or 0) + prompts * -(-len(SYSTEM + c) // 4))
+    return total
+
+
+_REPLIES = "key string, vote int, match boolean"
+
+
+def _recalled(items: DataFrame, memo: str, question: str, votes: int) -> tuple[DataFrame, DataFrame]:
+    """(stored replies to the question, items that lack some); a memo that is not there yet is empty."""
+    try:
+        stored = items.sparkSession.read.schema(f"question string, {_REPLIES}").parquet(memo)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return items.sparkSession.createDataFrame([], _REPLIES), items
+    known = stored.where((F.col("question") == question) & (F.col("vote") < votes)).join(items.select("key"), "key", "left_semi").select("key", "vote", "match").dropDuplicates(["key", "vote"])
+    full = known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes).select("key")
+    return known.join(full, "key", "left_semi"), items.join(full, "key", "left_anti")
 
 
-def verdicts(papers: DataFrame, criterion: str, scope: str = "title_abstract", votes: int = 1, min_accepts: int = 1, model: str = "stub", batch: int = 20) -> DataFrame:
+def verdicts(papers: DataFrame, criterion: str, scope: str = "title_abstract", votes: int = 1, min_accepts: int = 1, model: str = "stub", batch: int = 20, memo: str | None = None) -> DataFrame:
     """(paper_id, accepts, verdict): accepted with min_accepts of the votes or more.
 
     Equal contents are asked about once (venues above all); empty contents are rejected without asking.
     Full texts go one by one. Papers go through Arrow batches, so no prompt is built on the driver.
+    With a memo (a folder of Parquet) only contents without stored replies of this model to this criterion
+    are asked about, at once, and their replies appended.
     """
     p, items = _items(papers, scope)
-    replies = items.mapInPandas(_ask(model, criterion, max(1, votes), 1 if scope == "full_text" else batch), "key string, vote int, match boolean")
+    ask = _ask(model, criterion, max(1, votes), 1 if scope == "full_text" else batch)
+    if memo is None:
+        replies = items.mapInPandas(ask, _REPLIES)
+    else:
+        question = cache_key(model, SYSTEM, criterion)
+        known, missing = _recalled(items, memo, question, max(1, votes))
+        known, new = materialised(known), materialised(missing.mapInPandas(ask, _REPLIES))
+        new.where("match is not null").select(F.lit(question).alias("question"), "key", "vote", "match").write.mode("append").parquet(memo)
+        replies = known.union(new)
     tally = replies.groupBy("key").agg(F.sum(F.col("match").cast("int")).alias("accepts"))
     n = F.coalesce("accepts", F.lit(0)).cast("long")
     return p.join(tally, "key", "left").select("paper_id", n.alias("accepts"), (n >= min_accepts).alias("verdict"))

@@ -42,6 +42,7 @@ class Settings:
     max_papers: int = 2000
     max_tokens: int = 10**9
     llm_batch_size: int = 20
+    reply_memo: str = ""
     seed_papers: list[SeedPaper] = field(default_factory=list)
     models: dict[str, ModelEndpoint] = field(default_factory=dict)
     blocks: dict[str, dict] = field(default_factory=dict)

@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import inspect
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import communities, dedup, expand, output, ranking, screening, verdicts
+from ..functions.text import normalize_title
+from ..operators import communities, dedup, expand, history, output, ranking, screening, topics, verdicts
 from ..operators.fixpoint import materialised
 from ..operators.formula import Formula
-from ..operators.graph import citation_edges, pagerank
+from ..operators.graph import author_stats, citation_edges, collaboration, degrees, pagerank
 from .config import ConfigError, Settings, build_block, walk
 
 
 #: Rejected papers that a semantic expansion takes as negatives at most.
 NEGATIVES = 50
+#: Shorter titles are too general to tell a seed's other version.
+SIBLING_TITLE = 30
+
+#: Takes the sample (paper_id, accepted, category, and the papers' columns); gives labels (paper_id, keep) and whether to stop.
+Review = Callable[[DataFrame], tuple[DataFrame, bool]]
 
 
 class OutageError(BaseException):
@@ -49,13 +56,16 @@ class StepResult:
 class Run:
     """State of a run: collection (paper_id, depth, source, supporting_papers), seen, rejections, clusters, events."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, corpus: Corpus):
-        self.spark, self.settings, self.corpus = spark, settings, corpus
+    def __init__(self, spark: SparkSession, settings: Settings, corpus: Corpus, review: Review | None = None):
+        self.spark, self.settings, self.corpus, self.review = spark, settings, corpus, review
         self.id_type = dict(corpus.papers.dtypes)["paper_id"]
         self.collection = self._empty(f"paper_id {self.id_type}, depth int, source string, supporting_papers array<{self.id_type}>")
         self.seen = self._empty(f"paper_id {self.id_type}")
         self.rejected = self._empty(f"paper_id {self.id_type}, category string, seq int")
         self.clusters: dict[str, DataFrame] = {}
+        self.names: dict[str, DataFrame] = {}
+        self.judged: list[DataFrame] = []
+        self.resolved: DataFrame | None = None
         self.alias: DataFrame | None = None
         self.shape: list[dict] = []
         self.events: list[dict] = []
@@ -99,7 +109,7 @@ class Run:
 
     def _verdict(self, cands: DataFrame, spec: dict, screener: str | dict) -> DataFrame:
         name = spec.get("name") or next((n for n, b in self.settings.blocks.items() if b is spec or b == spec), "llm")
-        how = {k: spec[k] for k in ("scope", "votes", "min_accepts", "model") if k in spec} | {"batch": self.settings.llm_batch_size}
+        how = {k: spec[k] for k in ("scope", "votes", "min_accepts", "model") if k in spec} | {"batch": self.settings.llm_batch_size, "memo": self.settings.reply_memo or None}
         top = screener if isinstance(screener, dict) else self.settings.blocks.get(screener, {})
         ahead: list = []
         if top.get("type") == "Sequential":  # the layers before the first model are cheap and go first
@@ -114,12 +124,13 @@ class Run:
             raise BudgetSpent(f"{self.tokens} of {self.settings.max_tokens} tokens are used")
         asked = materialised(cands.where(screening.Sequential(ahead).passes()))
         criteria = [spec["queries"][n] for n in Formula(spec["formula"]).names()] if spec.get("formula") else [spec.get("prompt", "")]
-        self.tokens += verdicts.tokens_of(asked, criteria, **{k: how[k] for k in ("scope", "votes", "batch") if k in how})
+        self.tokens += verdicts.tokens_of(asked, criteria, **{k: how[k] for k in ("scope", "votes", "batch", "memo", "model") if k in how})
         if spec.get("formula"):
             got = verdicts.formula_verdicts(asked, spec["formula"], spec["queries"], **how)
         else:
             got = verdicts.verdicts(asked, spec.get("prompt", ""), **how)
         got = materialised(got.select("paper_id", F.col("verdict").alias(f"verdict_{name}")))
+        self.judged.append(got.select("paper_id", F.lit(name).alias("filter"), F.col(f"verdict_{name}").alias("accepted"), F.lit(len(self.judged)).alias("seq")))
         return cands.join(got, "paper_id", "left")
 
     def spent(self) -> bool:
@@ -145,13 +156,42 @@ class Run:
 
     # -- steps ----------------------------------------------------------------------------------
 
-    def load_seeds(self, signal: DataFrame) -> StepResult:
+    def _primaries(self) -> DataFrame:
+        """(paper_id) of the seeds in the corpus, by id or by title."""
         ids = [(p.paper_id,) for p in self.settings.seed_papers if p.paper_id is not None]
         s = self.spark.createDataFrame(ids, f"paper_id {self.id_type}")
         titles = [(p.title,) for p in self.settings.seed_papers if p.paper_id is None and p.title]
         if titles:
             s = s.union(expand.resolve_titles(self.spark.createDataFrame(titles, "title string"), self.corpus.papers).select("paper_id"))
-        s = materialised(s.distinct().join(self.corpus.papers.select("paper_id"), "paper_id", "left_semi").join(self.collection, "paper_id", "left_anti"))
+        return materialised(s.distinct().join(self.corpus.papers.select("paper_id"), "paper_id", "left_semi"))
+
+    def _siblings(self, seeds: DataFrame) -> DataFrame:
+        """(paper_id) of other versions of seeds: papers that share an external id, or a long title and an author; unknown authors do not speak against it."""
+        p = self.corpus.papers
+        out = self._empty(f"paper_id {self.id_type}")
+        if "external_ids" in p.columns:
+            keys = dedup.external_keys(p)
+            out = out.union(keys.join(keys.join(seeds, "paper_id", "left_semi").select("key").distinct(), "key", "left_semi").select("paper_id"))
+        t = p.where(F.char_length(F.trim("title")) >= SIBLING_TITLE).select("paper_id", normalize_title("title").alias("t")).where("t <> ''")
+        mine = t.join(seeds, "paper_id", "left_semi").select(F.col("paper_id").alias("seed"), "t")
+        pairs = materialised(t.join(mine, "t").where("paper_id <> seed").select("seed", "paper_id"))
+        if self.corpus.authorship is not None:
+            both = pairs.select("paper_id").union(pairs.select("seed")).distinct()
+            known = self.corpus.authorship.where("author_id is not null").join(both, "paper_id", "left_semi").groupBy("paper_id").agg(F.collect_set("author_id").alias("authors"))
+            pairs = pairs.join(known, "paper_id", "left").join(known.select(F.col("paper_id").alias("seed"), F.col("authors").alias("seed_authors")), "seed", "left")
+            pairs = pairs.where("authors is null or seed_authors is null or arrays_overlap(authors, seed_authors)")
+        return out.union(pairs.select("paper_id")).distinct()
+
+    def resolve_seeds(self, signal: DataFrame, include_siblings: bool = False) -> StepResult:
+        """What LoadSeeds will load; the signal goes through."""
+        s = self._primaries()
+        self.resolved = materialised(s.union(self._siblings(s)).distinct()) if include_siblings else s
+        n, total = s.count(), self.resolved.count()
+        return StepResult(signal, {"input_seeds": len(self.settings.seed_papers), "primaries_resolved": n, "siblings_added": total - n, "include_siblings": include_siblings})
+
+    def load_seeds(self, signal: DataFrame) -> StepResult:
+        s = self._primaries() if self.resolved is None else self.resolved
+        s = materialised(s.join(self.collection, "paper_id", "left_anti"))
         new = s.select("paper_id", F.lit(0).alias("depth"), F.lit("seed").alias("source"), F.array().cast(f"array<{self.id_type}>").alias("supporting_papers"))
         self.collection = materialised(self.collection.union(new))
         self.seen = materialised(self.seen.union(s).distinct())
@@ -236,17 +276,27 @@ class Run:
         s = signal.join(scores, "paper_id", "left").join(labels, "paper_id", "left").withColumn("cid", F.coalesce("cid", F.lit(-1)))
         return StepResult(self.signal(ranking.diverse_top_k(s, k).select("paper_id")))
 
-    def cluster(self, signal: DataFrame, store_as: str = "clusters", algorithm: str | dict = "louvain", drop_noise: bool = False) -> StepResult:
+    def cluster(self, signal: DataFrame, store_as: str = "clusters", algorithm: str | dict = "louvain", drop_noise: bool = False, naming: dict | None = None) -> StepResult:
+        """naming {mode: tfidf or llm, model} gives clusters names, kept in `names`."""
+        naming = {"mode": "tfidf", "model": "stub"} | naming if naming else None
+        if naming and (set(naming) != {"mode", "model"} or naming["mode"] not in ("tfidf", "llm")):
+            raise ConfigError(f"bad naming {naming!r}")
         labels = communities.cluster(algorithm, self.edges(), self.corpus.vectors)
         labels = materialised(signal.select("paper_id").join(labels, "paper_id", "left").select("paper_id", F.coalesce("cid", F.lit(-1)).alias("cid")))
         self.clusters[store_as] = labels
+        if naming:
+            texts = [F.col(c) for c in ("title", "abstract") if c in self.corpus.papers.columns]
+            keywords = materialised(topics.ctfidf(labels.join(self.corpus.papers, "paper_id").select("cid", F.concat_ws(" ", *texts).alias("text"))))
+            self.names[store_as] = materialised(topics.named(keywords, naming["model"] if naming["mode"] == "llm" else None))
         out = signal.join(labels.where("cid = -1"), "paper_id", "left_anti") if drop_noise else signal
         return StepResult(out, {"clusters": labels.where("cid <> -1").select("cid").distinct().count()})
 
     def merge_duplicates(self, signal: DataFrame, title_threshold: float = 0.95, semantic_threshold: float = 0.98, year_window: int = 1) -> StepResult:
         """Duplicates become one paper: in the collection, the signal, and the run's papers and edges."""
         p = dedup.with_normal_titles(self.known(self.collection.select("paper_id")))
-        author = self.corpus.authorship.groupBy("paper_id").agg(F.min("author_id").cast("string").alias("author")) if self.corpus.authorship is not None else p.select("paper_id", F.lit(None).cast("string").alias("author"))
+        # the first author by position where that is known
+        first = F.min_by("author_id", "position") if self.corpus.authorship is not None and "position" in self.corpus.authorship.columns else F.min("author_id")
+        author = self.corpus.authorship.where("author_id is not null").groupBy("paper_id").agg(first.cast("string").alias("author")) if self.corpus.authorship is not None else p.select("paper_id", F.lit(None).cast("string").alias("author"))
         vec = self.corpus.vectors if self.corpus.vectors is not None else p.select("paper_id", F.lit(None).cast("array<float>").alias("embedding"))
         p = materialised(p.select("paper_id", "norm_title", *(c for c in ("year", "venue", "citation_count", "abstract", "external_ids") if c in p.columns)).join(author, "paper_id", "left").join(vec.select("paper_id", "embedding"), "paper_id", "left"))
         if "abstract" not in p.columns:
@@ -314,6 +364,50 @@ class Run:
         c = self.collection.join(refs, "paper_id", "left")
         return materialised(citation_edges(c))
 
+    def human_in_the_loop(self, signal: DataFrame, enabled: bool = False, k: int = 20, seed: str = "0", include_accepted: bool = True, include_rejected: bool = True) -> StepResult:
+        """A sample goes to the run's reviewer; how far models agree with the labels goes to a report. The signal stays.
+
+        At most k papers are read in full. Without a reviewer the sample is written, and the report says that nothing was labelled.
+        """
+        if not enabled:
+            return StepResult(signal, {"reason": "disabled"})
+        no = self.rejected.groupBy("paper_id").agg(F.min_by("category", "seq").alias("category")).join(self.collection, "paper_id", "left_anti")
+        yes = self.collection.where("source <> 'seed'").select("paper_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("category"))
+        pool = no.select("paper_id", F.lit(False).alias("accepted"), "category").where(F.lit(include_rejected)).union(yes.where(F.lit(include_accepted)))
+        sample = materialised(ranking.hitl_sample(pool, k, seed).join(self.corpus.papers.drop("accepted", "category"), "paper_id", "left"))
+        if not (n := sample.count()):
+            return StepResult(signal, {"reason": "no_candidates"})
+        base = self.settings.data_dir
+        sample.write.mode("overwrite").json(f"{base}/hitl_sample.json")
+        labels, stop = self.review(sample) if self.review else (self._empty(f"paper_id {self.id_type}, keep boolean"), False)
+        labels = materialised(labels.where("keep is not null").join(sample.select("paper_id"), "paper_id", "left_semi").groupBy("paper_id").agg(F.max("keep").alias("keep")))
+        judged = self._empty(f"paper_id {self.id_type}, filter string, accepted boolean, seq int")
+        for j in self.judged:
+            judged = judged.union(j)
+        judged = judged.join(labels, "paper_id", "left_semi").groupBy("filter", "paper_id").agg(F.max_by("accepted", "seq").alias("accepted"))
+        agreed = history.agreement(judged, labels).orderBy("filter").collect()  # one row a filter
+        report = {
+            "candidates": n, "labels_collected": labels.count(), "stop_requested": bool(stop), "agreement_by_filter": {r["filter"]: r["agreement"] for r in agreed},
+            "low_agreement_filters": [r["filter"] for r in agreed if r["low"]], "config": {"k": k, "seed": seed, "include_accepted": include_accepted, "include_rejected": include_rejected},
+        }
+        self._text(json.dumps(report), "hitl_report.json")
+        return StepResult(signal, {x: report[x] for x in ("candidates", "labels_collected", "low_agreement_filters", "stop_requested")}, stop=bool(stop))
+
+    def _text(self, text: str, name: str) -> None:
+        self.spark.createDataFrame([(text,)], "line string").coalesce(1).write.mode("overwrite").text(f"{self.settings.data_dir}/{name}")
+
+    def _author_graph(self, papers: DataFrame) -> None:
+        a = papers.select("paper_id", *(F.col(c) if c in papers.columns else F.lit(None).cast("long").alias(c) for c in ("year", "citation_count"))).join(self.corpus.authorship.where("author_id is not null"), "paper_id")
+        held = materialised(a.select("paper_id", "year", "citation_count", F.col("author_id").alias("author")).distinct())
+        pairs = materialised(collaboration(held))
+        # further columns of the authorship table describe the author
+        more = [c for c in a.columns if c not in ("paper_id", "year", "citation_count", "author_id", "position")]
+        v = author_stats(held).withColumnRenamed("author", "id").join(degrees(pairs), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        if more:
+            v = v.join(a.groupBy(F.col("author_id").alias("id")).agg(*(F.min(c).alias(f"author_{c}") for c in more)), "id", "left")
+        e = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "strength", "first_year", "last_year", "duration", F.col("n_papers").alias("n_collaborations"))
+        output.write_graphml(v, e, f"{self.settings.data_dir}/collaboration_network.graphml", directed=False)
+
     def finalize(self, signal: DataFrame) -> StepResult:
         base = self.settings.data_dir
         papers = self.collection.join(self.corpus.papers, "paper_id", "left")
@@ -323,14 +417,23 @@ class Run:
         if self.collection.count() >= 2:
             attrs = [c for c in ("title", "year", "venue", "citation_count", "depth", "source") if c in papers.columns]
             output.write_graphml(papers.select(F.col("paper_id").alias("id"), *attrs), e, f"{base}/citation_network.graphml")
+        if self.corpus.authorship is not None:
+            self._author_graph(papers)
         self.rejected.write.mode("overwrite").parquet(f"{base}/rejections")
+        about = self.corpus.papers.select("paper_id", *(F.col(c) if c in self.corpus.papers.columns else F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("year", "int"))))
+        history.rejection_ledger(self.rejected, about).write.mode("overwrite").json(f"{base}/rejected_papers.json")
+        for name, labels in self.names.items():
+            labels.write.mode("overwrite").json(f"{base}/clusters_{name}.json")
+        self._text(json.dumps(self.shape), "shape_summary.json")
+        self._text(shape_text(self.shape), "shape_summary.txt")
         state = output.run_state(1, [str(p.paper_id) for p in self.settings.seed_papers], None, {"max_tokens": self.settings.max_tokens, "used_tokens": self.tokens})
         self.spark.createDataFrame([(state,), (json.dumps(self.shape),)], "line string").write.mode("overwrite").text(f"{base}/run_state")
         return StepResult(self.signal(self._empty(f"paper_id {self.id_type}")), stop=True)
 
     STEPS = {
-        "LoadSeeds": load_seeds, "ResolveSeeds": load_seeds, "ExpandForward": expand_forward, "ExpandBackward": expand_backward, "ExpandBySearch": expand_by_search, "ExpandBySemantics": expand_by_semantics,
-        "ExpandByAuthor": expand_by_author, "ReScreen": rescreen, "Rerank": rerank, "Cluster": cluster, "MergeDuplicates": merge_duplicates, "Parallel": parallel, "Finalize": finalize,
+        "LoadSeeds": load_seeds, "ResolveSeeds": resolve_seeds, "ExpandForward": expand_forward, "ExpandBackward": expand_backward, "ExpandBySearch": expand_by_search, "ExpandBySemantics": expand_by_semantics,
+        "ExpandByAuthor": expand_by_author, "ReScreen": rescreen, "Rerank": rerank, "Cluster": cluster, "MergeDuplicates": merge_duplicates, "Parallel": parallel,
+        "HumanInTheLoop": human_in_the_loop, "Finalize": finalize,
     }
 
     def step(self, spec: dict, signal: DataFrame) -> StepResult:
@@ -362,8 +465,9 @@ def check_step(spec: dict) -> None:
 def rewritten(steps: list[dict]) -> list[dict]:
     """Seeds are loaded first and duplicates merged before the end, whether or not the configuration says so."""
     steps = list(steps)
-    if not steps or steps[0].get("step") not in ("LoadSeeds", "ResolveSeeds"):
-        steps.insert(0, {"step": "LoadSeeds"})
+    first = 1 if steps and steps[0].get("step") == "ResolveSeeds" else 0
+    if len(steps) == first or steps[first].get("step") != "LoadSeeds":
+        steps.insert(first, {"step": "LoadSeeds"})
     if not any(s.get("step") == "MergeDuplicates" for s in steps):
         at = next((i for i, s in enumerate(steps) if s.get("step") == "Finalize"), len(steps))
         steps.insert(at, {"step": "MergeDuplicates"})
@@ -372,7 +476,7 @@ def rewritten(steps: list[dict]) -> list[dict]:
     return steps
 
 
-def run_pipeline(spark: SparkSession, settings: Settings, corpus: Corpus) -> Run:
+def run_pipeline(spark: SparkSession, settings: Settings, corpus: Corpus, review: Review | None = None) -> Run:
     """All steps in turn. Beyond max_papers or max_tokens, or if a step fails or an outage ends it, what there is gets finalised.
 
     Tokens are counted as verdicts.tokens_of estimates them, before a model is asked.
@@ -380,7 +484,7 @@ def run_pipeline(spark: SparkSession, settings: Settings, corpus: Corpus) -> Run
     steps = rewritten(settings.pipeline)
     for s in steps:
         check_step(s)
-    run = Run(spark, settings, corpus)
+    run = Run(spark, settings, corpus, review)
     signal = run._empty(f"paper_id {run.id_type}, ord int")
     try:
         for spec in steps[:-1]:
@@ -397,6 +501,13 @@ def run_pipeline(spark: SparkSession, settings: Settings, corpus: Corpus) -> Run
     return run
 
 
+def shape_text(shape: list[dict]) -> str:
+    """The steps as a table of text: signal in and out, change of the collection, the first 80 characters of the notes."""
+    rows = [("step", "in", "out", "delta", "notes")] + [(s["step"], str(s["in"]), str(s["out"]), f"{s['delta']:+d}", json.dumps(s["stats"])[:80]) for s in shape]
+    width = [max(len(r[i]) for r in rows) for i in range(4)]
+    return "\n".join("  ".join([r[0].ljust(width[0]), *(r[i].rjust(width[i]) for i in (1, 2, 3)), r[4]]).rstrip() for r in rows)
+
+
 def shape_table(run: Run) -> DataFrame:
     """One row a step: signal in and out, change of the collection, notes."""
     rows = [(i, s["step"], s["in"], s["out"], s["delta"], json.dumps(s["stats"])[:80]) for i, s in enumerate(run.shape)]

@@ -1,10 +1,12 @@
 """A chain of papers through whole pipelines, and the checks of configurations."""
 
 import glob
+import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestar.operators import output, verdicts
+from lodestar.operators import output, topics, verdicts
 from lodestar.plans import config
 from lodestar.plans.pipeline import Corpus, rewritten, run_pipeline, shape_table
 from lodestar.sources import records
@@ -107,7 +109,7 @@ def test_merge_duplicates_keeps_values_and_citations(spark, tmp_path):
     assert (q["title"], q["abstract"], q["venue"], q["year"], q["citation_count"]) == ("The final work", "What it says.", "Nature", 2021, 90)
 
 
-@pytest.mark.parametrize("step", [{"step": "Cluster", "naming": {"mode": "tfidf"}}, {"step": "ResolveSeeds", "include_siblings": True}, {"step": "ExpandByPDF"}, {"step": "Parallel", "branches": [[{"step": "HumanInTheLoop"}]]}])
+@pytest.mark.parametrize("step", [{"step": "Cluster", "namings": {"mode": "tfidf"}}, {"step": "LoadSeeds", "include_siblings": True}, {"step": "ExpandByPDF"}, {"step": "Parallel", "branches": [[{"step": "HumanInTheLoop", "wait": 1}]]}])
 def test_refused_options(spark, corpus, tmp_path, step):
     with pytest.raises(config.ConfigError):
         run_pipeline(spark, settings(tmp_path, [step]), corpus)
@@ -145,3 +147,96 @@ def test_semantic_similarity_to_the_source(spark, corpus, tmp_path):
     assert {r["category"] for r in run.rejected.collect()} == {"similarity_no_data"}
     with pytest.raises(config.ConfigError):
         config.build_block({"type": "SimilarityFilter", "measures": [{"type": "SemanticSim", "embedder": "other"}]}, {})
+
+
+def _read(path):
+    return "".join(open(f).read() for f in sorted(glob.glob(f"{path}/part-*")))
+
+
+def test_review(spark, corpus, tmp_path):
+    """The reviewer would not keep CITER2, the model accepts both; WEAK was rejected before any model saw it. The reviewer ends the run."""
+    seen = []
+
+    def review(sample):
+        seen.extend((r["paper_id"], r["accepted"], r["title"]) for r in sample.collect())
+        return spark.createDataFrame([("CITER1", True), ("CITER2", False), ("WEAK", False), ("OTHER", True)], "paper_id string, keep boolean"), True
+
+    steps = [{"step": "ExpandForward", "screener": "all"}, {"step": "HumanInTheLoop", "enabled": True, "k": 6}, {"step": "ExpandBackward", "screener": "all"}]
+    run = run_pipeline(spark, settings(tmp_path, steps, seed_papers=["SEED", "REF1"]), corpus, review)
+    assert {(p, ok) for p, ok, _ in seen} == {("CITER1", True), ("CITER2", True), ("REF3", True), ("WEAK", False)}
+    assert ("WEAK", False, "Title of WEAK") in seen
+    report = json.loads(_read(tmp_path / "hitl_report.json"))
+    assert (report["candidates"], report["labels_collected"], report["stop_requested"]) == (4, 3, True)
+    assert report["agreement_by_filter"] == {"model": 0.5} and report["low_agreement_filters"] == []
+    assert [s["step"] for s in run.shape] == ["LoadSeeds", "ExpandForward", "HumanInTheLoop", "Finalize"]
+    ledger = [json.loads(x) for x in _read(tmp_path / "rejected_papers.json").splitlines()]
+    assert [(x["paper_id"], x["categories"]) for x in ledger] == [("WEAK", ["year"])]
+    assert _read(tmp_path / "shape_summary.txt").splitlines()[0].split() == ["step", "in", "out", "delta", "notes"]
+    assert [s["step"] for s in json.loads(_read(tmp_path / "shape_summary.json"))] == ["LoadSeeds", "ExpandForward", "HumanInTheLoop"]
+
+
+def test_review_without_reviewer(spark, corpus, tmp_path):
+    run = run_pipeline(spark, settings(tmp_path, [{"step": "HumanInTheLoop"}, {"step": "HumanInTheLoop", "enabled": True}, APART]), corpus)
+    assert [s["stats"].get("reason") for s in run.shape[1:3]] == ["disabled", "no_candidates"]
+
+
+def test_siblings_and_author_graph(spark, tmp_path):
+    """Of seed A: B shares its DOI, C title and author, D the title alone (other authors), E the title (no known author), F a short title."""
+    long = "A study of very many things in one place"
+    p = spark.createDataFrame(
+        [("A", long, 2020, 5, {"DOI": "10.1/x"}), ("B", "Another name", 2021, 6, {"DOI": "https://doi.org/10.1/X"}), ("C", long.upper() + "!", 2019, None, None), ("D", long, 2018, 1, None), ("E", long, None, 1, None), ("F", "Short", 2018, 1, None), ("G", "Short", 2018, 1, None)],
+        "paper_id string, title string, year int, citation_count long, external_ids map<string,string>",
+    )
+    p = p.withColumn("venue", F.lit("Nature"))
+    e = spark.createDataFrame([("A", "F")], "citing_id string, cited_id string")
+    a = spark.createDataFrame([("A", "u1", 1, "Ann"), ("A", "u2", 0, "Bo"), ("C", "u1", 0, "Ann"), ("D", "u3", 0, "Cy"), ("F", "u2", 0, "Bo"), ("G", "u2", 0, "Bo")], "paper_id string, author_id string, position int, name string")
+    s = config.load_settings({"data_dir": str(tmp_path), "seed_papers": ["A", {"title": "short"}], "blocks": BLOCKS, "pipeline": [{"step": "ResolveSeeds", "include_siblings": True}, {"step": "MergeDuplicates", "title_threshold": 1.1}]})
+    run = run_pipeline(spark, s, Corpus(p, e, None, a))
+    assert [x["step"] for x in run.shape] == ["ResolveSeeds", "LoadSeeds", "MergeDuplicates", "Finalize"]
+    assert {r["paper_id"] for r in run.resolved.collect()} == {"A", "B", "C", "E", "F"}
+    assert run.shape[0]["stats"] == {"input_seeds": 2, "primaries_resolved": 2, "siblings_added": 3, "include_siblings": True}
+    v, arcs = records.read_graphml(spark, f"{tmp_path}/collaboration_network.graphml/*.txt")
+    got = {r["id"]: r["attrs"] for r in v.collect()}
+    assert set(got) == {"u1", "u2"} and got["u1"]["papers"] == "2" and got["u1"]["author_name"] == "Ann" and got["u2"]["degree"] == "1"
+    assert {(r["src"], r["dst"]) for r in arcs.collect()} == {("u1", "u2")}
+
+
+def test_naming(spark, corpus, tmp_path):
+    rows = [
+        (1, '{"results": [{"cluster_id": 1, "topic_label": " One ", "summary": "s"}, {"cluster_id": true, "topic_label": "x"}, {"cluster_id": "4", "label": "x"}, {"cluster_id": 2, "label": "Two"}, {"cluster_id": 3}, {"cluster_id": 1, "label": "Last"}]}', [(1, "Last", ""), (2, "Two", "")]),
+        (2, '```json\n[{"cluster_id": 7.0, "topic_label": "", "label": "Seven"}]\n```', [(7, "Seven", "")]),
+        (3, "no json", None),
+        (4, None, None),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "k int, reply string").select("k", topics.parsed_names("reply").alias("x"))
+    got = {r["k"]: None if r["x"] is None else sorted(tuple(x) for x in r["x"]) for r in df.collect()}
+    assert got == {k: v for k, _, v in rows}
+    verdicts.register_model("namer", lambda: lambda system, user, vote: json.dumps([{"cluster_id": 0, "topic_label": "Zero", "summary": "all"}]))
+    words = spark.createDataFrame([(0, "cat", 1), (0, "dog", 2), (5, "tree", 1)], "cid long, term string, rank int")
+    named = {tuple(r) for r in topics.named(words, "namer").collect()}
+    assert named == {(0, "Zero", "all"), (5, "tree", "")}
+    run = run_pipeline(spark, settings(tmp_path, [{"step": "ExpandForward", "screener": "year"}, {"step": "Cluster", "store_as": "c", "naming": {"mode": "llm"}}, APART]), corpus)
+    assert run.names["c"].count() == run.shape[2]["stats"]["clusters"] > 0
+
+
+def test_reply_memo(spark, corpus, tmp_path):
+    """The second run asks nothing, so no token is spent; another criterion is asked; failed calls are not stored."""
+    memo = str(tmp_path / "memo")
+    more = {"reply_memo": memo}
+    steps = [{"step": "ExpandForward", "screener": "all"}, APART]
+    one = run_pipeline(spark, settings(tmp_path, steps, **more), corpus)
+    two = run_pipeline(spark, settings(tmp_path, steps, **more), corpus)
+    assert one.tokens > 0 and two.tokens == 0
+    assert sorted(map(tuple, one.collection.collect())) == sorted(map(tuple, two.collection.collect()))
+    assert spark.read.parquet(memo).count() == 4  # two papers, two votes
+
+    def broken():
+        def call(system, user, vote):
+            raise OSError("away")
+        return call
+
+    verdicts.register_model("broken", broken)
+    p = corpus.papers.where("paper_id = 'SEED'")
+    assert [tuple(r) for r in verdicts.verdicts(p, "on topic", model="broken", memo=memo).collect()] == [("SEED", 0, False)]
+    assert [tuple(r) for r in verdicts.verdicts(p, "other", memo=memo).collect()] == [("SEED", 1, True)]
+    assert spark.read.parquet(memo).count() == 5
