@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import references as R
 from ..functions.text import clean_label, extract_doi, normalize_title
+from .fixpoint import materialised, numbered
 
 #: Cached failures; those after which a text, or the bytes, are not asked for again.
 ERRORS = ("no_pdf", "download_failed", "parse_failed", "too_large")
@@ -65,13 +65,13 @@ def fetch_chain(attempts: DataFrame) -> DataFrame:
     Attempts of a recipe that once asked for a login, or of a browser recipe after three hard failures in a
     row over the papers in order, do not count: they would not have been made.
     """
-    order = W.partitionBy("recipe").orderBy("paper_id").rowsBetween(W.unboundedPreceding, -1)
-    auth = F.coalesce(F.max((F.col("status") == "auth_required").cast("int")).over(order), F.lit(0)) > 0
-    hard = F.col("status").isin("blocked", "error").cast("int")
-    last3 = F.coalesce(F.sum(hard).over(W.partitionBy("recipe").orderBy("paper_id").rowsBetween(-3, -1)), F.lit(0)) == 3
-    a = attempts.withColumn("skip", auth | ((F.col("kind") == "browser") & last3))
-    # once suppressed, a recipe stays so
-    a = a.withColumn("skip", F.max(F.col("skip").cast("int")).over(W.partitionBy("recipe").orderBy("paper_id").rowsBetween(W.unboundedPreceding, 0)) > 0).where("not skip")
+    # a recipe is suppressed after the first row that does it and stays so: few recipes hold all attempts, so no window goes over one
+    a = materialised(numbered(attempts, "recipe", "paper_id", "step"))
+    hard = a.where((F.col("kind") == "browser") & F.col("status").isin("blocked", "error")).select("recipe", "pos")
+    for _ in range(2):  # the last row of two hard failures in a row, then of three
+        hard = hard.join(a.where(F.col("status").isin("blocked", "error")).select("recipe", (F.col("pos") - 1).alias("pos")), ["recipe", "pos"], "left_semi").select("recipe", (F.col("pos") + 1).alias("pos"))
+    ends = a.where("status = 'auth_required'").select("recipe", "pos").union(hard).groupBy("recipe").agg(F.min("pos").alias("last"))
+    a = a.join(ends, "recipe", "left").where("last is null or pos <= last")
     best = F.struct((F.col("status") != "ok").cast("int").alias("bad"), F.when(F.col("status") == "ok", F.col("step")).otherwise(-F.col("step")).alias("pos"))
     return a.groupBy("paper_id").agg(F.min_by(F.struct("status", "recipe"), best).alias("r")).select("paper_id", "r.status", "r.recipe")
 

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,22 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
+    """df with name, the number of each row from 0 in the order given, which must be total for reruns to agree.
+
+    Rows are sorted by ranges and numbered inside them, so no task sees all; one row a range reaches the driver.
+    """
+    spark = df.sparkSession
+    s = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    s = materialised(s)
+    start, before = [], 0
+    for r in s.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        start.append((r["_part"], before))
+        before += r["n"]
+    starts = spark.createDataFrame(start, "_part int, _start long")  # a row for each range
+    return s.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Callable[[DataFrame], tuple] | None = None, most: int = 10_000) -> DataFrame:
     """step applied until the mark (by default a row count and hash sum) stays."""
     mark = mark or signature

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .fixpoint import materialised, numbered
+
 #: Dollars for a million input, output and reasoning tokens, by model name prefix; GENERIC for others.
 GENERIC = (0.30, 2.50, 2.50)
+#: Calls of a source that are searched together.
+BLOCK = 4096
 
 
 def priced(calls: DataFrame, prices: dict[str, tuple[float, float, float]]) -> DataFrame:
@@ -53,13 +57,30 @@ def rejection_ledger(rejected: DataFrame, papers: DataFrame) -> DataFrame:
 def breaker(calls: DataFrame, limit: int = 10) -> DataFrame:
     """calls (source, call_id, ok) with `streak`, failures in a row, and `open` once a streak has reached the limit.
 
-    Streaks are islands between successes of one source.
+    A streak is how far a call is from its source's last success, or start; a call of unknown outcome counts
+    as a failure. The calls of a source are searched in blocks of BLOCK, then the blocks, so that one source
+    may hold most calls.
     """
-    w = W.partitionBy("source").orderBy("call_id").rowsBetween(W.unboundedPreceding, 0)
-    island = calls.withColumn("island", F.sum(F.col("ok").cast("int")).over(w))
-    streak = F.sum((~F.col("ok")).cast("int")).over(W.partitionBy("source", "island").orderBy("call_id").rowsBetween(W.unboundedPreceding, 0))
-    s = island.withColumn("streak", streak)
-    return s.withColumn("open", F.max("streak").over(w) >= limit).drop("island")
+    c = numbered(calls, "source", "call_id")
+    first = c.groupBy("source").agg(F.min("pos").alias("_first"))
+    c = materialised(_with(c, first, "source").withColumn("_block", F.floor((F.col("pos") - F.col("_first")) / BLOCK)))
+    good = F.when(F.col("ok"), F.col("pos"))
+    blocks = c.groupBy("source", "_block").agg(F.max(good).alias("_good"))
+    upto = W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("source", "_block", F.max("_good").over(upto).alias("_before"))
+    inside = F.max(good).over(W.partitionBy("source", "_block").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    s = _with(c.withColumn("_good", inside), blocks, "source", "_block")
+    s = s.withColumn("streak", F.col("pos") - F.coalesce(F.greatest("_good", "_before"), F.col("_first") - 1))
+    opens = s.where(F.col("streak") >= limit).groupBy("source").agg(F.min("pos").alias("_open"))
+    s = _with(s, opens, "source").withColumn("open", F.coalesce(F.col("pos") >= F.col("_open"), F.lit(False)))
+    return s.select(*calls.columns, "streak", "open")
+
+
+def _with(df: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
+    """df with few's other columns, null keys being equal."""
+    f = few.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return df.join(f, on, "left").drop(*(f"_of_{k}" for k in keys))
 
 
 def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
@@ -70,8 +91,8 @@ def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 def review_corpus(extractions: DataFrame) -> DataFrame:
     """(pos, paper_id, block): papers numbered by id for a synthesis, `[n] title` and its extraction each."""
-    pos = F.row_number().over(W.orderBy("paper_id"))
-    return extractions.select(pos.alias("pos"), "paper_id", "title", "body").select("pos", "paper_id", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))).alias("block"))
+    e = numbered(extractions.select("paper_id", "title", "body"), "paper_id", "title", "body")
+    return e.withColumn("pos", (F.col("pos") + 1).cast("int")).select("pos", "paper_id", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))).alias("block"))
 
 
 def fetch_stats(results: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
 from ..operators import communities, dedup, expand, history, output, ranking, screening, topics, verdicts
-from ..operators.fixpoint import materialised
+from ..operators.fixpoint import materialised, numbered
 from ..operators.formula import Formula
 from ..operators.graph import author_stats, citation_edges, collaboration, degrees, pagerank
 from .config import ConfigError, Settings, build_block, walk
@@ -79,7 +79,7 @@ class Run:
         self.events.append({"seq": len(self.events), "kind": kind, **what})
 
     def signal(self, ids: DataFrame) -> DataFrame:
-        return ids.select("paper_id", F.row_number().over(W.orderBy("paper_id")).alias("ord")) if "ord" not in ids.columns else ids.select("paper_id", "ord")
+        return numbered(ids.select("paper_id"), "paper_id", name="ord").withColumn("ord", (F.col("ord") + 1).cast("int")) if "ord" not in ids.columns else ids.select("paper_id", "ord")
 
     # -- screening ------------------------------------------------------------------------------
 

@@ -226,3 +226,60 @@ def test_page_links(spark):
     }
     d = spark.createDataFrame([(k, v) for k, v in pages.items()], "html string, want string")
     assert all(r["got"] == r["want"] for r in d.select("want", pdf_url_from_html("html", F.lit("https://x.org/p")).alias("got")).collect())
+
+
+def test_numbered_rows(spark):
+    import random
+
+    from lodestar.operators.fixpoint import numbered
+
+    xs = list(range(500))
+    random.Random(1).shuffle(xs)
+    got = numbered(spark.createDataFrame([(x, x % 7) for x in xs], "x int, y int").repartition(9), "y", "x").collect()
+    want = sorted(((x % 7, x) for x in xs))
+    assert [(r["y"], r["x"]) for r in sorted(got, key=lambda r: r["pos"])] == want
+    assert sorted(r["pos"] for r in got) == list(range(500))
+    assert numbered(spark.createDataFrame([], "x int"), "x").count() == 0
+
+
+def test_breaker_in_blocks(spark, monkeypatch):
+    """Streaks that cross blocks, a source of most calls, one without a name, unknown outcomes."""
+    import random
+
+    from lodestar.operators import history
+
+    monkeypatch.setattr(history, "BLOCK", 4)
+    r = random.Random(2)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), i, r.choice([True, False, False, False, None])) for i in range(120)] + [("late", 1000 + i, False) for i in range(9)]
+    want, state = set(), {}
+    for s, i, ok in rows:
+        n, was = state.get(s, (0, False))
+        n = 0 if ok else n + 1
+        state[s] = (n, was or n >= 3)
+        want.add((s, i, ok, n, state[s][1]))
+    got = history.breaker(spark.createDataFrame(rows, "source string, call_id int, ok boolean"), 3)
+    assert got.columns == ["source", "call_id", "ok", "streak", "open"]
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_fetch_chain_suppression(spark):
+    """Against one attempt after another: a login ends any recipe, three hard failures in a row a browser recipe."""
+    import random
+
+    from lodestar.operators.acquire import fetch_chain
+
+    r = random.Random(3)
+    kinds = {"h": "http", "w": "browser", "v": "browser"}
+    rows = [(p, k, n, kinds[n], r.choice(["blocked", "error", "not_found", "not_found", "ok"] if p > 40 or n != "v" else ["auth_required" if p == 30 else "not_found"])) for p in range(80) for k, n in enumerate(kinds)]
+    dead, run, tried = set(), {}, {}
+    for p, k, n, kind, status in rows:
+        if n in dead:
+            continue
+        tried.setdefault(p, []).append((status, n))
+        run[n] = run.get(n, 0) + 1 if status in ("blocked", "error") else 0
+        if status == "auth_required" or (kind == "browser" and run[n] >= 3):
+            dead.add(n)
+    want = {(p, *next((x for x in t if x[0] == "ok"), t[-1])) for p, t in tried.items()}
+    assert dead == {"w", "v"}
+    got = fetch_chain(spark.createDataFrame(rows, "paper_id int, step int, recipe string, kind string, status string").repartition(5))
+    assert {tuple(x) for x in got.collect()} == want
