@@ -24,6 +24,8 @@ ENCODE_BATCH_ROWS = 4096
 #: Pieces that one worker remembers before it starts anew (about 150 bytes each).
 CACHE_PIECES = 800_000
 
+#: Bytes of one Arrow batch at most; a single longer row is a batch of its own.
+BATCH_BYTES = 32 << 20
 #: Bytes of text that one task of a shuffle takes, about.
 PART_BYTES = 16 << 20
 
@@ -69,6 +71,7 @@ def saved(df: DataFrame, where: str | None = None, **options: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
@@ -95,6 +98,21 @@ def block_rows(rows: int) -> int:
     return max(256, math.isqrt(rows))
 
 
+def numbered_copies(d: DataFrame, limit: int, mark: str = "mark", as_: str = "copy") -> DataFrame:
+    """d with one more column: rows of a mark that more than `limit` rows share are numbered among their equals, all others are 0.
+
+    Equal rows meet as their count only, and part again by number, so that a hash of mark and copy deals them apart.
+    """
+    columns = d.columns
+    many = d.groupBy(mark).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(mark)
+    many = saved(many)
+    if many.isEmpty():
+        return d.withColumn(as_, F.lit(0).cast("long"))
+    counted = d.join(many, mark, "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias(as_ + "_n"))
+    dealt = counted.withColumn(as_, F.explode(F.sequence(F.lit(1).cast("long"), F.col(as_ + "_n"))))
+    return d.join(many, mark, "left_anti").select(*columns, F.lit(0).cast("long").alias(as_)).union(dealt.select(*columns, as_))
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers live long and share an executor with the JVM."""
     pa.default_memory_pool().release_unused()

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, block_rows, saved, table
+from .common import WORD_RE, block_rows, numbered_copies, saved, table
 
 #: The weights of the sources in code-point order, repeating, and the most copies of a source.
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
+#: Equal rows above this number are dealt by number.
+COPIES = 1024
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -48,24 +50,25 @@ def systematic_copies(docs: DataFrame, size_col: str, source_col: str, key_col:
     class, block and size, which stratifies by size; expected copies are summed along that order, a
     random offset in [0, 1) from a hash of the source and the seed is added, and a row is taken once
     for each whole number that its step crosses, so never more than MOST times. Sums are over bounded
-    blocks first and then over blocks. Reruns agree. Null sizes count as 0, a null source is a source
+    blocks first and then over blocks, equal rows in many blocks. Reruns agree. Null sizes count as 0, a null source is a source
     of its own; repeated rows are rows of their own; no rows give none. docs must not have columns
     that begin with `mix_`.
     """
     d = docs.withColumn("mix_size", F.coalesce(F.col(size_col), F.lit(0)).cast("long")).withColumn("mix_source", F.col(source_col))
-    d = d.withColumn("mix_class", F.length(F.bin("mix_size")))
+    d = d.withColumn("mix_class", F.length(F.bin("mix_size"))).withColumn("mix_mark", F.xxhash64(*docs.columns))
+    d = numbered_copies(d, COPIES, "mix_mark", "mix_copy")
     per_source = saved(d.groupBy(F.col("mix_source").alias("source"), "mix_class").agg(F.sum("mix_size").alias("s"), F.count(F.lit(1)).alias("n")))
     rows = per_source.agg(F.max("n")).first()[0] or 0
     n_blocks = max(1, math.ceil(rows / block_rows(rows)))
     targets = source_targets(per_source.groupBy("source").agg(F.sum("s").alias("source_size")))
-    d = d.withColumn("mix_block", F.pmod(F.xxhash64(F.col(key_col), "mix_size"), F.lit(n_blocks)))
+    d = d.withColumn("mix_block", F.pmod(F.xxhash64("mix_mark", "mix_copy"), F.lit(n_blocks)))
     group = ["mix_source", "mix_class", "mix_block"]
     counts = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.withColumn("mix_before", F.sum("n").over(W.partitionBy("mix_source").orderBy("mix_class", "mix_block")) - F.col("n"))
     u = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit("|" + seed)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     offsets = offsets.join(targets.withColumn("mix_u", u), F.col("mix_source").eqNullSafe(F.col("source"))).select(*(F.col(c).alias("o_" + c) for c in group), "mix_before", "source_size", "target", "mix_u")
     joined = d.join(offsets, F.col("mix_source").eqNullSafe(F.col("o_mix_source")) & (F.col("mix_class") == F.col("o_mix_class")) & (F.col("mix_block") == F.col("o_mix_block")))
-    k = F.col("mix_before") + F.row_number().over(W.partitionBy(*group).orderBy("mix_size", F.col(key_col)))
+    k = F.col("mix_before") + F.row_number().over(W.partitionBy(*group).orderBy("mix_size", F.col(key_col), "mix_mark", "mix_copy"))
     joined = joined.withColumn("mix_k", k.cast("double")).withColumn("mix_r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0))
     copies = F.floor(F.col("mix_k") * F.col("mix_r") + F.col("mix_u")) - F.floor((F.col("mix_k") - 1.0) * F.col("mix_r") + F.col("mix_u"))
     joined = joined.withColumn("copies", F.least(copies, F.lit(MOST)).cast("long"))

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encode_ids16, map_arrow, parts_for, sorted_groups, table, utf8_len
+from .common import encode_ids16, map_arrow, numbered_copies, parts_for, sorted_groups, table, utf8_len
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 CAPACITY = 1024
-#: Documents of a block (about).
-BLOCK_DOCS = 256
+#: Documents, and bytes of text, of a block (about); one longer document is a block nearly of its own.
+BLOCK_DOCS, BLOCK_BYTES = 256, 2 << 20
 #: Remains longer than this are cut in two halves, which lets the windows fill more evenly.
 CUT = 512
 
@@ -144,16 +144,9 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capa
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("mark", F.xxhash64("doc_id", "text"))
-    same = d.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.sum(utf8_len(F.col("text"))).alias("size"))
-    rows, size, hot = same.agg(F.sum("n"), F.sum("size"), F.count_if(F.col("n") > BLOCK_DOCS)).first()
-    blocks = max(1, math.ceil((rows or 0) / BLOCK_DOCS))
-    d = d.withColumn("copy", F.lit(0).cast("long"))
-    if hot:
-        many = same.where(F.col("n") > BLOCK_DOCS).select("mark")
-        # equal rows meet as their count only, and part again by number
-        counted = d.join(many, "mark", "left_semi").groupBy("doc_id", "text", "mark").agg(F.count(F.lit(1)).alias("n"))
-        dealt = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-        d = d.join(many, "mark", "left_anti").select("doc_id", "text", "mark", "copy").union(dealt.select("doc_id", "text", "mark", "copy"))
+    rows, size = d.agg(F.count(F.lit(1)), F.sum(utf8_len(F.col("text")))).first()
+    blocks = max(1, math.ceil(rows / BLOCK_DOCS), math.ceil((size or 0) / BLOCK_BYTES))
+    d = numbered_copies(d, BLOCK_DOCS)
     d = d.select("doc_id", "text", F.pmod(F.xxhash64("mark", "copy"), F.lit(blocks)).alias("block"))
     d = d.repartition(min(blocks, parts_for(docs.sparkSession, size or 0)), "block").sortWithinPartitions("block", "doc_id", "text")
     return map_arrow(d, _pack(tokenizer, end_id, capacity, cached), PIECES, batch_rows)

@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import block_rows, parts_for, saved, shared_dir, table, utf8_len
+from .common import block_rows, numbered_copies, parts_for, saved, shared_dir, table, utf8_len
+
+#: Groups of old shards beyond the new ones' numbers, inside which rows are blocked further; equal rows above COPIES are dealt by number.
+BUCKETS, COPIES = 256, 1024
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> dict[tuple[int, int], int]:
@@ -109,7 +112,7 @@ def reshard(docs: DataFrame, old_shard: str, shards: int = 16, id_col: str = "do
 
     The bytes that leave the shard of their number are the fewest for which the new shards' sizes are
     equal. Old shards whose number is null, negative or no new shard's are one sequence in the flow
-    problem, in the order of their numbers. Writes the rows of every affected new shard below out_dir (partitioned by `shard`) and returns
+    problem, in the order of a hash of their numbers in BUCKETS buckets. Writes the rows of every affected new shard below out_dir (partitioned by `shard`) and returns
     (doc_id, text, size, shard, slot) read back from those files, with the rows of shards that keep
     exactly their old content taken from docs. `slot` counts from 0 without gaps inside a shard. A
     row's size is its text's UTF-8 bytes plus 1 (null text: 1). Rows are placed one by one: repeated
@@ -120,33 +123,45 @@ def reshard(docs: DataFrame, old_shard: str, shards: int = 16, id_col: str = "do
     spark = docs.sparkSession
     number = F.col(old_shard).cast("long")
     home = F.when(number.between(0, shards - 1), number).otherwise(shards).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), home.alias("old"), F.coalesce(number, F.lit(-1)).alias("number"), F.xxhash64(text_col).alias("mark")).withColumn("size", utf8_len(F.col("text")) + 1)
+    bucket = F.when(home == shards, F.pmod(F.xxhash64(F.coalesce(number, F.lit(-1))), F.lit(BUCKETS))).otherwise(0).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), home.alias("old"), bucket.alias("bucket"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("mark")).withColumn("size", utf8_len(F.col("text")) + 1)
+    rows = numbered_copies(rows, COPIES)
     slim = saved(rows.drop("text"))
-    old = slim.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # shards + 1 rows at most
-    most = max((r["n"] for r in old), default=1)
+    per_bucket = slim.groupBy("old", "bucket").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # shards + BUCKETS rows at most
+    most = max((r["n"] for r in per_bucket), default=1)
     n_blocks = max(1, math.ceil(most / block_rows(most)))
-    sizes = {r["old"]: r["bytes"] for r in old}
+    sizes: dict[int, int] = {}
+    for r in per_bucket:
+        sizes[r["old"]] = sizes.get(r["old"], 0) + r["bytes"]
     moves = plan_transfers(sizes, even_capacities(sum(sizes.values()), shards))
     cuts = F.broadcast(spark.createDataFrame(moves or [(0, 0, 0, 0)], "old int, lo long, hi long, shard int"))  # 2 * shards + 1 rows, about
     whole = [j for j in range(shards) if [(o, k) for o, _, _, k in moves if j in (o, k)] == [(j, j)]]
     parts = parts_for(spark, sum(sizes.values()))
 
-    block = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n_blocks))
-    group = ["old", "number", "block"]
-    in_block = W.partitionBy(*group).orderBy("doc_id", "size", "mark")
+    block = F.pmod(F.xxhash64("mark", "copy"), F.lit(n_blocks))
+    group = ["old", "bucket", "block"]
+    in_block = W.partitionBy(*group).orderBy("doc_id", "size", "mark", "copy")
 
     def placed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
         """A row goes where the middle of its bytes lies."""
         at = rows.withColumn("block", block).repartition(parts, *group).join(blocks, group).withColumn("mid2", 2 * (F.col("before") + F.sum("size").over(in_block.rowsBetween(W.unboundedPreceding, 0))) - F.col("size"))
         return at.join(cuts, "old").where((F.col("mid2") > 2 * F.col("lo")) & (F.col("mid2") <= 2 * F.col("hi")))
 
+    def summed(of: DataFrame, what: str, within: str, as_: str) -> DataFrame:
+        """The sum of `what` over all blocks before each one, inside a bucket first and then over buckets: a window holds n_blocks or a few hundred rows."""
+        by = list(dict.fromkeys([within, "old", "bucket"]))
+        of = of.withColumn(as_, F.sum(what).over(W.partitionBy(*by).orderBy("block")) - F.col(what))
+        buckets = of.groupBy(*by).agg(F.sum(what).alias("all"))
+        buckets = buckets.withColumn("ahead", F.sum("all").over(W.partitionBy(within).orderBy("old", "bucket")) - F.col("all")).drop("all")
+        return of.join(buckets, by).withColumn(as_, F.col(as_) + F.col("ahead")).drop("ahead")
+
     sums = slim.withColumn("block", block).groupBy(*group).agg(F.sum("size").alias("bytes"))
-    before = sums.select(*group, (F.sum("bytes").over(W.partitionBy("old").orderBy("number", "block")) - F.col("bytes")).alias("before"))
+    before = summed(sums, "bytes", "old", "before").select(*group, "before")
     runs = saved(placed(slim, before).groupBy(*group, "before", "shard").agg(F.count(F.lit(1)).alias("n")))
-    first = runs.withColumn("first", F.sum("n").over(W.partitionBy("shard").orderBy("old", "number", "block")) - F.col("n"))
+    first = summed(runs, "n", "shard", "first")
     # a block's rows go to `shards` shards at most
     blocks = first.groupBy(*group, "before").agg(F.map_from_entries(F.collect_list(F.struct("shard", "first"))).alias("firsts"))
-    slot = F.try_element_at("firsts", F.col("shard")) + F.row_number().over(W.partitionBy(*group, "shard").orderBy("doc_id", "size", "mark")) - 1
+    slot = F.try_element_at("firsts", F.col("shard")) + F.row_number().over(W.partitionBy(*group, "shard").orderBy("doc_id", "size", "mark", "copy")) - 1
     out = placed(rows, blocks).withColumn("slot", slot).select("doc_id", "text", "size", "slot", "shard")
     out_dir = out_dir or shared_dir(spark)
     (out.where(~F.col("shard").isin(whole)) if whole else out).write.partitionBy("shard").parquet(out_dir)

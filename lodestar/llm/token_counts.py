@@ -52,13 +52,16 @@ def token_counts(docs: DataFrame, cache_dir: str | None = None, tokenizer: str =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = d.select("doc_id", digest(F.col("text")).alias("digest"), utf8_len(F.col("text")).alias("n_bytes"))
     misses = keys.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63) + 1))).alias("rep"))
-    if _exists(spark, path):
+    warm = _exists(spark, path)
+    if warm:
+        wanted = misses = saved(misses)
         misses = misses.join(spark.read.schema(CACHE_SCHEMA).parquet(path), "digest", "left_anti")
     texts = d.withColumn("rep", F.coalesce("doc_id", F.lit(-(2**63) + 1))).join(misses.withColumnRenamed("digest", "wanted"), "rep")
     texts = texts.withColumn("digest", digest(F.col("text"))).where("digest = wanted").select("digest", "text")
     map_arrow(texts, _count(tokenizer), CACHE_SCHEMA, ENCODE_BATCH_ROWS).write.mode("append").parquet(path)
-    # a repeated row, or a job that ran twice, may have stored a digest more than once
-    stored = saved(spark.read.schema(CACHE_SCHEMA).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))  # written, so that Spark can split a hot digest in the join
+    # only what was asked for; a repeated row, or a job that ran twice, may have stored a digest more than once
+    asked = spark.read.schema(CACHE_SCHEMA).parquet(path).join(wanted, "digest", "left_semi") if warm else spark.read.schema(CACHE_SCHEMA).parquet(path)
+    stored = saved(asked.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))  # written, so that Spark can split a hot digest in the join
     return keys.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 

@@ -320,3 +320,46 @@ def test_op13_tile_search(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["op13_tile_search"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
     assert got == sorted(con.sql(ORACLE_SQL["op13_tile_search"]).fetchall())
     assert [g[:3] for g in got] == [w[:3] for w in brute_nearest([(i, v.tolist()) for i, v in enumerate(x)], 5, lambda i: i % 50 == 0)]
+
+
+# -- hot rows of earlier operators --------------------------------------------------------------------
+
+def test_many_files_and_equal_rows_are_dealt_apart(spark, monkeypatch):
+    """800 files and one row 3,000 times: no block holds more than about the root of the rows, and the placement stays gapless."""
+    from lodestar.llm import common, sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    rows = [(i, f"t{i}", f"f{i % 800:04d}") for i in range(8000)] + [(5, "same", "f0790")] * 3000
+    docs = sharding.with_file_numbers(spark.createDataFrame(rows, "doc_id long, text string, file string"), "file", 16)
+    out = sharding.reshard(docs, "old_shard", 16).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((i, t) for i, t, _ in rows)
+    by = defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r)
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values())
+    sizes = [sum(r["size"] for r in by[s]) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in out)
+    d = common.numbered_copies(spark.createDataFrame(rows, "doc_id long, text string, file string").withColumn("mark", F.xxhash64("doc_id", "text")), 50)
+    assert d.count() == len(rows) and d.groupBy("mark", "copy").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_mix_of_equal_rows(spark):
+    from lodestar.llm import mixing
+
+    rows = [(None, "a b c", "s1")] * 5000 + [(i, "x " * (i % 7), "s2") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = sorted(tuple(r) for r in mixing.mix(df, ["doc_id", "text", "source"]).collect() if r["doc_id"] is not None)
+    assert taken == sorted(tuple(r) for r in mixing.mix(df.repartition(7), ["doc_id", "text", "source"]).collect() if r["doc_id"] is not None)
+    out = mixing.systematic_copies(df.withColumn("w", mixing.word_count(F.col("text"))), "w", "source", "doc_id")
+    assert out.count() == len(rows) and out.agg(F.max("copies")).first()[0] <= 3
+
+
+def test_packing_bounds_blocks_by_bytes(spark, monkeypatch):
+    from lodestar.llm import packing
+
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 20_000)
+    df = spark.createDataFrame([(i, "long words here " * 700) for i in range(40)], "doc_id long, text string")
+    out = packing.pack(df).collect()
+    blocks = Counter(r["sequence_id"] >> 32 for r in out if r["start"] == 0)
+    assert len(blocks) > 10
+    assert sum(r["length"] for r in out) == sum({r["doc_id"]: r["doc_tokens"] for r in out}.values())
