@@ -21,6 +21,12 @@ def _capital(word: str) -> bool:
     return "A" <= word[:1] <= "Z"
 
 
+def is_number(word: str) -> bool:
+    """Whether a word numbers an entry: up to three digits in brackets, or before a full stop or a bracket."""
+    bare = word[1:-1] if word[0] == "[" and word[-1] == "]" else word[:-1] if word[-1] in ".)" else ""
+    return 1 <= len(bare) <= 3 and bare.isdecimal()
+
+
 def line_kind(line: str) -> str:
     """What a line opens: a reference list, an entry by its number ([3] or 3. or 3), an entry by its author (Name, N.), or neither."""
     words = line.split(None, 3)
@@ -31,8 +37,7 @@ def line_kind(line: str) -> str:
     if len(words) < 2 or not _capital(words[1]):
         return OTHER
     first = words[0]
-    number = first[1:-1] if first[0] == "[" and first[-1] == "]" else first[:-1] if first[-1] in ".)" else ""
-    if 1 <= len(number) <= 3 and number.isdecimal():
+    if is_number(first):
         return NUMBER
     name = first[:-1].replace("-", "").replace("'", "")
     if first[-1] == "," and len(first) > 2 and _capital(first) and name.isascii() and name.isalpha():
@@ -91,11 +96,28 @@ def share_budget(body: Column, refs: Column, limit: int, most_refs: float = 0.4)
     return F.struct(F.left(body, F.lit(limit) - F.char_length(r)).alias("body"), r.alias("refs"))
 
 
+def cut_entries(refs: str) -> list[str]:
+    """The entries of a list, without its heading and their numbers: cut before numbered lines if two or more are, else each line is one."""
+    lines = [x.split() for x in refs.split("\n")]
+    while lines and (not lines[0] or line_kind(" ".join(lines[0])) == HEAD):
+        del lines[0]
+    opens = [len(words) > 1 and is_number(words[0]) for words in lines]
+    if sum(opens) < 2:
+        return [" ".join(words) for words in lines if words]
+    out: list[list[str]] = [[]]
+    for words, new in zip(lines, opens):
+        if new:
+            out.append([])
+        out[-1] += words[new:]
+    return [" ".join(words) for words in out if words]
+
+
+def _entries(refs: pd.Series) -> pd.Series:
+    return refs.fillna("").map(cut_entries)
+
+
 def entries(refs: Column) -> Column:
-    """The entries of a reference list: cut before numbered lines, else at line ends."""
-    numbered = F.regexp_count(refs, F.lit(r"(?m)^\s*(?:\d{1,3}[.)]|\[\d{1,3}\])\s+")) >= 2
-    lines = F.when(numbered, F.split(refs, r"(?m)^\s*(?:\d{1,3}[.)]|\[\d{1,3}\])\s+")).otherwise(F.split(refs, r"\n+"))
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.char_length(x) > 0)
+    return F.pandas_udf(_entries, T.ArrayType(T.StringType()))(refs)
 
 
 def entry_title(entry: Column) -> Column:

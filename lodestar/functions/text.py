@@ -73,14 +73,35 @@ def strip_fences(x: Column | str) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(x, r"\A```[A-Za-z]*\s*", ""), r"\s*```\z", ""), F.lit(" \t\r\n"))
 
 
+#: Names of tags, and of channels, that hold a model's thinking.
+THINKING = ("think", "thinking", "thought", "thoughts", "reasoning")
+CHANNELS = ("analysis", "commentary")
+
+
 def strip_think(x: Column | str) -> Column:
-    """A reply without what stands between thinking tags, closed or not."""
-    return F.btrim(F.regexp_replace(_c(x), r"(?is)<think(?:ing)?>.*?(?:</think(?:ing)?>|\z)", ""), F.lit(" \t\r\n"))
+    """A reply without what a model thought aloud.
+
+    Blocks between tags of THINKING, with attributes or not, go, and so does what stands before a closing
+    tag that nothing opened. A tag that is never closed goes alone: what follows it may be the answer. Of a reply
+    in channels its final one stays, or what is left when the thinking channels go.
+    """
+    name = "|".join(THINKING)
+    x = _c(x)
+    final = r"(?s)<\|channel\|>final.*?<\|message\|>(.*?)(?:<\|(?:end|return|start)\|>|\z)"
+    x = F.when(x.rlike(final), F.regexp_extract(x, final, 1)).otherwise(x)
+    x = F.regexp_replace(x, rf"(?is)(?:<\|start\|>[a-z]*)?<\|channel\|>(?:{'|'.join(CHANNELS)})\b.*?<\|message\|>.*?(?:<\|end\|>|(?=<\|start\|>)|\z)", "")
+    x = F.regexp_replace(x, rf"(?is)<({name})\b[^>]*>.*?</\1\s*>", "")
+    x = F.regexp_replace(x, rf"(?is)\A.*</(?:{name})\s*>", "")
+    return F.btrim(F.regexp_replace(x, rf"(?i)<(?:{name})\b[^>]*>", ""), F.lit(" \t\r\n"))
+
+
+#: Fixed value: the form of a DOI in running text.
+DOI = r"\b(10\.\d{4,9}/[^\s,;)\]]+)"
 
 
 def extract_doi(x: Column | str) -> Column:
     """The first DOI of a text without trailing punctuation, or null."""
-    got = F.regexp_extract(F.coalesce(_c(x), F.lit("")), r"\b(10\.\d{4,9}/[^\s,;)\]]+)", 1)
+    got = F.regexp_extract(F.coalesce(_c(x), F.lit("")), DOI, 1)
     return F.nullif(F.rtrim(got, F.lit(".,;)]")), F.lit(""))
 
 

@@ -31,12 +31,11 @@ def text_state(papers: DataFrame, cache: DataFrame, parsed: DataFrame | None = N
     return out.select("paper_id", F.coalesce("c_text", "d_text").alias("text"), state.alias("state"))
 
 
-def found_references(texts: DataFrame, limit: int = 80_000) -> DataFrame:
-    """(paper_id, pos, entry, title, doi) of the entries of each text's reference list, within the budget of limit characters."""
+def found_references(texts: DataFrame, limit: int | None = None) -> DataFrame:
+    """(paper_id, pos, entry, title, doi) of the entries of each text's reference list; with limit, of what a budget of so many characters leaves of it."""
     s = texts.select("paper_id", R.split_references(F.col("text")).alias("s"))
-    b = s.select("paper_id", R.share_budget(F.col("s.body"), F.col("s.refs"), limit).alias("b"))
-    body = F.regexp_replace("b.refs", r"(?i)\A\s*(?:references?(?:\s+(?:and\s+notes|cited))?|bibliography|works\s+cited|literature\s+cited)\s*\n", "")
-    e = b.select("paper_id", F.posexplode(R.entries(body)).alias("pos", "entry"))
+    refs = F.col("s.refs") if limit is None else R.share_budget(F.col("s.body"), F.col("s.refs"), limit)["refs"]
+    e = s.select("paper_id", refs.alias("refs")).select("paper_id", F.posexplode(R.entries(F.col("refs"))).alias("pos", "entry"))
     return e.select("paper_id", "pos", "entry", R.entry_title(F.col("entry")).alias("title"), extract_doi("entry").alias("doi"))
 
 

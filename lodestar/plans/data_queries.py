@@ -218,7 +218,16 @@ def doi_extract(spark, d):
     return view(spark, d, "lit_papers").select("paper_id", T.extract_doi(text).alias("doi"))
 
 
-@query("pdf_url_from_html", "select page_id, case when regexp_matches(html, '(?i)href=[\"'']([^\"''>]+\\.pdf[^\"''>]*)[\"'']') then regexp_extract(html, '(?i)href=[\"'']([^\"''>]+\\.pdf[^\"''>]*)[\"'']', 1) end as link from pages")
+def _attribute(tag: str, name: str) -> str:
+    """SQL of a tag's attribute, quoted in either way or not at all."""
+    forms = [f"""nullif(regexp_extract({tag}, '(?is)\\s{name}\\s*=\\s*{q}([^{q}]*){q}', 1), '')""" for q in ('"', "''")] + [f"""nullif(regexp_extract({tag}, '(?is)\\s{name}\\s*=\\s*([^\\s"''>]+)', 1), '')"""]
+    return f"trim(coalesce({', '.join(forms)}, ''))"
+
+
+@query("pdf_url_from_html", f"""with t as (select page_id, regexp_extract_all(html, '(?s)<[A-Za-z][^>]*>') as tags from pages)
+select page_id, list_concat(
+  list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<meta\\s') and lower({_attribute('t', 'name')}) = 'citation_pdf_url'), lambda t: {_attribute('t', 'content')}), lambda u: u <> ''),
+  list_filter(list_transform(tags, lambda t: {_attribute('t', 'href')}), lambda u: contains(lower(u), '.pdf')))[1] as link from t""")
 def pdf_url_from_html(spark, d):
     return _table(spark, d, "pages").select("page_id", T.pdf_url_from_html("html").alias("link"))
 
@@ -228,7 +237,12 @@ def truncate_middle(spark, d):
     return view(spark, d, "lit_abstracts").select("paper_id", T.truncate_middle("abstract", 400).alias("cut"))
 
 
-@query("split_references")
+_MADE_REFS = "(select string_agg(i || '. Smith, J. (2020). A long title of work number ' || i || '. Venue.', chr(10) order by i) from range(1, 7) t(i))"
+
+
+@query("split_references", f"""with t as (select paper_id, abstract, length(abstract) + 1 as head, abstract || chr(10) || 'References' || chr(10) || {_MADE_REFS} as whole from lit_abstracts),
+c as (select *, whole is not null and head >= 0.15 * length(whole) as has from t)
+select paper_id, cast(case when whole is null then 0 when has then least(length(regexp_replace(abstract, '\\s+$', '')), 300) else least(length(whole), 500) end as int) as body_chars, cast(case when has then 6 else 0 end as int) as n_entries from c""", "lit_abstracts")
 def split_references(spark, d):
     """Texts with a made-up list of references, cut in two and shared into a budget."""
     a = view(spark, d, "lit_abstracts")
@@ -238,9 +252,12 @@ def split_references(spark, d):
     return s.select("paper_id", F.char_length(b["body"]).alias("body_chars"), F.size(references.entries(F.col("s.refs"))).alias("n_entries"))
 
 
-@query("translate_query", "select 'graph network | tree -forest' as q")
+@query("translate_query", "select paper_id, replace(trim(title), ' ', ' | ') || ' ' || venue || ' -' || coalesce(cast(year as varchar), 'undated') as q from lit_papers", "lit_papers")
 def translate_query(spark, d):
-    return spark.range(1).select(T.translate_query(F.lit("graph AND network OR tree NOT forest")).alias("q"))
+    """Each paper's title words as alternatives, with its venue and without its year."""
+    words = F.array_join(F.split(F.trim("title"), " "), " OR ")
+    q = F.concat(words, F.lit("  AND "), "venue", F.lit(" AND NOT "), F.coalesce(F.col("year").cast("string"), F.lit("undated")))
+    return view(spark, d, "lit_papers").select("paper_id", T.translate_query(q).alias("q"))
 
 
 @query("publication_month", "select paper_id, year * 12 + case when paper_id % 3 = 0 then cast(paper_id % 12 + 1 as int) else 1 end as month from lit_papers", "lit_papers")

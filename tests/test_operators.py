@@ -283,3 +283,24 @@ def test_fetch_chain_suppression(spark):
     assert dead == {"w", "v"}
     got = fetch_chain(spark.createDataFrame(rows, "paper_id int, step int, recipe string, kind string, status string").repartition(5))
     assert {tuple(x) for x in got.collect()} == want
+
+
+def test_thinking_goes_and_answers_stay(spark):
+    from pyspark.sql import functions as F
+
+    from lodestar.functions.text import strip_think
+
+    cases = {
+        "<think>a\nb</think> yes": "yes", "<think>no end, then {\"match\": true}": "no end, then {\"match\": true}", "<thought>x</thought>ok": "ok", '<think mode="deep">x</think >ok': "ok",
+        "left over</think> ok": "ok", "<|channel|>analysis<|message|>hm<|end|><|start|>assistant<|channel|>final<|message|>yes": "yes", "<|channel|>analysis<|message|>hm<|end|>ok": "ok", "<thinker>kept</thinker>": "<thinker>kept</thinker>", "plain": "plain",
+    }
+    df = spark.createDataFrame(list(cases.items()), "reply string, want string")
+    assert [tuple(r) for r in df.select("reply", strip_think("reply").alias("got"), "want").where("got <> want").collect()] == []
+
+
+def test_reference_entries_have_no_heading_and_no_number(spark):
+    from lodestar.functions.references import cut_entries
+
+    assert cut_entries("References\n[1] Smith, J. A title\n of two lines.\n[2] Doe, A. Other") == ["Smith, J. A title of two lines.", "Doe, A. Other"]
+    assert cut_entries("Works  Cited\n\nSmith, J. One.\nDoe, A. Two.") == ["Smith, J. One.", "Doe, A. Two."]
+    assert cut_entries("") == []
