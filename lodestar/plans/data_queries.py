@@ -13,9 +13,12 @@ from ..operators import history as H
 from ..operators import output as O
 from ..operators import topics as K
 from ..operators import verdicts as V
+from ..operators.fixpoint import scratch
+from ..sources import paged
 from ..sources import records as S
 from ..sources.views import view
 from ..streaming import events as E
+from ..streaming import gates
 from .registry import Registry
 
 query = Registry()
@@ -447,3 +450,38 @@ def events_sliding(spark, d):
 def events_sessions(spark, d):
     out = E.run_complete(E.sessions(_stream(spark, d), "2 hours", "user_id"))
     return out.select(F.unix_timestamp("start").alias("start"), "user_id", "n")
+
+
+_BUDGET = 1000
+_REQUESTS = 40
+
+
+@query("budget_stream", f"""with u as (select user_id as run, event_id as call_id, cast(sum(cast(floor(value) as bigint)) over w as bigint) as used, count(*) over w as requests from events
+  window w as (partition by user_id order by ts, event_id rows unbounded preceding))
+select run, call_id, used, requests, used >= {_BUDGET} or requests >= {_REQUESTS} as spent from u""")
+def budget_stream(spark, d):
+    """Each user's events as calls of one run, whose values are their tokens."""
+    calls = _stream(spark, d).select(F.col("user_id").alias("run"), F.col("event_id").alias("call_id"), F.col("ts").alias("at"), F.floor("value").cast("long").alias("tokens"))
+    return E.run_to_table(gates.budget_stream(calls, _BUDGET, _REQUESTS))
+
+
+@query("label_stream", """with s as (select event_id as sample_id, user_id as key, ts as asked from events where event_type = 'signup'),
+a as (select user_id as key, event_id as label, ts as labelled from events where event_type = 'click'),
+w as (select least((select max(asked) from s), (select max(labelled) from a)) - interval '1 hour' as mark),
+j as (select sample_id, s.key, asked, labelled, label from s left join a on s.key = a.key and labelled between asked and asked + interval '2 hours')
+select sample_id, key, arg_min(label, labelled) as label, max(labelled) is null as timed_out from j, w group by sample_id, key, asked, mark having max(labelled) is not null or asked + interval '2 hours' < mark""")
+def label_stream(spark, d):
+    """Sign-ups as samples that a click of the same user within two hours labels; what nobody can label any more times out."""
+    e = _stream(spark, d)
+    samples = e.where("event_type = 'signup'").select(F.col("event_id").alias("sample_id"), F.col("user_id").alias("key"), F.col("ts").alias("asked"))
+    labels = e.where("event_type = 'click'").select(F.col("user_id").alias("key"), F.col("event_id").alias("label"), F.col("ts").alias("labelled"))
+    out = E.run_to_table(gates.label_answers(samples, labels, "2 hours"))
+    return gates.first_answers(out).drop("asked")
+
+
+@query("paged_references", "select citing_id, cited_id, n - 1 as \"offset\" from (select *, row_number() over (partition by citing_id order by cited_id) as n from lit_refs) t where n <= 5", "lit_refs")
+def paged_references(spark, d):
+    """Reference lists dumped in pages of two, and the first five of each read back."""
+    path = scratch(spark)
+    paged.write_pages(view(spark, d, "lit_refs"), path, "citing_id", "cited_id", page_size=2)
+    return paged.read_pages(spark, path, 2, max_items=5)
