@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,11 +14,13 @@ from pyspark.sql import types as T
 
 from ..functions.text import external_key, is_preprint_venue, normalize_title
 from ..functions.vectors import cosine
+from .fixpoint import materialised
 from .graph import components
 
-#: The prefix weight of the similarity and the largest block without a known author.
+#: The weight and length of the common prefix in the similarity.
 PREFIX_WEIGHT, PREFIX_LENGTH = 0.1, 4
-UNKNOWN_AUTHOR_BLOCK = 500
+#: Papers of one author that meet in one tile, and the classes into which letters are counted.
+TILE, LETTERS = 1024, 64
 
 
 def jaro(a: str, b: str) -> float:
@@ -78,45 +84,91 @@ def first_author(authors: str | Column = "authors") -> Column:
 
 
 def candidate_pairs(papers: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """(a, b, same_key) to compare: papers that share an external key are tied to its smallest one; others meet by first author and by title prefix.
-
-    papers has paper_id, norm_title, author (null if unknown). Papers of one author are compared
-    pairwise, as the title rule needs; equal titles inside a block meet only through their smallest id.
-    """
-    pairs: list[DataFrame] = []
-    if keys is not None:
-        low = keys.groupBy("key").agg(F.min("paper_id").alias("a"))
-        pairs.append(keys.join(low, "key").where("paper_id > a").select("a", F.col("paper_id").alias("b"), F.lit(True).alias("same_key")))
-    known = papers.where("author is not null").select("author", "paper_id")
-    left = known.select("author", F.col("paper_id").alias("a"))
-    pairs.append(left.join(known.withColumnRenamed("paper_id", "b"), "author").where("a < b").select("a", "b", F.lit(False).alias("same_key")))
-    unknown = papers.where("author is null").select("paper_id")
-    n = unknown.limit(UNKNOWN_AUTHOR_BLOCK + 1).count()
-    if 1 < n <= UNKNOWN_AUTHOR_BLOCK:
-        small = unknown.select(F.col("paper_id").alias("a"))
-        pairs.append(small.join(F.broadcast(unknown.withColumnRenamed("paper_id", "b")), F.col("a") < F.col("b")).select("a", "b", F.lit(False).alias("same_key")))
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.union(p)
-    return out.groupBy("a", "b").agg(F.max("same_key").alias("same_key"))
+    """(a, b, same_key): papers that share an external key, each tied to the smallest one that has it."""
+    if keys is None:
+        return papers.select(F.col("paper_id").alias("a"), F.col("paper_id").alias("b"), F.lit(True).alias("same_key")).limit(0)
+    low = keys.groupBy("key").agg(F.min("paper_id").alias("a"))
+    return keys.join(low, "key").where("paper_id > a").select("a", F.col("paper_id").alias("b"), F.lit(True).alias("same_key")).distinct()
+
+
+def title_bounds(counts: np.ndarray, sizes: np.ndarray, heads: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Upper bounds of the title similarity of x with others: they match in no more characters than they have of each class of letters together."""
+    common = np.minimum(counts[others], counts[x]).sum(axis=1, dtype=np.int64)
+    j = np.where(common > 0, (common / sizes[x] + common / sizes[others] + 1) / 3, 0.0)
+    same = np.cumprod(heads[others] == heads[x], axis=1).sum(axis=1)
+    return j + same * PREFIX_WEIGHT * (1 - j)
+
+
+def _alike(ids: list, titles: list[str], years: list, vectors: list, left: np.ndarray, right: np.ndarray | None, titled: float, near: float, window: int) -> Iterator[tuple]:
+    """(a, b) of a tile's rows that the vectors, or titles and years, make duplicates; right None: pairs inside left."""
+    n = len(ids)
+    sizes = np.array([max(1, len(t)) for t in titles])
+    counts = np.zeros((n, LETTERS), dtype=np.int16)
+    heads = np.full((n, PREFIX_LENGTH), -1, dtype=np.int64)
+    for i, t in enumerate(titles):
+        codes = np.frombuffer(t.encode("utf-32-le"), "<u4")
+        np.add.at(counts[i], codes % LETTERS, 1)
+        head = codes[:PREFIX_LENGTH]
+        heads[i, : len(head)] = head
+        heads[i, len(head) :] = -1 - i  # what is not there equals nothing
+    year = np.array([np.nan if y is None else y for y in years], dtype=float)
+    has = np.array([bool(t) for t in titles])
+    dims: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) and None not in v and any(v):
+            dims.setdefault(len(v), []).append(i)
+    unit, dim = {}, np.zeros(n, dtype=int)
+    for d, rows in dims.items():
+        x = np.array([vectors[i] for i in rows], dtype=float)
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        unit |= dict(zip(rows, x))
+        dim[rows] = d
+    for x in left.tolist():
+        others = right if right is not None else left[left > x]
+        if not len(others):
+            continue
+        found = np.zeros(len(others), dtype=bool)
+        if dim[x]:
+            same = np.flatnonzero(dim[others] == dim[x])
+            if len(same):
+                found[same] = np.stack([unit[i] for i in others[same].tolist()]) @ unit[x] >= near
+        if has[x]:
+            may = np.flatnonzero(~found & has[others] & ~(np.abs(year[others] - year[x]) > window))
+            may = may[title_bounds(counts, sizes, heads, x, others[may]) >= titled - 1e-9]
+            for k in may.tolist():
+                found[k] = jaro_winkler_of(titles[x], titles[others[k]]) >= titled
+        for k in others[found].tolist():
+            yield (ids[x], ids[k]) if ids[x] < ids[k] else (ids[k], ids[x])
+
+
+def _tiles(titled: float, near: float, window: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if i != j else (np.arange(len(side)), None)
+        pairs = list(_alike(*(t.column(c).to_pylist() for c in ("paper_id", "norm_title", "year", "embedding")), left, right, titled, near, window))
+        kind = t.schema.field("paper_id").type
+        return pa.table({name: pa.array([p[k] for p in pairs], kind) for k, name in enumerate("ab")})
+
+    return run
 
 
 def duplicate_pairs(pairs: DataFrame, papers: DataFrame, title_threshold: float = 0.95, semantic_threshold: float = 0.98, year_window: int = 1) -> DataFrame:
-    """(a, b) of pairs that a shared key, the vectors, or title with year and first author make duplicates.
+    """(a, b): the pairs of a shared key, and all pairs of one first author, or of none, that the vectors, or titles and years, make duplicates.
 
-    papers has paper_id, norm_title, author, year and embedding. Only pairs whose cheap rules leave them
-    open reach the title similarity, which runs in Arrow batches.
+    papers has paper_id, norm_title, author (null if unknown), year and embedding. An author's papers are dealt into tiles
+    by hash and each pair of tiles meets in one task, so an author of any size, or the missing one, is compared
+    whole. Letter counts bound the title similarity from above; what may reach the threshold is computed.
     """
-    cols = ["norm_title", "author", "year", "embedding"]
-    side = lambda s: papers.select(F.col("paper_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in cols))
-    p = pairs.join(side("a"), "a").join(side("b"), "b")
-    sure = F.col("same_key") | F.coalesce(cosine(F.col("a_embedding"), F.col("b_embedding")) >= semantic_threshold, F.lit(False))
-    years = F.coalesce(F.abs(F.col("a_year") - F.col("b_year")) <= year_window, F.lit(True))
-    authors = F.coalesce(F.col("a_author") == F.col("b_author"), F.lit(True))
-    titles = (F.col("a_norm_title") != "") & (F.col("b_norm_title") != "")
-    p = p.select("a", "b", sure.alias("sure"), (years & authors & titles).alias("may"), "a_norm_title", "b_norm_title")
-    open_ = p.where("not sure and may").where(jaro_winkler("a_norm_title", "b_norm_title") >= title_threshold)
-    return p.where("sure").select("a", "b").union(open_.select("a", "b"))
+    p = papers.select("paper_id", F.coalesce("norm_title", F.lit("")).alias("norm_title"), F.concat(F.lit("a"), F.col("author").cast("string")).alias("author"), F.col("year").cast("double").alias("year"), F.col("embedding").cast("array<double>").alias("embedding"))
+    p = materialised(p.withColumn("author", F.coalesce("author", F.lit(""))))
+    tiles = p.groupBy("author").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    p = p.join(tiles, "author").withColumn("blk", F.pmod(F.xxhash64("paper_id"), F.col("tiles")).cast("int"))
+    p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    p = p.select("author", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), F.when(F.col("blk") <= F.col("other"), 0).otherwise(1).alias("side"), "paper_id", "norm_title", "year", "embedding")
+    kind = dict(papers.dtypes)["paper_id"]
+    alike = p.groupBy("author", "i", "j").applyInArrow(_tiles(title_threshold, semantic_threshold, year_window), f"a {kind}, b {kind}")
+    return pairs.select("a", "b").union(alike).distinct()
 
 
 def duplicate_clusters(pairs: DataFrame) -> DataFrame:

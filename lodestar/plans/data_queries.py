@@ -46,18 +46,26 @@ def _with_ids(spark, d) -> DataFrame:
 _NORM = "trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 _DUP_SQL = f"""with k as (select paper_id, '10.1000/' || lower(venue) || '.' || (paper_id % 700) as key from lit_papers union all select paper_id, 'a' || (paper_id % 900) from lit_papers where paper_id % 3 = 0),
 kp as (select distinct least(a, b) as a, greatest(a, b) as b from (select min(paper_id) over (partition by key) as a, paper_id as b from k) t where a <> b),
-p as (select *, {_NORM} as norm, paper_id % 97 as author from lit_papers),
-tp as (select x.paper_id as a, y.paper_id as b from p x join p y on x.author = y.author and x.paper_id < y.paper_id where x.norm = y.norm and x.norm <> '' and coalesce(abs(x.year - y.year) <= 1, true)),
+p as (select p.paper_id, year, {_NORM} as norm, author, embedding from lit_papers p left join (select paper_id, min(author_id) as author from lit_authorship group by paper_id) au using (paper_id) left join lit_vectors v using (paper_id)),
+tp as (select a, b from (
+  select x.paper_id as a, y.paper_id as b, coalesce(list_cosine_similarity(cast(x.embedding as double[]), cast(y.embedding as double[])) >= 0.98, false) as near, coalesce(abs(x.year - y.year) <= 1, true) and x.norm <> '' and y.norm <> '' as may,
+    jaro_similarity(x.norm, y.norm) as j, case when left(x.norm, 4) = left(y.norm, 4) then 4 when left(x.norm, 3) = left(y.norm, 3) then 3 when left(x.norm, 2) = left(y.norm, 2) then 2 when left(x.norm, 1) = left(y.norm, 1) then 1 else 0 end as same
+  from p x join p y on x.author is not distinct from y.author and x.paper_id < y.paper_id) t where near or may and j + same * 0.1 * (1 - j) >= 0.95),
 pairs as (select a, b from kp union select a, b from tp)
 """
 
 
-def _dup_pairs(spark, d, threshold: float = 1.0) -> DataFrame:
-    p = D.with_normal_titles(_with_ids(spark, d)).withColumn("author", (F.col("paper_id") % 97).cast("string")).withColumn("embedding", F.lit(None).cast("array<float>"))
-    return D.duplicate_pairs(D.candidate_pairs(p, D.external_keys(p)), p, title_threshold=threshold)
+def _dup_pairs(spark, d) -> DataFrame:
+    """By all signals at the operator's thresholds; the author of a paper is the one of the smallest id."""
+    author = view(spark, d, "lit_authorship").groupBy("paper_id").agg(F.min("author_id").cast("string").alias("author"))
+    p = D.with_normal_titles(_with_ids(spark, d)).join(author, "paper_id", "left").join(view(spark, d, "lit_vectors").select("paper_id", "embedding"), "paper_id", "left")
+    return D.duplicate_pairs(D.candidate_pairs(p, D.external_keys(p)), p)
 
 
-@query("dup_pairs", _DUP_SQL + "select a, b from pairs", "lit_papers")
+_DUP_VIEWS = ("lit_papers", "lit_authorship", "lit_vectors")
+
+
+@query("dup_pairs", _DUP_SQL + "select a, b from pairs", *_DUP_VIEWS)
 def dup_pairs(spark, d):
     return _dup_pairs(spark, d)
 
@@ -69,19 +77,19 @@ cl as (select id as paper_id, comp as cluster from cc where it = 40)
 """
 
 
-@query("dup_clusters", _CC_SQL + "select paper_id, cluster from cl", "lit_papers")
+@query("dup_clusters", _CC_SQL + "select paper_id, cluster from cl", *_DUP_VIEWS)
 def dup_clusters(spark, d):
     return D.duplicate_clusters(_dup_pairs(spark, d))
 
 
-def _members(spark, d, pairs: DataFrame | None = None) -> DataFrame:
+def _members(spark, d) -> DataFrame:
     a = view(spark, d, "lit_abstracts").select("paper_id", "abstract")
     p = view(spark, d, "lit_papers").join(a, "paper_id", "left")
     p = p.withColumn("venue", F.when(F.col("paper_id") % 5 == 0, F.concat(F.lit("arXiv "), "venue")).otherwise(F.col("venue")))
-    return D.pick_canonical(D.duplicate_clusters(pairs if pairs is not None else _dup_pairs(spark, d)).join(p, "paper_id"))
+    return D.pick_canonical(D.duplicate_clusters(_dup_pairs(spark, d)).join(p, "paper_id"))
 
 
-@query("canonical_pick", _CC_SQL + "select cl.paper_id, first_value(cl.paper_id) over (partition by cluster order by cl.paper_id % 5 = 0, coalesce(citation_count, 0) desc, length(coalesce(abstract, '')) desc, cl.paper_id) as canonical from cl join lit_papers p using (paper_id) left join lit_abstracts a using (paper_id)", "lit_papers", "lit_abstracts")
+@query("canonical_pick", _CC_SQL + "select cl.paper_id, first_value(cl.paper_id) over (partition by cluster order by cl.paper_id % 5 = 0, coalesce(citation_count, 0) desc, length(coalesce(abstract, '')) desc, cl.paper_id) as canonical from cl join lit_papers p using (paper_id) left join lit_abstracts a using (paper_id)", *_DUP_VIEWS, "lit_abstracts")
 def canonical_pick(spark, d):
     return _members(spark, d).select("paper_id", "canonical")
 
@@ -90,54 +98,19 @@ _MERGE = _CC_SQL + """, m as (select cl.cluster, cl.paper_id, p.year, p.citation
 select max(case when pos = 1 then paper_id end) as paper_id, max(citation_count) as citation_count, cast(count(*) - 1 as int) as n_aliases from m group by cluster"""
 
 
-@query("merge_clusters", _MERGE, "lit_papers", "lit_abstracts")
+@query("merge_clusters", _MERGE, *_DUP_VIEWS, "lit_abstracts")
 def merge_clusters(spark, d):
     m = _members(spark, d).withColumn("references", F.array().cast("array<bigint>"))
     return D.merge_clusters(m).select("paper_id", "citation_count", F.size("aliases").alias("n_aliases"))
 
 
-@query("alias_rewrite", _CC_SQL + ", al as (select paper_id as alias, cluster as canonical from cl where paper_id <> cluster), r as (select coalesce(y.canonical, citing_id) as paper_id, coalesce(x.canonical, cited_id) as ref from lit_refs left join al x on x.alias = cited_id left join al y on y.alias = citing_id) select distinct paper_id, ref from r where paper_id <> ref", "lit_papers", "lit_refs")
+@query("alias_rewrite", _CC_SQL + ", al as (select paper_id as alias, cluster as canonical from cl where paper_id <> cluster), r as (select coalesce(y.canonical, citing_id) as paper_id, coalesce(x.canonical, cited_id) as ref from lit_refs left join al x on x.alias = cited_id left join al y on y.alias = citing_id) select distinct paper_id, ref from r where paper_id <> ref", *_DUP_VIEWS, "lit_refs")
 def alias_rewrite(spark, d):
     a = D.duplicate_clusters(_dup_pairs(spark, d)).where("paper_id <> cluster").select(F.col("paper_id").alias("alias"), F.col("cluster").alias("canonical"))
     r = view(spark, d, "lit_refs").select(F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("ord"), F.col("cited_id").alias("ref"))
     return D.rewrite_references(r, a).select("paper_id", "ref")
 
 
-def _dup_pairs_whole(spark, d) -> DataFrame:
-    """By all signals at the operator's thresholds; the author of a paper is the one of the smallest id."""
-    author = view(spark, d, "lit_authorship").groupBy("paper_id").agg(F.min("author_id").cast("string").alias("author"))
-    p = D.with_normal_titles(_with_ids(spark, d)).join(author, "paper_id", "left").join(view(spark, d, "lit_vectors").select("paper_id", "embedding"), "paper_id", "left")
-    return D.duplicate_pairs(D.candidate_pairs(p, D.external_keys(p)), p)
-
-
-@query("dup_pairs_whole")
-def dup_pairs_whole(spark, d):
-    return _dup_pairs_whole(spark, d)
-
-
-@query("dup_clusters_whole")
-def dup_clusters_whole(spark, d):
-    return D.duplicate_clusters(_dup_pairs_whole(spark, d))
-
-
-@query("canonical_pick_whole")
-def canonical_pick_whole(spark, d):
-    return _members(spark, d, _dup_pairs_whole(spark, d)).select("paper_id", "canonical")
-
-
-@query("merge_clusters_whole")
-def merge_clusters_whole(spark, d):
-    m = _members(spark, d, _dup_pairs_whole(spark, d)).withColumn("references", F.array().cast("array<bigint>"))
-    return D.merge_clusters(m).select("paper_id", "citation_count", F.size("aliases").alias("n_aliases"))
-
-
-@query("alias_rewrite_whole")
-def alias_rewrite_whole(spark, d):
-    a = D.duplicate_clusters(_dup_pairs_whole(spark, d)).where("paper_id <> cluster").select(F.col("paper_id").alias("alias"), F.col("cluster").alias("canonical"))
-    r = view(spark, d, "lit_refs").select(F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("ord"), F.col("cited_id").alias("ref"))
-    return D.rewrite_references(r, a).select("paper_id", "ref")
-
-
 @query("jaro_winkler", "with p as (select a.paper_id as a, b.paper_id as b, a.title as x, b.title as y from lit_papers a join lit_papers b on b.paper_id = a.paper_id + 1) select a, b, round(j + (1 - j) * 0.1 * least(4, case when left(x, 4) = left(y, 4) then 4 when left(x, 3) = left(y, 3) then 3 when left(x, 2) = left(y, 2) then 2 when left(x, 1) = left(y, 1) then 1 else 0 end), 6) as score from (select *, jaro_similarity(x, y) as j from p) t", "lit_papers")
 def jaro_winkler(spark, d):
     p = view(spark, d, "lit_papers")

@@ -59,15 +59,15 @@ def clusters(t):
 def test_duplicates(spark, folder):
     want = clusters(folder[1])
     assert want[12] == 11 and want[16] == 15 and want[701] == 1 and not {14, 18} & want.keys()
-    assert dict(rows(spark, folder, "dup_clusters_whole")) == want
-    pairs = rows(spark, folder, "dup_pairs_whole")
+    assert dict(rows(spark, folder, "dup_clusters")) == want
+    pairs = rows(spark, folder, "dup_pairs")
     assert {(11, 12), (15, 16), (1, 701)} <= set(pairs)
-    picked = dict(rows(spark, folder, "canonical_pick_whole"))
+    picked = dict(rows(spark, folder, "canonical_pick"))
     assert picked.keys() == want.keys() and all(want[c] == want[i] for i, c in picked.items())
-    merged = rows(spark, folder, "merge_clusters_whole")
+    merged = rows(spark, folder, "merge_clusters")
     assert sorted(r[0] for r in merged) == sorted(set(picked.values())) and sum(r[2] for r in merged) == len(picked) - len(merged)
     of = lambda i: want.get(i, i)
-    assert rows(spark, folder, "alias_rewrite_whole") == sorted({(of(o), of(p)) for o, p, _ in folder[1]["lines"] if of(o) != of(p)})
+    assert rows(spark, folder, "alias_rewrite") == sorted({(of(o), of(p)) for o, p, _ in folder[1]["lines"] if of(o) != of(p)})
 
 
 def test_keywords(spark, folder):
