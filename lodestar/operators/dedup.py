@@ -99,18 +99,53 @@ def title_bounds(counts: np.ndarray, sizes: np.ndarray, heads: np.ndarray, x: in
     return j + same * PREFIX_WEIGHT * (1 - j)
 
 
-def _alike(ids: list, titles: list[str], years: list, vectors: list, left: np.ndarray, right: np.ndarray | None, titled: float, near: float, window: int) -> Iterator[tuple]:
-    """(a, b) of a tile's rows that the vectors, or titles and years, make duplicates; right None: pairs inside left."""
-    n = len(ids)
-    sizes = np.array([max(1, len(t)) for t in titles])
+def _coded(titles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters of each class, lengths, first characters) of titles; a first character that is not there equals none."""
+    n = len(titles)
+    sizes = np.array([max(1, len(t)) for t in titles], dtype=np.int64)
     counts = np.zeros((n, LETTERS), dtype=np.int16)
-    heads = np.full((n, PREFIX_LENGTH), -1, dtype=np.int64)
+    heads = np.repeat(-1 - np.arange(n, dtype=np.int64)[:, None], PREFIX_LENGTH, axis=1)
     for i, t in enumerate(titles):
         codes = np.frombuffer(t.encode("utf-32-le"), "<u4")
         np.add.at(counts[i], codes % LETTERS, 1)
         head = codes[:PREFIX_LENGTH]
         heads[i, : len(head)] = head
-        heads[i, len(head) :] = -1 - i  # what is not there equals nothing
+    return counts, sizes, heads
+
+
+def best_titles(seeds: list[tuple[str, str]], least: float):
+    """A function over frames (paper_id, pt) that gives the best paper of each (title, normal title) among those of its task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, tuple[float, object]] = {}
+        for f in frames:
+            f = f.sort_values("paper_id")
+            ids, titles = f["paper_id"].tolist(), f["pt"].fillna("").tolist()
+            if not ids:
+                continue
+            coded = _coded([*titles, *(t for _, t in seeds)])
+            for k, (seed, title) in enumerate(seeds):
+                score, at = best.get(seed, (-1.0, None))
+                bound = title_bounds(*coded, len(ids) + k, np.arange(len(ids)))
+                # the likeliest first: once a score is known, nothing whose bound is below it is computed
+                for i in np.argsort(-bound, kind="stable").tolist():
+                    if bound[i] < max(score, least) - 1e-9:
+                        break
+                    s = jaro_winkler_of(title, titles[i])
+                    if s >= least and (s > score or s == score and ids[i] < at):
+                        score, at = s, ids[i]
+                if at is not None:
+                    best[seed] = (score, at)
+        if best:
+            yield pd.DataFrame([(seed, at, score) for seed, (score, at) in best.items()], columns=["seed", "paper_id", "score"])
+
+    return run
+
+
+def _alike(ids: list, titles: list[str], years: list, vectors: list, left: np.ndarray, right: np.ndarray | None, titled: float, near: float, window: int) -> Iterator[tuple]:
+    """(a, b) of a tile's rows that the vectors, or titles and years, make duplicates; right None: pairs inside left."""
+    n = len(ids)
+    counts, sizes, heads = _coded(titles)
     year = np.array([np.nan if y is None else y for y in years], dtype=float)
     has = np.array([bool(t) for t in titles])
     dims: dict[int, list[int]] = {}

@@ -110,19 +110,32 @@ def rescreen(collection: DataFrame, seeds: DataFrame, passed: DataFrame) -> tupl
     return collection.join(out, "paper_id", "left_anti"), out
 
 
-def resolve_titles(seeds: DataFrame, papers: DataFrame) -> DataFrame:
-    """(seed, paper_id, score): each seed title's best match among papers that share its first two normal letters.
+#: Seed titles that one task compares its papers with at a time.
+SEED_TITLES = 2000
 
-    Seeds are few and stated; the blocks keep the comparison from being one of all pairs.
+
+def resolve_titles(seeds: DataFrame, papers: DataFrame, least: float = 0.0) -> DataFrame:
+    """(seed, paper_id, score): the most similar title of all papers for each seed title, ties to the smallest id; none below `least`.
+
+    Every paper is compared with every seed, but only what letter counts leave room for is computed. A task
+    keeps the best paper of each seed among its own, so what is shuffled is a row a seed and task. Seeds go
+    over the papers in shares of SEED_TITLES, a share at a time with the task.
     """
     from ..functions.text import normalize_title
-    from .dedup import jaro_winkler
+    from .dedup import best_titles
 
-    s = seeds.select(F.col("title").alias("seed"), normalize_title("title").alias("st"))
+    s = seeds.select(F.col("title").alias("seed")).where("seed is not null").distinct()
+    n = s.count()
+    out = None
+    kind = dict(papers.dtypes)["paper_id"]
     p = papers.select("paper_id", normalize_title("title").alias("pt"))
-    pairs = p.join(F.broadcast(s), F.left("pt", F.lit(2)) == F.left("st", F.lit(2)))
-    scored = pairs.select("seed", "paper_id", jaro_winkler("st", "pt").alias("score"))
-    rank = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "paper_id"))
-    return scored.withColumn("rn", rank).where("rn = 1").drop("rn")
-
-
+    for part in range(-(-n // SEED_TITLES)):
+        share = s if n <= SEED_TITLES else s.where(F.pmod(F.xxhash64("seed"), F.lit(-(-n // SEED_TITLES))) == part)
+        # bounded: the titles of one share
+        titles = [tuple(r) for r in share.select("seed", normalize_title("seed").alias("st")).collect()]
+        found = p.mapInPandas(best_titles(titles, least), f"seed string, paper_id {kind}, score double")
+        out = found if out is None else out.union(found)
+    if out is None:
+        return p.select(F.lit("").alias("seed"), "paper_id", F.lit(0.0).alias("score")).limit(0)
+    best = out.groupBy("seed").agg(F.max("score").alias("score"), F.min_by("paper_id", F.struct(F.negative("score"), "paper_id")).alias("paper_id"))
+    return best.select("seed", "paper_id", "score")

@@ -51,3 +51,17 @@ def test_more_than_five_hundred_without_author(spark):
     p = spark.createDataFrame([(f"p{i:03d}", "one title of all", None, 2000, None) for i in range(501)], "paper_id string, norm_title string, author string, year int, embedding array<float>")
     assert D.duplicate_pairs(D.candidate_pairs(p), p).count() == 501 * 500 // 2
     assert D.duplicate_pairs(D.candidate_pairs(p.limit(0)), p.limit(0)).count() == 0
+
+
+def test_a_seed_meets_every_title(spark):
+    from lodestar.operators import expand
+
+    rows = [(i, t) for i, (_, t, *_) in enumerate(papers(5, 400))] + [(900, "Graph neural networks for genomes"), (901, "graph neural networks for genomes"), (902, "Hraft beer brewing"), (903, None)]
+    p = spark.createDataFrame(rows, "paper_id long, title string").repartition(4)
+    seeds = ["Hraph neural networks for genomes", "deep maps", "étude of cells", "deep maps"]
+    got = {r["seed"]: (r["paper_id"], r["score"]) for r in expand.resolve_titles(spark.createDataFrame([(s,) for s in seeds], "title string"), p).collect()}
+    norm = lambda t: " ".join("".join(c for c in (t or "").lower() if c.isalnum() or c.isspace()).split())
+    assert got == {s: max(((i, D.jaro_winkler_of(norm(s), norm(t))) for i, t in rows), key=lambda x: (x[1], -x[0])) for s in seeds}
+    assert got[seeds[0]][0] == 900
+    assert expand.resolve_titles(spark.createDataFrame([("zzz",)], "title string"), p, 0.9).count() == 0
+    assert expand.resolve_titles(spark.createDataFrame([], "title string"), p).count() == 0
