@@ -9,7 +9,7 @@ from typing import Any
 from ..operators import screening as S
 
 SECRET_KEYS = ("api_key", "s2_api_key", "openai_api_key", "gemini_api_key")
-ENV = {"LODESTAR_MAX_PAPERS": ("max_papers", int), "LODESTAR_MAX_TOKENS": ("max_tokens", int), "LODESTAR_MODEL": ("screening_model", str), "LODESTAR_DATA_DIR": ("data_dir", str)}
+ENV = {"LODESTAR_MAX_PAPERS": ("max_papers", int), "LODESTAR_MAX_TOKENS": ("max_tokens", int), "LODESTAR_MAX_REQUESTS": ("max_requests", int), "LODESTAR_MODEL": ("screening_model", str), "LODESTAR_DATA_DIR": ("data_dir", str)}
 
 
 class ConfigError(ValueError):
@@ -41,6 +41,7 @@ class Settings:
     topic_description: str = ""
     max_papers: int = 2000
     max_tokens: int = 10**9
+    max_requests: int = 10**9
     llm_batch_size: int = 20
     reply_memo: str = ""
     seed_papers: list[SeedPaper] = field(default_factory=list)

@@ -12,13 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
-from ..operators import communities, dedup, expand, history, output, ranking, screening, topics, verdicts
+from ..operators import acquire, communities, dedup, expand, history, output, ranking, screening, topics, verdicts
 from ..operators.fixpoint import materialised, numbered
 from ..operators.formula import Formula
 from ..operators.graph import author_stats, citation_edges, collaboration, degrees, pagerank
+from ..sources.fallback import fallback_edges, fill_fields
 from .config import ConfigError, Settings, build_block, walk
 
 
+#: Fields that the last step fills from fallbacks.
+FILLED = ("abstract", "pdf_url", "venue")
 #: Rejected papers that a semantic expansion takes as negatives at most.
 NEGATIVES = 50
 #: Shorter titles are too general to tell a seed's other version.
@@ -38,12 +41,18 @@ class BudgetSpent(Exception):
 
 @dataclass
 class Corpus:
-    """What expansion draws from: papers (with external_ids if known), edges (citing_id, cited_id), and if there vectors and authorship."""
+    """What expansion draws from: papers (with external_ids if known), edges (citing_id, cited_id), and if there vectors, authorship and full texts (paper_id, text).
+
+    Fallbacks are asked in their order, by name, for what is missing: tables of papers' fields, and of edges.
+    """
 
     papers: DataFrame
     edges: DataFrame
     vectors: DataFrame | None = None
     authorship: DataFrame | None = None
+    texts: DataFrame | None = None
+    more_papers: list[tuple[str, DataFrame]] = field(default_factory=list)
+    more_edges: list[tuple[str, DataFrame]] = field(default_factory=list)
 
 
 @dataclass
@@ -70,7 +79,8 @@ class Run:
         self.shape: list[dict] = []
         self.events: list[dict] = []
         self.done: set[tuple] = set()
-        self.tokens = 0
+        self.tokens = self.requests = 0
+        self.quotes = self._empty(f"citing_id {self.id_type}, cited_id {self.id_type}, quotes array<string>, resolved_by array<string>")
 
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
@@ -121,9 +131,10 @@ class Run:
             if c not in cands.columns:
                 cands = cands.withColumn(c, F.lit(None).cast("string"))
         if self.spent():
-            raise BudgetSpent(f"{self.tokens} of {self.settings.max_tokens} tokens are used")
+            raise BudgetSpent(f"{self.tokens} of {self.settings.max_tokens} tokens and {self.requests} of {self.settings.max_requests} requests are used")
         asked = materialised(cands.where(screening.Sequential(ahead).passes()))
         criteria = [spec["queries"][n] for n in Formula(spec["formula"]).names()] if spec.get("formula") else [spec.get("prompt", "")]
+        self.requests += -(-asked.count() // max(1, self.settings.llm_batch_size)) * len(criteria) * int(spec.get("votes", 1))
         self.tokens += verdicts.tokens_of(asked, criteria, **{k: how[k] for k in ("scope", "votes", "batch", "memo", "model") if k in how})
         if spec.get("formula"):
             got = verdicts.formula_verdicts(asked, spec["formula"], spec["queries"], **how)
@@ -134,8 +145,8 @@ class Run:
         return cands.join(got, "paper_id", "left")
 
     def spent(self) -> bool:
-        """Whether models were asked for all tokens that the settings allow; the last question may go beyond."""
-        return self.tokens >= self.settings.max_tokens
+        """Whether models were asked for all tokens, or as often, as the settings allow; the last question may go beyond."""
+        return self.tokens >= self.settings.max_tokens or self.requests >= self.settings.max_requests
 
     def admit(self, screened: DataFrame, source: str) -> StepResult:
         """Passed candidates join the collection, the others the ledger; all were seen."""
@@ -208,15 +219,41 @@ class Run:
         new = self._unexpanded(signal, "forward")
         top = expand.top_citers(new, self.corpus.edges, self.corpus.papers, max_citations)
         claimed = expand.with_source_sets(expand.claim(top, self.seen), top, self.corpus.edges)
-        refs = self.corpus.edges.groupBy(F.col("citing_id").alias("cand")).agg(F.collect_set("cited_id").alias("references"))
-        citers = self.corpus.edges.groupBy(F.col("cited_id").alias("cand")).agg(F.collect_set("citing_id").alias("citers"))
+        claimed = materialised(claimed)
+        # only the candidates' own neighbours
+        e, c = self.corpus.edges, claimed.select("cand").distinct()
+        refs = e.withColumnRenamed("citing_id", "cand").join(c, "cand", "left_semi").groupBy("cand").agg(F.collect_set("cited_id").alias("references"))
+        citers = e.withColumnRenamed("cited_id", "cand").join(c, "cand", "left_semi").groupBy("cand").agg(F.collect_set("citing_id").alias("citers"))
         return self._claimed(claimed.join(refs, "cand", "left").join(citers, "cand", "left"), "forward", screener)
 
     def expand_backward(self, signal: DataFrame, screener: str | dict | None = None) -> StepResult:
-        c = expand.expand_backward(self._unexpanded(signal, "backward"), self.corpus.edges, self.seen)
+        new = self._unexpanded(signal, "backward")
+        edges = fallback_edges(new, self.corpus.edges, self.corpus.more_edges) if self.corpus.more_edges else self.corpus.edges
+        c = expand.expand_backward(new, edges, self.seen)
         none = F.lit(None).cast(f"array<{self.id_type}>")
         return self._claimed(c.withColumn("source_refs", none).withColumn("source_citers", none).withColumn("references", none).withColumn("citers", none), "backward", screener)
 
+    def expand_by_pdf(self, signal: DataFrame, screener: str | dict | None = None, limit: int | None = None) -> StepResult:
+        """Papers that the full texts of the signal cite in their lists: entries resolved by DOI or title, kept as quotes of the edge.
+
+        Without texts, or without a list in them, nothing is found. An entry of a paper in the collection is a quote as well.
+        """
+        if self.corpus.texts is None:
+            return StepResult(self.signal(self._empty(f"paper_id {self.id_type}")), {"reason": "no texts"})
+        new = self._unexpanded(signal, "pdf")
+        held = self.corpus.papers
+        held = held.select("paper_id", "title", (F.try_element_at("external_ids", F.lit("DOI")) if "external_ids" in held.columns else F.lit(None).cast("string")).alias("doi"))
+        found = acquire.found_references(self.corpus.texts.join(new, "paper_id", "left_semi"), limit)
+        r = materialised(acquire.resolve_references(found, held).where("ref_id is not null and ref_id <> paper_id"))
+        quotes = r.groupBy(F.col("paper_id").alias("citing_id"), F.col("ref_id").alias("cited_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "entry", "by"))).alias("q"))
+        quotes = quotes.select("citing_id", "cited_id", F.transform("q", lambda x: x["entry"]).alias("quotes"), F.transform("q", lambda x: x["by"]).alias("resolved_by"))
+        self.quotes = materialised(self.quotes.union(quotes.join(self.quotes, ["citing_id", "cited_id"], "left_anti")))
+        c = expand.expand_backward(new, r.select(F.col("paper_id").alias("citing_id"), F.col("ref_id").alias("cited_id")).distinct(), self.seen)
+        none = F.lit(None).cast(f"array<{self.id_type}>")
+        got = self._claimed(c.withColumn("source_refs", none).withColumn("source_citers", none).withColumn("references", none).withColumn("citers", none), "pdf", screener)
+        got.stats |= {"entries": found.count(), "resolved": r.count()}
+        return got
+
     def _unexpanded(self, signal: DataFrame, way: str) -> DataFrame:
         old = self.clusters.get(f"_{way}")
         new = materialised(signal if old is None else signal.join(old, "paper_id", "left_anti"))
@@ -360,7 +397,11 @@ class Run:
         return StepResult(self.signal(expand.parallel_union(out).select("paper_id")) if out else signal)
 
     def edges(self) -> DataFrame:
-        refs = self.corpus.edges.groupBy(F.col("citing_id").alias("paper_id")).agg(F.collect_list("cited_id").alias("references"))
+        e = self.corpus.edges
+        if self.corpus.more_edges:
+            e = fallback_edges(self.collection, e, self.corpus.more_edges)
+        e = e.select("citing_id", "cited_id").union(self.quotes.select("citing_id", "cited_id")).distinct()
+        refs = e.withColumnRenamed("citing_id", "paper_id").join(self.collection, "paper_id", "left_semi").groupBy("paper_id").agg(F.collect_list("cited_id").alias("references"))
         c = self.collection.join(refs, "paper_id", "left")
         return materialised(citation_edges(c))
 
@@ -411,6 +452,13 @@ class Run:
     def finalize(self, signal: DataFrame) -> StepResult:
         base = self.settings.data_dir
         papers = self.collection.join(self.corpus.papers, "paper_id", "left")
+        if self.corpus.more_papers:
+            papers = materialised(fill_fields(papers, self.corpus.more_papers, [c for c in FILLED if c in papers.columns or any(c in t.columns for _, t in self.corpus.more_papers)]))
+        if self.corpus.more_edges:
+            # where each paper's references come from, the run's own edges first
+            fallback_edges(self.collection, self.corpus.edges, self.corpus.more_edges).groupBy("citing_id", "found_in").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{base}/reference_sources")
+        if self.corpus.texts is not None:
+            self.quotes.write.mode("overwrite").json(f"{base}/quotes")
         output.write_collection(papers, base)
         output.bibtex(output.by_citations(papers)).select("entry").write.mode("overwrite").text(f"{base}/collection.bib")
         e = self.edges()
@@ -426,13 +474,13 @@ class Run:
             labels.write.mode("overwrite").json(f"{base}/clusters_{name}.json")
         self._text(json.dumps(self.shape), "shape_summary.json")
         self._text(shape_text(self.shape), "shape_summary.txt")
-        state = output.run_state(1, [str(p.paper_id) for p in self.settings.seed_papers], None, {"max_tokens": self.settings.max_tokens, "used_tokens": self.tokens})
+        state = output.run_state(1, [str(p.paper_id) for p in self.settings.seed_papers], None, {"max_tokens": self.settings.max_tokens, "used_tokens": self.tokens, "max_requests": self.settings.max_requests, "used_requests": self.requests})
         self.spark.createDataFrame([(state,), (json.dumps(self.shape),)], "line string").write.mode("overwrite").text(f"{base}/run_state")
         return StepResult(self.signal(self._empty(f"paper_id {self.id_type}")), stop=True)
 
     STEPS = {
         "LoadSeeds": load_seeds, "ResolveSeeds": resolve_seeds, "ExpandForward": expand_forward, "ExpandBackward": expand_backward, "ExpandBySearch": expand_by_search, "ExpandBySemantics": expand_by_semantics,
-        "ExpandByAuthor": expand_by_author, "ReScreen": rescreen, "Rerank": rerank, "Cluster": cluster, "MergeDuplicates": merge_duplicates, "Parallel": parallel,
+        "ExpandByAuthor": expand_by_author, "ExpandByPDF": expand_by_pdf, "ReScreen": rescreen, "Rerank": rerank, "Cluster": cluster, "MergeDuplicates": merge_duplicates, "Parallel": parallel,
         "HumanInTheLoop": human_in_the_loop, "Finalize": finalize,
     }
 
@@ -477,7 +525,7 @@ def rewritten(steps: list[dict]) -> list[dict]:
 
 
 def run_pipeline(spark: SparkSession, settings: Settings, corpus: Corpus, review: Review | None = None) -> Run:
-    """All steps in turn. Beyond max_papers or max_tokens, or if a step fails or an outage ends it, what there is gets finalised.
+    """All steps in turn. Beyond max_papers, max_tokens or max_requests, or if a step fails or an outage ends it, what there is gets finalised.
 
     Tokens are counted as verdicts.tokens_of estimates them, before a model is asked.
     """
