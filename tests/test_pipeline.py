@@ -109,7 +109,7 @@ def test_merge_duplicates_keeps_values_and_citations(spark, tmp_path):
     assert (q["title"], q["abstract"], q["venue"], q["year"], q["citation_count"]) == ("The final work", "What it says.", "Nature", 2021, 90)
 
 
-@pytest.mark.parametrize("step", [{"step": "Cluster", "namings": {"mode": "tfidf"}}, {"step": "LoadSeeds", "include_siblings": True}, {"step": "ExpandByPDF"}, {"step": "Parallel", "branches": [[{"step": "HumanInTheLoop", "wait": 1}]]}])
+@pytest.mark.parametrize("step", [{"step": "Cluster", "namings": {"mode": "tfidf"}}, {"step": "LoadSeeds", "include_siblings": True}, {"step": "ExpandByGuess"}, {"step": "Parallel", "branches": [[{"step": "HumanInTheLoop", "wait": 1}]]}])
 def test_refused_options(spark, corpus, tmp_path, step):
     with pytest.raises(config.ConfigError):
         run_pipeline(spark, settings(tmp_path, [step]), corpus)
