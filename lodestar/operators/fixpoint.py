@@ -8,6 +8,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -49,6 +50,32 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFram
     return s.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The value at the share q of the sorted column, between two values in proportion; nulls do not count, without any value it is None.
+
+    Equal values are counted before they are sorted by ranges. One row a range, and one or two values, reach the driver;
+    running sums are taken in the range that holds the place.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    s = materialised(counts.orderBy("x").withColumn("part", F.spark_partition_id()))
+    parts = s.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    place = (sum(r["n"] for r in parts) - 1) * q
+    if place < 0:
+        return None
+
+    def at(k: int) -> float:
+        before = 0
+        for r in parts:
+            if k < before + r["n"]:
+                upto = F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+                return s.where(F.col("part") == r["part"]).withColumn("upto", upto).where(F.col("upto") > k - before).agg(F.min("x")).first()[0]
+            before += r["n"]
+        raise AssertionError("k is a place among the rows")
+
+    low = at(int(place))
+    return float(low) if place == int(place) else float(low + (at(int(place) + 1) - low) * (place - int(place)))
+
+
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Callable[[DataFrame], tuple] | None = None, most: int = 10_000) -> DataFrame:
     """step applied until the mark (by default a row count and hash sum) stays."""
     mark = mark or signature

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import fixpoint, materialised
+from ..functions.vectors import cosine_or_zero
+from .fixpoint import fixpoint, materialised, quantile
 
 #: Damping, and the weight of edges in a graph without any similarity.
 DAMPING = 0.85
@@ -149,33 +150,86 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 # -- similarity of linked papers ----------------------------------------------------------------
 
-def _shared(edges: DataFrame, own: DataFrame) -> DataFrame:
-    """edges with the Jaccard ratio of own (id, item) sets of both ends; 0 if both are empty."""
-    size = own.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    both = edges.join(own.select(F.col("id").alias("src"), "item"), "src").join(own.select(F.col("id").alias("dst"), "item"), ["dst", "item"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("both"))
-    e = edges.join(both, ["src", "dst"], "left").join(size.select(F.col("id").alias("src"), F.col("n").alias("ns")), "src", "left").join(size.select(F.col("id").alias("dst"), F.col("n").alias("nd")), "dst", "left")
-    b = F.coalesce("both", F.lit(0))
-    return e.select("src", "dst", F.coalesce(F.try_divide(b, F.coalesce("ns", F.lit(0)) + F.coalesce("nd", F.lit(0)) - b), F.lit(0.0)).alias("sim"))
+#: Out-neighbours of a vertex that one task pairs with all its others.
+WEDGE_BLOCK = 256
+
+
+def _ranked(edges: DataFrame) -> DataFrame:
+    """(lo, hi, up, down, dl, dh, and in_ and out_ degrees of both): each linked pair once, from the vertex of fewer links to that of more.
+
+    up tells of an edge lo -> hi, down of one hi -> lo. A vertex is lo of at most the root of twice the edges, hubs too.
+    """
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    pairs = e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(F.col("src") < F.col("dst")).alias("ab"), F.max(F.col("src") > F.col("dst")).alias("ba"))
+    pairs = materialised(pairs)
+    one = lambda c: F.col(c).cast("long")
+    ends = pairs.select(F.col("a").alias("id"), one("ab").alias("o"), one("ba").alias("i")).union(pairs.select("b", one("ba"), one("ab")))
+    deg = materialised(ends.groupBy("id").agg(F.sum("i").alias("in"), F.sum("o").alias("out"), F.count(F.lit(1)).alias("links")))
+    of = lambda c: deg.select(F.col("id").alias(c), F.struct("links", "id", "in", "out").alias(f"v{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    first = F.struct("va.links", "a") < F.struct("vb.links", "b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    lo, hi = pick("va", "vb"), pick("vb", "va")
+    return both.select(
+        lo["id"].alias("lo"), hi["id"].alias("hi"), pick("ab", "ba").alias("up"), pick("ba", "ab").alias("down"), hi["links"].alias("dh"),
+        lo["in"].alias("in_lo"), hi["in"].alias("in_hi"), lo["out"].alias("out_lo"), hi["out"].alias("out_hi"),
+    )
+
+
+def triangles(ranked: DataFrame) -> DataFrame:
+    """(u, v, w, and up and down of uv, uw and vw): each three linked vertices once, in the order of `_ranked`.
+
+    Pairs of out-neighbours of u that are linked. Those of a vertex are paired in blocks, so that no task holds all of them.
+    """
+    n = ranked.groupBy("lo").agg(F.ceil(F.count(F.lit(1)) / WEDGE_BLOCK).cast("int").alias("blocks"))
+    t = ranked.select(F.col("lo").alias("u"), "hi", "up", "down", "dh").join(n.withColumnRenamed("lo", "u"), "u")
+    left = t.select("u", F.col("hi").alias("v"), F.col("dh").alias("dv"), F.col("up").alias("uv_up"), F.col("down").alias("uv_down"), F.pmod(F.xxhash64("hi"), F.col("blocks")).cast("int").alias("block"))
+    right = t.select("u", F.col("hi").alias("w"), F.col("dh").alias("dw"), F.col("up").alias("uw_up"), F.col("down").alias("uw_down"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    wedges = left.join(right, ["u", "block"]).where(F.struct("dv", "v") < F.struct("dw", "w")).drop("block", "dv", "dw")
+    return wedges.join(ranked.select(F.col("lo").alias("v"), F.col("hi").alias("w"), F.col("up").alias("vw_up"), F.col("down").alias("vw_down")), ["v", "w"])
 
 
 def edge_similarities(edges: DataFrame) -> DataFrame:
-    """(src, dst, ref_sim, cit_sim): Jaccard ratios of in-graph references and of in-graph citers."""
-    refs = edges.select(F.col("dst").alias("id"), F.col("src").alias("item"))
-    citers = edges.select(F.col("src").alias("id"), F.col("dst").alias("item"))
-    return _shared(edges, refs).withColumnRenamed("sim", "ref_sim").join(_shared(edges, citers).withColumnRenamed("sim", "cit_sim"), ["src", "dst"])
+    """(src, dst, ref_sim, cit_sim): Jaccard ratios of in-graph references and of in-graph citers; 0 if both ends have none.
+
+    Edges are taken once, loops are dropped. What two linked vertices share closes a triangle, and triangles are listed from
+    their vertex of fewest links, so a hub costs no more than the others. Each gives its three pairs a shared reference,
+    a shared citer, or neither; these are summed before the shuffle.
+    """
+    r = materialised(_ranked(edges))
+    f = {c: F.col(c) for c in ("uv_up", "uv_down", "uw_up", "uw_down", "vw_up", "vw_down")}
+    mark = lambda lo, hi, ref, cit: F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"), ref.cast("long").alias("ref"), cit.cast("long").alias("cit"))
+    three = F.array(
+        mark("u", "v", f["uw_down"] & f["vw_down"], f["uw_up"] & f["vw_up"]),
+        mark("u", "w", f["uv_down"] & f["vw_up"], f["uv_up"] & f["vw_down"]),
+        mark("v", "w", f["uv_up"] & f["uw_up"], f["uv_down"] & f["uw_down"]),
+    )
+    shared = triangles(r).select(F.inline(three)).where("ref > 0 or cit > 0").groupBy("lo", "hi").agg(F.sum("ref").alias("ref"), F.sum("cit").alias("cit"))
+    ratio = lambda both, x, y: F.coalesce(F.try_divide(F.coalesce(both, F.lit(0)), F.col(x) + F.col(y) - F.coalesce(both, F.lit(0))), F.lit(0.0))
+    sims = r.join(shared, ["lo", "hi"], "left").select("lo", "hi", "up", "down", ratio("ref", "in_lo", "in_hi").alias("ref_sim"), ratio("cit", "out_lo", "out_hi").alias("cit_sim"))
+    ways = F.array(F.when(F.col("up"), F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst"))), F.when(F.col("down"), F.struct(F.col("hi").alias("src"), F.col("lo").alias("dst"))))
+    return sims.select(F.explode(F.array_compact(ways)).alias("e"), "ref_sim", "cit_sim").select("e.src", "e.dst", "ref_sim", "cit_sim")
+
+
+def semantic_similarities(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """edges with semantic_similarity, the cosine of both ends' vectors (paper_id, embedding); 0 if one is missing, zero or of another length."""
+    v = vectors.where("embedding is not null").groupBy("paper_id").agg(F.max("embedding").alias("e"))
+    of = lambda c: v.select(F.col("paper_id").alias(c), F.col("e").alias(f"e_{c}"))
+    j = edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return j.select(*edges.columns, cosine_or_zero(F.col("e_src"), F.col("e_dst")).alias("semantic_similarity"))
 
 
 def edge_weights(similar: DataFrame) -> DataFrame:
     """similar (src, dst, ref_sim, cit_sim) with weight: the larger of both as shares of their maxima.
 
     Edges without any signal get the lower quartile of the others' weights; without any others, LEAST_WEIGHT.
-    The maxima and the quartile are one row.
+    The maxima and the quartile are numbers on the driver.
     """
-    top = similar.agg(F.max("ref_sim").alias("mr"), F.max("cit_sim").alias("mc"))
-    share = lambda x, m: F.coalesce(F.try_divide(F.col(x), F.nullif(F.col(m), F.lit(0.0))), F.lit(0.0))
-    w = similar.join(F.broadcast(top)).withColumn("w", F.greatest(share("ref_sim", "mr"), share("cit_sim", "mc"))).withColumn("none", (F.col("ref_sim") <= 0) & (F.col("cit_sim") <= 0))
-    low = w.where("not none").agg(F.percentile("w", F.lit(0.25)).alias("q1"))
-    return w.join(F.broadcast(low)).select("src", "dst", "ref_sim", "cit_sim", F.when(F.col("none"), F.coalesce("q1", F.lit(LEAST_WEIGHT))).otherwise(F.col("w")).alias("weight"))
+    top = similar.agg(F.max("ref_sim"), F.max("cit_sim")).first()
+    share = lambda x, m: F.col(x) / F.lit(m) if m else F.lit(0.0)
+    w = similar.withColumn("w", F.greatest(share("ref_sim", top[0]), share("cit_sim", top[1]))).withColumn("none", (F.col("ref_sim") <= 0) & (F.col("cit_sim") <= 0))
+    low = quantile(w.where("not none"), "w", 0.25)
+    return w.select("src", "dst", "ref_sim", "cit_sim", F.when(F.col("none"), F.lit(LEAST_WEIGHT if low is None else low)).otherwise(F.col("w")).alias("weight"))
 
 
 # -- authors ------------------------------------------------------------------------------------

@@ -57,6 +57,15 @@ def edge_weights(spark, d):
     return G.edge_weights(G.edge_similarities(dag(spark, d))).select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
+@query("semantic_similarities", """with v as (select * from lit_vectors where embedding is not null),
+e as (select distinct src, dst from (select l_partkey as src, l_suppkey * 37 + l_orderkey as dst from lineitem) t where src <> dst)
+select e.src, e.dst, round(case when a.embedding is null or b.embedding is null then 0 else coalesce(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 0) end, 6) as semantic_similarity
+from e left join v a on a.paper_id = e.src left join v b on b.paper_id = e.dst""", "lit_vectors")
+def semantic_similarities(spark, d):
+    e = view(spark, d, "lit_cyc").where("src <> dst").distinct()
+    return G.semantic_similarities(e, view(spark, d, "lit_vectors")).select("src", "dst", F.round("semantic_similarity", 6).alias("semantic_similarity"))
+
+
 @query("saturation", "select p.paper_id, round(s.x, 9) as saturation from (select distinct citing_id as paper_id from lit_refs) p left join (select citing_id, count(case when c.paper_id is not null then 1 end) / cast(count(*) as double) as x from lit_refs left join (select paper_id from lit_papers where citation_count >= 30) c on c.paper_id = cited_id where cited_id <> citing_id group by citing_id) s on s.citing_id = p.paper_id", "lit_papers", "lit_refs")
 def saturation(spark, d):
     p = view(spark, d, "lit_refs").groupBy(F.col("citing_id").alias("paper_id")).agg(F.collect_list("cited_id").alias("references"))

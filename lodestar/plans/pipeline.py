@@ -15,7 +15,7 @@ from ..functions.text import normalize_title
 from ..operators import acquire, communities, dedup, expand, history, output, ranking, screening, topics, verdicts
 from ..operators.fixpoint import materialised, numbered
 from ..operators.formula import Formula
-from ..operators.graph import author_stats, citation_edges, collaboration, degrees, pagerank
+from ..operators.graph import author_stats, citation_edges, collaboration, degrees, edge_similarities, edge_weights, pagerank, semantic_similarities
 from ..sources.fallback import fallback_edges, fill_fields
 from .config import ConfigError, Settings, build_block, walk
 
@@ -464,6 +464,9 @@ class Run:
         e = self.edges()
         if self.collection.count() >= 2:
             attrs = [c for c in ("title", "year", "venue", "citation_count", "depth", "source") if c in papers.columns]
+            e = edge_weights(edge_similarities(e))
+            if self.corpus.vectors is not None:
+                e = semantic_similarities(e, self.corpus.vectors)
             output.write_graphml(papers.select(F.col("paper_id").alias("id"), *attrs), e, f"{base}/citation_network.graphml")
         if self.corpus.authorship is not None:
             self._author_graph(papers)

@@ -45,6 +45,9 @@ def test_chain(spark, corpus, tmp_path):
     v, e = records.read_graphml(spark, f"{tmp_path}/citation_network.graphml/*.txt")
     assert v.count() == 4
     assert {(r["src"], r["dst"]) for r in e.collect()} == {("SEED", "CITER1"), ("SEED", "CITER2"), ("CITER1", "CITER2"), ("REF3", "CITER1")}
+    a = {(r["src"], r["dst"]): r["attrs"] for r in e.collect()}[("SEED", "CITER2")]
+    # in the collection SEED has no references and CITER2 no citers: nothing is shared
+    assert float(a["semantic_similarity"]) == pytest.approx(0.7 / 0.58**0.5) and float(a["ref_sim"]) == float(a["cit_sim"]) == 0.0 and float(a["weight"]) > 0
     assert v.where("id = 'SEED'").first()["attrs"]["title"] == "Title of SEED"
 
 
