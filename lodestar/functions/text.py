@@ -137,11 +137,6 @@ def token_estimate(x: Column | str) -> Column:
     return F.floor(F.char_length(F.coalesce(_c(x), F.lit(""))) / 4).cast("long")
 
 
-def fingerprint(ids: Column | str, *knobs: Column | str) -> Column:
-    """Digest of a signal's sorted ids and the settings of a step."""
-    return F.sha2(F.to_json(F.struct(F.sort_array(_c(ids)).alias("ids"), *(_c(k).alias(f"k{i}") for i, k in enumerate(knobs)))), 256)
-
-
 def translate_query(x: Column | str) -> Column:
     """Boolean words to search syntax: AND to a blank, OR to |, NOT x to -x."""
     x = F.regexp_replace(_c(x), r"\bNOT\s+", "-")

@@ -139,3 +139,10 @@ def resolve_titles(seeds: DataFrame, papers: DataFrame, least: float = 0.0) -> D
         return p.select(F.lit("").alias("seed"), "paper_id", F.lit(0.0).alias("score")).limit(0)
     best = out.groupBy("seed").agg(F.max("score").alias("score"), F.min_by("paper_id", F.struct(F.negative("score"), "paper_id")).alias("paper_id"))
     return best.select("seed", "paper_id", "score")
+
+
+def fingerprint(signal: DataFrame, step: str, options: str = "") -> DataFrame:
+    """(fingerprint): a digest of a step, its options and its signal's ids (paper_id) in any order, from their number and the sum of their hashes."""
+    h = F.conv(F.substring(F.md5(F.col("paper_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    n = signal.agg(F.count("paper_id").cast("string").alias("n"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("total"))
+    return n.select(F.sha2(F.concat_ws("|", F.lit(step), F.lit(options), "n", "total").cast("binary"), 256).alias("fingerprint"))

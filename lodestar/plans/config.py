@@ -44,6 +44,8 @@ class Settings:
     max_requests: int = 10**9
     llm_batch_size: int = 20
     reply_memo: str = ""
+    state_dir: str = ""
+    start_from: str = ""
     seed_papers: list[SeedPaper] = field(default_factory=list)
     models: dict[str, ModelEndpoint] = field(default_factory=dict)
     blocks: dict[str, dict] = field(default_factory=dict)

@@ -304,12 +304,10 @@ def rescreen(spark, d):
     return kept.select("paper_id")
 
 
-@query("step_fingerprint", None)
+@query("step_fingerprint", f"""with {_SOURCES} select sha256(concat_ws('|', 'ExpandForward', 'max_citations=10', cast(count(*) as varchar),
+cast(sum(cast(cast('0x' || substr(md5(cast(paper_id as varchar)), 1, 15) as bigint) as hugeint)) as varchar))) as fingerprint from src""", "lit_papers")
 def step_fingerprint(spark, d):
-    from ..functions.text import fingerprint
-
-    ids = _signal(spark, d).agg(F.collect_list(F.col("paper_id").cast("string")).alias("ids"))
-    return ids.select(fingerprint("ids", F.lit("max_citations=10")).alias("fingerprint"))
+    return X.fingerprint(_signal(spark, d), "ExpandForward", "max_citations=10")
 
 
 @query("collection_delta", "select paper_id from lit_papers where year >= 2000 except select paper_id from lit_papers where year >= 2010", "lit_papers")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import inspect
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +18,7 @@ from ..operators.formula import Formula
 from ..operators.graph import author_stats, citation_edges, collaboration, degrees, edge_similarities, edge_weights, pagerank, semantic_similarities
 from ..sources.fallback import fallback_edges, fill_fields
 from .config import ConfigError, Settings, build_block, walk
+from .resume import States, chain, continue_from
 
 
 #: Fields that the last step fills from fallbacks.
@@ -44,6 +45,7 @@ class Corpus:
     """What expansion draws from: papers (with external_ids if known), edges (citing_id, cited_id), and if there vectors, authorship and full texts (paper_id, text).
 
     Fallbacks are asked in their order, by name, for what is missing: tables of papers' fields, and of edges.
+    The version tells a resumed run whether its corpus is still the same.
     """
 
     papers: DataFrame
@@ -53,6 +55,7 @@ class Corpus:
     texts: DataFrame | None = None
     more_papers: list[tuple[str, DataFrame]] = field(default_factory=list)
     more_edges: list[tuple[str, DataFrame]] = field(default_factory=list)
+    version: str = ""
 
 
 @dataclass
@@ -78,7 +81,8 @@ class Run:
         self.alias: DataFrame | None = None
         self.shape: list[dict] = []
         self.events: list[dict] = []
-        self.done: set[tuple] = set()
+        self.done: set[str] = set()
+        self.original, self.given, self.iteration = corpus, "", 1
         self.tokens = self.requests = 0
         self.quotes = self._empty(f"citing_id {self.id_type}, cited_id {self.id_type}, quotes array<string>, resolved_by array<string>")
 
@@ -374,15 +378,27 @@ class Run:
         # the largest count and, of other values, the first that is not blank in canonical order
         p = p.select(*(F.coalesce(f"_{x}", x).alias(x) if x in filled else F.col(x) for x in c.papers.columns))
         refs = dedup.rewrite_references(c.edges.select(F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("ord"), F.col("cited_id").alias("ref")), alias)
-        vectors = authorship = None
-        if c.vectors is not None:
-            # the canonical paper's own vector before those of its aliases
-            v = self._renamed(c.vectors.withColumn("_of", F.col("paper_id")), "paper_id", alias)
-            first = F.struct(F.col("embedding").isNull(), F.col("_of") != F.col("paper_id"), "_of")
-            vectors = materialised(v.withColumn("_n", F.row_number().over(W.partitionBy("paper_id").orderBy(first))).where("_n = 1").select(c.vectors.columns))
-        if c.authorship is not None:
-            authorship = materialised(self._renamed(c.authorship, "paper_id", alias).distinct())
-        self.corpus = Corpus(materialised(p), materialised(refs.select(F.col("paper_id").alias("citing_id"), F.col("ref").alias("cited_id"))), vectors, authorship)
+        self.corpus = replace(self.renamed_corpus(alias), papers=materialised(p), edges=materialised(refs.select(F.col("paper_id").alias("citing_id"), F.col("ref").alias("cited_id"))))
+
+    def renamed_corpus(self, alias: DataFrame) -> Corpus:
+        """The run's corpus by canonical ids, fallbacks too: papers without aliases, one vector and one text a paper."""
+        c = self.corpus
+        ends = lambda e: materialised(self._renamed(self._renamed(e, "citing_id", alias), "cited_id", alias).where("citing_id <> cited_id").distinct())
+
+        def one(t: DataFrame | None, value: str) -> DataFrame | None:
+            # the canonical paper's own before those of its aliases
+            if t is None:
+                return None
+            v = self._renamed(t.withColumn("_of", F.col("paper_id")), "paper_id", alias)
+            first = F.struct(F.col(value).isNull(), F.col("_of") != F.col("paper_id"), "_of")
+            return materialised(v.withColumn("_n", F.row_number().over(W.partitionBy("paper_id").orderBy(first))).where("_n = 1").select(t.columns))
+
+        return replace(
+            c, papers=materialised(c.papers.join(alias.select(F.col("alias").alias("paper_id")), "paper_id", "left_anti")), edges=ends(c.edges.select("citing_id", "cited_id")),
+            vectors=one(c.vectors, "embedding"), texts=one(c.texts, "text"),
+            authorship=None if c.authorship is None else materialised(self._renamed(c.authorship, "paper_id", alias).distinct()),
+            more_papers=[(n, materialised(self._renamed(t, "paper_id", alias))) for n, t in c.more_papers], more_edges=[(n, ends(t.select("citing_id", "cited_id"))) for n, t in c.more_edges],
+        )
 
     def parallel(self, signal: DataFrame, branches: list[list[dict]] | None = None) -> StepResult:
         out = []
@@ -477,7 +493,7 @@ class Run:
             labels.write.mode("overwrite").json(f"{base}/clusters_{name}.json")
         self._text(json.dumps(self.shape), "shape_summary.json")
         self._text(shape_text(self.shape), "shape_summary.txt")
-        state = output.run_state(1, [str(p.paper_id) for p in self.settings.seed_papers], None, {"max_tokens": self.settings.max_tokens, "used_tokens": self.tokens, "max_requests": self.settings.max_requests, "used_requests": self.requests})
+        state = output.run_state(self.iteration, [str(p.paper_id) for p in self.settings.seed_papers], self.settings.start_from or None, {"max_tokens": self.settings.max_tokens, "used_tokens": self.tokens, "max_requests": self.settings.max_requests, "used_requests": self.requests})
         self.spark.createDataFrame([(state,), (json.dumps(self.shape),)], "line string").write.mode("overwrite").text(f"{base}/run_state")
         return StepResult(self.signal(self._empty(f"paper_id {self.id_type}")), stop=True)
 
@@ -487,19 +503,33 @@ class Run:
         "HumanInTheLoop": human_in_the_loop, "Finalize": finalize,
     }
 
+    def _searched(self, name: str, spec: dict, signal: DataFrame) -> StepResult | None:
+        """The result of a search that the run has made before on the same papers with the same options; None the first time."""
+        if name not in ONCE:
+            return None
+        digest = expand.fingerprint(signal, name, json.dumps(spec, sort_keys=True, default=str)).first()[0]
+        if digest not in self.done:
+            self.done.add(digest)
+            return None
+        return StepResult(signal if ONCE[name] else self.signal(self._empty(f"paper_id {self.id_type}")), {"reason": "already_searched", "fingerprint": digest[:12]})
+
     def step(self, spec: dict, signal: DataFrame) -> StepResult:
         spec = dict(spec)
         name = spec.pop("step", None)
         check_step({"step": name, **spec})
         before, n_in = self.collection.count(), signal.count()
         self.emit("step_start", name=name)
-        r = self.STEPS[name](self, signal, **spec)
+        r = self._searched(name, spec, signal) or self.STEPS[name](self, signal, **spec)
         r.signal = materialised(r.signal)
         self.shape.append({"step": name, "in": n_in, "out": r.signal.count(), "delta": self.collection.count() - before, "stats": r.stats})
         self.emit("step_end", name=name, **{k: v for k, v in self.shape[-1].items() if k != "step"})
         return r
 
 
+#: Searches of one signal that are not repeated in a run, and whether a repeated one hands its signal on.
+ONCE = {"ExpandBySearch": True, "ExpandBySemantics": True, "ExpandByAuthor": False, "ExpandByPDF": False}
+
+
 def check_step(spec: dict) -> None:
     """Refuses unknown steps and options that a step does not have."""
     name = spec.get("step")
@@ -530,23 +560,41 @@ def rewritten(steps: list[dict]) -> list[dict]:
 def run_pipeline(spark: SparkSession, settings: Settings, corpus: Corpus, review: Review | None = None) -> Run:
     """All steps in turn. Beyond max_papers, max_tokens or max_requests, or if a step fails or an outage ends it, what there is gets finalised.
 
-    Tokens are counted as verdicts.tokens_of estimates them, before a model is asked.
+    Tokens are counted as verdicts.tokens_of estimates them, before a model is asked. With settings.state_dir the run's
+    state is kept after each step, and a run with the same beginning goes on behind the last step that was kept; with
+    settings.start_from it begins with what an earlier run, whatever its steps, has found and seen.
     """
     steps = rewritten(settings.pipeline)
     for s in steps:
         check_step(s)
     run = Run(spark, settings, corpus, review)
+    if settings.start_from:
+        continue_from(run, settings.start_from)
     signal = run._empty(f"paper_id {run.id_type}, ord int")
+    states = digests = None
+    done, ended = 0, False
+    if settings.state_dir:
+        states, digests = States(spark, settings.state_dir), chain(run, steps[:-1])
+        for i in reversed(range(len(digests))):
+            if old := states.load(digests[i]):
+                signal, done, ended = states.restore(run, old), i + 1, old["ended"]
+                run.emit("resumed", after=steps[i]["step"], steps=done)
+                break
     try:
-        for spec in steps[:-1]:
+        for i, spec in enumerate(steps[:-1]):
+            if ended:
+                break
+            if i < done:
+                continue
             try:
                 r = run.step(spec, signal)
             except BudgetSpent as e:
                 run.emit("budget_spent", reason=str(e))
                 break
             signal = r.signal
-            if r.stop or run.spent() or run.collection.count() >= settings.max_papers:
-                break
+            ended = bool(r.stop or run.spent() or run.collection.count() >= settings.max_papers)
+            if states:
+                states.save(digests[i], run, signal, ended)
     finally:
         run.step(steps[-1], signal)
     return run
