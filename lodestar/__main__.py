@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,10 +62,11 @@ def main(argv: list[str] | None = None) -> int:
         shape_table(run_pipeline(spark, settings, _corpus(spark, a.corpus))).show(truncate=False)
     else:
         from .operators import mainpath, output
+        from .operators.fixpoint import numbered
         from .sources.records import read_graphml
 
         v, e = read_graphml(spark, a.graph)
-        names = v.select("id", F.row_number().over(Window.orderBy("id")).cast("long").alias("n"), "attrs")
+        names = numbered(v.select("id", "attrs"), "id", name="n").withColumn("n", F.col("n") + 1)
         coded = e.join(names.select(F.col("id").alias("src"), F.col("n").alias("s")), "src").join(names.select(F.col("id").alias("dst"), F.col("n").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
         papers = names.select(F.col("n").alias("paper_id"), F.col("attrs")["year"].try_cast("int").alias("year"), F.col("attrs")["citation_count"].try_cast("long").alias("citation_count"))
         arcs, roles = mainpath.main_path(coded, papers, a.weight, a.search, a.cycles)
