@@ -39,8 +39,18 @@ def maker(name: str) -> Callable[[], Model]:
     return _models[name]
 
 
+def stub_reply(system: str, user: str, vote: int) -> str:
+    """The offline answer to each kind of question, told by the field that its instruction asks for: names, a query of the topic's words, matches."""
+    if '"topic_label"' in system:
+        return json.dumps({"results": [{"cluster_id": int(c), "topic_label": "stub-topic", "summary": "stub summary"} for c in re.findall(r"(?m)^cluster (-?\d+):", user)]})
+    if '"query"' in system:
+        topic = re.search(r"Topic: (.*)", user)
+        return json.dumps({"query": " OR ".join(dict.fromkeys(re.findall(r"\w{3,}", topic[1].lower()))) if topic else ""})
+    return json.dumps({"results": [{"index": int(i), "match": True} for i in re.findall(r"(?m)^\[(\d+)\]", user)]})
+
+
 def _stub() -> Model:
-    return lambda system, user, vote: json.dumps({"results": [{"index": int(i), "match": True} for i in re.findall(r"(?m)^\[(\d+)\]", user)]})
+    return stub_reply
 
 
 register_model("stub", _stub)

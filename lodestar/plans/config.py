@@ -169,9 +169,9 @@ def check(settings: Settings) -> None:
 
     known = set(_models) | set(settings.models)
     for s in [x for b in settings.blocks for x in walk(b, settings.blocks)] + settings.pipeline:
-        m = s.get("model")
-        if m and m not in known:
-            raise ConfigError(f"unknown model {m!r}")
+        for m in (s.get("model"), (s.get("agent") or {}).get("model")):
+            if m and m not in known:
+                raise ConfigError(f"unknown model {m!r}")
     for step in settings.pipeline:
         if step.get("screener") is not None:
             build_block(step["screener"], settings.blocks)

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
-from ..operators import acquire, communities, dedup, expand, history, output, ranking, screening, topics, verdicts
+from ..operators import acquire, communities, dedup, expand, history, output, ranking, screening, search_agent, topics, verdicts
 from ..operators.fixpoint import materialised, numbered
 from ..operators.formula import Formula
 from ..operators.graph import author_stats, citation_edges, collaboration, degrees, edge_similarities, edge_weights, pagerank, semantic_similarities
@@ -274,11 +274,44 @@ class Run:
         got = self.admit(self.screen(c, screener), source)
         return StepResult(self.signal(signal.select("paper_id").union(got.signal.select("paper_id")).distinct()), got.stats)
 
-    def expand_by_search(self, signal: DataFrame, query: str = "", screener: str | dict | None = None, limit: int = 1000, year_min: int | None = None, year_max: int | None = None, min_citations: int | None = None, venue_regex: str | None = None, title_regex: str | None = None, abstract_regex: str | None = None) -> StepResult:
+    def expand_by_search(self, signal: DataFrame, query: str = "", screener: str | dict | None = None, limit: int = 1000, year_min: int | None = None, year_max: int | None = None, min_citations: int | None = None, venue_regex: str | None = None, title_regex: str | None = None, abstract_regex: str | None = None, agent: dict | None = None, topic_description: str | None = None) -> StepResult:
+        """What query finds in the corpus, or, with agent {model, max_iterations, ...}, what a model's queries on the topic find; local predicates hold for both.
+
+        The signal's first papers are the agent's anchors. Without topic or hits the signal goes through.
+        """
+        local = {k: v for k, v in {"year_min": year_min, "year_max": year_max, "min_citations": min_citations, "venue_regex": venue_regex, "title_regex": title_regex, "abstract_regex": abstract_regex}.items() if v is not None}
+        if agent is not None:
+            return self._agent_search(signal, agent, topic_description or self.settings.topic_description, screener, local)
         p = self.corpus.papers.where(screening.search_predicate(query, F.concat_ws(" ", "title", "abstract") if "abstract" in self.corpus.papers.columns else F.col("title")))
-        p = screening.local_query(p, **{k: v for k, v in {"year_min": year_min, "year_max": year_max, "min_citations": min_citations, "venue_regex": venue_regex, "title_regex": title_regex, "abstract_regex": abstract_regex}.items() if v is not None})
+        p = screening.local_query(p, **local)
         return self._sourceless(p.orderBy(F.desc(F.coalesce("citation_count", F.lit(0))), "paper_id").limit(limit).select("paper_id"), "search", screener, signal)
 
+    def _agent_search(self, signal: DataFrame, agent: dict, topic: str, screener: str | dict | None, local: dict) -> StepResult:
+        if screener is None:
+            return StepResult(signal, {"reason": "no screener"})
+        if not topic.strip():
+            return StepResult(signal, {"reason": "no_topic_description"})
+        how = search_agent.Agent(**{"model": self.settings.screening_model} | agent)
+
+        def spend(asked: str) -> bool:
+            if self.spent():
+                return False
+            self.requests += 1
+            self.tokens += -(-len(asked) // 4)
+            return True
+
+        anchors = signal.orderBy("ord").limit(how.max_anchor_papers).select("paper_id").join(self.corpus.papers, "paper_id").select("paper_id", "title")
+        found, turns = search_agent.refine(self.corpus.papers, anchors, topic, how, spend)
+        about = {"agent_iterations": len(turns), "agent_paperids": found.count(), "anchor_count": anchors.count(), "turns": [vars(t) for t in turns]}
+        if turns:
+            about["last_query"] = turns[-1].query[:200]
+        if not about["agent_paperids"]:
+            return StepResult(signal, {"reason": "no_results", **about})
+        ids = screening.local_query(self.known(found.select("paper_id")), **local).select("paper_id")
+        got = self._sourceless(ids, "search", screener, signal)
+        got.stats |= about
+        return got
+
     def expand_by_semantics(self, signal: DataFrame, mode: str = "multi_anchor", max_anchor_papers: int = 10, limit: int = 100, screener: str | dict | None = None, use_rejected_as_negatives: bool = False) -> StepResult:
         v = self.corpus.vectors
         a = v.join(signal.orderBy("ord").limit(max_anchor_papers).select("paper_id"), "paper_id", "left_semi")
@@ -538,6 +571,8 @@ def check_step(spec: dict) -> None:
     has = set(inspect.signature(Run.STEPS[name]).parameters) - {"self", "signal"}
     if odd := sorted(set(spec) - has - {"step"}):
         raise ConfigError(f"step {name} has no option {', '.join(odd)}")
+    if odd := sorted(set(spec.get("agent") or {}) - set(search_agent.Agent.__dataclass_fields__)):
+        raise ConfigError(f"the agent of step {name} has no option {', '.join(odd)}")
     for branch in spec.get("branches") or []:
         for s in branch:
             check_step(s)
