@@ -1,4 +1,4 @@
-"""Command line: run a pipeline, a main path, keyword labels, or list what there is."""
+"""Command line: run a pipeline, a main path, labels or extractions by a model, a query, or list what there is."""
 
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ def _entries(spark: SparkSession, path: str):
     return [entry(s.getPath().getName()) for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
 
 
+def _single(model):
+    """A model that is asked once a text."""
+    return lambda instruction, text: model(instruction, text, 0)
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="lodestar")
     sub = ap.add_subparsers(dest="what", required=True)
@@ -37,6 +42,19 @@ def main(argv: list[str] | None = None) -> int:
     mp.add_argument("--search", default="key-route")
     mp.add_argument("--cycles", default="shrink")
     mp.add_argument("-o", "--out", required=True)
+    an = sub.add_parser("annotate", help="label the papers of a GraphML file by a model")
+    an.add_argument("graph")
+    an.add_argument("-i", "--instruction", required=True)
+    an.add_argument("--model", default="stub")
+    an.add_argument("--batch", type=int, default=20)
+    an.add_argument("--limit", type=int)
+    an.add_argument("-o", "--out", required=True)
+    ex = sub.add_parser("extract-info", help="a model's JSON on each text file of a folder")
+    ex.add_argument("texts")
+    ex.add_argument("-i", "--instruction", required=True)
+    ex.add_argument("--model", default="stub")
+    ex.add_argument("--max-input-chars", type=int, default=80_000)
+    ex.add_argument("-o", "--out", required=True)
     q = sub.add_parser("query", help="run a registered query over a folder of tables")
     q.add_argument("name")
     q.add_argument("tables")
@@ -60,9 +78,22 @@ def main(argv: list[str] | None = None) -> int:
         for w in warnings(settings):
             print("warning:", w)
         shape_table(run_pipeline(spark, settings, _corpus(spark, a.corpus))).show(truncate=False)
+    elif a.what == "annotate":
+        from .operators import annotate
+        from .sources.records import read_graphml
+
+        v, e = read_graphml(spark, a.graph)
+        annotate.write_annotated(annotate.annotate(v, a.instruction, a.model, a.batch, a.limit), e, a.out)
+    elif a.what == "extract-info":
+        from .operators import acquire, verdicts
+
+        make = verdicts.maker(a.model)
+        texts = spark.read.text(a.texts, wholetext=True).select(F.col("_metadata.file_path").alias("paper_id"), F.col("value").alias("text"))
+        acquire.extract(texts, a.instruction, lambda: _single(make()), a.max_input_chars).write.mode("overwrite").json(a.out)
     else:
         from .operators import mainpath, output
-        from .operators.fixpoint import numbered
+        from .operators.annotate import summary
+        from .operators.fixpoint import materialised, numbered
         from .sources.records import read_graphml
 
         v, e = read_graphml(spark, a.graph)
@@ -70,7 +101,17 @@ def main(argv: list[str] | None = None) -> int:
         coded = e.join(names.select(F.col("id").alias("src"), F.col("n").alias("s")), "src").join(names.select(F.col("id").alias("dst"), F.col("n").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
         papers = names.select(F.col("n").alias("paper_id"), F.col("attrs")["year"].try_cast("int").alias("year"), F.col("attrs")["citation_count"].try_cast("long").alias("citation_count"))
         arcs, roles = mainpath.main_path(coded, papers, a.weight, a.search, a.cycles)
-        output.write_graphml(roles.select("id", F.col("role").alias("mp_role"), "level"), arcs.select("src", "dst", F.col("w").cast("double").alias("mp_weight")), a.out)
+        copies = mainpath.has_copies(coded, a.cycles)
+        number = F.shiftright("id", 1) if copies else F.col("id")
+        paper = F.when(F.lit(copies) & (F.col("id") % 2 == 1), F.concat("name", F.lit("#preprint"))).otherwise(F.col("name"))
+        named = roles.withColumn("n", number).join(names.select(F.col("id").alias("name"), "n", "attrs"), "n").select("id", paper.alias("paper"), "role", "level", "attrs")
+        named = materialised(named)
+        ends = [named.select(F.col("id").alias(c), F.col("paper").alias(f"{c}_paper")) for c in ("src", "dst")]
+        arcs = materialised(arcs.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_paper").alias("src"), F.col("dst_paper").alias("dst"), "w"))
+        on = named.select(F.col("paper").alias("id"), F.col("role").alias("mp_role"), "level", *(F.try_element_at("attrs", F.lit(c)).alias(c) for c in ("title", "year", "venue")))
+        output.write_graphml(on, arcs.select("src", "dst", F.col("w").cast("double").alias("mp_weight")), a.out)
+        lines = summary(a.graph, a.weight, a.search, a.cycles, arcs, named.select(F.col("paper").alias("id"), "role", "level", "attrs"), v.count(), e.count())
+        lines.coalesce(1).write.mode("overwrite").text(f"{a.out}.json")
     return 0
 
 

@@ -264,6 +264,11 @@ def preprint_transform(e: DataFrame) -> DataFrame:
     return kept.union(new).distinct()
 
 
+def has_copies(e: DataFrame, cycles: str) -> bool:
+    """Whether main_path gives ids as 2 * id, and 2 * id + 1 for a preprint copy: that policy, on a graph with cycles."""
+    return cycles == "preprint" and not strong_components(e.where("src <> dst").distinct()).groupBy("scc").count().where("count > 1").isEmpty()
+
+
 def main_path(e: DataFrame, papers: DataFrame | None = None, weight: str = "spc", search: str = "key-route", cycles: str = "shrink", **options: object) -> tuple[DataFrame, DataFrame]:
     """(arcs, vertices) of the main path: arcs (src, dst, w as digits), vertices (id, role, level) by their degrees inside it."""
     if search not in SEARCHES:

@@ -29,7 +29,7 @@ class Agent:
 
     model: str = "stub"
     max_iterations: int = 1
-    max_papers_per_iteration: int = 10_000
+    max_papers_per_iteration: int | None = 10_000
     min_new: float = 0.05
     max_anchor_papers: int = 20
     sort: str | None = None
@@ -95,7 +95,7 @@ def refine(papers: DataFrame, anchors: DataFrame, topic: str, agent: Agent, spen
     state of the loop is whether a query has found each. It ends after max_iterations, on a reply without a query or
     with one that was asked before, once a turn's share of new papers falls below min_new, or when spend, called with
     each question, says that nothing is left. An empty topic asks nothing. A turn takes max_papers_per_iteration
-    papers in the order of sort, by default the most cited; the driver gets counts and SHOWN titles.
+    papers in the order of sort, by default the most cited, or all if that is None; the driver gets counts and SHOWN titles.
     """
     spark = papers.sparkSession
     found = spark.createDataFrame([], f"paper_id {dict(papers.dtypes)['paper_id']}, turn int")
@@ -103,7 +103,7 @@ def refine(papers: DataFrame, anchors: DataFrame, topic: str, agent: Agent, spen
     if not topic.strip():
         return found, turns
     text = F.concat_ws(" ", *(F.col(c) for c in ("title", "abstract") if c in papers.columns))
-    open_ = materialised(anchors.limit(agent.max_anchor_papers).select("paper_id", "title").withColumn("found", F.lit(None).cast("int")))
+    open_ = materialised(anchors.orderBy("paper_id").limit(agent.max_anchor_papers).select("paper_id", "title").withColumn("found", F.lit(None).cast("int")))
     fresh: list[str] = []
     for i in range(1, max(1, agent.max_iterations) + 1):
         missed = [r[0] for r in open_.where("found is null and title is not null").orderBy("paper_id").limit(SHOWN).select("title").collect()] if turns else []
@@ -113,7 +113,10 @@ def refine(papers: DataFrame, anchors: DataFrame, topic: str, agent: Agent, spen
         query = ask(spark, agent.model, asked)
         if query is None or query in {t.query for t in turns}:
             break
-        hits = materialised(papers.where(search_predicate(query, text)).orderBy(*_order(papers, agent.sort)).limit(max(1, agent.max_papers_per_iteration)).select("paper_id", "title"))
+        hits = papers.where(search_predicate(query, text))
+        if agent.max_papers_per_iteration is not None:
+            hits = hits.orderBy(*_order(papers, agent.sort)).limit(max(1, agent.max_papers_per_iteration))
+        hits = materialised(hits.select("paper_id", "title"))
         new = materialised(hits.join(found, "paper_id", "left_anti"))
         open_ = materialised(open_.join(hits.select("paper_id", F.lit(i).alias("now")).distinct(), "paper_id", "left").select("paper_id", "title", F.coalesce("found", "now").alias("found")))
         n, more = hits.count(), new.count()

@@ -40,9 +40,12 @@ def maker(name: str) -> Callable[[], Model]:
 
 
 def stub_reply(system: str, user: str, vote: int) -> str:
-    """The offline answer to each kind of question, told by the field that its instruction asks for: names, a query of the topic's words, matches."""
+    """The offline answer to each kind of question, told by the field that its instruction asks for: names, labels, a query of the topic's words, matches."""
     if '"topic_label"' in system:
         return json.dumps({"results": [{"cluster_id": int(c), "topic_label": "stub-topic", "summary": "stub summary"} for c in re.findall(r"(?m)^cluster (-?\d+):", user)]})
+    if '"label"' in system:
+        titles = re.findall(r"(?m)^Paper index=(\d+)\nTitle: (.*)$", user)
+        return json.dumps({"results": [{"index": int(i), "label": " ".join(t.split()[:2])[:30] or "stub"} for i, t in titles]})
     if '"query"' in system:
         topic = re.search(r"Topic: (.*)", user)
         return json.dumps({"query": " OR ".join(dict.fromkeys(re.findall(r"\w{3,}", topic[1].lower()))) if topic else ""})

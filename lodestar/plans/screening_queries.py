@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import screening as S
+from ..operators import search_agent
+from ..operators.verdicts import register_model
 from ..sources.views import view
 from .registry import Registry
 
@@ -157,6 +161,28 @@ def search_bulk(spark, d):
     return S.local_query(p, year_min=1980).orderBy(c.desc() if desc else c.asc(), "paper_id").limit(200).select("paper_id", "year", "citation_count")
 
 
+def _scripted(system: str, user: str, vote: int) -> str:
+    """Queries in a row, by how many the question says were asked."""
+    asked = sum(line[:1].isdigit() for line in user.splitlines())
+    return json.dumps({"query": ("red AND NOT small", "plate OR rin*", '"hot rod" OR new')[min(asked, 2)]})
+
+
+def _scripted_model():
+    return _scripted
+
+
+_WORD = "regexp_matches(title, '(?i)(^|[^a-z0-9_])%s($|[^a-z0-9_])')"
+
+
+@query("search_refine", f"""select paper_id, turn from (select paper_id, case when {_WORD % "red"} and not {_WORD % "small"} then 1
+  when {_WORD % "plate"} or regexp_matches(title, '(?i)(^|[^a-z0-9_])rin') then 2 when {_WORD % "hot rod"} or {_WORD % "new"} then 3 end as turn from lit_papers) t where turn is not null""", "lit_papers")
+def search_refine(spark, d):
+    register_model("scripted", _scripted_model)
+    p = view(spark, d, "lit_papers")
+    agent = search_agent.Agent("scripted", max_iterations=4, max_papers_per_iteration=None, min_new=0.0)
+    return search_agent.refine(p, p.where("year = 2000").select("paper_id", "title"), "parts", agent)[0]
+
+
 # -- pairs of papers: measures -------------------------------------------------------------------
 
 def _ref_lists(spark, d) -> DataFrame:
