@@ -1,11 +1,14 @@
 """Steps whose work must be dealt out, whatever the layout of their input."""
 
 import glob
+import random
+import re
 import xml.etree.ElementTree as ET
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import output, topics
+from lodestar.operators import graph, output, topics
 from lodestar.sources import records
 
 
@@ -45,3 +48,19 @@ def test_graphml_in_parts_and_foreign_files(spark, tmp_path):
         f.write_text(f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="k" for="node" attr.name="title"/><graph>{odd}</graph></graphml>')
         gv, ge = records.read_graphml(spark, str(f))
         assert sorted(map(tuple, gv.collect())) == [("a", {"title": "x"}), ("b", {})] and [tuple(r) for r in ge.collect()] == [("a", "b", {})]
+
+
+def test_pairs_of_authors_are_not_shuffled_one_by_one(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(p, 1990 + p % 9 if p % 4 else None, a) for p in range(60) for a in sorted(rng.sample(range(40), 1 + p % 12))] + [(99, 2001, a) for a in range(40)]
+    monkeypatch.setattr(graph, "AUTHOR_BLOCK", 4)
+    monkeypatch.setattr(graph, "AUTHOR_WORK", 50)
+    got = graph.collaboration(spark.createDataFrame(rows, "paper_id long, year int, author long"))
+    assert not re.search(r"hashpartitioning\([^)]*\bb#", got._jdf.queryExecution().executedPlan().toString())
+    want = {}
+    for p in {r[0] for r in rows}:
+        for (_, year, a), (_, _, b) in combinations(sorted((r for r in rows if r[0] == p), key=lambda r: r[2]), 2):
+            want.setdefault((a, b), []).append((year, sum(r[0] == p for r in rows)))
+    assert {(r.a, r.b): (r.n_papers, round(r.strength, 9), r.first_year, r.last_year, r.duration) for r in got.collect()} == {
+        k: (len(x), round(sum(1 / n for _, n in x), 9), *(lambda y: (min(y, default=0), max(y, default=0), max(y, default=0) - min(y, default=0)))([y for y, _ in x if y is not None])) for k, x in want.items()
+    }
