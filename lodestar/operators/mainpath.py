@@ -1,8 +1,8 @@
 """Main-path analysis of an acyclic edge table (src, dst): path counts, arc weights and searches.
 
 Path counts are exact whatever their size: whole numbers of LIMB digits each in an array, summed limb by
-limb with the sums combined before the shuffle. Counting goes level by level over the arcs that leave the
-level, so each arc is joined once; searches go frontier by frontier. Weights `w` are arrays of one length,
+limb with the sums combined before the shuffle. Levels are peeled off, so that a round reads only the arcs of
+the levels left; counting joins each arc once; searches go frontier by frontier. Weights `w` are arrays of one length,
 most significant limb first, so Spark orders them like the numbers; `digits` writes them out.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -61,83 +61,101 @@ def starts(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
-def levels(e: DataFrame) -> DataFrame:
-    """(id, level): the longest path that ends at each vertex, by counting down the open in-arcs. A cycle is an error."""
-    e = materialised(e)
-    into = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("left"))
-    state = materialised(vertices(e).join(into, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left")))
-    out = state.where("left = 0").select("id", F.lit(0).alias("level"))
-    level = 0
+def _peeled(e: DataFrame) -> tuple[str, list[int]]:
+    """(folder, arcs of each level): arcs (src, dst) by the level of their source, one folder `at=<level>/rest=false` each. A cycle is an error.
+
+    A level's sources are those that no arc enters any more; their arcs go, and only what is left is read in the next round.
+    """
+    spark, folder = e.sparkSession, scratch(e.sparkSession)
+    rest, sizes = e.select("src", "dst"), []
+    schema = rest.schema
+    if rest.isEmpty():
+        return folder, sizes
     while True:
-        free, rest = state.agg(F.count_if(F.col("left") == 0), F.count_if(F.col("left") > 0)).first()
-        if not rest:
-            return out
-        if not free:
+        entered = rest.select(F.col("dst").alias("src")).distinct().withColumn("rest", F.lit(True))
+        seen = Observation()
+        parted = rest.join(entered, "src", "left").select("src", "dst", F.coalesce("rest", F.lit(False)).alias("rest"))
+        parted.observe(seen, F.count_if("rest").alias("rest"), F.count_if(~F.col("rest")).alias("gone")).write.partitionBy("rest").parquet(f"{folder}/at={len(sizes)}")
+        gone, left = seen.get["gone"], seen.get["rest"]
+        if not gone:
             raise ValueError("the graph has a cycle")
-        came = e.join(state.where("left = 0").select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("came"))
-        state = materialised(state.where("left > 0").join(came, "id", "left").select("id", (F.col("left") - F.coalesce("came", F.lit(0))).alias("left")))
-        level += 1
-        out = out.union(state.where("left = 0").select("id", F.lit(level).alias("level")))
+        sizes.append(gone)
+        if not left:
+            return folder, sizes
+        rest = spark.read.schema(schema).parquet(f"{folder}/at={len(sizes) - 1}/rest=true")
+
 
+def _by_level(e: DataFrame, folder: str) -> DataFrame:
+    """(src, dst, at) of the arcs in the folder of `_peeled`, at the level of their source."""
+    t = e.select("src", "dst").withColumn("rest", F.lit(True)).withColumn("at", F.lit(0))
+    return e.sparkSession.read.schema(t.schema).parquet(folder).where("not rest").select("src", "dst", "at")
 
-def _leveled(e: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(vertices with level, arcs with the levels of both ends, the last level)."""
-    v = materialised(levels(e))
-    at = lambda end: v.select(F.col("id").alias(end), F.col("level").alias(f"{end}_level"))
-    return v, materialised(e.join(at("src"), "src").join(at("dst"), "dst")), v.agg(F.max("level")).first()[0] or 0
+
+def levels(e: DataFrame) -> DataFrame:
+    """(id, level): the longest path that ends at each vertex, one more than the highest source of its in-arcs. A cycle is an error."""
+    e = materialised(e)
+    folder, sizes = _peeled(e)
+    if not sizes:
+        return vertices(e).select("id", F.lit(0).alias("level"))
+    arcs = _by_level(e, folder)
+    ends = arcs.groupBy(F.col("dst").alias("id")).agg((F.max("at") + 1).alias("level"))
+    return ends.union(arcs.where("at = 0").select(F.col("src").alias("id"), F.lit(0).alias("level")).distinct())
 
 
-def _counts(v: DataFrame, arcs: DataFrame, order: list[int], begin: Column) -> tuple[DataFrame, int]:
-    """((id, n), limbs of n): the paths that end at each vertex, over the levels in order.
+def _counts(e: DataFrame, every: bool) -> tuple[DataFrame, int]:
+    """((id, n), limbs of n): the paths that end at each vertex which arcs enter, from a source or (every) from any vertex; all others have one.
 
-    v is (id, level, begin): whether a path may begin there. What a level hands on is summed for each
-    target and kept below the target's level until that is reached; each arc is joined once.
+    What a level hands on is summed for each target, beside whether the target has arcs at a later level; only such sums are read
+    on the way. Each arc is joined once, those of the sources are only counted.
     """
-    spark = v.sparkSession
-    by_level, handed, counted = scratch(spark), scratch(spark), scratch(spark)
-    arcs.write.partitionBy("src_level").parquet(by_level)
-    arcs = spark.read.schema(arcs.schema).parquet(by_level)
-    id_type = dict(v.dtypes)["id"]
-    at_schema, n_schema = f"id {id_type}, limbs array<long>, level int", f"id {id_type}, limbs array<long>"
+    spark = e.sparkSession
+    folder, sizes = _peeled(e)
+    of = lambda k, rest: spark.read.schema(e.select("src", "dst").schema).parquet(f"{folder}/at={k}/rest={rest}")
+    handed = scratch(spark)
+    id_type = e.schema["src"].dataType.simpleString()
+    read = lambda: spark.read.schema(f"id {id_type}, limbs array<long>, goes boolean").parquet(handed)
     # no count is more than the largest one before it times the most in-arcs of a vertex, and one
-    step = math.log10(2 + (arcs.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0))
+    most = _by_level(e, folder).groupBy("dst").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    step = math.log10(2 + most)
     size, grown = SPARE + 1, 0.0
     fitted = lambda x, n: F.concat(x, F.array_repeat(F.lit(0).cast("long"), F.lit(n) - F.size(x)))
     summed = lambda n: F.array(*(F.sum(F.get("limbs", F.lit(i))) for i in range(n)))
-    for k, level in enumerate(order):
-        own = v.where(F.col("level") == level).select("id", F.when(begin, fitted(F.array(F.lit(1).cast("long")), size)).otherwise(fitted(F.array(F.lit(0).cast("long")), size)).alias("limbs"))
-        if k:
-            came = spark.read.schema(at_schema).parquet(handed).where(F.col("level") == level).select("id", fitted(F.col("limbs"), size).alias("limbs"))
-            own = own.union(came)
-        own.groupBy("id").agg(_carried(summed(size)).alias("limbs")).write.parquet(f"{counted}/at={k}")
-        now = spark.read.schema(n_schema).parquet(f"{counted}/at={k}")
+    one = lambda n: fitted(F.array(F.lit(1).cast("long")), n)
+    total = lambda t, n: t.groupBy("id").agg(_carried(summed(n)).alias("limbs")).select("id", (_carried(F.zip_with("limbs", one(n), lambda x, y: x + y)) if every else F.col("limbs")).alias("limbs"))
+
+    def used(t: DataFrame) -> int:
+        top = F.size("limbs") - F.coalesce(F.array_position(F.transform(F.reverse("limbs"), lambda x: x > 0), True), F.size("limbs")) + 1
+        return t.agg(F.max(top)).first()[0] or 1
+
+    for k in range(len(sizes)):
+        if not k:
+            on = of(k, "false").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).select("id", _carried(fitted(F.array("n"), size)).alias("limbs"))
+        else:
+            arcs = of(k, "false")
+            here = read().where("goes").select("id", fitted(F.col("limbs"), size).alias("limbs")).join(arcs.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+            on = arcs.join(total(here, size).withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(_carried(summed(size)).alias("limbs"))
+        if k + 1 < len(sizes):
+            later = of(k, "true").select(F.col("src").alias("id")).distinct().withColumn("goes", F.lit(True))
+            on = on.join(later, "id", "left").select("id", "limbs", F.coalesce("goes", F.lit(False)).alias("goes"))
+        else:
+            on = on.withColumn("goes", F.lit(False))
+        on.write.partitionBy("goes").parquet(f"{handed}/at={k}")
         grown += step
         if grown + step > LIMB * (SPARE - 1):  # what was free may be used up: measure
-            limbs = spark.read.schema(n_schema).parquet(counted)
-            used = limbs.agg(F.max(F.size("limbs") - F.coalesce(F.array_position(F.transform(F.reverse("limbs"), lambda x: x > 0), True), F.size("limbs")) + 1)).first()[0] or 1
-            size, grown = max(size, used + SPARE), 0.0
-        if k + 1 < len(order):
-            on = arcs.where(F.col("src_level") == level).join(now.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), fitted(F.col("limbs"), size).alias("limbs"), F.col("dst_level").alias("level"))
-            on = on.groupBy("id", "level").agg(_carried(summed(size)).alias("limbs")).select("id", "limbs", "level")
-            on.write.mode("append").partitionBy("level").parquet(handed)
-    return spark.read.schema(n_schema).parquet(counted).select("id", fitted(F.col("limbs"), size).alias("n")), size
-
-
-def _both_counts(e: DataFrame, begin: bool, end: bool) -> tuple[tuple[DataFrame, int], tuple[DataFrame, int]]:
-    """Paths that end at each vertex, and paths that leave it, over one ordering of the vertices."""
-    v, arcs, last = _leveled(e)
-    sinks = v.join(e.select(F.col("src").alias("id")).distinct().withColumn("goes", F.lit(True)), "id", "left").select("id", "level", F.col("goes").isNull().alias("sink"))
-    back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_level").alias("src_level"), F.col("src_level").alias("dst_level"))
-    up = _counts(v, arcs.select("src", "dst", "src_level", "dst_level"), list(range(last + 1)), F.lit(True) if begin else F.col("level") == 0)
-    down = _counts(materialised(sinks), back, list(range(last, -1, -1)), F.lit(True) if end else F.col("sink"))
-    return up, down
+            size, grown = max(size, used(read()) + SPARE + 1), 0.0  # sums of a vertex are not added up yet
+    n = materialised(total(read().select("id", fitted(F.col("limbs"), size).alias("limbs")), size))
+    size = used(n)
+    return n.select("id", F.slice("limbs", 1, size).alias("n")), size
 
 
 def path_counts(e: DataFrame, every: bool = False) -> DataFrame:
     """(id, n): paths that end at each vertex and begin at a source (or at every vertex, itself included), as digits."""
-    v, arcs, last = _leveled(e)
-    n, _ = _counts(v, arcs.select("src", "dst", "src_level", "dst_level"), list(range(last + 1)), F.lit(True) if every else F.col("level") == 0)
-    return materialised(n.select("id", digits(F.reverse("n")).alias("n")))
+    e = materialised(e.select("src", "dst"))
+    if e.isEmpty():
+        return e.select(F.col("src").alias("id"), F.lit("1").alias("n"))
+    n, _ = _counts(e, every)
+    n = n.select("id", digits(F.reverse("n")).alias("n"))
+    return materialised(n.union(starts(e).select("id", F.lit("1").alias("n"))))
 
 
 #: Whether paths begin at every vertex, and whether they end at every vertex.
@@ -151,9 +169,13 @@ def arc_weights(e: DataFrame, kind: str = "spc") -> DataFrame:
     e = materialised(e.select("src", "dst"))
     if e.isEmpty():
         return e.withColumn("w", F.array(F.lit(0).cast("long")))
-    (n_in, a), (n_out, b) = _both_counts(e, *WEIGHTS[kind])
-    both = e.join(n_in.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(n_out.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
-    product = F.expr(f"transform(sequence(0, {a + b - 2}), k -> aggregate(sequence(greatest(0, k - {b - 1}), least(k, {a - 1})), 0L, (s, i) -> s + a[i] * b[k - i]))")
+    begin, end = WEIGHTS[kind]
+    (n_in, a), (n_out, b) = _counts(e, begin), _counts(_reversed(e), end)
+    one = lambda n: F.concat(F.array(F.lit(1).cast("long")), F.array_repeat(F.lit(0).cast("long"), n - 1))
+    both = e.join(n_in.select(F.col("id").alias("src"), F.col("n").alias("a")), "src", "left").join(n_out.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst", "left")
+    both = both.select("src", "dst", F.coalesce("a", one(a)).alias("a"), F.coalesce("b", one(b)).alias("b"))
+    # two limbs more: what the last product carries, and one free for sums of weights
+    product = F.expr(f"concat(transform(sequence(0, {a + b - 2}), k -> aggregate(sequence(greatest(0, k - {b - 1}), least(k, {a - 1})), 0L, (s, i) -> s + a[i] * b[k - i])), array(0L, 0L))")
     return materialised(both.select("src", "dst", F.reverse(_carried(product)).alias("w")))
 
 

@@ -106,3 +106,14 @@ def test_weights_of_random_graphs(spark, kind):
     some = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(40)})
     got = M.arc_weights(spark.createDataFrame(some, "src long, dst long"), kind).withColumn("w", M.digits("w"))
     assert {(r["src"], r["dst"]): int(r["w"]) for r in got.collect()} == plain_weights(some, kind)
+
+
+def test_a_round_reads_only_the_arcs_left(spark):
+    """300 arcs leave sources and 3 go on behind them: the arcs are written once by level, and the later rounds see those 3 only."""
+    e = spark.createDataFrame([(i, 1000 + i % 50) for i in range(300)] + [(1000, 2000), (2000, 3000), (1001, 2000)], "src long, dst long")
+    folder, sizes = M._peeled(e)
+    assert sizes == [300, 2, 1]
+    assert [spark.read.parquet(f"{folder}/at={k}").count() for k in range(3)] == [303, 3, 1]
+    assert {(r["src"], r["dst"]): r["at"] for r in M._by_level(e, folder).where("at > 0").collect()} == {(1000, 2000): 1, (1001, 2000): 1, (2000, 3000): 2}
+    assert M.levels(e.limit(0)).count() == 0
+    assert {r["id"]: r["n"] for r in M.path_counts(e).where("id >= 2000").collect()} == {2000: "12", 3000: "12"}
