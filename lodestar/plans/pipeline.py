@@ -404,7 +404,7 @@ class Run:
     def _merge_corpus(self, best: DataFrame, alias: DataFrame) -> None:
         """The run's own corpus with merged records: canonical papers take what the others know, edges and authors the canonical ids."""
         c = self.corpus
-        merged = dedup.merge_clusters(best.withColumn("references", F.array().cast(f"array<{self.id_type}>"))).drop("cluster", "references", "aliases")
+        merged = dedup.merge_clusters(best.withColumn("references", F.array().cast(f"array<{self.id_type}>"))).drop("cluster", "references", "aliases", "n_aliases")
         filled = [x for x in merged.columns if x != "paper_id" and x in c.papers.columns]
         m = merged.select("paper_id", *(F.col(x).alias(f"_{x}") for x in filled))
         p = c.papers.join(alias.select(F.col("alias").alias("paper_id")), "paper_id", "left_anti").join(m, "paper_id", "left")
