@@ -77,3 +77,10 @@ def test_components_have_fewer_edges_each_round(spark, monkeypatch):
     assert sizes[-1] == 0 and len(sizes) <= 6 and sum(sizes) < 2 * sizes[0]
     assert G.components(spark.createDataFrame([("b", "b")], "src string, dst string")).count() == 0
     assert {tuple(r) for r in G.components(spark.createDataFrame([("b", "a"), ("c", "b")], "src string, dst string")).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def test_edge_weights_take_the_similarities_once(spark):
+    similar = spark.createDataFrame([(1, 2, 0.5, 0.0), (1, 2, 0.5, 0.0), (2, 3, 0.0, 0.25), (3, 4, 0.0, 0.0)], "src long, dst long, ref_sim double, cit_sim double").distinct()
+    got = G.edge_weights(similar)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["src"], r["weight"]) for r in got.collect()) == [(1, 1.0), (2, 1.0), (3, 1.0)]
