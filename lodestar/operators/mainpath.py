@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fixpoint import fixpoint, materialised, scratch
-from .graph import strong_components, vertices
+from .graph import cycles as strong_cycles, vertices
 
 #: Decimal digits of a limb: products of two and sums of millions of them fit 64 bits.
 LIMB = 6
@@ -260,14 +260,14 @@ def shrink(e: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     members is (id, rep, size) of every vertex. Arcs inside a component and loops go.
     """
-    scc = strong_components(e)
-    info = scc.join(papers.select(F.col("paper_id").alias("id"), "year", "citation_count"), "id", "left")
-    w = W.partitionBy("scc")
-    by = w.orderBy(F.coalesce("year", F.lit(99999)), F.desc(F.coalesce("citation_count", F.lit(0))), "id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    members = materialised(info.select("id", F.first("id").over(by).alias("rep"), F.count(F.lit(1)).over(w).alias("size")))
-    m = members.select("id", "rep")
-    out = e.join(m.select(F.col("id").alias("src"), F.col("rep").alias("s")), "src").join(m.select(F.col("id").alias("dst"), F.col("rep").alias("d")), "dst")
-    return out.where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct(), members
+    info = strong_cycles(e).join(papers.select(F.col("paper_id").alias("id"), "year", "citation_count"), "id", "left")
+    first = F.min(F.struct(F.coalesce("year", F.lit(99999)), F.negative(F.coalesce("citation_count", F.lit(0))), F.col("id").alias("id")))
+    by = info.groupBy("scc").agg(first.alias("first"), F.count(F.lit(1)).alias("size"))
+    held = materialised(info.join(by, "scc").select("id", F.col("first.id").alias("rep"), "size"))
+    members = vertices(e).join(held, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    out = e.join(held.select(F.col("id").alias("src"), F.col("rep").alias("s")), "src", "left").join(held.select(F.col("id").alias("dst"), F.col("rep").alias("d")), "dst", "left")
+    out = out.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"))
+    return out.where("src <> dst").distinct(), members
 
 
 def preprint_transform(e: DataFrame) -> DataFrame:
@@ -276,19 +276,17 @@ def preprint_transform(e: DataFrame) -> DataFrame:
     Arcs out of a component leave from the copies, arcs inside it go, and each member points to every
     member's copy, its own included: k * k arcs for a component of k, which is what the method asks for.
     """
-    scc = strong_components(e)
-    size = scc.groupBy("scc").agg(F.count(F.lit(1)).alias("size"))
-    s = materialised(scc.join(size, "scc").select("id", "scc", "size"))
-    j = e.where("src <> dst").distinct().join(s.select(F.col("id").alias("src"), F.col("scc").alias("cs"), F.col("size").alias("ns")), "src").join(s.select(F.col("id").alias("dst"), F.col("scc").alias("cd")), "dst")
-    kept = j.where("cs <> cd").select("src", (F.col("ns") > 1).alias("src_copy"), "dst", F.lit(False).alias("dst_copy"))
-    big = s.where("size > 1")
-    new = big.select(F.col("id").alias("src"), "scc").join(big.select(F.col("id").alias("dst"), "scc"), "scc").select("src", F.lit(False).alias("src_copy"), "dst", F.lit(True).alias("dst_copy"))
-    return kept.union(new).distinct()
+    held = strong_cycles(e)
+    of = lambda c: held.select(F.col("id").alias(c), F.col("scc").alias(f"c_{c}"))
+    kept = e.where("src <> dst").select("src", "dst").distinct().join(of("src"), "src", "left").join(of("dst"), "dst", "left").where("not coalesce(c_src = c_dst, false)")
+    kept = kept.select("src", F.col("c_src").isNotNull().alias("src_copy"), "dst", F.lit(False).alias("dst_copy"))
+    new = held.withColumnRenamed("id", "src").join(held.withColumnRenamed("id", "dst"), "scc").select("src", F.lit(False).alias("src_copy"), "dst", F.lit(True).alias("dst_copy"))
+    return kept.union(new)  # no arc of the one kind is one of the other
 
 
 def has_copies(e: DataFrame, cycles: str) -> bool:
     """Whether main_path gives ids as 2 * id, and 2 * id + 1 for a preprint copy: that policy, on a graph with cycles."""
-    return cycles == "preprint" and not strong_components(e.where("src <> dst").distinct()).groupBy("scc").count().where("count > 1").isEmpty()
+    return cycles == "preprint" and not strong_cycles(e).isEmpty()
 
 
 def main_path(e: DataFrame, papers: DataFrame | None = None, weight: str = "spc", search: str = "key-route", cycles: str = "shrink", **options: object) -> tuple[DataFrame, DataFrame]:
