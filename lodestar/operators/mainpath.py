@@ -1,9 +1,10 @@
 """Main-path analysis of an acyclic edge table (src, dst): path counts, arc weights and searches.
 
 Path counts are exact whatever their size: whole numbers of LIMB digits each in an array, summed limb by
-limb with the sums combined before the shuffle. Levels are peeled off, so that a round reads only the arcs of
-the levels left; counting joins each arc once; searches go frontier by frontier. Weights `w` are arrays of one length,
-most significant limb first, so Spark orders them like the numbers; `digits` writes them out.
+limb with the sums combined before the shuffle. Arcs from sources and to sinks are counted at once; of those between, levels
+are peeled off, so that a round reads only the arcs of the levels left, until REST arcs are left for one task, however deep they
+lie. Counting joins each arc once. Weights `w` are arrays of one length, most significant limb first, so Spark orders them like
+the numbers; `digits` writes them out.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .fixpoint import fixpoint, materialised, scratch
-from .graph import cycles as strong_cycles, vertices
+from .fixpoint import REST, fixpoint, in_one_task, materialised, scratch
+from .graph import coded, vertices
+from .graph import cycles as strong_cycles
 
 #: Decimal digits of a limb: products of two and sums of millions of them fit 64 bits.
 LIMB = 6
@@ -52,26 +56,31 @@ def _times(a: Column, c: int) -> Column:
     return F.reverse(_carried(F.transform(F.reverse(a), lambda x: x * c)))
 
 
-def _reversed(e: DataFrame) -> DataFrame:
-    return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-
-
 def starts(e: DataFrame) -> DataFrame:
     """(id) without in-arcs."""
     return e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
-def _peeled(e: DataFrame) -> tuple[str, list[int]]:
+def _marked(e: DataFrame) -> DataFrame:
+    """(src, dst, entered, goes), written: whether any arc enters the source, and whether any leaves the target."""
+    both = materialised(e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"))
+    of = lambda c, name: both.select(F.col("id").alias(c), F.lit(True).alias(name))
+    no = F.lit(False)
+    m = e.join(of("src", "entered"), "src", "left").join(of("dst", "goes"), "dst", "left")
+    return materialised(m.select("src", "dst", F.coalesce("entered", no).alias("entered"), F.coalesce("goes", no).alias("goes")))
+
+
+def _peeled(e: DataFrame, least: int = 0) -> tuple[str, list[int]]:
     """(folder, arcs of each level): arcs (src, dst) by the level of their source, one folder `at=<level>/rest=false` each. A cycle is an error.
 
-    A level's sources are those that no arc enters any more; their arcs go, and only what is left is read in the next round.
+    A level's sources are those that no arc enters any more; their arcs go, and only what is left is read in the next round. Once
+    that is least arcs or fewer, they stay in the last `rest=true`.
     """
     spark, folder = e.sparkSession, scratch(e.sparkSession)
     rest, sizes = e.select("src", "dst"), []
     schema = rest.schema
-    if rest.isEmpty():
-        return folder, sizes
-    while True:
+    left = rest.count()
+    while left > least:
         entered = rest.select(F.col("dst").alias("src")).distinct().withColumn("rest", F.lit(True))
         seen = Observation()
         parted = rest.join(entered, "src", "left").select("src", "dst", F.coalesce("rest", F.lit(False)).alias("rest"))
@@ -80,9 +89,9 @@ def _peeled(e: DataFrame) -> tuple[str, list[int]]:
         if not gone:
             raise ValueError("the graph has a cycle")
         sizes.append(gone)
-        if not left:
-            return folder, sizes
-        rest = spark.read.schema(schema).parquet(f"{folder}/at={len(sizes) - 1}/rest=true")
+        if left:
+            rest = spark.read.schema(schema).parquet(f"{folder}/at={len(sizes) - 1}/rest=true")
+    return folder, sizes
 
 
 def _by_level(e: DataFrame, folder: str) -> DataFrame:
@@ -91,70 +100,181 @@ def _by_level(e: DataFrame, folder: str) -> DataFrame:
     return e.sparkSession.read.schema(t.schema).parquet(folder).where("not rest").select("src", "dst", "at")
 
 
+def _left(e: DataFrame, folder: str, sizes: list[int]) -> DataFrame:
+    """The arcs (src, dst) that `_peeled` left: all if it took none."""
+    e = e.select("src", "dst")
+    t = e.withColumn("rest", F.lit(True))
+    return e.sparkSession.read.schema(t.schema).parquet(f"{folder}/at={len(sizes) - 1}").where("rest").select("src", "dst") if sizes else e
+
+
+def _in_order(first: list[int], to: list[int]) -> list[int]:
+    """Vertices of `coded` arcs, each after all that have arcs to it; those on cycles and behind them are missing."""
+    n = len(first) - 1
+    missing = np.bincount(np.array(to, dtype=np.int64), minlength=n).tolist()
+    order = [v for v in range(n) if not missing[v]]
+    for v in order:
+        for w in to[first[v] : first[v + 1]]:
+            missing[w] -= 1
+            if not missing[w]:
+                order.append(w)
+    return order
+
+
+def _levels_in_task(arcs: pd.DataFrame) -> pd.DataFrame:
+    """(src, dst, at): arcs at the level of their source; where a cycle is, all are at -1."""
+    ids, s, first, to = coded(arcs["src"], arcs["dst"])
+    level, order = [0] * len(ids), _in_order(first, to)
+    for v in order:
+        for w in to[first[v] : first[v + 1]]:
+            level[w] = max(level[w], level[v] + 1)
+    return arcs[["src", "dst"]].assign(at=np.array(level, dtype=np.int32)[s] if len(order) == len(ids) else np.int32(-1))
+
+
+def _inner_levels(e: DataFrame) -> DataFrame:
+    """(src, dst, at): arcs at the level of their source, the longest path that ends there."""
+    folder, sizes = _peeled(e, REST)
+    arcs = _left(e, folder, sizes)
+    rest = materialised(in_one_task(arcs, _levels_in_task, arcs.withColumn("at", F.lit(0)).schema.simpleString()[len("struct<") : -1]))
+    if not rest.where("at < 0").isEmpty():
+        raise ValueError("the graph has a cycle")
+    rest = rest.withColumn("at", F.col("at") + len(sizes))
+    return _by_level(e, folder).union(rest) if sizes else rest
+
+
 def levels(e: DataFrame) -> DataFrame:
     """(id, level): the longest path that ends at each vertex, one more than the highest source of its in-arcs. A cycle is an error."""
-    e = materialised(e)
-    folder, sizes = _peeled(e)
-    if not sizes:
+    e = materialised(e.select("src", "dst"))
+    n = e.count()
+    if not n:
         return vertices(e).select("id", F.lit(0).alias("level"))
-    arcs = _by_level(e, folder)
+    if n <= REST:
+        arcs = _inner_levels(e)
+    else:
+        m = _marked(e)
+        inner = _inner_levels(m.where("entered and goes"))
+        high = inner.groupBy(F.col("dst").alias("src")).agg((F.max("at") + 1).alias("high"))
+        arcs = m.join(high, "src", "left").select("src", "dst", F.when(F.col("entered"), 1 + F.coalesce("high", F.lit(0))).otherwise(0).alias("at"))
+    arcs = materialised(arcs)
     ends = arcs.groupBy(F.col("dst").alias("id")).agg((F.max("at") + 1).alias("level"))
     return ends.union(arcs.where("at = 0").select(F.col("src").alias("id"), F.lit(0).alias("level")).distinct())
 
 
-def _counts(e: DataFrame, every: bool) -> tuple[DataFrame, int]:
-    """((id, n), limbs of n): the paths that end at each vertex which arcs enter, from a source or (every) from any vertex; all others have one.
+def _fitted(x: Column | str, n: int) -> Column:
+    """Limbs, least significant first, with zeros up to n of them."""
+    return F.concat(x, F.array_repeat(F.lit(0).cast("long"), F.lit(n) - F.size(x)))
+
+
+def _one(n: int) -> Column:
+    return F.array(F.lit(1).cast("long"), *[F.lit(0).cast("long")] * (n - 1))
+
+
+def _summed(n: int) -> Column:
+    return F.array(*(F.sum(F.get("limbs", F.lit(i))) for i in range(n)))
 
-    What a level hands on is summed for each target, beside whether the target has arcs at a later level; only such sums are read
-    on the way. Each arc is joined once, those of the sources are only counted.
+
+def _limbs(x: int) -> list[int]:
+    out = []
+    while x:
+        x, low = divmod(x, BASE)
+        out.append(low)
+    return out
+
+
+def _sums_in_task(every: bool):
+    """(id, limbs): what arcs (src, dst) bring to their targets, beside (id, limbs) that came to the sources before; limbs are null where a cycle is."""
+
+    def run(arcs: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+        ids, _, first, to = coded(arcs["src"], arcs["dst"])
+        before = [int(every)] * len(ids)
+        at = {x: i for i, x in enumerate(ids.tolist())}
+        for x, limbs in zip(came["id"].tolist(), came["limbs"]):
+            n = 0
+            for limb in reversed(limbs.tolist()):
+                n = n * BASE + limb
+            before[at[x]] += n
+        brought, order = [0] * len(ids), _in_order(first, to)
+        if len(order) < len(ids):
+            return pd.DataFrame({"id": ids[:1], "limbs": [None]})
+        for v in order:
+            n = before[v] + brought[v]
+            for w in to[first[v] : first[v + 1]]:
+                brought[w] += n
+        ends = [v for v in range(len(ids)) if brought[v]]
+        return pd.DataFrame({"id": ids[ends], "limbs": [_limbs(brought[v]) for v in ends]})
+
+    return run
+
+
+def _counts(inner: DataFrame, base: DataFrame, every: bool) -> tuple[DataFrame, int]:
+    """((id, n), limbs of n): the paths that end at each vertex which arcs enter and leave, from a source or (every) from any vertex; sources have one.
+
+    inner are the arcs between such vertices, base (id, n) their arcs from sources. What a level hands on is summed for each
+    target, beside whether the target has arcs at a later level; only such sums are read on the way. Each arc is joined once.
     """
-    spark = e.sparkSession
-    folder, sizes = _peeled(e)
-    of = lambda k, rest: spark.read.schema(e.select("src", "dst").schema).parquet(f"{folder}/at={k}/rest={rest}")
+    spark = inner.sparkSession
+    folder, sizes = _peeled(inner, REST)
+    of = lambda k: spark.read.schema(inner.select("src", "dst").schema).parquet(f"{folder}/at={k}/rest=false")
+    rest = _left(inner, folder, sizes)
     handed = scratch(spark)
-    id_type = e.schema["src"].dataType.simpleString()
+    id_type = inner.schema["src"].dataType.simpleString()
     read = lambda: spark.read.schema(f"id {id_type}, limbs array<long>, goes boolean").parquet(handed)
     # no count is more than the largest one before it times the most in-arcs of a vertex, and one
-    most = _by_level(e, folder).groupBy("dst").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    entering = inner.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).union(base)
+    most = entering.groupBy("id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
     step = math.log10(2 + most)
     size, grown = SPARE + 1, 0.0
-    fitted = lambda x, n: F.concat(x, F.array_repeat(F.lit(0).cast("long"), F.lit(n) - F.size(x)))
-    summed = lambda n: F.array(*(F.sum(F.get("limbs", F.lit(i))) for i in range(n)))
-    one = lambda n: fitted(F.array(F.lit(1).cast("long")), n)
-    total = lambda t, n: t.groupBy("id").agg(_carried(summed(n)).alias("limbs")).select("id", (_carried(F.zip_with("limbs", one(n), lambda x, y: x + y)) if every else F.col("limbs")).alias("limbs"))
+    total = lambda t, n, every=every: t.groupBy("id").agg(_carried(_summed(n)).alias("limbs")).select("id", (_carried(F.zip_with("limbs", _one(n), lambda x, y: x + y)) if every else F.col("limbs")).alias("limbs"))
 
     def used(t: DataFrame) -> int:
         top = F.size("limbs") - F.coalesce(F.array_position(F.transform(F.reverse("limbs"), lambda x: x > 0), True), F.size("limbs")) + 1
-        return t.agg(F.max(top)).first()[0] or 1
+        got = t.agg(F.max(top), F.count_if(F.col("limbs").isNull())).first()
+        if got[1]:
+            raise ValueError("the graph has a cycle")
+        return got[0] or 1
+
+    def came(arcs: DataFrame, n: int) -> DataFrame:
+        """What came to the sources of arcs."""
+        return read().where("goes").select("id", _fitted("limbs", n).alias("limbs")).join(arcs.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
 
-    for k in range(len(sizes)):
+    for k in range(len(sizes) + 1):
         if not k:
-            on = of(k, "false").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).select("id", _carried(fitted(F.array("n"), size)).alias("limbs"))
+            on = base.select("id", _carried(_fitted(F.array("n"), size)).alias("limbs"))
+            later = inner
         else:
-            arcs = of(k, "false")
-            here = read().where("goes").select("id", fitted(F.col("limbs"), size).alias("limbs")).join(arcs.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
-            on = arcs.join(total(here, size).withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(_carried(summed(size)).alias("limbs"))
-        if k + 1 < len(sizes):
-            later = of(k, "true").select(F.col("src").alias("id")).distinct().withColumn("goes", F.lit(True))
-            on = on.join(later, "id", "left").select("id", "limbs", F.coalesce("goes", F.lit(False)).alias("goes"))
-        else:
-            on = on.withColumn("goes", F.lit(False))
+            arcs, later = of(k - 1), _left(inner, folder, sizes[:k])
+            on = arcs.join(total(came(arcs, size), size).withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(_carried(_summed(size)).alias("limbs"))
+        on = on.join(later.select(F.col("src").alias("id")).distinct().withColumn("goes", F.lit(True)), "id", "left").select("id", "limbs", F.coalesce("goes", F.lit(False)).alias("goes"))
         on.write.partitionBy("goes").parquet(f"{handed}/at={k}")
         grown += step
         if grown + step > LIMB * (SPARE - 1):  # what was free may be used up: measure
             size, grown = max(size, used(read()) + SPARE + 1), 0.0  # sums of a vertex are not added up yet
-    n = materialised(total(read().select("id", fitted(F.col("limbs"), size).alias("limbs")), size))
+    brought = in_one_task(rest, _sums_in_task(every), f"id {id_type}, limbs array<long>", total(came(rest, size), size, False))
+    brought.withColumn("goes", F.lit(False)).write.partitionBy("goes").parquet(f"{handed}/at={len(sizes) + 1}")
+    size = max(size, used(read()) + SPARE)
+    n = materialised(total(read().select("id", _fitted("limbs", size).alias("limbs")), size))
     size = used(n)
     return n.select("id", F.slice("limbs", 1, size).alias("n")), size
 
 
+def _into(m: DataFrame, every: bool) -> tuple[DataFrame, int]:
+    """`_counts` of arcs as `_marked`."""
+    base = m.where("goes and not entered").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return _counts(m.where("entered and goes").select("src", "dst"), base, every)
+
+
 def path_counts(e: DataFrame, every: bool = False) -> DataFrame:
     """(id, n): paths that end at each vertex and begin at a source (or at every vertex, itself included), as digits."""
     e = materialised(e.select("src", "dst"))
     if e.isEmpty():
         return e.select(F.col("src").alias("id"), F.lit("1").alias("n"))
-    n, _ = _counts(e, every)
-    n = n.select("id", digits(F.reverse("n")).alias("n"))
+    m = _marked(e)
+    n, size = _into(m, every)
+    size += SPARE
+    sinks = m.where("not goes").join(n.withColumnRenamed("id", "src"), "src", "left").select(F.col("dst").alias("id"), F.coalesce(_fitted("n", size), _one(size)).alias("limbs"))
+    sinks = sinks.groupBy("id").agg(_carried(_summed(size)).alias("limbs"))
+    if every:
+        sinks = sinks.select("id", _carried(F.zip_with("limbs", _one(size), lambda x, y: x + y)).alias("limbs"))
+    n = n.union(sinks).select("id", digits(F.reverse("n")).alias("n"))
     return materialised(n.union(starts(e).select("id", F.lit("1").alias("n"))))
 
 
@@ -170,10 +290,11 @@ def arc_weights(e: DataFrame, kind: str = "spc") -> DataFrame:
     if e.isEmpty():
         return e.withColumn("w", F.array(F.lit(0).cast("long")))
     begin, end = WEIGHTS[kind]
-    (n_in, a), (n_out, b) = _counts(e, begin), _counts(_reversed(e), end)
-    one = lambda n: F.concat(F.array(F.lit(1).cast("long")), F.array_repeat(F.lit(0).cast("long"), n - 1))
+    m = _marked(e)
+    back = m.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("goes").alias("entered"), F.col("entered").alias("goes"))
+    (n_in, a), (n_out, b) = _into(m, begin), _into(back, end)
     both = e.join(n_in.select(F.col("id").alias("src"), F.col("n").alias("a")), "src", "left").join(n_out.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst", "left")
-    both = both.select("src", "dst", F.coalesce("a", one(a)).alias("a"), F.coalesce("b", one(b)).alias("b"))
+    both = both.select("src", "dst", F.coalesce("a", _one(a)).alias("a"), F.coalesce("b", _one(b)).alias("b"))
     # two limbs more: what the last product carries, and one free for sums of weights
     product = F.expr(f"concat(transform(sequence(0, {a + b - 2}), k -> aggregate(sequence(greatest(0, k - {b - 1}), least(k, {a - 1})), 0L, (s, i) -> s + a[i] * b[k - i])), array(0L, 0L))")
     return materialised(both.select("src", "dst", F.reverse(_carried(product)).alias("w")))
@@ -183,17 +304,46 @@ def _positive(w: str = "w") -> Column:
     return F.exists(w, lambda x: x > 0)
 
 
+def _reached_in_task(arcs: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    """(id) that arcs (src, dst) reach from start (id), itself included."""
+    ids, _, first, to = coded(arcs["src"], arcs["dst"])
+    seen = np.isin(ids, np.asarray(start["id"])).tolist()
+    path = [v for v in range(len(ids)) if seen[v]]
+    for v in path:
+        for w in to[first[v] : first[v + 1]]:
+            if not seen[w]:
+                seen[w] = True
+                path.append(w)
+    return pd.DataFrame({"id": ids[path]})
+
+
 def _greedy(arcs: DataFrame, start: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """Arcs that a walk from start takes which follows, at each vertex, all arcs of (1 - tolerance) of its best or more."""
+    """Arcs that a walk from start takes which follows, at each vertex, all arcs of (1 - tolerance) of its best or more.
+
+    A walk goes on only along arcs that start or another one leads to, and behind which there are more; they are trimmed until
+    REST are left for one task, or none goes any more.
+    """
     top = F.max("w").over(W.partitionBy("src"))
     share = 1 - Fraction(str(tolerance)).limit_denominator(BASE // 10)
     near = _times(F.col("w"), share.denominator) >= _times(F.col("top"), share.numerator) if tolerance else F.col("w") == F.col("top")
     good = materialised(arcs.withColumn("top", top).where(_positive("top")).where(near).select("src", "dst", "w"))
+    start = materialised(start.select("id").distinct())
+    on = materialised(good.select("src", "dst").join(good.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    n = on.count()
+    while n > REST:
+        on = materialised(on.join(on.select(F.col("dst").alias("src")).union(start.select("id")).distinct(), "src", "left_semi").select("src", "dst"))
+        n, before = on.count(), n
+        if n == before:
+            break
 
     def step(now: DataFrame) -> DataFrame:
-        return now.union(good.join(now.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).distinct()
+        return now.union(on.join(now.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).distinct()
 
-    visited = fixpoint(start.select("id").distinct(), step)
+    if n > REST:
+        visited = fixpoint(start, step)
+    else:
+        begin = start.join(on.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+        visited = start.union(in_one_task(on, _reached_in_task, f"id {on.schema['src'].dataType.simpleString()}", begin))
     return good.join(visited.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "w")
 
 
