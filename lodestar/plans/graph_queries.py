@@ -372,4 +372,4 @@ def author_stats(spark, d):
 
 @query("author_degree", "with e as (select distinct a.author_id as a, b.author_id as b from lit_authorship a join lit_authorship b on a.paper_id = b.paper_id and a.author_id < b.author_id) select id, count(*) as degree from (select a as id from e union all select b from e) t group by id", "lit_authorship")
 def author_degree(spark, d):
-    return G.degrees(G.collaboration(_authorship(spark, d)))
+    return G.collaborators(view(spark, d, "lit_authorship").select("paper_id", F.col("author_id").alias("author")))
